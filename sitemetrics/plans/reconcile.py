@@ -50,31 +50,33 @@ def reconcile(
     value_type = dict(per_day.dtypes)["daily"]
     marked = per_day.select(
         *keys, "day", "daily", F.lit(True).alias("has_daily"), none("decimal(38,8)").alias("value"),
-        none("int").alias("span_days"), none("date").alias("span_start"),
+        none("int").alias("span_days"),
     ).unionByName(
         filler.select(
             *keys, "day", none(value_type).alias("daily"), F.lit(False).alias("has_daily"),
-            F.col("value").cast("decimal(38,8)").alias("value"), "span_days", "span_start",
+            F.col("value").cast("decimal(38,8)").alias("value"), "span_days",
         )
     )
     # One row per (key, day): the daily figure if there is one, else its span.
     day_rows = marked.groupBy(*keys, "day").agg(
         F.bool_or("has_daily").alias("has_daily"), F.max("daily").alias("daily"),
-        F.max("value").alias("value"), F.max("span_days").alias("span_days"), F.max("span_start").alias("span_start"),
+        F.max("value").alias("value"), F.max("span_days").alias("span_days")
     )
-    # Equal shares of one span are counted, not added one by one, so the sum stays exact.
+    # Open days are summed exactly per span length and divided once, shortest spans first,
+    # so the result does not depend on row order. There are only a few span lengths.
     open_day = ~F.col("has_daily")
-    per_span = (
-        day_rows.withColumns({c: F.when(open_day, F.col(c)) for c in ("span_start", "span_days", "value")})
-        .groupBy(*keys, "has_daily", "span_start", "span_days", "value")
-        .agg(F.sum("daily").alias("daily"), F.count(F.lit(1)).alias("days"))
+    per_length = (
+        day_rows.withColumns({c: F.when(open_day, F.col(c)) for c in ("span_days", "value")})
+        .groupBy(*keys, "span_days")
+        .agg(F.sum("daily").alias("daily"), F.sum("value").alias("value"), F.count(F.lit(1)).alias("days"))
     )
-    share = (F.col("value").cast("double") * F.col("days") / F.col("span_days")).cast("decimal(30,8)")
-    return per_span.groupBy(*keys).agg(
-        (F.coalesce(F.sum("daily"), F.lit(0)).cast("double")
-         + F.coalesce(F.sum(share), F.lit(0)).cast("double")).alias(out),
-        F.bool_or(~F.col("has_daily")).alias("is_estimated"),
-        (F.lit(n_days) - F.sum("days")).cast("int").alias("missing_days"),
+    parts = F.array_sort(F.collect_list(F.when(F.col("span_days").isNotNull(), F.struct("span_days", "value"))))
+    filled = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["value"].cast("double") / p["span_days"])
+    return per_length.groupBy(*keys).agg(
+        F.coalesce(F.sum("daily"), F.lit(0)).cast("double").alias("daily"), parts.alias("parts"), F.sum("days").alias("days"),
+    ).select(
+        *keys, (F.col("daily") + filled).alias(out), (F.size("parts") > 0).alias("is_estimated"),
+        (F.lit(n_days) - F.col("days")).cast("int").alias("missing_days"),
     )
 
 

@@ -23,6 +23,11 @@ def _range(r) -> tuple[str, str]:
     return f"DATE '{r[0]}'", f"DATE '{r[1]}'"
 
 
+_SPANS = " + ".join(
+    f"CAST(COALESCE(SUM(CASE WHEN v IS NULL AND span = {k} THEN mt END), 0) AS DOUBLE) / {k}" for k in (28, 29, 30, 31)
+)
+
+
 def traffic_total_sql(r, p: str = "") -> dict[str, str]:
     """Day-by-day reconciliation, as named expressions ending in ``{p}tt``."""
     lo, hi = _range(r)
@@ -35,12 +40,10 @@ def traffic_total_sql(r, p: str = "") -> dict[str, str]:
         f"{p}fill": f"SELECT c.location, c.terminal, c.day, d.v, m.date AS ms, m.period_end AS me, m.traffic AS mt FROM {p}cal c "
                     f"LEFT JOIN {p}dly d USING (location, terminal, day) LEFT JOIN {p}scan m ON m.granularity = 'monthly' "
                     f"AND m.location = c.location AND m.terminal = c.terminal AND c.day BETWEEN m.date AND m.period_end",
-        f"{p}spans": f"SELECT location, terminal, ms, COUNT(*) AS n, MAX(mt) AS mt, MAX(CAST(me - ms AS INT) + 1) AS span FROM {p}fill "
-                     f"WHERE v IS NULL AND ms IS NOT NULL GROUP BY 1, 2, 3",
-        f"{p}sh": f"SELECT location, terminal, SUM(CAST(CAST(mt AS DOUBLE) * n / span AS DECIMAL(30,8))) AS s FROM {p}spans GROUP BY 1, 2",
-        f"{p}tt": f"SELECT f.location, f.terminal, CAST(COALESCE(SUM(v), 0) AS DOUBLE) + CAST(COALESCE(MAX(s), 0) AS DOUBLE) AS traffic, "
+        f"{p}sp": f"SELECT *, CAST(me - ms AS INT) + 1 AS span FROM {p}fill",
+        f"{p}tt": f"SELECT location, terminal, CAST(COALESCE(SUM(v), 0) AS DOUBLE) + ({_SPANS}) AS traffic, "
                   f"BOOL_OR(v IS NULL AND ms IS NOT NULL) AS is_estimated, CAST(COUNT(CASE WHEN v IS NULL AND ms IS NULL THEN 1 END) AS INT) AS missing_days "
-                  f"FROM {p}fill f LEFT JOIN {p}sh USING (location, terminal) GROUP BY 1, 2",
+                  f"FROM {p}sp GROUP BY 1, 2",
     }
 
 
@@ -55,11 +58,10 @@ def target_total_sql(r, p: str = "") -> dict[str, str]:
                   f"generate_series({lo}::TIMESTAMP, {hi}::TIMESTAMP, INTERVAL 1 DAY) g(x)",
         f"{p}ff": f"SELECT c.location, c.day, d.aop AS v, m.ms, m.aop AS mt FROM {p}cc c LEFT JOIN {p}dd d USING (location, day) "
                   f"LEFT JOIN {p}mm m ON m.location = c.location AND m.ms = CAST(DATE_TRUNC('month', c.day) AS DATE)",
-        f"{p}ss": f"SELECT location, ms, COUNT(*) AS n, MAX(mt) AS mt, DAY(LAST_DAY(ms)) AS span FROM {p}ff WHERE v IS NULL AND ms IS NOT NULL GROUP BY 1, 2",
-        f"{p}sx": f"SELECT location, SUM(CAST(CAST(mt AS DOUBLE) * n / span AS DECIMAL(30,8))) AS s FROM {p}ss GROUP BY 1",
-        f"{p}agt": f"SELECT f.location, CAST(COALESCE(SUM(v), 0) AS DOUBLE) + CAST(COALESCE(MAX(s), 0) AS DOUBLE) AS aop_target, "
+        f"{p}ss": f"SELECT *, DAY(LAST_DAY(ms)) AS span FROM {p}ff",
+        f"{p}agt": f"SELECT location, CAST(COALESCE(SUM(v), 0) AS DOUBLE) + ({_SPANS}) AS aop_target, "
                   f"BOOL_OR(v IS NULL AND ms IS NOT NULL) AS is_estimated, CAST(COUNT(CASE WHEN v IS NULL AND ms IS NULL THEN 1 END) AS INT) AS missing_days "
-                  f"FROM {p}ff f LEFT JOIN {p}sx USING (location) GROUP BY 1",
+                  f"FROM {p}ss GROUP BY 1",
     }
 
 
