@@ -29,6 +29,11 @@ def _whole(x) -> Column:
     return F.bround(_c(x).cast("double"), 0).cast("decimal(38,0)")
 
 
+def fixed_decimals(x, digits: int) -> Column:
+    """Plain text with a fixed number of decimals, rounded on the exact binary value, ties to even."""
+    return F.translate(F.format_number(_c(x).cast("double"), digits), ",", "")
+
+
 def pax_text(x) -> Column:
     v = _c(x).cast("double")
     return F.when(_finite(v), group_digits(_whole(v))).otherwise(EM_DASH)
@@ -42,18 +47,15 @@ def money_text(x, mark: str = RUPEE) -> Column:
 def pct_text(x, signed: bool = True) -> Column:
     """Fraction as a percentage with two decimals: 0.087 -> +8.70%."""
     v = _c(x).cast("double") * 100.0
-    body = F.format_string("%.2f%%", v)
+    body = F.concat(fixed_decimals(v, 2), F.lit("%"))
     shown = F.concat(F.when(v >= 0, "+").otherwise(""), body) if signed else body
     return F.when(_finite(v), shown).otherwise(EM_DASH)
 
 
 def spend_text(x) -> Column:
     """Two decimals, dropped for whole numbers."""
-    v = F.bround(_c(x).cast("double"), 2)
-    return F.when(
-        _finite(v),
-        F.when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(F.format_string("%.2f", v)),
-    ).otherwise(HYPHEN)
+    v = _c(x).cast("double")
+    return F.when(_finite(v), F.regexp_replace(fixed_decimals(v, 2), r"\.00$", "")).otherwise(HYPHEN)
 
 
 def pct_from_text(s) -> Column:

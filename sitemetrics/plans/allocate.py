@@ -95,17 +95,19 @@ def target_by_month(facts: DataFrame, monthly: DataFrame) -> DataFrame:
     )
 
 
-def target_by_share(facts: DataFrame, site_targets: DataFrame, target: str = "aop_target") -> DataFrame:
+def target_by_share(
+    facts: DataFrame, site_targets: DataFrame, target: str = "aop_target", keys: tuple[str, ...] = ("location", "outlet")
+) -> DataFrame:
     """Split each location's target over its outlets by revenue, equally where location revenue is not positive.
 
     Location totals are aggregated and joined back, so a dominant location is not pulled into one task.
     """
-    per_outlet = facts.groupBy("location", "outlet").agg(F.coalesce(F.sum(exact(facts, "revenue")), F.lit(0)).alias("r"))
+    per_outlet = facts.groupBy(*keys).agg(F.coalesce(F.sum(exact(facts, "revenue")), F.lit(0)).alias("r"))
     site = per_outlet.groupBy("location").agg(F.sum("r").cast("double").alias("site_revenue"), F.count(F.lit(1)).alias("n"))
     share = F.when(F.col("site_revenue") > 0, F.col("r").cast("double") / F.col("site_revenue")).otherwise(1.0 / F.col("n"))
     return (
         per_outlet.join(site, "location").join(site_targets.select("location", F.col(target).alias("__t")), "location", "left")
-        .select("location", "outlet", F.col("r").cast("double").alias("revenue"), (F.col("__t") * share).alias("aop_target"))
+        .select(*keys, F.col("r").cast("double").alias("revenue"), (F.col("__t") * share).alias("aop_target"))
     )
 
 

@@ -78,16 +78,20 @@ def any_nonzero(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.where(keep)
 
 
-def named_comparison(facts: DataFrame, pairs: dict[str, PeriodPair]) -> DataFrame:
+def named_comparison(facts: DataFrame, pairs: dict[str, PeriodPair], spans: bool = False) -> DataFrame:
     """One row of scalar totals per named pair (day, week, month, year over year) in a single aggregate.
 
-    A side without rows gives NULL changes rather than a change from zero.
+    A side without rows gives NULL changes rather than a change from zero. ``spans`` adds the first and
+    last day that each side really has.
     """
     aop = "aop" in facts.columns
     aggs: list[Column] = []
     for i, p in enumerate(pairs.values()):
         for s in ("current", "compare"):
             aggs.append(F.count_if(p.side(s)).alias(f"n_{s}_{i}"))
+            if spans:
+                day = F.when(p.side(s), F.col("date"))
+                aggs += [F.min(day).alias(f"lo_{s}_{i}"), F.max(day).alias(f"hi_{s}_{i}")]
             for m in [*MEASURES, *(["aop"] if aop else [])]:
                 aggs.append(F.sum(F.when(p.side(s), exact(facts, m))).alias(f"{m}_{s}_{i}"))
     touched = F.lit(False)
@@ -97,6 +101,7 @@ def named_comparison(facts: DataFrame, pairs: dict[str, PeriodPair]) -> DataFram
     row = lambda i, n: F.struct(
         F.lit(n).alias("comparison"),
         *[F.col(f"n_{s}_{i}").alias(f"n_{s}") for s in ("current", "compare")],
+        *[F.col(f"{e}_{s}_{i}").alias(f"{s}_{e}") for s in ("current", "compare") for e in ("lo", "hi") if spans],
         *[
             (F.coalesce(F.col(f"{m}_{s}_{i}"), F.lit(0)) if m != "aop" else F.col(f"{m}_{s}_{i}")).cast("double").alias(f"{s}_{m}")
             for s in ("current", "compare") for m in [*MEASURES, *(["aop"] if aop else [])]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["comparison", "allocation"]
+MODULES = ["comparison", "allocation", "reporting"]
 
 
 def load_all() -> None:
