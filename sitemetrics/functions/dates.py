@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitemetrics.functions.core import column as _c
+from sitemetrics.functions.core import let
+
 # Month abbreviations, serial-day range and epoch, plausible years.
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 SERIAL_RANGE = (36526.0, 55153.0)
@@ -24,45 +27,43 @@ IN_TEXT = (
 )
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def _ymd(y: Column, m: Column, d: Column) -> Column:
     """DATE from three texts, NULL unless it exists in the calendar."""
-    year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    return F.concat_ws("-", year, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
+    century = F.when(F.length(y) == 2, "20").otherwise("")
+    return F.concat_ws("-", F.concat(century, y), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
 
 
 def month_number(name) -> Column:
     """1..12 from a month name or abbreviation, else NULL."""
-    at = F.instr(F.lit(MONTHS), F.lower(F.substring(_c(name), 1, 3)))
-    return F.when((F.length(_c(name)) >= 3) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
+    start = F.lower(F.substring(_c(name), 1, 3))
+    return let(
+        F.when(F.length(start) == 3, F.instr(F.lit(MONTHS), start)), lambda at: F.when(at % 3 == 1, ((at + 2) / 3).cast("int"))
+    )
 
 
 def text_date(x, years: tuple[int, int] = YEARS) -> Column:
     """ISO first, then day-first, then month-first, then month names; serial day numbers too."""
-    full = F.trim(_c(x).cast("string"))
-    s = F.regexp_replace(full, r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?$", "")
-    part = lambda p, i: F.regexp_extract(s, p, i)
-    serial = F.when(s.rlike(r"^\d+(\.\d+)?$"), s.try_cast("double"))
-    from_serial = F.when(
-        serial.between(*SERIAL_RANGE), F.date_add(F.lit(SERIAL_EPOCH).cast("date"), serial.cast("int"))
-    )
-    named = lambda p, mon, d, y: _ymd(part(p, y), month_number(part(p, mon)).cast("string"), part(p, d))
-    found = (
-        F.when(serial.isNotNull(), from_serial)
-        .when(s.rlike(YMD), _ymd(part(YMD, 1), part(YMD, 2), part(YMD, 3)))
-        .when(
-            s.rlike(XXY),
-            F.coalesce(
-                _ymd(part(XXY, 3), part(XXY, 2), part(XXY, 1)), _ymd(part(XXY, 3), part(XXY, 1), part(XXY, 2))
-            ),
+    part = F.regexp_extract
+
+    def named(s: Column, p: str, mon: int, d: int, y: int) -> Column:
+        return _ymd(part(s, p, y), month_number(part(s, p, mon)).cast("string"), part(s, p, d))
+
+    def parse(s: Column) -> Column:
+        numeric = F.coalesce(
+            _ymd(part(s, XXY, 3), part(s, XXY, 2), part(s, XXY, 1)), _ymd(part(s, XXY, 3), part(s, XXY, 1), part(s, XXY, 2))
+        )
+        return (
+            F.when(s.rlike(r"^\d+(\.\d+)?$"), let(s.try_cast("double"), lambda n: F.when(
+                n.between(*SERIAL_RANGE), F.date_add(F.lit(SERIAL_EPOCH).cast("date"), n.cast("int")))))
+            .when(s.rlike(YMD), _ymd(part(s, YMD, 1), part(s, YMD, 2), part(s, YMD, 3)))
+            .when(s.rlike(XXY), numeric)
+            .when(s.rlike(D_MON_Y), named(s, D_MON_Y, 2, 1, 3))
+            .when(s.rlike(MON_D_Y), named(s, MON_D_Y, 1, 2, 3))
         )
-        .when(s.rlike(D_MON_Y), named(D_MON_Y, 2, 1, 3))
-        .when(s.rlike(MON_D_Y), named(MON_D_Y, 1, 2, 3))
-    )
-    return F.when(F.length(full).between(5, 40) & F.year(found).between(*years), found)
+
+    text = F.trim(_c(x).cast("string"))
+    short = let(text, lambda t: F.when(F.length(t).between(5, 40), F.regexp_replace(t, r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?$", "")))
+    return let(let(short, parse), lambda d: F.when(F.year(d).between(*years), d))
 
 
 def target_date(x) -> Column:
@@ -84,12 +85,11 @@ def date_in_text(x, years: tuple[int, int] = YEARS) -> Column:
 
 def month_label(x) -> Column:
     """First day of the month named by "Apr'24" / "May-26" / "May 2026"; fiscal-year labels give NULL."""
-    s = F.trim(F.regexp_replace(F.trim(_c(x).cast("string")), r"[-'’\s]+", " "))
     shape = r"^([A-Za-z]{3,9}) (\d{4}|\d{2})$"
-    mon = month_number(F.regexp_extract(s, shape, 1)).cast("string")
-    return F.when(
-        s.rlike(shape) & ~s.rlike(r"(?i)^fy"), _ymd(F.regexp_extract(s, shape, 2), mon, F.lit("01"))
-    )
+    return let(F.trim(F.regexp_replace(_c(x).cast("string"), r"[-'’\s]+", " ")), lambda s: F.when(
+        s.rlike(shape) & ~s.rlike(r"(?i)^fy"),
+        _ymd(F.regexp_extract(s, shape, 2), month_number(F.regexp_extract(s, shape, 1)).cast("string"), F.lit("01")),
+    ))
 
 
 def month_in_name(x) -> Column:
@@ -109,8 +109,8 @@ def fix_swapped_day(d, ref_month) -> Column:
     swapped = F.concat_ws(
         "-", F.year(day), F.lpad(F.dayofmonth(day), 2, "0"), F.lpad(F.month(day), 2, "0")
     ).try_cast("date")
-    bad = (F.trunc(day, "MM") != ref) & (F.dayofmonth(day) <= 12) & (F.trunc(swapped, "MM") == ref)
-    return F.when(bad, swapped).otherwise(day)
+    may_swap = (F.trunc(day, "MM") != ref) & (F.dayofmonth(day) <= 12)
+    return let(swapped, lambda s: F.when(may_swap & (F.trunc(s, "MM") == ref), s).otherwise(day))
 
 
 def month_shift(d, n: int) -> Column:

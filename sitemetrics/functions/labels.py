@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitemetrics.functions.core import column as _c
+from sitemetrics.functions.core import let
+
 # Markers of summary rows.
 TOTAL_MARKERS = [
     "total", "grand total", "sub total", "subtotal", "overall", "sum",
@@ -12,14 +15,10 @@ TOTAL_MARKERS = [
 ]
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def norm_label(x) -> Column:
     """Lower-case label with separators as single blanks and odd punctuation dropped."""
     s = F.regexp_replace(F.coalesce(_c(x).cast("string"), F.lit("")), r"[\n_\-]", " ")
-    s = F.regexp_replace(s, r"[^\w&%().' ]+", " ")
+    s = F.regexp_replace(s, r"[^\p{L}\p{N}_&%().' ]+", " ")
     s = F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))
     return F.trim(F.regexp_replace(s, r"\.+$", ""))
 
@@ -30,15 +29,14 @@ def is_blank(x) -> Column:
 
 def clean_cell(x) -> Column:
     """Trimmed text without zero-width and no-break characters; blank becomes NULL."""
-    s = F.regexp_replace(_c(x).cast("string"), "[​‌‍﻿]", "")
-    s = F.trim(F.regexp_replace(s, r"[\s ]+", " "))
-    return F.when(~is_blank(s), s)
+    s = F.regexp_replace(_c(x).cast("string"), "[\u200b\u200c\u200d\ufeff]", "")
+    return let(F.trim(F.regexp_replace(s, "[\\s\u00a0]+", " ")), lambda t: F.when(~is_blank(t), t))
 
 
 def title_case(x, acronyms: list[str] = ()) -> Column:
     """Capital after every non-letter, other letters lower; listed acronyms stay upper-case."""
     s = F.trim(_c(x))
-    runs = F.regexp_extract_all(s, F.lit(r"([A-Za-z]+|[^A-Za-z]+)"), F.lit(1))
+    runs = F.regexp_extract_all(s, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
     titled = F.array_join(F.transform(runs, lambda p: F.initcap(p)), "")
     return F.when(F.lower(s).isin([a.lower() for a in acronyms]), F.upper(s)).otherwise(titled) if acronyms else titled
 
@@ -53,28 +51,31 @@ def lookup(x, table: dict[str, str]) -> Column:
 
 def vocabulary_match(x, vocab: dict[str, str], min_len: int = 3) -> Column:
     """Canonical name by exact vocabulary hit, else by the first entry (of ``min_len``+) contained."""
-    t = norm_label(x)
-    out = F.lit(None).cast("string")
-    for word, name in reversed(list(vocab.items())):
-        if len(word) >= min_len:
-            out = F.when(t.contains(word), F.lit(name)).otherwise(out)
-    return F.when(t != "", F.coalesce(lookup(t, vocab), out))
+    def match(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for word, name in reversed(list(vocab.items())):
+            if len(word) >= min_len:
+                out = F.when(t.contains(word), F.lit(name)).otherwise(out)
+        return F.when(t != "", F.coalesce(lookup(t, vocab), out))
+
+    return let(norm_label(x), match)
 
 
 def keyword_class(x, keywords: list[tuple[str, str]], default: str | None = None) -> Column:
     """Class of the first keyword contained in the label."""
-    t = norm_label(x)
-    out = F.lit(default).cast("string")
-    for word, name in reversed(keywords):
-        out = F.when(t.contains(word), F.lit(name)).otherwise(out)
-    return out
+    def match(t: Column) -> Column:
+        out = F.lit(default).cast("string")
+        for word, name in reversed(keywords):
+            out = F.when(t.contains(word), F.lit(name)).otherwise(out)
+        return out
+
+    return let(norm_label(x), match)
 
 
 def is_total_label(x) -> Column:
     """Equals, starts with or ends with a summary marker."""
-    t = norm_label(x)
     marks = "|".join(TOTAL_MARKERS)
-    return t.rlike(f"^({marks})$|^({marks}) | ({marks})$")
+    return norm_label(x).rlike(f"^({marks})$|^({marks}) | ({marks})$")
 
 
 def site_label(outlet, location) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitemetrics.functions.core import column as _c
+from sitemetrics.functions.core import let
+
 # Texts meaning "no value", currency marks and magnitude suffixes.
 NO_VALUE = ["", "-", "–", "—", "na", "n/a", "nil", "none"]
 CURRENCY = r"(?i)(₹|rs\.?|inr)\s*"
@@ -24,39 +27,42 @@ UNIT_NOTES = [
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+PUNCTUATION = "[, %\u00a0]"
 
 
 def _strict(text: Column) -> Column:
-    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+    return let(text, lambda t: F.when(t.rlike(PLAIN_NUMBER), t.try_cast("double")))
 
 
 def messy_number(x) -> Column:
     """'Rs. 5,000' / '(2,500)' / '1.2 L' / '3 Cr' / '12%' -> double, anything else NULL."""
-    raw = F.trim(_c(x).cast("string"))
-    bracketed = raw.rlike(r"(?s)^\(.*\)$")
-    body = F.trim(F.regexp_replace(F.when(bracketed, F.btrim(raw, F.lit("()"))).otherwise(raw), CURRENCY, ""))
-    factor, stripped = F.lit(1.0), body
-    for pattern, size in reversed(SUFFIXES):
-        factor = F.when(body.rlike(pattern), F.lit(size)).otherwise(factor)
-        stripped = F.when(body.rlike(pattern), F.regexp_replace(body, pattern, "")).otherwise(stripped)
-    number = _strict(F.regexp_replace(stripped, r"[, % ]", "")) * factor
-    signed = F.when(bracketed, -number).otherwise(number)
-    return F.when(~F.lower(raw).isin(NO_VALUE), signed)
+    def parse(raw: Column) -> Column:
+        bracketed = raw.rlike(r"(?s)^\(.*\)$")
+        body = F.trim(F.regexp_replace(F.when(bracketed, F.btrim(raw, F.lit("()"))).otherwise(raw), CURRENCY, ""))
+        number = let(body, scaled)
+        return F.when(~F.lower(raw).isin(NO_VALUE), F.when(bracketed, -number).otherwise(number))
+
+    def scaled(body: Column) -> Column:
+        out = _strict(F.regexp_replace(body, PUNCTUATION, ""))
+        for pattern, size in reversed(SUFFIXES):
+            cut = _strict(F.regexp_replace(F.regexp_replace(body, pattern, ""), PUNCTUATION, ""))
+            out = F.when(body.rlike(pattern), cut * size).otherwise(out)
+        return out
+
+    return let(F.trim(_c(x).cast("string")), parse)
 
 
 def report_number(x) -> Column:
     """Number from a report cell broken by reflow blanks; otherwise its first numeric token."""
-    text = F.regexp_replace(_c(x).cast("string"), r"[\s,]+", "")
-    token = F.regexp_extract(text, r"-?\d+(\.\d+)?", 0)
-    return F.when(~text.isin("", "-"), F.coalesce(_strict(text), _strict(token)))
+    return let(
+        F.regexp_replace(_c(x).cast("string"), r"[\s,]+", ""),
+        lambda t: F.when(~t.isin("", "-"), F.coalesce(_strict(t), _strict(F.regexp_extract(t, r"-?\d+(\.\d+)?", 0)))),
+    )
 
 
 def count_number(x) -> Column:
     """Traffic and target cells: drop commas and no-break spaces; blanks and dashes are NULL."""
-    text = F.trim(F.regexp_replace(_c(x).cast("string"), r"[ ,]", ""))
-    return F.when(~text.isin("", "-", "—"), _strict(text))
+    return let(F.trim(F.regexp_replace(_c(x).cast("string"), "[\u00a0,]", "")), lambda t: F.when(~t.isin("", "-", "—"), _strict(t)))
 
 
 def float_or_null(x) -> Column:

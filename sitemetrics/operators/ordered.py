@@ -46,18 +46,25 @@ def fill_down(df: DataFrame, keys: list[str], order: str, cols: list[str], chunk
     )
 
 
-def running_count(df: DataFrame, keys: list[str], order: str, flag: Column, out: str, chunk: int = CHUNK) -> DataFrame:
-    """Number of flagged rows up to and including each row: block ids for gaps and islands."""
-    runs = df.withColumn(_RUN, F.floor(F.col(order) / chunk)).withColumn("__f", flag.cast("long"))
-    inner = W.partitionBy(*keys, _RUN).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+def running_sum(
+    df: DataFrame, keys: list[str], order: str, value: Column, out: str, chunk: int = CHUNK, inclusive: bool = True
+) -> DataFrame:
+    """Cumulative sum of ``value`` in the group, up to and including (or only before) each row."""
+    runs = df.withColumn(_RUN, F.floor(F.col(order) / chunk)).withColumn("__f", value.cast("long"))
+    inner = W.partitionBy(*keys, _RUN).orderBy(order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     earlier = W.partitionBy(*keys).orderBy(_RUN).rowsBetween(W.unboundedPreceding, -1)
     totals = runs.groupBy(*keys, _RUN).agg(F.sum("__f").alias("__t"))
     carry = totals.select(*keys, _RUN, F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__before"))
-    local = runs.withColumn(out, F.sum("__f").over(inner))
+    local = runs.withColumn(out, F.coalesce(F.sum("__f").over(inner), F.lit(0)))
     joined = _with_carry(local, carry, keys)
     return joined.select(*df.columns, (F.col(out) + F.col("__before")).alias(out))
 
 
+def running_count(df: DataFrame, keys: list[str], order: str, flag: Column, out: str, chunk: int = CHUNK) -> DataFrame:
+    """Number of flagged rows up to and including each row: block ids for gaps and islands."""
+    return running_sum(df, keys, order, F.coalesce(flag, F.lit(False)).cast("int"), out, chunk)
+
+
 def keep_one(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """First row per key in ``order``; a per-task limit before the shuffle keeps hot keys small."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))

@@ -78,36 +78,51 @@ def any_nonzero(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.where(keep)
 
 
-def named_comparison(facts: DataFrame, pairs: dict[str, PeriodPair], spans: bool = False) -> DataFrame:
-    """One row of scalar totals per named pair (day, week, month, year over year) in a single aggregate.
+def pair_sums(facts: DataFrame, pairs: dict[str, PeriodPair], keys: list[str], spans: bool = False) -> DataFrame:
+    """Sums and row counts per key for both sides of every pair, from one scan: ``{measure}_{side}_{pair number}``.
 
-    A side without rows gives NULL changes rather than a change from zero. ``spans`` adds the first and
-    last day that each side really has.
+    ``spans`` adds the first and last day that each side really has.
     """
-    aop = "aop" in facts.columns
     aggs: list[Column] = []
+    touched = F.lit(False)
     for i, p in enumerate(pairs.values()):
+        touched = touched | p.either()
         for s in ("current", "compare"):
             aggs.append(F.count_if(p.side(s)).alias(f"n_{s}_{i}"))
             if spans:
                 day = F.when(p.side(s), F.col("date"))
                 aggs += [F.min(day).alias(f"lo_{s}_{i}"), F.max(day).alias(f"hi_{s}_{i}")]
-            for m in [*MEASURES, *(["aop"] if aop else [])]:
+            for m in _measures(facts):
                 aggs.append(F.sum(F.when(p.side(s), exact(facts, m))).alias(f"{m}_{s}_{i}"))
-    touched = F.lit(False)
-    for p in pairs.values():
-        touched = touched | p.either()
-    one = facts.where(touched).agg(*aggs)
+    return facts.where(touched).groupBy(*keys).agg(*aggs)
+
+
+def _measures(facts: DataFrame) -> list[str]:
+    return [*MEASURES, *(["aop"] if "aop" in facts.columns else [])]
+
+
+def named_comparison(facts: DataFrame, pairs: dict[str, PeriodPair], spans: bool = False) -> DataFrame:
+    """One row of scalar totals per named pair (day, week, month, year over year) in a single aggregate."""
+    return named_from_sums(pair_sums(facts, pairs, [], spans), list(pairs), _measures(facts), spans)
+
+
+def named_from_sums(sums: DataFrame, names: list[str], measures: list[str] = MEASURES, spans: bool = False) -> DataFrame:
+    """Named comparisons from :func:`pair_sums` at any grain.
+
+    A side without rows gives NULL changes rather than a change from zero.
+    """
+    sides = ("current", "compare")
+    fold = {"lo": F.min, "hi": F.max}
+    cols = [f"{x}_{s}_{i}" for i in range(len(names)) for s in sides for x in ("n", *(("lo", "hi") if spans else ()), *measures)]
+    one = sums.agg(*[fold.get(c.split("_")[0], F.sum)(c).alias(c) for c in cols])
+    amount = lambda m, s, i: F.col(f"{m}_{s}_{i}") if m == "aop" else F.coalesce(F.col(f"{m}_{s}_{i}"), F.lit(0))
     row = lambda i, n: F.struct(
         F.lit(n).alias("comparison"),
-        *[F.col(f"n_{s}_{i}").alias(f"n_{s}") for s in ("current", "compare")],
-        *[F.col(f"{e}_{s}_{i}").alias(f"{s}_{e}") for s in ("current", "compare") for e in ("lo", "hi") if spans],
-        *[
-            (F.coalesce(F.col(f"{m}_{s}_{i}"), F.lit(0)) if m != "aop" else F.col(f"{m}_{s}_{i}")).cast("double").alias(f"{s}_{m}")
-            for s in ("current", "compare") for m in [*MEASURES, *(["aop"] if aop else [])]
-        ],
+        *[F.col(f"n_{s}_{i}").alias(f"n_{s}") for s in sides],
+        *[F.col(f"{e}_{s}_{i}").alias(f"{s}_{e}") for s in sides for e in ("lo", "hi") if spans],
+        *[amount(m, s, i).cast("double").alias(f"{s}_{m}") for s in sides for m in measures],
     )
-    long = one.select(F.explode(F.array(*[row(i, n) for i, n in enumerate(pairs)])).alias("r")).select("r.*")
+    long = one.select(F.explode(F.array(*[row(i, n) for i, n in enumerate(names)])).alias("r")).select("r.*")
     both = (F.col("n_current") > 0) & (F.col("n_compare") > 0)
     out = long
     for m, label in (("revenue", "Revenue"), ("pax", "PAX")):
@@ -115,10 +130,19 @@ def named_comparison(facts: DataFrame, pairs: dict[str, PeriodPair], spans: bool
         out = out.withColumns({f"{m}_change": cur - cmp_, f"{m}_pct_change": F.when(both, M.pct_change(cur, cmp_))})
         out = out.withColumn(f"{m}_trend", M.trend_label(f"{m}_pct_change", label))
     return out.withColumns({
-        f"{s}_rev_per_pax": M.rev_per_pax(f"{s}_revenue", f"{s}_pax") for s in ("current", "compare")
+        f"{s}_rev_per_pax": M.rev_per_pax(f"{s}_revenue", f"{s}_pax") for s in sides
     }).drop("n_current", "n_compare")
 
 
+def comparison_from_sums(sums: DataFrame, number: int, keys: list[str]) -> DataFrame:
+    """The comparison of one pair from :func:`pair_sums`, rolled up to ``keys``."""
+    n = F.col(f"n_current_{number}") + F.col(f"n_compare_{number}")
+    rolled = sums.where(n > 0).groupBy(*keys).agg(*[
+        F.coalesce(F.sum(f"{m}_{s}_{number}"), F.lit(0)).alias(f"{s}_{m}") for s in ("current", "compare") for m in MEASURES
+    ])
+    return add_changes(rolled)
+
+
 def period_totals(facts: DataFrame) -> DataFrame:
     """Scalar totals of whatever rows come in; target stays NULL when no row has one."""
     aop = F.sum(exact(facts, "aop")) if "aop" in facts.columns else F.lit(None)
@@ -139,7 +163,11 @@ def rev_per_pax_table(facts: DataFrame, keys: list[str] = GRAIN) -> DataFrame:
 
 def volume_vs_spend(facts: DataFrame, pair: PeriodPair) -> DataFrame:
     """Whether each outlet's revenue moved by customers or by spend per customer."""
-    c = compare_periods(facts, pair).withColumns({
+    return classify_drivers(compare_periods(facts, pair))
+
+
+def classify_drivers(comparison: DataFrame) -> DataFrame:
+    c = comparison.withColumns({
         f"{s}_rpp": M.rev_per_pax(f"{s}_revenue", f"{s}_pax") for s in ("current", "compare")
     })
     return c.withColumn("rev_per_pax_pct_change", M.pct_change("current_rpp", "compare_rpp")).select(
@@ -172,7 +200,11 @@ def ranked_outlets(facts: DataFrame, pair: PeriodPair, n: int = 10, worst: bool
 
 def segment_extremes(facts: DataFrame, pair: PeriodPair) -> DataFrame:
     """Fastest growing and fastest declining segment in one row."""
-    seg = compare_periods(facts, pair, ["segment"]).where("revenue_pct_change is not null")
+    return extremes_of(compare_periods(facts, pair, ["segment"]))
+
+
+def extremes_of(segments: DataFrame) -> DataFrame:
+    seg = segments.where("revenue_pct_change is not null")
     best = F.max(F.struct("revenue_pct_change", "segment"))
     worst = F.min(F.struct("revenue_pct_change", "segment"))
     return seg.agg(best.alias("b"), worst.alias("w")).select(

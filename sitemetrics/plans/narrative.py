@@ -11,6 +11,7 @@ from sitemetrics.functions.dates import span_label
 from sitemetrics.functions.formats import fixed_decimals, money_text, pax_text, pct_text
 from sitemetrics.functions.labels import site_label
 from sitemetrics.operators.aggregate import exact
+from sitemetrics.operators.reuse import materialise
 from sitemetrics.plans import compare as C
 from sitemetrics.plans.allocate import target_variance
 from sitemetrics.plans.periods import PeriodPair
@@ -120,12 +121,12 @@ def driver_lines(drivers: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def segment_lines(facts: DataFrame, pair: PeriodPair) -> DataFrame:
-    seg = C.compare_periods(facts.where(pair.either()), pair, ["segment"])
+def segment_lines(seg: DataFrame) -> DataFrame:
+    """Segment totals, largest first, and the extremes; ``seg`` is a segment-grain comparison."""
     live = seg.where("current_revenue <> 0 or current_pax <> 0")
     ranked = live.withColumn("__r", F.row_number().over(_segment_order()))
     rows = _line(ranked, 9, F.col("__r"), F.col("segment"), ": ", money_text("current_revenue"), " (", pax_text("current_pax"), " PAX)")
-    ext = C.segment_extremes(facts, pair)
+    ext = C.extremes_of(seg)
     last = _line(
         ext, 9, 1000, "Fastest growing segment: ", F.col("top_growing"), " (", pct_text("top_growing_pct"), "). Fastest declining: ",
         F.col("top_declining"), " (", pct_text("top_declining_pct"), ").",
@@ -160,13 +161,16 @@ def management_summary(
     compare range, sections without data produce no rows.
     """
     pairs = {"selected": selected, **(reference or {})}
-    named = C.named_comparison(facts, pairs, spans=True)
+    # One scan of the facts; every section works on this outlet-grain table.
+    base = materialise(C.pair_sums(facts, pairs, C.GRAIN, spans=True))
+    named = C.named_from_sums(base, list(pairs), spans=True)
     lo, hi = F.lit(selected.compare_start), F.lit(selected.compare_end)
     inside = F.col("compare_lo").between(lo, hi) & F.col("compare_hi").between(lo, hi)
     shown = named.where((F.col("comparison") == "selected") | ~F.coalesce(inside, F.lit(False)))
-    outlets = C.compare_periods(facts, selected)
+    outlets = C.comparison_from_sums(base, 0, C.GRAIN)
     parts = [
-        comparison_lines(shown), ranking_lines(outlets, n), driver_lines(C.volume_vs_spend(facts, selected)), segment_lines(facts, selected),
+        comparison_lines(shown), ranking_lines(outlets, n), driver_lines(C.classify_drivers(outlets)),
+        segment_lines(C.comparison_from_sums(base, 0, ["segment"])),
     ]
     if actuals is not None:
         parts.append(target_lines(actuals))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["comparison", "allocation", "reporting"]
+MODULES = ["comparison", "allocation", "reporting", "text"]
 
 
 def load_all() -> None:

@@ -411,7 +411,7 @@ def _narrative_sql() -> str:
     part = lambda c, t: f"CASE WHEN {c} > 0 THEN {c} || ' {t}' END"
     case_title = "CASE k " + " ".join(f"WHEN {k} THEN {v}" for k, v in title.items()) + " END"
     body = f"""
-SELECT k AS section_no, {case_title} AS section, line_no, text FROM (
+SELECT k AS section_no, {case_title} AS section, CAST(line_no AS INT) AS line_no, text FROM (
 SELECT 1 AS k, 1 AS line_no, 'Total revenue for ' || cur || ' was ' || {money_sql('current_revenue')} || ' from ' || {pax_sql('current_pax')} || ' PAX (Revenue/PAX: ' || {money_sql('current_revenue / current_pax')} || ').' AS text FROM shown WHERE comparison = 'selected'
 UNION ALL SELECT 1, 2, 'That''s ' || {updown} || ' ' || {size.format('rp')} || ' versus ' || cmp || ' (' || {money_sql('compare_revenue')} || '), a change of ' || {money_sql('(current_revenue - compare_revenue)')} || '. ' || {trend_sql('rp', 'Revenue')} FROM shown WHERE comparison = 'selected'
 UNION ALL SELECT {num}, 1, 'Revenue for ' || cur || ' is ' || {updown} || ' ' || {size.format('rp')} || ' vs ' || cmp || ' (' || {money_sql('compare_revenue')} || ' → ' || {money_sql('current_revenue')} || '). PAX changed by ' || {pct_text_sql('pp')} || '.' FROM shown WHERE current_lo IS NOT NULL AND compare_lo IS NOT NULL
@@ -446,13 +446,13 @@ def not_in_selected(spark, sf):
 
 
 @query("l10_display_names", """
-SELECT DISTINCT p_brand AS outlet, p_type AS location, CASE WHEN p_brand = 'Brand#13' AND p_type = 'PROMO BRUSHED BRASS' THEN 'Special 13'
+SELECT DISTINCT p_brand AS outlet, p_type AS location, CASE WHEN p_brand = 'Brand#13' AND p_type = 'ECONOMY' THEN 'Special 13'
   WHEN p_brand LIKE 'Brand#1%' THEN 'House ' || SUBSTRING(p_brand, 7) ELSE p_brand END AS display_name FROM part""")
 def display_names(spark, sf):
     part = X.table(spark, sf, "part").select(F.col("p_brand").alias("outlet"), F.col("p_type").alias("location")).distinct()
     general = part.where("outlet like 'Brand#1%'").select("outlet").distinct().select(
         "outlet", F.lit(None).cast("string").alias("location"), F.concat(F.lit("House "), F.substring("outlet", 7, 9)).alias("display"))
-    own = spark.createDataFrame([("Brand#13", "PROMO BRUSHED BRASS", "Special 13")], "outlet string, location string, display string")
+    own = spark.createDataFrame([("Brand#13", "ECONOMY", "Special 13")], "outlet string, location string, display string")
     return dims.display_name(part, general.unionByName(own))
 
 
