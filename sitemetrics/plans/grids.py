@@ -144,20 +144,19 @@ def blocks(rows: DataFrame, is_break: Column, out: str = "block") -> DataFrame:
     return running_count(rows, [GRID], "row_idx", is_break, out)
 
 
-def drop_junk_rows(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """Data rows below the header without blank, total and repeated-header rows."""
-    h = headers.select(GRID, "header_row")
-    data = filled(cells).join(h, GRID).where("row_idx > header_row")
-    head = filled(cells).join(h, GRID).where("row_idx = header_row")
-    names = head.select(GRID, "col_idx", L.norm_label("value").alias("__h"))
-    width = head.groupBy(GRID).agg(F.count(F.lit(1)).alias("__w"))
-    totals = data.where((F.col("col_idx") < 4) & L.is_total_label("value")).select(GRID, "row_idx")
-    repeated = (
-        data.withColumn("__h", L.norm_label("value")).join(names, [GRID, "col_idx", "__h"])
-        .groupBy(GRID, "row_idx").agg(F.count(F.lit(1)).alias("__n")).join(width, GRID)
-        .where(F.col("__n") >= F.greatest(F.lit(2.0), F.col("__w") / 2)).select(GRID, "row_idx")
+def drop_junk_rows(cells: DataFrame, headers: DataFrame, labels: DataFrame) -> DataFrame:
+    """Data cells below the header without blank, total and repeated-header rows.
+
+    ``labels``: grid_id, col_idx, label. A row repeats the header when at least half of its labels (two or more) recur.
+    """
+    data = filled(cells).join(headers.select(GRID, "header_row"), GRID).where("row_idx > header_row").drop("header_row")
+    names = labels.where("label <> ''").select(GRID, "col_idx", L.norm_label("label").alias("__h"))
+    width = names.groupBy(GRID).agg(F.greatest(F.lit(2.0), F.count(F.lit(1)) / 2).alias("__w"))
+    judged = data.withColumn("__t", L.norm_label("value")).join(names, [GRID, "col_idx"], "left").groupBy(GRID, "row_idx").agg(
+        F.bool_or((F.col("col_idx") < 4) & L.is_total_label("__t")).alias("__total"), F.count_if(F.col("__t") == F.col("__h")).alias("__n"),
     )
-    return data.join(totals.unionByName(repeated).distinct(), [GRID, "row_idx"], "left_anti").drop("header_row")
+    junk = judged.join(width, GRID).where(F.col("__total") | (F.col("__n") >= F.col("__w"))).select(GRID, "row_idx")
+    return data.join(junk, [GRID, "row_idx"], "left_anti")
 
 
 def rank_candidates(cells: DataFrame, n: int = 6) -> DataFrame:

@@ -13,6 +13,7 @@ from sitemetrics.functions import labels as L
 from sitemetrics.functions import numbers as NB
 from sitemetrics.functions import vocabulary as V
 from sitemetrics.operators.ordered import fill_down, top_per_group
+from sitemetrics.operators.reuse import materialise
 from sitemetrics.plans import grids as G
 
 GRID = G.GRID
@@ -155,13 +156,14 @@ def _by_role(assigned: DataFrame) -> DataFrame:
 def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.ACCEPT) -> Inference:
     """Canonical revenue rows from grids of unknown layout; what cannot be understood is rejected with a reason."""
     meta = cells.groupBy(GRID).agg(F.min("source").alias("source"), F.min("sheet").alias("sheet"))
-    headers = G.find_headers(cells, vocab)
-    labels = G.header_labels(cells, headers)
-    columns = logical_columns(labels, vocab)
+    # Each stage result is small next to the cells (one row per grid, column or grid row) and is written once.
+    headers = materialise(G.find_headers(cells, vocab))
+    labels = materialise(G.header_labels(cells, headers))
+    columns = materialise(logical_columns(labels, vocab))
     titles = G.title_texts(cells, headers)
-    data = G.drop_junk_rows(cells, headers).select(GRID, "row_idx", "col_idx", "value").join(
+    data = G.drop_junk_rows(cells, headers, labels).select(GRID, "row_idx", "col_idx", "value").join(
         columns.withColumnRenamed("label", "__label"), [GRID, "col_idx"])
-    prof = profiles(data, vocab)
+    prof = materialise(profiles(data, vocab))
     key_cols = columns.where("key is not null").select(GRID, "layout").distinct()
     is_date = F.col("layout") == "date_wide"
     one, zero = F.lit(1.0), F.lit(0.0)
@@ -177,7 +179,7 @@ def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.AC
     shape = columns.groupBy(GRID).agg(F.max("layout").alias("layout"))
 
     # A sparse left-hand column of place names serves as section labels where no location column was found.
-    size = data.groupBy(GRID).agg(F.count_distinct("row_idx").alias("n_rows"))
+    size = prof.groupBy(GRID).agg(F.max("n").alias("n_rows"))
     section = prof.where((F.col("ord") < 3) & (F.col("loc") >= 0.8)).join(size, GRID).where(F.col("n") <= F.col("n_rows") * 0.6).groupBy(GRID).agg(
         F.min("ord").alias("section_ord"))
     header_text = labels.groupBy(GRID).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "label"))), lambda x: x["label"]), " | ").alias("header_text"))
@@ -201,8 +203,9 @@ def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.AC
             "ctx_segment": first_of(segment, "title", "sheet", "source"),
             "budget": (norm.contains("geographical segment") & (norm.contains("unit id") | norm.contains("business segment")))
                       | (norm.rlike(r"\baop\b|annual operating plan|\bbudget\b") & ~F.coalesce("has_actuals", F.lit(False))),
-        })
+        }).drop("title", "header_text")
     )
+    grid = materialise(grid)
     pick = grid.select(GRID, "layout", *[f"o_{r}" for r in V.ROLES], "section_ord", "unit", "ctx_date", "ctx_location")
     located = data.join(pick.drop("layout"), GRID).withColumn("o_location", F.coalesce("o_location", "section_ord"))
     take = lambda r: F.max(F.when(F.col("ord") == F.col(f"o_{r}"), F.col("value")))
@@ -216,7 +219,7 @@ def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.AC
     wide_grids = key_cols.select(GRID)
     long_rows = ids.join(wide_grids, GRID, "left_anti").withColumn("key", F.lit(None).cast("string"))
     wide_rows = values.join(ids.drop(*V.METRICS), [GRID, "row_idx"])
-    stacked = long_rows.unionByName(wide_rows, allowMissingColumns=True)
+    stacked = materialise(long_rows.unionByName(wide_rows, allowMissingColumns=True))
     merged = stacked.join(grid.select(
         GRID, "layout", "unit", "ctx_date", "ctx_location", "ctx_segment", "o_location", "section_ord", "o_segment", "o_outlet", "o_date"), GRID)
     by_keyword = L.keyword_class("outlet", vocab.outlet_keywords)
@@ -229,11 +232,11 @@ def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.AC
         F.coalesce("o_location", "section_ord").isNotNull(), F.coalesce(place(F.col("location")), F.trim("location"))).otherwise(F.col("ctx_location"))
     raw_segment = F.when(F.col("o_segment").isNotNull(), F.coalesce(segment(F.col("segment")), F.trim("segment"))).when(
         from_keyword, F.coalesce(by_keyword, F.lit(vocab.default_segment))).otherwise(F.col("ctx_segment"))
-    rows = merged.select(
+    rows = materialise(merged.select(
         GRID, "row_idx", raw_date.alias("date"), raw_segment.alias("segment"), F.trim("outlet").alias("outlet"), raw_location.alias("location"),
         NB.messy_number("pax").alias("pax"), (NB.messy_number("revenue") * F.col("unit")).alias("revenue"),
         (NB.messy_number("aop") * F.col("unit")).alias("aop"), NB.messy_number("traffic").alias("traffic"),
-    ).withColumn("outlet", F.coalesce("outlet", F.concat_ws(" - ", "location", "segment")))
+    ).withColumn("outlet", F.coalesce("outlet", F.concat_ws(" - ", "location", "segment"))))
 
     grid = grid.join(hit_rate, GRID, "left")
     recovered = {
@@ -256,9 +259,10 @@ def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.AC
         .when(F.coalesce("n_usable", F.lit(0)) == 0, "no usable rows")
         .when(F.col("confidence") < accept, "confidence too low")
     )
+    judged = materialise(judged.withColumn("reason", reason))
     status = judged.select(
         GRID, "source", "sheet", F.coalesce("layout", F.lit("unknown")).alias("layout"), F.coalesce("unit", F.lit(1.0)).alias("unit"), "confidence",
-        reason.isNull().alias("accepted"), reason.alias("reason"),
+        F.col("reason").isNull().alias("accepted"), "reason",
     )
     checked = rows.withColumn("reason", row_reason(today))
     ok = checked.join(status.where("accepted").select(GRID), GRID, "left_semi")
