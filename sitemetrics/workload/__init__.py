@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["comparison", "allocation", "reporting", "text"]
+MODULES = ["comparison", "allocation", "reporting", "text", "sheets"]
 
 
 def load_all() -> None:
