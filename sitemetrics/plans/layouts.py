@@ -1,4 +1,8 @@
-"""Known report layouts: cell grids to long facts. Every function handles all grids of a corpus at once."""
+"""Known report layouts: cell grids to long facts. Every function handles all grids of a corpus at once.
+
+Header positions and column meanings are tables of one row per grid or grid column; they are written once
+(``materialise``) so that the passes over the cells stay separate, short plans.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from sitemetrics.functions import labels as L
 from sitemetrics.functions import numbers as NB
 from sitemetrics.functions import vocabulary as V
 from sitemetrics.operators.ordered import fill_down, keep_one, running_count
+from sitemetrics.operators.reuse import materialise
 from sitemetrics.plans.grids import GRID, fill_across, filled, rows_as_columns
 
 KEY = ["date", "segment", "outlet", "location"]
@@ -78,7 +83,8 @@ def alias_table(cells: DataFrame, aliases: dict[str, list[str]], required: list[
     for r in required:
         fit = fit & F.col(f"has_{r}")
     best = per_row.where(fit).groupBy(GRID).agg(F.max(F.struct("k", (-F.col("row_idx")).alias("r"))).alias("b")).select(GRID, (-F.col("b.r")).alias("base_row"))
-    columns = one.join(best, GRID).where("row_idx = base_row").select(GRID, "col_idx", "role")
+    best = materialise(best)
+    columns = materialise(one.join(best, GRID).where("row_idx = base_row").select(GRID, "col_idx", "role"))
     data = _below(cells, best).join(columns, [GRID, "col_idx"])
     return data.groupBy(GRID, "row_idx").agg(*[F.max(F.when(F.col("role") == r, F.col("value"))).alias(r) for r in aliases])
 
@@ -105,8 +111,8 @@ def find_wide_pivot(cells: DataFrame, depth: int = 20) -> DataFrame:
 
 def wide_pivot(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
     """One row per day, PAX/Revenue[/Sum of AOP] column groups under location, segment and outlet banners; subtotals skipped."""
-    base = find_wide_pivot(cells)
-    h = _header(cells, base, {"loc": -3, "seg": -2, "out": -1, "metric": 0}).where("col_idx > 0")
+    base = materialise(find_wide_pivot(cells))
+    h = materialise(_header(cells, base, {"loc": -3, "seg": -2, "out": -1, "metric": 0}).where("col_idx > 0"))
     rollup = lambda c: F.coalesce(L.norm_label(c).rlike(f"(pax|revenue|{DAILY_TARGET_LABEL})$"), F.lit(False))
     known = L.lookup(L.norm_label("loc"), places)
     stop = (known.isNull() & rollup("loc")) | rollup("seg")
@@ -116,8 +122,8 @@ def wide_pivot(cells: DataFrame, places: dict[str, str], years: tuple[int, int]
     )
     f = fill_across(marked, ["location", "segment", "outlet", "start"])
     metric = F.when(F.col("col_idx") == F.col("start"), "pax").when(F.col("m") == "revenue", "revenue").when(F.col("m") == DAILY_TARGET_LABEL, "aop_daily")
-    groups = f.withColumn("metric", metric).where("start > 0 and metric is not null and location is not null and segment is not null").groupBy(
-        GRID, "location", "segment", "outlet", "start", "metric").agg(F.min("col_idx").alias("col_idx"))
+    groups = materialise(f.withColumn("metric", metric).where("start > 0 and metric is not null and location is not null and segment is not null").groupBy(
+        GRID, "location", "segment", "outlet", "start", "metric").agg(F.min("col_idx").alias("col_idx")))
     data = _below(cells, base)
     days = data.where("col_idx = 0").select(GRID, "row_idx", D.text_date("value", years).alias("date")).where("date is not null")
     values = data.join(groups, [GRID, "col_idx"]).join(days, [GRID, "row_idx"]).withColumn("x", NB.messy_number("value"))
@@ -221,8 +227,8 @@ def monthly_targets(
     ``unit_map``: location, unit_id, outlet. Several lines of one outlet add up, one line may feed several outlets.
     Only the first unbroken run of month columns counts.
     """
-    base = find_monthly_targets(cells)
-    h = _header(cells, base, {"label": 0}).withColumns({"t": L.norm_label("label"), "month": D.text_date("label", years)})
+    base = materialise(find_monthly_targets(cells))
+    h = materialise(_header(cells, base, {"label": 0}).withColumns({"t": L.norm_label("label"), "month": D.text_date("label", years)}))
     counted = running_count(h, [GRID], "col_idx", F.col("month").isNotNull(), "k")
     runs = counted.where("month is not null").withColumn("run", F.col("col_idx") - F.col("k"))
     first = runs.groupBy(GRID).agg(F.min("run").alias("run"))
@@ -239,7 +245,7 @@ def monthly_targets(
         F.when(F.col("location").isNull(), "location out of scope").when(F.col("business_unit").isNull(), "business segment out of scope")
         .when(F.col("outlet").isNull(), "no outlet mapped to this unit")
     )
-    judged = mapped.withColumn("reason", reason)
+    judged = materialise(mapped.withColumn("reason", reason))
     rejects = judged.where("reason is not null").select(GRID, (F.col("row_idx") + 1).alias("row_number"), F.col("geo").alias("location"), "biz", "unit_id", "reason")
     values = data.join(months, [GRID, "col_idx"]).select(GRID, "row_idx", "month", NB.count_number("value").alias("x")).where("x is not null")
     ok = judged.where("reason is null").join(values, [GRID, "row_idx"]).join(_units(cells), GRID)
@@ -257,7 +263,7 @@ def find_daily_targets(cells: DataFrame, places: dict[str, str], depth: int = 40
 
 def daily_targets(cells: DataFrame, places: dict[str, str]) -> DataFrame:
     """Date rows x location columns; the grand total column and row are left out, blank means no target."""
-    base = find_daily_targets(cells, places)
+    base = materialise(find_daily_targets(cells, places))
     h = _header(cells, base, {"label": 0}).select(GRID, "col_idx", L.lookup(L.norm_label("label"), places).alias("location")).where("location is not null and col_idx > 0")
     data = _below(cells, base)
     days = data.where("col_idx = 0").select(GRID, "row_idx", D.target_date("value").alias("date")).where("date is not null")
@@ -281,7 +287,7 @@ def find_outlet_day_targets(cells: DataFrame, places: dict[str, str], depth: int
 
 def outlet_day_targets(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
     """Daily outlet targets under location and segment banners, summed to months."""
-    base = find_outlet_day_targets(cells, places)
+    base = materialise(find_outlet_day_targets(cells, places))
     h = _header(cells, base, {"loc": -2, "seg": -1, "outlet": 0}).where("col_idx > 0")
     known = L.lookup(L.norm_label("loc"), places)
     # An unknown, non-blank banner ends the previous one.
@@ -328,11 +334,11 @@ def cross_tab_traffic(cells: DataFrame, places: dict[str, str], terminals: dict[
 
     Groups map to a terminal by "group sub-label" or "group"; groups of one terminal add up, others keep their label.
     """
-    base = find_cross_tab(cells)
-    h = _header(cells, base, {"seg": -1, "sub": 0})
+    base = materialise(find_cross_tab(cells))
+    h = materialise(_header(cells, base, {"seg": -1, "sub": 0}))
     date_label = L.norm_label("sub").isin("day", "date", "month") | L.norm_label("seg").isin("day", "date", "month")
-    date_col = base.join(h.where((F.col("col_idx") < 4) & date_label).groupBy(GRID).agg(F.min("col_idx").alias("dc")), GRID, "left").select(
-        GRID, "base_row", F.coalesce("dc", F.lit(0)).alias("dc"))
+    date_col = materialise(base.join(h.where((F.col("col_idx") < 4) & date_label).groupBy(GRID).agg(F.min("col_idx").alias("dc")), GRID, "left").select(
+        GRID, "base_row", F.coalesce("dc", F.lit(0)).alias("dc")))
     rollup = F.lower("seg").rlike(ROLLUP_PREFIX)
     banner = h.join(date_col.select(GRID, "dc"), GRID).where("col_idx > dc").select(
         GRID, "col_idx", L.norm_label("sub").alias("sub"), F.when(rollup, "").otherwise(F.trim("seg")).alias("group"))
@@ -390,8 +396,8 @@ def typed_traffic(cells: DataFrame, places: dict[str, str], keep: str = "latest"
     Tables side by side are sections: ``keep="latest"`` takes the one with the later month, ``"all"`` takes each.
     Days are dates (day and month swapped back where the reference month says so) or day numbers.
     """
-    base = find_typed_traffic(cells)
-    cols = _typed_columns(cells, base)
+    base = materialise(find_typed_traffic(cells))
+    cols = materialise(_typed_columns(cells, base))
     date_cols = cols.where("is_date").select(GRID, "section", F.col("col_idx").alias("dc"))
     pax_cols = cols.where("is_ad and metric = 'pax' and type is not null and section > 0").select(GRID, "section", "col_idx", "type")
     where = cols.select(GRID, "col_idx", "section")
@@ -404,6 +410,7 @@ def typed_traffic(cells: DataFrame, places: dict[str, str], keep: str = "latest"
     if keep == "latest":
         best = sections.groupBy(GRID).agg(F.max_by("section", F.struct(F.coalesce("ref", F.lit("1900-01-01").cast("date")), "section")).alias("section"))
         sections = sections.join(best, [GRID, "section"])
+    sections = materialise(sections)
     data = _below(cells, base, 1)
     labels = data.join(sections, GRID).where("col_idx = dc")
     day_no = F.col("value").try_cast("double").cast("int")
@@ -419,7 +426,7 @@ def typed_traffic(cells: DataFrame, places: dict[str, str], keep: str = "latest"
 
 def transposed_traffic(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
     """Dates run across; blocks of numeric rows separated by blank rows belong to the types in banner order, rows of a block add up."""
-    base = find_typed_traffic(cells)
+    base = materialise(find_typed_traffic(cells))
     types = _typed_columns(cells, base).where("type is not null").groupBy(GRID, "type").agg(F.min("col_idx").alias("c"))
     from pyspark.sql import Window
 
@@ -427,7 +434,8 @@ def transposed_traffic(cells: DataFrame, places: dict[str, str], years: tuple[in
     data = _below(cells, base, 1)
     heads = data.where(D.text_date("value", years).isNotNull() & NB.messy_number("value").isNull())
     first = heads.groupBy(GRID, "row_idx").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").groupBy(GRID).agg(F.min("row_idx").alias("base_row"))
-    days = heads.join(first, GRID).where("row_idx = base_row").select(GRID, "col_idx", D.text_date("value", years).alias("date"))
+    first = materialise(first)
+    days = materialise(heads.join(first, GRID).where("row_idx = base_row").select(GRID, "col_idx", D.text_date("value", years).alias("date")))
     body = _below(cells, first).join(days, [GRID, "col_idx"]).withColumn("x", NB.count_number("value")).where("x is not null")
     rows = body.select(GRID, "row_idx").distinct()
     # A numeric row starts a block when the row above it is not numeric.
@@ -480,6 +488,7 @@ def grid_kinds(cells: DataFrame, places: dict[str, str]) -> DataFrame:
     route = F.lit("infer")
     for r, ls in routes.items():
         route = F.when(F.col("layout").isin(ls), r).otherwise(route)
+    found = materialise(found)
     return cells.select(GRID, "source").distinct().join(found, GRID, "left").withColumn("layout", F.coalesce(layout, F.lit("unknown"))).withColumn("route", route).select(
         GRID, "source", "layout", "route")
 

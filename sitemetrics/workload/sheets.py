@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sitemetrics.operators.reuse import materialise
 from sitemetrics.plans import layouts as LY
 from sitemetrics.workload import facts as X
 from sitemetrics.workload.facts import with_ctes
@@ -57,7 +58,7 @@ REV = "SELECT date, segment, outlet, location, CAST(pax AS DOUBLE) AS pax, CAST(
 
 @query("g01_long_revenue", with_ctes(["rev"], REV.format(", CAST(NULL AS DOUBLE) AS aop, CAST(NULL AS DOUBLE) AS traffic")))
 def long_revenue(spark, sf):
-    return LY.long_revenue(long_sheets(spark, sf), PLACES, YEARS)
+    return LY.long_revenue(materialise(long_sheets(spark, sf)), PLACES, YEARS)
 
 
 def pivot_sheets(spark, sf, metrics=("PAX.", "Revenue.")) -> DataFrame:
@@ -88,7 +89,7 @@ def pivot_sheets(spark, sf, metrics=("PAX.", "Revenue.")) -> DataFrame:
 
 @query("g02_wide_pivot", with_ctes(["rev"], REV.format(", CAST(NULL AS DOUBLE) AS aop_daily")))
 def wide_pivot(spark, sf):
-    return LY.wide_pivot(pivot_sheets(spark, sf), PLACES, YEARS)
+    return LY.wide_pivot(materialise(pivot_sheets(spark, sf)), PLACES, YEARS)
 
 
 def _site_columns(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,7 +118,7 @@ def stacked_sheets(spark, sf) -> DataFrame:
 SELECT date, 'Main' AS segment, segment || ' ' || outlet AS outlet, location, segment AS business_unit, CAST(pax AS DOUBLE) AS pax, CAST(revenue AS DOUBLE) AS revenue FROM rev"""))
 def stacked(spark, sf):
     cats = {f"{s.lower()} group": s for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")}
-    return LY.stacked_blocks(stacked_sheets(spark, sf), PAIRS, cats, "Main", "AUTOMOBILE", {}, ["total"], YEARS)
+    return LY.stacked_blocks(materialise(stacked_sheets(spark, sf)), PAIRS, cats, "Main", "AUTOMOBILE", {}, ["total"], YEARS)
 
 
 def sectioned_sheets(spark, sf) -> DataFrame:
@@ -138,12 +139,12 @@ def sectioned_sheets(spark, sf) -> DataFrame:
 
 @query("g04_sectioned_table", with_ctes(["rev"], REV.format("")))
 def sectioned(spark, sf):
-    return LY.sectioned_table(sectioned_sheets(spark, sf), PAIRS, years=YEARS)
+    return LY.sectioned_table(materialise(sectioned_sheets(spark, sf)), PAIRS, years=YEARS)
 
 
 @query("r06_rows_to_sites", with_ctes(["rev"], "SELECT location, COUNT(*) AS rows, CAST(SUM(pax) AS DOUBLE) AS pax FROM rev GROUP BY location"))
 def rows_to_sites(spark, sf):
-    t = LY.sectioned_table(sectioned_sheets(spark, sf), PAIRS, years=YEARS)
+    t = LY.sectioned_table(materialise(sectioned_sheets(spark, sf)), PAIRS, years=YEARS)
     return t.groupBy("location").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("pax").cast("decimal(28,2)")).cast("double").alias("pax"))
 
 
@@ -151,7 +152,7 @@ def rows_to_sites(spark, sf):
 def parse_totals(spark, sf):
     from sitemetrics.plans.quality import parse_totals
 
-    return parse_totals(LY.long_revenue(long_sheets(spark, sf), PLACES, YEARS))
+    return parse_totals(LY.long_revenue(materialise(long_sheets(spark, sf)), PLACES, YEARS))
 
 
 @query("j17_summary_check", with_ctes(["rev"], """
@@ -196,7 +197,7 @@ UNION ALL SELECT 'Brand#22', 'Joint' UNION ALL SELECT DISTINCT outlet, outlet FR
 
 
 def _budgets(spark, sf):
-    return LY.monthly_targets(budget_sheets(spark, sf), PLACES, {"lounge": "Lounges"}, unit_map(spark, sf), "Main", YEARS)
+    return LY.monthly_targets(materialise(budget_sheets(spark, sf)), PLACES, {"lounge": "Lounges"}, unit_map(spark, sf), "Main", YEARS)
 
 
 @query("g05_monthly_targets", with_ctes(["target_monthly"], """
@@ -226,7 +227,7 @@ def day_target_sheets(spark, sf) -> DataFrame:
 
 @query("g06_daily_targets", with_ctes(["target_daily"], "SELECT location, date, CAST(aop AS DOUBLE) AS aop FROM target_daily"))
 def daily_targets(spark, sf):
-    return LY.daily_targets(day_target_sheets(spark, sf), PLACES)
+    return LY.daily_targets(materialise(day_target_sheets(spark, sf)), PLACES)
 
 
 def outlet_target_sheets(spark, sf) -> DataFrame:
@@ -249,7 +250,7 @@ def outlet_target_sheets(spark, sf) -> DataFrame:
 @query("g07_outlet_day_targets", with_ctes(["rev"], """
 SELECT location, segment, outlet, CAST(YEAR(date) AS INT) AS year, CAST(MONTH(date) AS INT) AS month, CAST(SUM(revenue) AS DOUBLE) AS aop FROM rev GROUP BY 1, 2, 3, 4, 5"""))
 def outlet_day_targets(spark, sf):
-    return LY.outlet_day_targets(outlet_target_sheets(spark, sf), PLACES, YEARS)
+    return LY.outlet_day_targets(materialise(outlet_target_sheets(spark, sf)), PLACES, YEARS)
 
 
 TRAFFIC_SQL = "SELECT {d} AS date, CAST(NULL AS DATE) AS period_end, 'daily' AS granularity, location, {t} AS terminal, CAST({v} AS DOUBLE) AS traffic FROM traffic_base {g}"
@@ -264,7 +265,7 @@ def flat_traffic_sheets(spark, sf) -> DataFrame:
 
 @query("g09_flat_traffic", with_ctes(["traffic_base"], TRAFFIC_SQL.format(d="date", t="terminal", v="traffic", g="")))
 def flat_traffic(spark, sf):
-    return LY.flat_traffic(flat_traffic_sheets(spark, sf), PLACES, YEARS)
+    return LY.flat_traffic(materialise(flat_traffic_sheets(spark, sf)), PLACES, YEARS)
 
 
 TERMINALS = {"1-urgent": "T1", "2-high": "T2", "3-medium dep": "T3", "3-medium arr": "T3"}
@@ -306,12 +307,12 @@ def cross_day_sheets(spark, sf) -> DataFrame:
 SELECT CAST(DATE_TRUNC('month', date) AS DATE) AS date, LAST_DAY(date) AS period_end, 'monthly' AS granularity, location, {TERM_SQL} AS terminal, CAST(SUM(traffic) AS DOUBLE) AS traffic
 FROM traffic_base GROUP BY 1, 2, 3, 4, 5"""))
 def cross_tab_monthly(spark, sf):
-    return LY.cross_tab_traffic(cross_month_sheets(spark, sf), PLACES, TERMINALS, YEARS)
+    return LY.cross_tab_traffic(materialise(cross_month_sheets(spark, sf)), PLACES, TERMINALS, YEARS)
 
 
 @query("g10_cross_tab_daily", with_ctes(["traffic_base"], TRAFFIC_SQL.format(d="date", t=TERM_SQL, v="traffic", g="")))
 def cross_tab_daily(spark, sf):
-    return LY.cross_tab_traffic(cross_day_sheets(spark, sf), PLACES, TERMINALS, YEARS)
+    return LY.cross_tab_traffic(materialise(cross_day_sheets(spark, sf)), PLACES, TERMINALS, YEARS)
 
 
 KIND_SQL = "CASE WHEN terminal IN ('1-URGENT', '2-HIGH') THEN 'International' ELSE 'Domestic' END"
@@ -349,13 +350,14 @@ def side_by_side_sheets(spark, sf) -> DataFrame:
 
 @query("g11_g13_typed_traffic", with_ctes(["traffic_base"], KINDS_SQL))
 def typed_traffic(spark, sf):
-    return LY.typed_traffic(side_by_side_sheets(spark, sf), PLACES, "latest", YEARS)
+    return LY.typed_traffic(materialise(side_by_side_sheets(spark, sf)), PLACES, "latest", YEARS)
 
 
 def transposed_sheets(spark, sf) -> DataFrame:
     """Days across: domestic rows, a gap, international rows."""
     t = by_kind(spark, sf).withColumns({"grid_id": F.concat(F.lit("across "), "location", F.date_format("date", " yyyy-MM")), "sheet": F.col("location")})
-    enough = t.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("grid_id")
+    # The layout tells types apart by block order only, so both blocks must be there.
+    enough = t.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"), F.count("da").alias("d"), F.count("ia").alias("i")).where("n >= 3 and d > 0 and i > 0").select("grid_id")
     t = t.join(enough, "grid_id", "left_semi")
     g = t.select("grid_id", "sheet").distinct()
     row = lambda r, ls: lay(g.withColumn("row_idx", F.lit(r)), [(i, F.lit(x)) for i, x in ls], "across.xlsx", F.col("sheet"))
@@ -367,10 +369,10 @@ def transposed_sheets(spark, sf) -> DataFrame:
 
 
 @query("g12_r05_transposed_traffic", with_ctes(["traffic_base"], f"""
-SELECT k.* FROM ({KINDS_SQL}) k JOIN (SELECT location, DATE_TRUNC('month', date) AS m FROM traffic_base GROUP BY 1, 2 HAVING COUNT(DISTINCT date) >= 3) e
+SELECT k.* FROM ({KINDS_SQL}) k JOIN (SELECT location, DATE_TRUNC('month', date) AS m FROM traffic_base GROUP BY 1, 2 HAVING COUNT(DISTINCT date) >= 3 AND COUNT(DISTINCT {KIND_SQL}) = 2) e
 ON e.location = k.location AND e.m = DATE_TRUNC('month', k.date)"""))
 def transposed_traffic(spark, sf):
-    return LY.transposed_traffic(transposed_sheets(spark, sf), PLACES, YEARS)
+    return LY.transposed_traffic(materialise(transposed_sheets(spark, sf)), PLACES, YEARS)
 
 
 def export_sheets(spark, sf) -> DataFrame:
@@ -382,7 +384,7 @@ def export_sheets(spark, sf) -> DataFrame:
 
 @query("g14_r07_flat_export", with_ctes(["traffic_base"], KINDS_SQL))
 def flat_export(spark, sf):
-    return LY.flat_export(export_sheets(spark, sf), PLACES, YEARS)
+    return LY.flat_export(materialise(export_sheets(spark, sf)), PLACES, YEARS)
 
 
 def corpus(spark, sf) -> DataFrame:
@@ -405,12 +407,12 @@ _COUNTS = {
 @query("s21_g08_route_grids", with_ctes(["rev", "traffic_base", "target_monthly", "target_daily"], " UNION ALL ".join(
     f"SELECT '{k}' AS kind, '{la}' AS layout, '{r}' AS route, ({_COUNTS[k]}) AS grids" for k, (la, r) in _LAYOUTS.items())))
 def route_grids(spark, sf):
-    kinds = LY.grid_kinds(corpus(spark, sf), PLACES)
+    kinds = LY.grid_kinds(materialise(corpus(spark, sf)), PLACES)
     return kinds.groupBy(F.split("grid_id", " ")[0].alias("kind"), "layout", "route").agg(F.count(F.lit(1)).alias("grids"))
 
 
 @query("g15_all_traffic", with_ctes(["traffic_base"], f"""
 SELECT * FROM ({KINDS_SQL.replace('GROUP BY', 'WHERE YEAR(date) >= 2000 GROUP BY')}) UNION ALL SELECT * FROM ({TRAFFIC_SQL.format(d='date', t='terminal', v='traffic', g='WHERE YEAR(date) >= 2000')})"""))
 def all_traffic(spark, sf):
-    cells = stack(flat_traffic_sheets(spark, sf), side_by_side_sheets(spark, sf))
+    cells = materialise(stack(flat_traffic_sheets(spark, sf), side_by_side_sheets(spark, sf)))
     return LY.all_traffic(cells, PLACES, TERMINALS, LY.grid_kinds(cells, PLACES), YEARS)
