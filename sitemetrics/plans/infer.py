@@ -153,7 +153,10 @@ def _by_role(assigned: DataFrame) -> DataFrame:
     )
 
 
-def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.ACCEPT) -> Inference:
+FIRST_PLAUSIBLE = dt.date(2015, 1, 1)
+
+
+def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.ACCEPT, first: dt.date = FIRST_PLAUSIBLE) -> Inference:
     """Canonical revenue rows from grids of unknown layout; what cannot be understood is rejected with a reason."""
     meta = cells.groupBy(GRID).agg(F.min("source").alias("source"), F.min("sheet").alias("sheet"))
     # Each stage result is small next to the cells (one row per grid, column or grid row) and is written once.
@@ -264,7 +267,7 @@ def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.AC
         GRID, "source", "sheet", F.coalesce("layout", F.lit("unknown")).alias("layout"), F.coalesce("unit", F.lit(1.0)).alias("unit"), "confidence",
         F.col("reason").isNull().alias("accepted"), "reason",
     )
-    checked = rows.withColumn("reason", row_reason(today))
+    checked = rows.withColumn("reason", row_reason(today, first))
     ok = checked.join(status.where("accepted").select(GRID), GRID, "left_semi")
     method = {r: F.coalesce(F.col(f"m_{r}"), F.lit("recovered")) for r in V.ROLES}
     report = judged.select(GRID, F.explode(F.array_compact(F.array(*[
@@ -275,7 +278,7 @@ def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.AC
     return Inference(ok.where("reason is null").drop("reason"), ok.where("reason is not null"), status, report)
 
 
-def row_reason(today: dt.date, first: dt.date = dt.date(2015, 1, 1)) -> Column:
+def row_reason(today: dt.date, first: dt.date = FIRST_PLAUSIBLE) -> Column:
     """Why a canonical row is not usable, NULL when it is."""
     return (
         F.when(F.col("date").isNull(), "no date")
@@ -285,7 +288,7 @@ def row_reason(today: dt.date, first: dt.date = dt.date(2015, 1, 1)) -> Column:
     )
 
 
-def plausible_date(day: str, today: dt.date, first: dt.date = dt.date(2015, 1, 1)) -> Column:
+def plausible_date(day: str, today: dt.date, first: dt.date = FIRST_PLAUSIBLE) -> Column:
     """From 2015 to a year after ``today``."""
     return F.col(day).between(F.lit(first), F.date_add(F.lit(today), 366))
 
