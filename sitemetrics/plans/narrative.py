@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from sitemetrics.functions.dates import span_label
 from sitemetrics.functions.formats import fixed_decimals, money_text, pax_text, pct_text
 from sitemetrics.functions.labels import site_label
-from sitemetrics.operators.aggregate import exact
 from sitemetrics.operators.reuse import materialise
 from sitemetrics.plans import compare as C
 from sitemetrics.plans.allocate import target_variance
 from sitemetrics.plans.periods import PeriodPair
+from sitemetrics.plans.reports import with_class_total
 
 # Section titles.
 SECTIONS = {
@@ -179,15 +179,14 @@ def management_summary(
 
 def class_insight(breakdown: DataFrame, current_label: str, compare_label: str, skip: tuple[str, ...] = ("Ancillary",)) -> DataFrame:
     """One sentence per class: direction, main driver and contribution to revenue."""
-    total = breakdown.agg(F.sum(exact(breakdown, "current_revenue")).cast("double").alias("__t")).withColumn("__k", F.lit(1))
-    b = breakdown.withColumn("__k", F.lit(1)).join(total, "__k").where(~F.col("category").isin(list(skip)))
+    b = with_class_total(breakdown).where(~F.col("category").isin(list(skip)))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     rev, pax, rpp = z("revenue_pct_change"), z("pax_pct_change"), z("rev_per_pax_pct_change")
     # Sentence texts.
     driver = F.when(
         F.abs(pax) >= F.abs(rpp), F.when(pax >= 0, "higher passenger volume").otherwise("lower passenger volume")
     ).otherwise(F.when(rpp >= 0, "improved spend per passenger (SPP)").otherwise("lower spend per passenger (SPP)"))
-    share = F.coalesce(F.when(F.col("__t") > 0, F.col("current_revenue") / F.col("__t") * 100.0), F.lit(0.0))
+    share = F.coalesce(F.when(F.col("__total") > 0, F.col("current_revenue") / F.col("__total") * 100.0), F.lit(0.0))
     one = lambda x: F.concat(fixed_decimals(x, 1), F.lit("%"))
     return b.select("category", F.concat(
         F.col("category"), F.lit(" revenue "), F.when(rev >= 0, "increased").otherwise("decreased"), F.lit(" by "), one(F.abs(rev) * 100.0),

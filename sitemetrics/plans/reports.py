@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitemetrics.functions import metrics as M
@@ -99,12 +99,15 @@ def class_breakdown(facts: DataFrame, pair: PeriodPair, outlet_class: Column, si
     })
 
 
+def with_class_total(breakdown: DataFrame) -> DataFrame:
+    """Adds the revenue of all classes. The window runs over one already aggregated row per class."""
+    total = F.sum(exact(breakdown, "current_revenue")).over(Window.partitionBy()).cast("double")
+    return breakdown.withColumn("__total", total)
+
+
 def class_shares(breakdown: DataFrame) -> DataFrame:
     """Class revenue as percent of all classes."""
-    total = breakdown.agg(F.sum(exact(breakdown, "current_revenue")).cast("double").alias("__t"))
-    one = F.lit(1)
-    joined = breakdown.withColumn("__k", one).join(total.withColumn("__k", one), "__k")
-    return joined.select("category", "current_revenue", (M.safe_div("current_revenue", "__t") * 100.0).alias("share_pct"))
+    return with_class_total(breakdown).select("category", "current_revenue", (M.safe_div("current_revenue", "__total") * 100.0).alias("share_pct"))
 
 
 def pool_breakdown(facts: DataFrame, totals: DataFrame, outlet_pool: DataFrame, pool_member: DataFrame, single_terminal_sites: list[str] = ()) -> DataFrame:
