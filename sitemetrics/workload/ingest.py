@@ -489,3 +489,37 @@ def stream_ingest(spark, sf):
 
     ingest_stream(source, root, ST.TRAFFIC, clean, f"{root}/checkpoint", "events", F.asc("traffic")).awaitTermination()
     return ST.read_table(spark, root, ST.TRAFFIC).select("date", "location", "terminal", "traffic")
+
+
+@query("m09_data_rows", with_ctes(["rev"], """
+SELECT 'odd' AS kind, COUNT(*) AS rows FROM rev WHERE MONTH(date) % 2 = 1 UNION ALL
+SELECT 'even', COUNT(*) FROM (SELECT DISTINCT location, DATE_TRUNC('month', date), segment, outlet FROM rev WHERE MONTH(date) % 2 = 0) UNION ALL
+SELECT 'budget', COUNT(*) FROM (SELECT DISTINCT YEAR(date) FROM rev)"""))
+def data_rows(spark, sf):
+    cells = unknown_sheets(spark, sf)
+    headers = materialise(G.find_headers(cells, VOCAB))
+    rows = G.drop_junk_rows(cells, headers, materialise(G.header_labels(cells, headers))).select("grid_id", "row_idx").distinct()
+    return rows.groupBy(F.split("grid_id", " ")[0].alias("kind")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("m03_header_labels", with_ctes(["rev"], """
+SELECT label, COUNT(*) AS grids FROM (SELECT UNNEST(['Txn Dt', 'Airport', 'Business Line', 'Unit', 'Guests', 'Sales (INR)']) AS label, m FROM (
+  SELECT DISTINCT DATE_TRUNC('month', date) AS m FROM rev WHERE MONTH(date) % 2 = 1)) GROUP BY label"""))
+def header_label_counts(spark, sf):
+    cells = unknown_sheets(spark, sf)
+    labels = G.header_labels(cells, materialise(G.find_headers(cells, VOCAB)))
+    return labels.where("grid_id like 'odd %'").groupBy("label").agg(F.count(F.lit(1)).alias("grids"))
+
+
+@query("m13_confidence", None)
+def second_confidence(spark, sf):
+    r = INF.infer(unknown_sheets(spark, sf), VOCAB, TODAY, first=FIRST)
+    report = QL.validation_report(r.rows, REGIONS, list(VOCAB.segments.values()), dt.date(2026, 1, 1), ["grid_id"])
+    return INF.confidence_v2(r.mapping, r.rows, QL.validation_summary(report, ["grid_id"]))
+
+
+@query("s06_stored_cells", with_ctes(["rev"], "SELECT CAST(COUNT(*) * 6 + COUNT(DISTINCT DATE_TRUNC('month', date)) * 6 AS BIGINT) AS cells, COUNT(DISTINCT DATE_TRUNC('month', date)) AS grids FROM rev"))
+def stored_cells(spark, sf):
+    from sitemetrics.workload.sheets import long_sheets
+
+    return G.filled(materialise(long_sheets(spark, sf))).agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("grid_id").alias("grids"))
