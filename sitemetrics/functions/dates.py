@@ -93,7 +93,7 @@ def month_label(x) -> Column:
 
 
 def month_in_name(x) -> Column:
-    """Month label at the end of a sheet or file name, e.g. 'Gox Traffic June-26'."""
+    """Month label at the end of a sheet or file name, e.g. 'North Traffic June-26'."""
     tail = F.regexp_extract(F.trim(_c(x)), r"([A-Za-z]{3,9}[-'’\s_]+\d{2,4})$", 1)
     return month_label(F.regexp_replace(tail, "_", " "))
 

@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sitemetrics.functions import labels as L
 from sitemetrics.functions import vocabulary as V
 from sitemetrics.operators import ordered as O
-from sitemetrics.operators.reuse import materialise
+from sitemetrics.operators.reuse import materialise, shared_folder
 from sitemetrics.plans import grids as G
 from sitemetrics.plans import infer as INF
-from sitemetrics.plans import layouts as LY
 from sitemetrics.plans import quality as QL
 from sitemetrics.sources import files as FS
 from sitemetrics.sources import store as ST
@@ -478,8 +475,7 @@ def stream_ingest(spark, sf):
     """Events as visitor counts through the streaming load, then the stored table."""
     from sitemetrics.streaming.ingest import file_source, ingest_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    root = f"{base}/stream-{dt.datetime.now():%Y%m%d%H%M%S%f}"
+    root = f"{shared_folder(spark)}/stream-{dt.datetime.now():%Y%m%d%H%M%S%f}"
     schema = X.table(spark, sf, "events").schema.simpleString()[len("struct<"):-1].replace(":", " ")
     source = file_source(spark, sf, schema, glob="events.parquet")
 

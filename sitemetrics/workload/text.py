@@ -149,7 +149,7 @@ def swap(spark, sf):
 SELECT o_custkey, COALESCE(MAX(CASE WHEN o_orderkey % 2 = 0 THEN CAST(DATE_TRUNC('month', {DAY}) AS DATE) END), DATE '2020-06-01') AS month FROM orders GROUP BY 1""")
 def reference_month(spark, sf):
     dated = orders(spark, sf).groupBy("o_custkey").agg(F.max(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate").cast("date"))).alias("d"))
-    return dated.select("o_custkey", F.coalesce(F.trunc("d", "MM"), D.month_in_name(F.lit("Gox Traffic June-20"))).alias("month"))
+    return dated.select("o_custkey", F.coalesce(F.trunc("d", "MM"), D.month_in_name(F.lit("North Traffic June-20"))).alias("month"))
 
 
 @query("k18_k19_change_and_ratio", """
