@@ -36,12 +36,12 @@ def orders(spark, sf) -> DataFrame:
 @query("s01_delimited_cells", f"""
 SELECT 'c' || CAST(c AS VARCHAR) || '.csv' AS grid_id, CAST(n AS INT) AS row_idx, CAST(k AS INT) AS col_idx, v AS value FROM (
   SELECT c, n, UNNEST([0, 1, 2, 3]) AS k, UNNEST([CAST(o_orderkey AS VARCHAR), 'say "' || o_orderpriority || '", ok', CAST({DAY} AS VARCHAR), 'two' || chr(10) || 'lines']) AS v
-  FROM (SELECT *, o_custkey % 50 AS c, ROW_NUMBER() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) * 2 - 2 AS n FROM orders)
-  UNION ALL SELECT c, n, 0, '' FROM (SELECT o_custkey % 50 AS c, ROW_NUMBER() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey DESC) AS d,
-    ROW_NUMBER() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) * 2 - 1 AS n FROM orders) WHERE d > 1)""")
+  FROM (SELECT *, o_orderkey // 100 AS c, ROW_NUMBER() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) * 2 - 2 AS n FROM orders)
+  UNION ALL SELECT c, n, 0, '' FROM (SELECT o_orderkey // 100 AS c, ROW_NUMBER() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey DESC) AS d,
+    ROW_NUMBER() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) * 2 - 1 AS n FROM orders) WHERE d > 1)""")
 def delimited_cells(spark, sf):
-    """Orders written as fifty quoted CSV texts with a blank line between records, delimiter by file number."""
-    c = F.col("o_custkey") % 50
+    """Orders written as quoted CSV texts of at most a hundred records with blank lines between, delimiter by file number."""
+    c = F.floor(F.col("o_orderkey") / 100)
     d = F.when(c % 3 == 0, ",").when(c % 3 == 1, ";").otherwise("\t")
     quoted = F.concat(F.lit('"say ""'), "o_orderpriority", F.lit('"", ok"'))
     line = F.concat_ws("", text("o_orderkey"), d, quoted, d, F.col("o_orderdate").cast("date").cast("string"), d, F.lit('"two\nlines"'))
@@ -60,19 +60,19 @@ def json_pairs(spark, sf):
 SELECT event_id, ts, event_type AS "who.kind", user_id AS "who.id", value AS "amount", '["' || event_type || '"]' AS tags FROM events""")
 def flatten_records(spark, sf):
     e = X.table(spark, sf, "events")
-    nested = e.groupBy((F.col("event_id") % 100).alias("doc")).agg(F.collect_list(F.struct(
+    nested = e.groupBy(F.floor(F.col("event_id") / 100).alias("doc")).agg(F.collect_list(F.struct(
         "event_id", "ts", F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("id")).alias("who"), F.col("value").alias("amount"), F.array("event_type").alias("tags"))).alias("records"))
     return FS.json_records(nested.select("records"))
 
 
 @query("s03_xml_cells", f"""
-SELECT 'c' || CAST(o_custkey AS VARCHAR) AS path, CAST(n AS INT) AS row_idx, UNNEST(['key', 'note', 'day']) AS name, UNNEST([CAST(o_orderkey AS VARCHAR), o_orderpriority || ' & <co>', CAST({DAY} AS VARCHAR)]) AS value
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n, COUNT(*) OVER (PARTITION BY o_custkey) AS cnt FROM orders) WHERE cnt > 1""")
+SELECT 'c' || CAST(f AS VARCHAR) AS path, CAST(n AS INT) AS row_idx, UNNEST(['key', 'note', 'day']) AS name, UNNEST([CAST(o_orderkey AS VARCHAR), o_orderpriority || ' & <co>', CAST({DAY} AS VARCHAR)]) AS value
+FROM (SELECT *, o_orderkey // 100 AS f, ROW_NUMBER() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) - 1 AS n, COUNT(*) OVER (PARTITION BY o_orderkey // 100) AS cnt FROM orders) WHERE cnt > 1""")
 def xml_cells(spark, sf):
     row = F.concat(F.lit('<order id="1"><key>'), text("o_orderkey"), F.lit("</key><note>"), "o_orderpriority", F.lit(" &amp; &lt;co&gt;</note><day>"), F.col("o_orderdate").cast("date").cast("string"), F.lit("</day></order>"))
-    docs = orders(spark, sf).select("o_custkey", "o_orderkey", row.alias("row")).groupBy("o_custkey").agg(
+    docs = orders(spark, sf).select(F.floor(F.col("o_orderkey") / 100).alias("f"), "o_orderkey", row.alias("row")).groupBy("f").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))), lambda x: x["row"]), "\n").alias("body"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    files = docs.select(F.concat(F.lit("c"), text("o_custkey")).alias("path"), F.concat(F.lit("<?xml version='1.0'?><orders>"), "body", F.lit("</orders>")).alias("text"))
+    files = docs.select(F.concat(F.lit("c"), text("f")).alias("path"), F.concat(F.lit("<?xml version='1.0'?><orders>"), "body", F.lit("</orders>")).alias("text"))
     return FS.xml_cells(files).select("path", F.col("row_idx").cast("int").alias("row_idx"), "name", "value")
 
 
@@ -320,14 +320,14 @@ def multi_select(spark, sf):
 SELECT o_orderkey, o_custkey % 5 AS g, LAST_VALUE(CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END IGNORE NULLS) OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS label FROM orders""")
 def fill_down(spark, sf):
     o = orders(spark, sf).select("o_orderkey", (F.col("o_custkey") % 5).alias("g"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")).alias("label"))
-    return O.fill_down(o, ["g"], "o_orderkey", ["label"], chunk=1000)
+    return O.fill_down(o, ["g"], "o_orderkey", ["label"])
 
 
 @query("w04_w05_blocks", """
 SELECT o_orderkey, CAST(SUM(CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM orders""")
 def block_numbers(spark, sf):
     o = orders(spark, sf).select("o_orderkey")
-    return O.running_count(o, [], "o_orderkey", F.col("o_orderkey") % 9 == 0, "block", chunk=1000)
+    return O.running_count(o, [], "o_orderkey", F.col("o_orderkey") % 9 == 0, "block")
 
 
 @query("w03_fill_across", """
