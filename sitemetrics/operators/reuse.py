@@ -1,20 +1,16 @@
-"""Keep a small shared intermediate so that the branches of a report do not each rescan the facts."""
+"""Stage tables in the folder that every executor reaches, so that branches share work and lineage ends there."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only on a local master without the setting."""
+    """`spark.checkpoint.dir` of the session; where it is unset, a folder in the warehouse, which is shared by definition."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="sitemetrics-")
-    return folder
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -23,3 +19,15 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: narrower on disk than a checkpoint, and read column by column."""
+    path = stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
