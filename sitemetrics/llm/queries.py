@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sitemetrics.llm.decontaminate import contamination
 from sitemetrics.llm.near_dedup import near_duplicates
 from sitemetrics.llm.registry import CHECKS, QUERIES, query, table
+from sitemetrics.llm.token_output import store_tokens
 
 __all__ = ["CHECKS", "QUERIES"]
 
@@ -34,3 +37,31 @@ FROM sets s LEFT JOIN classes k ON list_sort(s.s) = k.s LEFT JOIN component p ON
 @query("op5_minhash_near_dedup", NEAR_SQL)
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=2, percent=80)
+
+
+LEAK_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, k, list_slice(w, s, s + k - 1) AS ws
+  FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+doc_win AS (
+  SELECT doc_id, s, k, list_slice(w, s, s + k - 1) AS ws
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, s, win.k, item_id FROM doc_win JOIN win ON win.k = doc_win.k AND win.ws = doc_win.ws),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query("op3_benchmark_decontamination", LEAK_SQL)
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+@query("op4_bit_packed_tokens")
+def op4_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)

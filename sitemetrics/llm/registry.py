@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,14 +14,30 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's code to the Python workers, which need not start in its folder."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[2]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='code-')}/sitemetrics", "zip", root, "sitemetrics")
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             CHECKS[name] = sql
-        return fn
+        return run
 
     return keep
 

@@ -14,8 +14,8 @@ import pyarrow as pa
 SLICE_BYTES = 4 << 20
 SEGMENT_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 5
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
+LOWER = AS_IS + np.uint8(32) * ((AS_IS >= 65) & (AS_IS <= 90))
 _BYTE_VALUE = np.random.default_rng(20260101).integers(1, 2**63, 256, dtype=np.uint64)
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -78,10 +78,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
-def words(column: pa.Array, letters: np.ndarray) -> Words:
-    """Words of every text: maximal runs of bytes marked in `letters`, after lower-casing A-Z."""
+def words(column: pa.Array, letters: np.ndarray, case: np.ndarray = LOWER) -> Words:
+    """Words of every text: maximal runs of bytes marked in `letters`, after replacing bytes by `case` (A-Z by a-z, unless AS_IS)."""
     data, offsets = text_buffer(column)
-    low = _LOWER[data]
+    low = case[data]
     starts, ends, hashes, at = [], [], [], 0
     edges = offsets[(offsets > 0) & (offsets < len(low))]
     while at < len(low):
