@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline  # noqa: F401  registers the pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sitemetrics.llm.decontaminate import contamination
+from sitemetrics.llm.mixing import replicate
 from sitemetrics.llm.near_dedup import near_duplicates
+from sitemetrics.llm.ordinal_quality import fit_ordinal, quality_scores
 from sitemetrics.llm.registry import CHECKS, QUERIES, query, table
 from sitemetrics.llm.token_output import store_tokens
 
@@ -65,3 +68,30 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query("op4_bit_packed_tokens")
 def op4_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+MIX_SQL = """
+WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rate AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM n)::DOUBLE * (SELECT sum(n) FROM n)::DOUBLE / n AS rate FROM n),
+term AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rate
+  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM term WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
+u AS (SELECT *, CAST('0x' || substr(md5('7:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
+counted AS (
+  SELECT u.doc_id, any_value(t.rate) AS mix_rate, count(*) FILTER (WHERE t.c <= u.u) AS copies
+  FROM u JOIN term t ON u.source IS NOT DISTINCT FROM t.source GROUP BY u.doc_id),
+copy AS (SELECT doc_id, mix_rate, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS mix_copy FROM counted)
+SELECT d.*, c.mix_rate, c.mix_copy, substr(md5('order7:' || d.doc_id || ':' || c.mix_copy), 1, 12) AS mix_key
+FROM copy c JOIN documents d USING (doc_id)
+"""
+
+
+@query("op8_source_mixing", MIX_SQL)
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replicate(table(spark, sf_dir, "documents"))
+
+
+@query("op9_ordinal_quality")
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_ordinal(docs, table(spark, sf_dir, "labels")))
