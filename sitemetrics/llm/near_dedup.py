@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitemetrics.llm.bitfilter import bit_filter, passes
@@ -19,8 +19,11 @@ from sitemetrics.operators.reuse import written
 
 PAIRS, SINGLES = 10, 6
 HASHES = 2 * PAIRS + SINGLES
-#: Below this agreement of signatures a pair isn't verified; a pair of similarity 0.8 falls below it with a probability under 1e-6.
-LEAST_AGREEMENT = 9
+#: Below this agreement of signatures a pair isn't verified; a pair of similarity 0.8 falls below it with a probability of 3e-5.
+LEAST_AGREEMENT = 12
+#: Classes of a bucket that all its others are compared with first.
+PIVOTS = 4
+KEY_FILTER_BITS = 25
 _RANDOM = np.random.default_rng(71).integers(1, 2**63, (2, HASHES), dtype=np.uint64)
 _XOR, _FACTOR = _RANDOM[0], _RANDOM[1] * np.uint64(2) + np.uint64(1)
 
@@ -94,11 +97,21 @@ def _similar(percent: int):
     return run
 
 
-def _keys(signature: Column) -> Column:
-    return F.array(*[
-        F.struct(F.lit(i * SINGLES + j).alias("table"), F.xxhash64(F.lit(i * SINGLES + j), signature[2 * i], signature[2 * i + 1], signature[2 * PAIRS + j]).alias("key"))
-        for i in range(PAIRS) for j in range(SINGLES)
-    ])
+def _keys(known: np.ndarray | None = None):
+    """(node, key) for every table; the table's number is in the key's last six bits. `known`: only keys that this filter lets pass."""
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column("signature").flatten().to_numpy().view(np.uint64).reshape(-1, HASHES)
+            pairs = mix(h[:, 0 : 2 * PAIRS : 2] + mix(h[:, 1 : 2 * PAIRS : 2]))
+            key = mix(pairs[:, :, None] ^ (h[:, None, 2 * PAIRS :] * np.uint64(0x9E3779B97F4A7C15)))
+            table = np.arange(PAIRS * SINGLES, dtype=np.uint64).reshape(1, PAIRS, SINGLES)
+            key = ((key & ~np.uint64(63)) | table).reshape(-1).view(np.int64)
+            node = np.repeat(batch.column("node").to_numpy(), PAIRS * SINGLES)
+            keep = slice(None) if known is None else passes(known, key)
+            yield pa.record_batch([pa.array(node[keep]), pa.array(key[keep])], names=["node", "key"])
+
+    return run
 
 
 def _agreement(a: str, b: str) -> str:
@@ -116,10 +129,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept): groups of documents linked by 100 * |A & B| >= percent * |A | B| on shingle sets.
 
     A-Z are lower-cased and words split at ASCII white space. A text with fewer words than a shingle has its whole sequence as one.
-    Equal sets are one class with one row in all joins. Links between classes come from two steps: every class is verified against
-    the least class of the bucket that it shares most tables with; then, within buckets that still hold several components, pairs of
-    classes of different components are verified. Pairs inside one component change nothing and are never made. Verification is on
-    full sets.
+    Equal sets are one class with one row in all joins. Links between classes are found in three steps, each on what is not yet in
+    one component: a class is verified against the one most like it among a few pivots of its buckets; then against its other pivots;
+    then, in buckets that still hold several components, pairs of classes of different components are verified. Pairs inside one
+    component change nothing and are never made. Verification is on full sets.
 
     component_id is the least doc_id reachable, itself included; kept is doc_id = component_id. One row for each input row. A null
     or empty text has n_shingles 0 and is linked with nothing. Rows that repeat a doc_id are one node of the links. A row without
@@ -129,33 +142,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(docs.mapInArrow(_features(words_per_shingle), "id long, n_shingles long, set_a long, set_b long, signature array<long>"), "features")
     classes = rows.where("n_shingles > 0 AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = written(classes, "classes")
-    keys = classes.select("node", F.explode(_keys(F.col("signature"))).alias("k")).select("node", "k.*")
-    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last")
-    met = written(keys.join(shared, "key"), "buckets")
-
-    nodes = met.select("node").distinct()
-    sets = docs.mapInArrow(_members(words_per_shingle, bit_filter(nodes, "node")), "id long, members binary")
-    sets = written(sets.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").distinct(), "sets")
+    shared = written(classes.select("node", "signature").mapInArrow(_keys(), "node long, key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    keys = classes.select("node", "signature").mapInArrow(_keys(bit_filter(shared, "key", KEY_FILTER_BITS)), "node long, key long")
+    met = written(keys.join(shared, "key", "left_semi"), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("members").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("members").alias("b")), "v")
-        return both.select("u", "v", "a", "b").mapInArrow(_similar(percent), "u long, v long")
-
-    tables = met.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    closest = tables.groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
-    stars = written(verified(closest.select(F.col("node").alias("u"), F.col("pivot").alias("v"))), "stars")
-    found = components(stars)
+        sides = []
+        for side, name in (("u", "a"), ("v", "b")):
+            ids = pairs.select(F.col(side).alias("id")).distinct()
+            sets = docs.mapInArrow(_members(words_per_shingle, bit_filter(ids, "id")), "id long, members binary")
+            sides.append(sets.join(ids, "id", "left_semi").distinct().select(F.col("id").alias(side), F.col("members").alias(name)))
+        return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "a", "b").mapInArrow(_similar(percent), "u long, v long")
+
+    def apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components."""
+        ends = pairs.join(group.toDF("u", "cu"), "u", "left").join(group.toDF("v", "cv"), "v", "left")
+        return ends.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).drop("cu", "cv")
+
+    pivots = met.groupBy("key").agg(*[F.min_by("node", F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(PIVOTS)])
+    pairs = met.join(pivots, "key").select(F.col("node").alias("u"), F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("v")).where("u <> v").distinct()
+    about = classes.select("node", "n", "signature")
+    pairs = pairs.join(about.toDF("u", "nu", "su"), "u").join(about.toDF("v", "nv", "sv"), "v").withColumn("same", F.expr(_agreement("su", "sv")))
+    pairs = written(pairs.where(f"same >= {LEAST_AGREEMENT} AND 100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v", "same"), "pairs")
+    closest = written(pairs.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")), "closest")
+    links = written(verified(closest), "links")
+    group = components(links)
+    others = written(apart(pairs.select("u", "v"), group), "others")
+    links = links.unionByName(written(verified(others), "links"))
+    group = components(links)
 
-    placed = met.join(found, "node", "left").select("node", "key", "table", F.coalesce("component", "node").alias("component"))
+    placed = met.join(group, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    placed = written(placed.join(open_keys, "key", "left_semi").join(classes.select("node", "n", "signature"), "node"), "placed")
+    placed = written(placed.join(open_keys, "key", "left_semi").join(about, "node"), "placed")
     x, y = placed.alias("x"), placed.alias("y")
-    apart = F.expr(
-        f"x.key = y.key AND x.table = y.table AND x.component < y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-        f" AND {_agreement('x.signature', 'y.signature')} >= {LEAST_AGREEMENT} AND {_first_table('x.signature', 'y.signature')} = x.table"
+    meet = F.expr(
+        f"x.key = y.key AND x.component < y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+        f" AND {_agreement('x.signature', 'y.signature')} >= {LEAST_AGREEMENT} AND {_first_table('x.signature', 'y.signature')} = (x.key & 63)"
     )
-    rest = x.join(y, apart).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
-    links = stars.unionByName(verified(rest))
+    rest = x.join(y, meet).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    rest = written(rest.join(pairs.select("u", "v"), ["u", "v"], "left_anti").join(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti").distinct(), "rest")
+    links = links.unionByName(verified(rest))
     group = components(links)
 
     of_class = classes.select("set_a", "set_b", "node").join(group, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline  # noqa: F401  registers the pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitemetrics.llm.decontaminate import contamination
 from sitemetrics.llm.mixing import replicate
@@ -12,6 +13,7 @@ from sitemetrics.llm.near_dedup import near_duplicates
 from sitemetrics.llm.ordinal_quality import fit_ordinal, quality_scores
 from sitemetrics.llm.registry import CHECKS, QUERIES, query, table
 from sitemetrics.llm.token_output import store_tokens
+from sitemetrics.llm.toxicity import fit_toxicity, toxicity_scores, training_rows
 
 __all__ = ["CHECKS", "QUERIES"]
 
@@ -95,3 +97,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_scores(docs, fit_ordinal(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_toxic_grammar")
+def op10_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), where=training_rows("id"))
+    return toxicity_scores(docs, model).select("doc_id", (~training_rows("doc_id")).alias("held_out"), "score", "predicted")
