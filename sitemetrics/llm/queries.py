@@ -12,6 +12,7 @@ from sitemetrics.llm.mixing import replicate
 from sitemetrics.llm.near_dedup import near_duplicates
 from sitemetrics.llm.ordinal_quality import fit_ordinal, quality_scores
 from sitemetrics.llm.registry import CHECKS, QUERIES, query, table
+from sitemetrics.llm.secrets import secret_spans
 from sitemetrics.llm.token_output import store_tokens
 from sitemetrics.llm.toxicity import fit_toxicity, toxicity_scores, training_rows
 
@@ -104,3 +105,8 @@ def op10_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), where=training_rows("id"))
     return toxicity_scores(docs, model).select("doc_id", (~training_rows("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op6_secret_markov")
+def op6_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
