@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitemetrics.llm.decontaminate import contamination
+from sitemetrics.llm.fingerprint import compare_with_next
 from sitemetrics.llm.mixing import replicate
 from sitemetrics.llm.near_dedup import near_duplicates
 from sitemetrics.llm.ordinal_quality import fit_ordinal, quality_scores
@@ -110,3 +111,8 @@ def op10_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_secret_markov")
 def op6_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op2_improbable_features")
+def op2_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
