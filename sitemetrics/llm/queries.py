@@ -12,6 +12,7 @@ from sitemetrics.llm.fingerprint import compare_with_next
 from sitemetrics.llm.mixing import replicate
 from sitemetrics.llm.near_dedup import near_duplicates
 from sitemetrics.llm.ordinal_quality import fit_ordinal, quality_scores
+from sitemetrics.llm.pitman_yor import language_model_scores
 from sitemetrics.llm.registry import CHECKS, QUERIES, query, table
 from sitemetrics.llm.secrets import secret_spans
 from sitemetrics.llm.token_output import store_tokens
@@ -116,3 +117,8 @@ def op6_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_improbable_features")
 def op2_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op7_pitman_yor_scores")
+def op7_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
