@@ -14,6 +14,7 @@ from sitemetrics.llm.near_dedup import near_duplicates
 from sitemetrics.llm.ordinal_quality import fit_ordinal, quality_scores
 from sitemetrics.llm.pitman_yor import language_model_scores
 from sitemetrics.llm.registry import CHECKS, QUERIES, query, table
+from sitemetrics.llm.revisits import resolve_revisits
 from sitemetrics.llm.secrets import secret_spans
 from sitemetrics.llm.token_output import store_tokens
 from sitemetrics.llm.toxicity import fit_toxicity, toxicity_scores, training_rows
@@ -122,3 +123,53 @@ def op2_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pitman_yor_scores")
 def op7_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"))
+
+
+#: Captures of every page, in SQL that Spark and DuckDB both read: a response; a later revisit by another spelling of the URL, with the
+#: same, a weak, a changed or no etag; a revisit before the response; and, for some, a second response with another etag.
+CAPTURES = """
+SELECT page_id * 4 AS record_id, url, 1700000000 + (page_id * 7919) % 2592000 AS fetched, 'response' AS kind,
+       substr(md5(html), 1, 16) AS etag, concat('day ', CAST(page_id % 1000 AS STRING)) AS last_modified,
+       concat('text/html; ', CAST(length(html) AS STRING)) AS content, 'max-age=60' AS cache FROM pages
+UNION ALL
+SELECT page_id * 4 + 1, CASE page_id % 3 WHEN 0 THEN replace(url, 'http://', 'https://www.') WHEN 1 THEN concat(url, '#part') ELSE url END,
+       1700000000 + (page_id * 7919) % 2592000 + 1 + (page_id * 31) % 864000, 'revisit',
+       CASE WHEN page_id % 7 = 0 THEN 'changed' WHEN page_id % 5 = 0 THEN NULL ELSE concat('W/', substr(md5(html), 1, 16)) END,
+       CASE WHEN page_id % 35 = 5 THEN NULL ELSE concat('day ', CAST(page_id % 1000 AS STRING)) END, 'ignored', concat('max-age=', CAST(page_id % 100 AS STRING)) FROM pages
+UNION ALL
+SELECT page_id * 4 + 2, url, 1700000000 + (page_id * 7919) % 2592000 - 5, 'revisit', substr(md5(html), 1, 16), NULL, 'ignored', NULL FROM pages WHERE page_id % 4 = 0
+UNION ALL
+SELECT page_id * 4 + 3, concat(url, '#again'), 1700000000 + (page_id * 7919) % 2592000 + 400000, 'response',
+       concat('second-', CAST(page_id AS STRING)), 'later', 'text/plain', 'no-store' FROM pages WHERE page_id % 3 = 0
+"""
+
+REVISIT_SQL = rf"""
+WITH c AS ({CAPTURES}),
+p AS (SELECT *, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS rest FROM c),
+k AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '')
+         || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS page,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[A-Za-z]+|ref|gclid|fbclid)(=|$)'))), '&') AS named FROM p),
+u AS (SELECT * EXCLUDE (page, named), page || CASE WHEN named <> '' THEN '?' || named ELSE '' END AS key FROM k),
+r AS (SELECT key, fetched, max_by(c, record_id) AS c FROM (SELECT key, fetched, record_id, u AS c FROM u WHERE kind = 'response') GROUP BY key, fetched),
+j AS (SELECT v.*, r.c AS old FROM (SELECT * FROM u WHERE kind = 'revisit') v ASOF LEFT JOIN r ON v.key = r.key AND v.fetched > r.fetched),
+s AS (
+  SELECT *, CASE WHEN old IS NULL THEN 'no_response' WHEN coalesce(etag, last_modified) IS NULL THEN 'no_validator'
+            WHEN CASE WHEN etag IS NOT NULL THEN regexp_replace(etag, '^W/', '') = regexp_replace(old.etag, '^W/', '')
+                 ELSE last_modified = old.last_modified END THEN 'resolved' ELSE 'mismatch' END AS state FROM j)
+SELECT record_id, key AS canonical_url, fetched, state, CASE WHEN state = 'resolved' THEN old.record_id END AS response_id,
+       CASE WHEN state <> 'resolved' THEN concat_ws(chr(10), 'Content-Type: ' || content, 'Cache-Control: ' || cache)
+            WHEN cache IS NULL THEN concat_ws(chr(10), 'Content-Type: ' || old.content, 'Cache-Control: ' || old.cache)
+            ELSE concat_ws(chr(10), 'Content-Type: ' || old.content, 'Cache-Control: ' || cache) END AS headers
+FROM s
+"""
+
+
+@query("op1_revisit_resolution", REVISIT_SQL)
+def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = spark.sql(CAPTURES.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages"))
+    header = [F.struct(F.lit(name).alias("name"), F.col(column).alias("value")) for name, column in (("Content-Type", "content"), ("Cache-Control", "cache"))]
+    records = captures.withColumn("headers", F.filter(F.array(*header), lambda h: h["value"].isNotNull()))
+    found = resolve_revisits(records)
+    return found.withColumn("headers", F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n"))
