@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitemetrics.functions import metrics as M
 from sitemetrics.operators.aggregate import exact
 from sitemetrics.operators.ordered import top_per_group
+from sitemetrics.operators.select import within_any
 from sitemetrics.plans.periods import PeriodPair, month_bounds, previous_week_range, safe_month_shift, week_range, year_bounds
 
 GRAIN = ["segment", "outlet", "location"]
@@ -18,7 +19,7 @@ MEASURES = ["revenue", "pax"]
 
 def side_sums(facts: DataFrame, pair: PeriodPair, keys: list[str], measures: list[str] = MEASURES) -> DataFrame:
     """``current_x`` / ``compare_x`` per key, exact, zero where a side has no rows."""
-    picked = facts.where(pair.either())
+    picked = facts.where(within_any(facts, pair.ranges()))
     sums = [
         F.coalesce(F.sum(F.when(pair.side(s), exact(facts, m))), F.lit(0)).alias(f"{s}_{m}")
         for s in ("current", "compare")
@@ -84,9 +85,8 @@ def pair_sums(facts: DataFrame, pairs: dict[str, PeriodPair], keys: list[str], s
     ``spans`` adds the first and last day that each side really has.
     """
     aggs: list[Column] = []
-    touched = F.lit(False)
+    touched = within_any(facts, [r for p in pairs.values() for r in p.ranges()])
     for i, p in enumerate(pairs.values()):
-        touched = touched | p.either()
         for s in ("current", "compare"):
             aggs.append(F.count_if(p.side(s)).alias(f"n_{s}_{i}"))
             if spans:
@@ -231,9 +231,7 @@ def snapshot_ranges(anchor: dt.date) -> dict[str, tuple[dt.date, dt.date]]:
 def multi_period_snapshot(facts: DataFrame, ranges: dict[str, tuple[dt.date, dt.date]], keys: list[str] = GRAIN) -> DataFrame:
     """Revenue per key for every named range, with week, month and year changes, from one conditional aggregate."""
     inside = {n: F.col("date").between(F.lit(lo), F.lit(hi)) for n, (lo, hi) in ranges.items()}
-    touched = F.lit(False)
-    for c in inside.values():
-        touched = touched | c
+    touched = within_any(facts, list(ranges.values()))
     rev = exact(facts, "revenue")
     sums = [F.coalesce(F.sum(F.when(c, rev)), F.lit(0)).cast("double").alias(f"{n}_revenue") for n, c in inside.items()]
     wide = facts.where(touched).groupBy(*keys).agg(*sums)

@@ -34,6 +34,9 @@ class PeriodPair:
     def either(self, day: str = "date") -> Column:
         return self.side("current", day) | self.side("compare", day)
 
+    def ranges(self) -> list[tuple[dt.date, dt.date]]:
+        return [(self.current_start, self.current_end), (self.compare_start, self.compare_end)]
+
 
 def safe_month_shift(day: dt.date, months: int) -> dt.date:
     """Same day of another month, clamped to its length."""

@@ -44,15 +44,20 @@ def canonical(df: DataFrame, order: Column, acronyms: list[str] = ()) -> DataFra
 
 
 def validation_report(df: DataFrame, places: list[str], segments: list[str], today: dt.date, groups: list[str] = ()) -> DataFrame:
-    """Eight checks as (check, passed, affected, message) rows, in two aggregates: one over rows, one over keys."""
+    """Eight checks as (check, passed, affected, message) rows, in two aggregates: one over rows, one over keys.
+
+    A missing column fails ``required_columns`` and is NULL for the other checks.
+    """
     groups = list(groups)
-    have = set(df.columns)
+    kinds = {"date": "date", "pax": "double", "revenue": "double"}
+    missing = [c for c in [*KEY, "pax", "revenue"] if c not in df.columns]
+    df = df.withColumns({c: F.lit(None).cast(kinds.get(c, "string")) for c in missing}) if missing else df
     blank = lambda c: L.is_blank(c)
     per_key = df.groupBy(*groups, *KEY).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("revenue").isNull()).alias("no_revenue"), F.count_if(F.coalesce(F.col("pax") < 0, F.lit(False))).alias("bad_pax"))
     dups = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))
     times = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
-    required = [c for c in [*KEY, "revenue"] if c not in have]
+    required = [c for c in missing if c != "pax"]
     agg = per_key.groupBy(*groups).agg(
         F.sum("n").alias("rows"), F.lit(len(required)).cast("bigint").alias("required_columns"),
         times(F.col("date").isNull() | ~plausible_date("date", today)).alias("dates"), F.sum("no_revenue").alias("revenue"), F.sum("bad_pax").alias("pax"),

@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemetrics.operators.aggregate import exact
+from sitemetrics.operators.select import starting_until, within
 
 
 def overlapping(traffic: DataFrame, start: dt.date, end: dt.date, location: str | None = None) -> DataFrame:
     """Daily rows inside the range and monthly rows whose span touches it."""
     lo, hi = sorted((start, end))
-    daily = (F.col("granularity") == "daily") & F.col("date").between(F.lit(lo), F.lit(hi))
+    daily = (F.col("granularity") == "daily") & within(traffic, lo, hi)
     span_end = F.coalesce("period_end", "date")
     monthly = (F.col("granularity") == "monthly") & (F.col("date") <= F.lit(hi)) & (span_end >= F.lit(lo))
-    picked = traffic.where(daily | monthly)
+    picked = traffic.where(starting_until(traffic, hi)).where(daily | monthly)
     return picked.where(F.col("location") == location) if location is not None else picked
 
 
@@ -95,7 +96,7 @@ def targets_touching(monthly: DataFrame, start: dt.date, end: dt.date) -> DataFr
     """Monthly targets of every month the range touches."""
     lo, hi = sorted((start, end))
     n = F.col("year") * 12 + F.col("month")
-    return monthly.where(n.between(lo.year * 12 + lo.month, hi.year * 12 + hi.month))
+    return monthly.where(F.col("year").between(lo.year, hi.year)).where(n.between(lo.year * 12 + lo.month, hi.year * 12 + hi.month))
 
 
 def targets_of_month(monthly: DataFrame, year: int, month: int) -> DataFrame:
@@ -107,7 +108,7 @@ def target_total(
 ) -> DataFrame:
     """Best target per location: daily targets, then outlet months summed and prorated for open days."""
     keys = ["location"]
-    d = daily.select("location", F.col("date").alias("day"), exact(daily, "aop").alias("value"))
+    d = daily.where(within(daily, start, end)).select("location", F.col("date").alias("day"), exact(daily, "aop").alias("value"))
     picked = targets_touching(monthly, start, end)
     first = F.make_date("year", "month", F.lit(1))
     m = (
@@ -138,6 +139,6 @@ def missing_days(facts: DataFrame, keys: list[str], start: dt.date, end: dt.date
     The calendar is generated per key and the covered days are removed by an anti join on (key, day).
     """
     lo, hi = sorted((start, end))
-    seen = facts.where(F.col("date").between(F.lit(lo), F.lit(hi))).select(*keys, "date").distinct()
+    seen = facts.where(within(facts, lo, hi)).select(*keys, "date").distinct()
     calendar = seen.select(*keys).distinct().withColumn("date", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
     return calendar.join(seen, [*keys, "date"], "left_anti")

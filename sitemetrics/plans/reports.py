@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitemetrics.functions import metrics as M
 from sitemetrics.operators import dims
 from sitemetrics.operators.aggregate import exact
+from sitemetrics.operators.select import within_any
 from sitemetrics.plans import allocate as A
 from sitemetrics.plans import compare as C
 from sitemetrics.plans.periods import PeriodPair
@@ -71,7 +72,7 @@ def class_breakdown(facts: DataFrame, pair: PeriodPair, outlet_class: Column, si
     ``site_traffic``: side -> (location, traffic).
     """
     fine = C.side_sums(facts, pair, ["location", "outlet"])
-    seen = facts.where(pair.either()).groupBy("location", "outlet").agg(
+    seen = facts.where(within_any(facts, pair.ranges())).groupBy("location", "outlet").agg(
         *[F.bool_or(pair.side(s)).alias(f"has_{s}") for s in SIDES]
     )
     tagged = fine.join(seen, ["location", "outlet"]).withColumn("category", outlet_class)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitemetrics.functions import dates as D
 from sitemetrics.operators.aggregate import exact
+from sitemetrics.operators.select import within
 
 
 def dates_summary(facts: DataFrame) -> DataFrame:
@@ -46,8 +47,7 @@ def target_months(targets: DataFrame) -> DataFrame:
 
 
 def daily_totals(facts: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    lo, hi = sorted((start, end))
-    return facts.where(F.col("date").between(F.lit(lo), F.lit(hi))).groupBy("date").agg(
+    return facts.where(within(facts, start, end)).groupBy("date").agg(
         F.sum(exact(facts, "revenue")).cast("double").alias("revenue"), F.sum(exact(facts, "pax")).cast("double").alias("pax")
     ).orderBy("date")
 

@@ -18,6 +18,7 @@ from sitemetrics.operators import dims
 from sitemetrics.operators.aggregate import exact
 from sitemetrics.operators.ordered import keep_one
 from sitemetrics.operators.reuse import materialise
+from sitemetrics.operators.select import on_days, within
 
 
 @dataclass(frozen=True)
@@ -50,28 +51,30 @@ HISTORY = "file_name string, report_date date, row_count bigint, primary_total d
 
 
 def for_date(facts: DataFrame, day: dt.date) -> DataFrame:
-    return facts.where(F.col("date") == F.lit(day))
+    return facts.where(on_days(facts, [day]))
 
 
 def for_dates(facts: DataFrame, days: list[dt.date]) -> DataFrame:
-    return facts.where(F.col("date").isin(days)) if days else facts.where(F.lit(False))
+    return facts.where(on_days(facts, days))
 
 
 def for_range(facts: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """Closed range, bounds in either order; the partition column is narrowed too when the table has it."""
-    lo, hi = sorted((start, end))
-    inside = F.col("date").between(F.lit(lo), F.lit(hi))
-    if "year_month" in facts.columns:
-        inside = inside & F.col("year_month").between(lo.year * 100 + lo.month, hi.year * 100 + hi.month)
-    return facts.where(inside)
+    """Closed range, bounds in either order."""
+    return facts.where(within(facts, start, end))
+
+
+def stored_schema(spec: TableSpec) -> str:
+    return f"{spec.schema}, year_month int" if spec.partition == "year_month" else spec.schema
 
 
 def read_table(spark: SparkSession, root: str, spec: TableSpec) -> DataFrame:
     """Stored rows, an empty frame before the first load."""
-    schema = f"{spec.schema}, year_month int" if spec.partition == "year_month" else spec.schema
+    schema = stored_schema(spec)
     try:
         return spark.read.schema(schema).parquet(f"{root}/{spec.name}")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # any other fault must not look like an empty store
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -126,9 +129,23 @@ def embedded_targets(rows: DataFrame, segment: str) -> DataFrame:
 # --- keyed insert-or-ignore ------------------------------------------------------------------------------------
 
 
+def has_key(key: tuple[str, ...] | list[str]) -> Column:
+    """All parts of the key are there; rows without can't be told apart from one another and are rejected."""
+    out = F.lit(True)
+    for c in key:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
+def delivery_order(df: DataFrame, key: tuple[str, ...] | list[str]) -> list[Column]:
+    """First delivered first: time, file, row of the file where the rows have these; the values only break ties."""
+    known = [c for c in ("uploaded_at", "source_file", "row_idx") if c in df.columns]
+    return [F.col(c).asc_nulls_last() for c in [*known, *[c for c in df.columns if c not in key and c not in known]]]
+
+
 def new_rows(stored: DataFrame, incoming: DataFrame, key: list[str], *order: Column) -> DataFrame:
-    """Rows to add: the first in ``order`` per key inside the batch, unless the key is stored already."""
-    return keep_one(incoming, key, *order).join(stored.select(*key), key, "left_anti")
+    """Rows to add: the first in ``order`` per key inside the batch, unless the key is stored already. Rows without a key part are left out."""
+    return keep_one(incoming.where(has_key(key)), key, *order).join(stored.select(*key), key, "left_anti")
 
 
 def load_counts(incoming: DataFrame, added: DataFrame) -> DataFrame:
@@ -153,35 +170,61 @@ def with_partition(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def load(spark: SparkSession, root: str, spec: TableSpec, cleaned: DataFrame, source_file: str, at: dt.datetime, *order: Column) -> DataFrame:
-    """Append the new rows of a cleaned batch, write the audit row, return the counts. Repeating a load adds nothing."""
+    """Append the new rows of a cleaned batch, write the audit row, return the counts. Repeating a load adds nothing.
+
+    Rows with a NULL in their key go to ``rejects`` instead. Only the partitions that the batch touches are read, and each is written by
+    as few tasks as its size needs. If the audit row is lost, :func:`derived_history` gives it from the stored rows.
+    """
     incoming = materialise(stamped(cleaned, source_file, at))
-    stored = read_table(spark, root, spec)
-    touched = incoming.select(*spec.key)
-    if spec.partition == "year_month":
-        months = with_partition(touched, spec).select("year_month").distinct()
-        stored = stored.join(months, "year_month", "left_semi")
+    touched = with_partition(incoming, spec).select(spec.partition).where(F.col(spec.partition).isNotNull()).distinct()
+    stored = read_table(spark, root, spec).join(touched, spec.partition, "left_semi")
+    columns = [c for c in spark.createDataFrame([], spec.schema).columns if c in incoming.columns]
     # Materialised before the write, so the append does not read what it writes.
-    added = materialise(new_rows(stored, incoming, list(spec.key), *(order or [F.col(c).asc_nulls_last() for c in incoming.columns if c not in spec.key])))
-    writer = with_partition(added, spec).write.mode("append")
-    if spec.partition == "year_month":
-        writer = writer.partitionBy("year_month")
-    writer.parquet(f"{root}/{spec.name}")
+    added = materialise(new_rows(stored, incoming, list(spec.key), *(order or delivery_order(incoming, spec.key))).select(*columns))
+    with_partition(added, spec).hint("rebalance", spec.partition).write.mode("append").partitionBy(spec.partition).parquet(f"{root}/{spec.name}")
+    lost = incoming.where(~has_key(spec.key)).select(
+        F.lit(spec.name).alias("table_name"), "source_file", "uploaded_at", F.lit("key part missing").alias("reason"), F.to_json(F.struct(*spec.key)).alias("key"))
+    lost.write.mode("append").parquet(f"{root}/rejects")
     audit_row(added, spec, source_file, at).write.mode("append").parquet(f"{root}/load_history")
     return load_counts(incoming, added)
 
 
+def rejects(spark: SparkSession, root: str) -> DataFrame:
+    """Rows that loads have turned away, with the reason."""
+    return spark.read.schema("table_name string, source_file string, uploaded_at timestamp, reason string, key string").parquet(f"{root}/rejects")
+
+
+def derived_history(stored: DataFrame, spec: TableSpec) -> DataFrame:
+    """The history rows of all loads that added something, from the stored rows alone."""
+    day = F.min("date") if "date" in stored.columns else F.min(F.make_date("year", "month", F.lit(1)))
+    pax = F.sum(exact(stored, "pax")) if "pax" in stored.columns else F.lit(0)
+    return stored.groupBy(F.col("source_file").alias("file_name"), "uploaded_at").agg(
+        day.alias("report_date"), F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(exact(stored, spec.measure)), F.lit(0)).cast("double").alias("primary_total"),
+        F.coalesce(pax, F.lit(0)).cast("double").alias("total_pax"),
+    ).select("file_name", "report_date", "row_count", "primary_total", "total_pax", "uploaded_at", F.lit("Available").alias("status"), F.lit(spec.load_type).alias("load_type"))
+
+
 def history(spark: SparkSession, root: str) -> DataFrame:
     """Load history, newest first."""
     return spark.read.schema(HISTORY).parquet(f"{root}/load_history").orderBy(F.desc("uploaded_at"), "file_name")
 
 
+def retagged(stored: DataFrame, segment_map: DataFrame) -> DataFrame:
+    """Stored rows under the current segment rules: only outdated rows change; rows that then meet on one key leave the first stored."""
+    columns = stored.columns
+    marked = stored.withColumns({"__old_s": F.col("segment"), "__old_u": F.col("business_unit")})
+    fixed = dims.canonical_segment(marked, segment_map)
+    changed = ~F.col("segment").eqNullSafe(F.col("__old_s")) | ~F.col("business_unit").eqNullSafe(F.col("__old_u"))
+    rows = fixed.withColumns({"__moved": changed}).select(*columns, "__moved")
+    return keep_one(rows, list(REVENUE.key), F.col("uploaded_at").asc_nulls_last(), F.asc("__moved"), F.col("source_file").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in columns if c not in REVENUE.key]).drop("__moved")
+
+
 def retag_segments(spark: SparkSession, root: str, segment_map: DataFrame) -> DataFrame:
-    """Rewrite only the months that hold rows with outdated segments or missing units; returns those months."""
+    """Rewrite the months that hold rows with outdated segments or missing units; returns those months. Other rows keep their values."""
     stored = read_table(spark, root, REVENUE)
     months = materialise(dims.needs_segment_fix(stored, segment_map).select("year_month").distinct())
-    part = stored.join(months, "year_month", "left_semi")
-    fixed = materialise(dims.canonical_segment(part.withColumn("business_unit", F.lit(None).cast("string")), segment_map).select(*part.columns))
-    fixed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year_month").parquet(f"{root}/{REVENUE.name}")
+    fixed = materialise(retagged(stored.join(months, "year_month", "left_semi"), segment_map))
+    fixed.hint("rebalance", "year_month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year_month").parquet(f"{root}/{REVENUE.name}")
     return months
 
 
