@@ -31,8 +31,8 @@ def traffic_by_location(facts: DataFrame, totals: DataFrame) -> DataFrame:
     return _sums(facts, ["location"]).join(per_site, "location", "left")
 
 
-def pool_traffic(totals: DataFrame, pool_member: DataFrame) -> DataFrame:
-    """Visitors per (location, pool) = sum over the pool's terminals, each stored label counted once.
+def pool_labels(totals: DataFrame, pool_member: DataFrame) -> DataFrame:
+    """The stored label that stands for each member of a pool at each location: its own (level 0), its fallback (1) or the site's (2).
 
     ``pool_member``: pool, terminal and optionally ``location``, ``fallback`` (label to use where the terminal
     has no rows) and ``site_share`` (part of the whole-site "" label, used when nothing else is known).
@@ -51,8 +51,22 @@ def pool_traffic(totals: DataFrame, pool_member: DataFrame) -> DataFrame:
     known = totals.where("traffic is not null").withColumnRenamed("terminal", "label")
     hit = known.join(labels, [*site, "label"])
     pick = F.min_by(F.struct("label", "level", "traffic", "is_estimated", "missing_days", "site_share"), "level")
-    chosen = hit.groupBy("location", "pool", "member").agg(pick.alias("p")).select("location", "pool", "p.*")
-    once = chosen.groupBy("location", "pool", "level", "label").agg(
+    return hit.groupBy("location", "pool", "member").agg(pick.alias("p")).select("location", "pool", "member", "p.*")
+
+
+def label_sums(chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Traffic of the chosen labels per key, each label once; the site's share counts only where no other label is known."""
+    one = chosen.groupBy(*keys, "member").agg(F.min_by(F.struct("label", "level", "traffic", "site_share"), F.struct("level", "label")).alias("p")).select(*keys, "p.*")
+    once = one.groupBy(*keys, "level", "label").agg(F.max("traffic").alias("traffic"), F.sum("site_share").alias("site_share"))
+    return once.groupBy(*keys).agg(
+        F.sum(F.when(F.col("level") < 2, exact(once, "traffic"))).cast("double").alias("__d"),
+        F.sum(F.when(F.col("level") == 2, (F.col("traffic") * F.col("site_share")).cast("decimal(30,8)"))).cast("double").alias("__w"),
+    ).select(*keys, F.coalesce("__d", "__w").alias("traffic"))
+
+
+def pool_traffic(totals: DataFrame, pool_member: DataFrame) -> DataFrame:
+    """Visitors per (location, pool) = sum over the pool's terminals, each stored label counted once; see :func:`pool_labels`."""
+    once = pool_labels(totals, pool_member).groupBy("location", "pool", "level", "label").agg(
         F.max("traffic").alias("traffic"), F.bool_or("is_estimated").alias("is_estimated"),
         F.max("missing_days").alias("missing_days"), F.sum("site_share").alias("site_share"),
     )

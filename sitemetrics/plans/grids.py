@@ -65,9 +65,9 @@ def vocabulary_hit(label: Column) -> Column:
         label.contains(s["p"]) & (F.length(s["p"]) >= 3), s["w"] * 0.7).otherwise(0.0)))
 
 
-def header_row_scores(cells: DataFrame, vocab: V.Vocab, depth: int = V.HEADER_DEPTH) -> DataFrame:
-    """Header likeness of every row within the search depth: text share, vocabulary hits, date headers."""
-    head = filled(cells.where(F.col("row_idx") < depth))
+def header_row_scores(cells: DataFrame, vocab: V.Vocab, depth: int | None = None) -> DataFrame:
+    """Header likeness of every row (of the first ones, with a depth): text share, vocabulary hits, date headers."""
+    head = filled(cells if depth is None else cells.where(F.col("row_idx") < depth))
     number, date = NB.messy_number("value").isNotNull(), D.text_date("value", vocab.years).isNotNull()
     kind = F.when(number, "number").when(date, "date").otherwise("text")
     # Labels repeat over files, so the vocabulary is matched once per distinct text.
@@ -91,7 +91,7 @@ def _metric_word(label: Column) -> Column:
     return out
 
 
-def find_headers(cells: DataFrame, vocab: V.Vocab, depth: int = V.HEADER_DEPTH, floor: float = V.HEADER_FLOOR) -> DataFrame:
+def find_headers(cells: DataFrame, vocab: V.Vocab, depth: int | None = None, floor: float = V.HEADER_FLOOR) -> DataFrame:
     """Best header row per grid and, if it belongs to the header, the row above it (``upper_row``)."""
     scores = header_row_scores(cells, vocab, depth)
     best = scores.groupBy(GRID).agg(F.max(F.struct("score", (-F.col("row_idx")).alias("r"))).alias("b")).select(
@@ -119,9 +119,9 @@ def header_labels(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def title_texts(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """Text above the header per grid, rows in order. Bounded by the header search depth."""
+    """Text above the header per grid, rows in order."""
     top = F.coalesce("upper_row", "header_row")
-    above = filled(cells.where(F.col("row_idx") < V.HEADER_DEPTH)).join(headers, GRID).where(F.col("row_idx") < top)
+    above = filled(cells).join(headers, GRID).where(F.col("row_idx") < top)
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"])
     rows = above.groupBy(GRID, "row_idx").agg(F.array_join(ordered(F.struct("col_idx", F.col("value").alias("t"))), " ").alias("line"))
     return rows.groupBy(GRID).agg(F.array_join(ordered(F.struct("row_idx", F.col("line").alias("t"))), " | ").alias("title"))
@@ -159,8 +159,8 @@ def drop_junk_rows(cells: DataFrame, headers: DataFrame, labels: DataFrame) -> D
     return data.join(junk, [GRID, "row_idx"], "left_anti")
 
 
-def rank_candidates(cells: DataFrame, n: int = 6) -> DataFrame:
-    """Best n grids of each source by size and vocabulary: log1p(rows) * log1p(cols) + 3 * hits + 2 for a text header."""
+def rank_candidates(cells: DataFrame, n: int | None = None) -> DataFrame:
+    """All grids of each source (the best n, if given) ranked by size and vocabulary: log1p(rows) * log1p(cols) + 3 * hits + 2 for a text header."""
     c = filled(cells)
     size = c.groupBy("source", GRID).agg(F.count_distinct("row_idx").alias("n_rows"), F.count_distinct("col_idx").alias("n_cols"))
     first = c.where("row_idx < 10")
@@ -170,7 +170,7 @@ def rank_candidates(cells: DataFrame, n: int = 6) -> DataFrame:
     )
     score = F.log1p("n_rows") * F.log1p("n_cols") + 3.0 * F.coalesce("hits", F.lit(0)) + F.when(F.coalesce("text_header", F.lit(False)), 2.0).otherwise(0.0)
     scored = size.join(hits, GRID, "left").withColumn("score", score)
-    return top_per_group(scored, ["source"], n, F.desc("score"), F.col(GRID), rank="rank")
+    return top_per_group(scored, ["source"], n or 2**31 - 1, F.desc("score"), F.col(GRID), rank="rank")
 
 
 def merge_same_width(cells: DataFrame) -> DataFrame:

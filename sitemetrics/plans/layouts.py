@@ -52,24 +52,43 @@ def _place(c, places: dict[str, str]) -> Column:
     return L.vocabulary_match(c, places)
 
 
+def deliveries(cells: DataFrame) -> DataFrame:
+    """(grid_id, source, delivered, grid_rows): the file of every grid; ``delivered`` is NULL where the cells don't have it."""
+    when = F.col("delivered") if "delivered" in cells.columns else F.lit(None)
+    return cells.groupBy(GRID).agg(
+        F.min(F.coalesce("source", F.col(GRID))).alias("source"), F.min(when.cast("timestamp")).alias("delivered"), (F.max("row_idx") + 1).alias("grid_rows"))
+
+
 def last_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keep the last row of a file, and across sheets the smallest sheet's; columns grid_id, row_idx, grid_rows order them."""
-    return keep_one(df, keys, F.asc("grid_rows"), F.asc(GRID), F.desc("row_idx"))
+    """The first delivered file wins a key; inside it the smallest sheet's, and of a sheet the last row."""
+    return keep_one(df, keys, F.col("delivered").asc_nulls_last(), F.asc("source"), F.asc("grid_rows"), F.asc(GRID), F.desc("row_idx"))
 
 
 def with_grid_rows(df: DataFrame, cells: DataFrame) -> DataFrame:
-    return df.join(cells.groupBy(GRID).agg((F.max("row_idx") + 1).alias("grid_rows")), GRID)
+    return df.join(deliveries(cells), GRID)
+
+
+def summed_per_file(values: DataFrame, cells: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Exact sums per key inside each file; of a key that several files carry, the first delivered file's figure stays."""
+    per_file = values.join(deliveries(cells), GRID).groupBy("source", *keys).agg(
+        F.min("delivered").alias("delivered"), *[F.sum(c.cast("decimal(28,6)")).cast("double").alias(n) for n, c in sums.items()])
+    return keep_one(per_file, keys, F.col("delivered").asc_nulls_last(), F.asc("source")).select(*keys, *sums)
+
+
+def _down_to(cells: DataFrame, depth: int | None) -> DataFrame:
+    """Cells of the first rows; all of them without a depth."""
+    return cells if depth is None else cells.where(F.col("row_idx") < depth)
 
 
 # --- revenue layouts -------------------------------------------------------------------------------------------
 
 
-def alias_table(cells: DataFrame, aliases: dict[str, list[str]], required: list[str], depth: int = 15) -> DataFrame:
+def alias_table(cells: DataFrame, aliases: dict[str, list[str]], required: list[str], depth: int | None = None) -> DataFrame:
     """Plain table under a header found by column aliases: one row per data row, one text column per role.
 
-    The header is the row, within the depth, naming the most roles; an alias may equal or be contained in a label.
+    The header is the row naming the most roles, the first of equals; an alias may equal or be contained in a label.
     """
-    head = filled(cells.where(F.col("row_idx") < depth)).withColumn("t", F.lower(F.trim("value")))
+    head = filled(_down_to(cells, depth)).withColumn("t", F.lower(F.trim("value")))
     exact, part = F.lit(None).cast("string"), F.lit(None).cast("string")
     for role, names in reversed(list(aliases.items())):
         exact = F.when(F.col("t").isin(names), role).otherwise(exact)
@@ -100,10 +119,10 @@ def long_revenue(cells: DataFrame, places: dict[str, str], years: tuple[int, int
     return last_per_key(with_grid_rows(kept, cells), KEY).select(*KEY, *V.METRICS)
 
 
-def find_wide_pivot(cells: DataFrame, depth: int = 20) -> DataFrame:
+def find_wide_pivot(cells: DataFrame, depth: int | None = None) -> DataFrame:
     """Grids with a row of PAX. / Revenue. labels under three banner rows."""
     t = L.norm_label("value")
-    head = filled(cells.where(F.col("row_idx") < depth)).withColumn("t", t)
+    head = filled(_down_to(cells, depth)).withColumn("t", t)
     rows = head.groupBy(GRID, "row_idx").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("t").isin(METRIC_LABELS)).alias("m"), F.count_if(F.col("t") == DAILY_TARGET_LABEL).alias("a"))
     return _first_row(rows.where((F.col("m") >= 4) & (F.col("m") + F.col("a") >= F.col("n") * 0.6))).where("base_row >= 3")
@@ -181,12 +200,12 @@ def sectioned_table(
     f = fill_down(marked, [GRID], "row_idx", ["segment"]).where(
         ~F.col("is_section") & F.col("c0").isNotNull() & (F.lower(F.trim("c0")) != "total") & ~F.col("c0").isin("PAX", "Revenue"))
     out = _paired(f, pairs, NB.report_number).join(day, GRID).select(
-        "date", F.coalesce("segment", F.lit("Unclassified")).alias("segment"), F.trim("c0").alias("outlet"), "location", "pax", "revenue")
+        GRID, "date", F.coalesce("segment", F.lit("Unclassified")).alias("segment"), F.trim("c0").alias("outlet"), "location", "pax", "revenue")
     if aliases is not None:
         from sitemetrics.operators.dims import alias_outlet
 
         out = alias_outlet(out, aliases)
-    return out.groupBy(*KEY).agg(*[F.sum(F.col(m).cast("decimal(28,6)")).cast("double").alias(m) for m in ("pax", "revenue")])
+    return summed_per_file(out, cells, KEY, {m: F.col(m) for m in ("pax", "revenue")})
 
 
 def check_against_summary(parsed: DataFrame, summary: DataFrame, unit: float = 100000.0) -> DataFrame:
@@ -206,15 +225,15 @@ def check_against_summary(parsed: DataFrame, summary: DataFrame, unit: float = 1
 # --- target layouts --------------------------------------------------------------------------------------------
 
 
-def _units(cells: DataFrame) -> DataFrame:
-    """Scale per grid: 100000 when one of the first three rows holds that number."""
-    return cells.where("row_idx < 3").groupBy(GRID).agg(
-        F.when(F.bool_or(NB.count_number("value") == LAKH_CELL), LAKH_CELL).otherwise(1.0).alias("unit"))
+def _units(cells: DataFrame, base: DataFrame) -> DataFrame:
+    """Scale per grid: 100000 when a row above the header holds that number."""
+    return base.select(GRID, "base_row").join(cells.select(GRID, "row_idx", "value"), GRID, "left").groupBy(GRID).agg(
+        F.when(F.bool_or((F.col("row_idx") < F.col("base_row")) & (NB.count_number("value") == LAKH_CELL)), LAKH_CELL).otherwise(1.0).alias("unit"))
 
 
-def find_monthly_targets(cells: DataFrame, depth: int = 40) -> DataFrame:
+def find_monthly_targets(cells: DataFrame, depth: int | None = None) -> DataFrame:
     t = L.norm_label("value")
-    rows = filled(cells.where(F.col("row_idx") < depth)).groupBy(GRID, "row_idx").agg(
+    rows = filled(_down_to(cells, depth)).groupBy(GRID, "row_idx").agg(
         F.bool_or(t == "geographical segment").alias("g"), F.bool_or(t == "business segment").alias("b"), F.bool_or(t == "unit id").alias("u"))
     return _first_row(rows.where("g and b and u"))
 
@@ -248,15 +267,15 @@ def monthly_targets(
     judged = materialise(mapped.withColumn("reason", reason))
     rejects = judged.where("reason is not null").select(GRID, (F.col("row_idx") + 1).alias("row_number"), F.col("geo").alias("location"), "biz", "unit_id", "reason")
     values = data.join(months, [GRID, "col_idx"]).select(GRID, "row_idx", "month", NB.count_number("value").alias("x")).where("x is not null")
-    ok = judged.where("reason is null").join(values, [GRID, "row_idx"]).join(_units(cells), GRID)
-    sums = ok.groupBy("location", F.lit(segment).alias("segment"), "business_unit", "outlet", F.year("month").alias("year"), F.month("month").alias("month")).agg(
-        F.sum((F.col("x") * F.col("unit")).cast("decimal(28,6)")).cast("double").alias("aop"))
-    return sums, rejects
+    ok = judged.where("reason is null").join(values, [GRID, "row_idx"]).join(_units(cells, base), GRID)
+    parts = ok.select(GRID, "location", F.lit(segment).alias("segment"), "business_unit", "outlet", F.year("month").alias("year"), F.month("month").alias("month"), "x", "unit")
+    keys = ["location", "segment", "business_unit", "outlet", "year", "month"]
+    return summed_per_file(parts, cells, keys, {"aop": F.col("x") * F.col("unit")}), rejects
 
 
-def find_daily_targets(cells: DataFrame, places: dict[str, str], depth: int = 40) -> DataFrame:
+def find_daily_targets(cells: DataFrame, places: dict[str, str], depth: int | None = None) -> DataFrame:
     t = L.norm_label("value")
-    rows = filled(cells.where(F.col("row_idx") < depth)).groupBy(GRID, "row_idx").agg(
+    rows = filled(_down_to(cells, depth)).groupBy(GRID, "row_idx").agg(
         F.bool_or((F.col("col_idx") == 0) & (t == "date")).alias("d"), F.count_if(L.lookup(t, places).isNotNull()).alias("p"))
     return _first_row(rows.where("d and p >= 1"))
 
@@ -267,8 +286,8 @@ def daily_targets(cells: DataFrame, places: dict[str, str]) -> DataFrame:
     h = _header(cells, base, {"label": 0}).select(GRID, "col_idx", L.lookup(L.norm_label("label"), places).alias("location")).where("location is not null and col_idx > 0")
     data = _below(cells, base)
     days = data.where("col_idx = 0").select(GRID, "row_idx", D.target_date("value").alias("date")).where("date is not null")
-    v = data.join(h, [GRID, "col_idx"]).join(days, [GRID, "row_idx"]).select("location", "date", NB.count_number("value").alias("x"), GRID).join(_units(cells), GRID)
-    return v.where("x is not null").groupBy("location", "date").agg(F.sum((F.col("x") * F.col("unit")).cast("decimal(28,6)")).cast("double").alias("aop"))
+    v = data.join(h, [GRID, "col_idx"]).join(days, [GRID, "row_idx"]).select("location", "date", NB.count_number("value").alias("x"), GRID).join(_units(cells, base), GRID)
+    return summed_per_file(v.where("x is not null"), cells, ["location", "date"], {"aop": F.col("x") * F.col("unit")})
 
 
 def skipped_rows(cells: DataFrame, places: dict[str, str]) -> DataFrame:
@@ -277,9 +296,9 @@ def skipped_rows(cells: DataFrame, places: dict[str, str]) -> DataFrame:
     return data.where(D.target_date("value").isNull()).select(GRID, (F.col("row_idx") + 1).alias("row_number"), "value", F.lit("first cell is not a date").alias("reason"))
 
 
-def find_outlet_day_targets(cells: DataFrame, places: dict[str, str], depth: int = 40) -> DataFrame:
+def find_outlet_day_targets(cells: DataFrame, places: dict[str, str], depth: int | None = None) -> DataFrame:
     """Header rows with 'Date' first, two banner rows above, the upper one naming locations."""
-    head = filled(cells.where(F.col("row_idx") < depth))
+    head = filled(_down_to(cells, depth))
     dated = head.where((F.col("col_idx") == 0) & (L.norm_label("value") == "date")).select(GRID, "row_idx")
     banner = head.where(L.lookup(L.norm_label("value"), places).isNotNull()).select(GRID, (F.col("row_idx") + 2).alias("row_idx")).distinct()
     return _first_row(dated.join(banner, [GRID, "row_idx"]))
@@ -296,9 +315,9 @@ def outlet_day_targets(cells: DataFrame, places: dict[str, str], years: tuple[in
     groups = fill_across(marked, ["location", "segment"]).where("outlet is not null and location <> '' and segment <> ''").where(~L.is_total_label("outlet"))
     data = _below(cells, base)
     days = data.where("col_idx = 0").select(GRID, "row_idx", D.text_date("value", years).alias("date")).where("date is not null")
-    v = data.join(groups, [GRID, "col_idx"]).join(days, [GRID, "row_idx"]).withColumn("x", NB.count_number("value")).where("x is not null").join(_units(cells), GRID)
-    return v.groupBy("location", "segment", "outlet", F.year("date").alias("year"), F.month("date").alias("month")).agg(
-        F.sum((F.col("x") * F.col("unit")).cast("decimal(28,6)")).cast("double").alias("aop"))
+    v = data.join(groups, [GRID, "col_idx"]).join(days, [GRID, "row_idx"]).withColumn("x", NB.count_number("value")).where("x is not null").join(_units(cells, base), GRID)
+    parts = v.select(GRID, "location", "segment", "outlet", F.year("date").alias("year"), F.month("date").alias("month"), "x", "unit")
+    return summed_per_file(parts, cells, ["location", "segment", "outlet", "year", "month"], {"aop": F.col("x") * F.col("unit")})
 
 
 # --- traffic layouts -------------------------------------------------------------------------------------------
@@ -316,16 +335,16 @@ def flat_traffic(cells: DataFrame, places: dict[str, str], years: tuple[int, int
 
 
 def _sites(cells: DataFrame, places: dict[str, str]) -> DataFrame:
-    """Location of a grid: its sheet name, then its texts in the first rows."""
+    """Location of a grid: its sheet name, then the first of its texts that names one, then its file name."""
     named = cells.groupBy(GRID).agg(F.min("sheet").alias("sheet"), F.min("source").alias("source"))
-    texts = filled(cells.where("row_idx < 3")).withColumn("p", _place("value", places)).where("p is not null").groupBy(GRID).agg(
+    texts = filled(cells).withColumn("p", _place("value", places)).where("p is not null").groupBy(GRID).agg(
         F.min_by("p", F.struct("row_idx", "col_idx")).alias("in_text"))
     return named.join(texts, GRID, "left").select(GRID, "sheet", F.coalesce(_place("sheet", places), "in_text", _place("source", places)).alias("location"))
 
 
-def find_cross_tab(cells: DataFrame, depth: int = 5) -> DataFrame:
+def find_cross_tab(cells: DataFrame, depth: int | None = None) -> DataFrame:
     t = L.norm_label("value")
-    rows = filled(cells.where(F.col("row_idx") < depth + 1)).groupBy(GRID, "row_idx").agg(F.count_if(t.isin(DEPARTURE_ARRIVAL)).alias("n"))
+    rows = filled(_down_to(cells, depth)).groupBy(GRID, "row_idx").agg(F.count_if(t.isin(DEPARTURE_ARRIVAL)).alias("n"))
     return _first_row(rows.where("n >= 2 and row_idx >= 1"))
 
 
@@ -345,7 +364,8 @@ def cross_tab_traffic(cells: DataFrame, places: dict[str, str], terminals: dict[
     label = lambda c: F.lower(F.col(c))
     groups = fill_across(banner, ["group"]).where((F.col("group") != "") & F.col("sub").isin(DEPARTURE_ARRIVAL)).select(
         GRID, "col_idx", F.coalesce(L.lookup(F.concat(label("group"), F.lit(" "), "sub"), terminals), L.lookup(label("group"), terminals), "group").alias("terminal"))
-    month = filled(cells.where("row_idx < 2")).withColumn("m", D.month_label("value")).where("m is not null").groupBy(GRID).agg(
+    above = filled(cells).join(base.select(GRID, "base_row"), GRID).where("row_idx < base_row")
+    month = above.withColumn("m", D.month_label("value")).where("m is not null").groupBy(GRID).agg(
         F.min_by("m", F.struct("row_idx", "col_idx")).alias("title_month"))
     info = _sites(cells, places).join(month, GRID, "left").select(GRID, "location", F.coalesce(D.month_in_name("sheet"), "title_month").alias("anchor"))
     data = _below(cells, date_col)
@@ -360,7 +380,8 @@ def cross_tab_traffic(cells: DataFrame, places: dict[str, str], terminals: dict[
         GRID, "row_idx", "location", F.coalesce("month", "day").alias("date"), F.last_day("month").alias("period_end"),
         F.when(F.col("month").isNotNull(), "monthly").otherwise("daily").alias("granularity")).where("date is not null and location is not null")
     v = data.join(groups, [GRID, "col_idx"]).join(rows, [GRID, "row_idx"]).withColumn("x", NB.count_number("value")).where("x is not null")
-    return v.groupBy("date", "period_end", "granularity", "location", "terminal").agg(F.sum(F.col("x").cast("decimal(28,6)")).cast("double").alias("traffic"))
+    keys = ["date", "period_end", "granularity", "location", "terminal"]
+    return summed_per_file(v.select(GRID, *keys, "x"), cells, keys, {"traffic": F.col("x")})
 
 
 def _type(c) -> Column:
@@ -368,10 +389,10 @@ def _type(c) -> Column:
     return F.when(t.contains("domestic"), "Domestic").when(t.contains("international"), "International")
 
 
-def find_typed_traffic(cells: DataFrame, depth: int = 8) -> DataFrame:
+def find_typed_traffic(cells: DataFrame, depth: int | None = None) -> DataFrame:
     """Rows labelled Date / PAX with type banners above and arrival / departure labels below; ``base_row`` is the label row."""
     t = L.norm_label("value")
-    rows = filled(cells.where(F.col("row_idx") < depth)).groupBy(GRID, "row_idx").agg(
+    rows = filled(_down_to(cells, depth)).groupBy(GRID, "row_idx").agg(
         F.bool_or(t == "date").alias("d"), F.bool_or(t.contains("pax")).alias("p"), F.bool_or(_type(F.col("value")).isNotNull()).alias("ty"),
         F.count_if(t.isin(ARRIVAL_DEPARTURE)).alias("ad"))
     label = rows.where("d and p").select(GRID, "row_idx")
@@ -401,7 +422,7 @@ def typed_traffic(cells: DataFrame, places: dict[str, str], keep: str = "latest"
     date_cols = cols.where("is_date").select(GRID, "section", F.col("col_idx").alias("dc"))
     pax_cols = cols.where("is_ad and metric = 'pax' and type is not null and section > 0").select(GRID, "section", "col_idx", "type")
     where = cols.select(GRID, "col_idx", "section")
-    top = filled(cells.where("row_idx = 0")).select(GRID, "col_idx", F.coalesce(D.month_label("value"), F.trunc(D.text_date("value", years), "MM")).alias("m")).where("m is not null")
+    top = filled(cells).join(base.select(GRID, "base_row"), GRID).where("row_idx < base_row").select(GRID, "col_idx", F.coalesce(D.month_label("value"), F.trunc(D.text_date("value", years), "MM")).alias("m")).where("m is not null")
     own = top.join(where, [GRID, "col_idx"]).groupBy(GRID, "section").agg(F.max("m").alias("own_month"))
     any_month = top.groupBy(GRID).agg(F.max("m").alias("grid_month"))
     info = _sites(cells, places).join(any_month, GRID, "left")
@@ -442,15 +463,15 @@ def transposed_traffic(cells: DataFrame, places: dict[str, str], years: tuple[in
     previous = rows.select(GRID, (F.col("row_idx") + 1).alias("row_idx"), F.lit(True).alias("follows"))
     numbered = running_count(rows.join(previous, [GRID, "row_idx"], "left"), [GRID], "row_idx", F.col("follows").isNull(), "block").select(GRID, "row_idx", "block")
     out = body.join(numbered, [GRID, "row_idx"]).join(ranked, [GRID, "block"], "left").join(_sites(cells, places), GRID)
-    return out.groupBy("date", "location", F.coalesce("type", F.concat(F.lit("Group"), (F.col("block") - 1).cast("string"))).alias("terminal")).agg(
-        F.sum(F.col("x").cast("decimal(28,6)")).cast("double").alias("traffic")).select(
+    named = out.withColumn("terminal", F.coalesce("type", F.concat(F.lit("Group"), (F.col("block") - 1).cast("string"))))
+    return summed_per_file(named.select(GRID, "date", "location", "terminal", "x"), cells, ["date", "location", "terminal"], {"traffic": F.col("x")}).select(
         "date", F.lit(None).cast("date").alias("period_end"), F.lit("daily").alias("granularity"), "location", "terminal", "traffic")
 
 
 def flat_export(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
     """DATE, DOM_ARR_PAX, DOM_DEP_PAX, INT_ARR_PAX, INT_DEP_PAX columns, arrivals and departures added per type."""
     names = {"date": ["date"], "da": ["dom_arr_pax"], "dd": ["dom_dep_pax"], "ia": ["int_arr_pax"], "id": ["int_dep_pax"]}
-    t = alias_table(cells, names, ["date", "da", "ia"], depth=2)
+    t = alias_table(cells, names, ["date", "da", "ia"])
     n = lambda c: F.coalesce(NB.count_number(c), F.lit(0.0))
     kinds = F.array(F.struct(F.lit("Domestic").alias("terminal"), (n("da") + n("dd")).alias("traffic")), F.struct(F.lit("International").alias("terminal"), (n("ia") + n("id")).alias("traffic")))
     rows = t.join(_sites(cells, places), GRID).select(GRID, "row_idx", D.text_date("date", years).alias("date"), "location", F.explode(kinds).alias("k")).select(
@@ -464,9 +485,9 @@ def flat_export(cells: DataFrame, places: dict[str, str], years: tuple[int, int]
 def grid_kinds(cells: DataFrame, places: dict[str, str]) -> DataFrame:
     """Layout and route of every grid; the most specific layout wins. Traffic hints come first, then known revenue, targets."""
     t = L.norm_label("value")
-    head = filled(cells.where("row_idx < 15"))
+    head = filled(cells)
     names = head.groupBy(GRID, "row_idx").agg(
-        F.bool_or(t == "date").alias("d"), F.bool_or(t.contains("traffic") & (F.col("row_idx") < 15)).alias("tr"),
+        F.bool_or(t == "date").alias("d"), F.bool_or(t.contains("traffic")).alias("tr"),
         F.bool_or(t.contains("revenue") | (t == "pax")).alias("rev"), F.bool_or(t.isin("outlet", "sub business", "business", "segment", "outlet name")).alias("biz"),
         F.bool_or(t.contains("dom_arr_pax") | t.contains("dom arr pax")).alias("fx"), F.bool_or((F.col("col_idx") == 0) & (F.col("value") == BLOCK_MARKER)).alias("st"))
     flags = names.groupBy(GRID).agg(
@@ -493,8 +514,8 @@ def grid_kinds(cells: DataFrame, places: dict[str, str]) -> DataFrame:
         GRID, "source", "layout", "route")
 
 
-def all_traffic(cells: DataFrame, places: dict[str, str], terminals: dict[str, str], kinds: DataFrame, years: tuple[int, int] = D.YEARS) -> DataFrame:
-    """Every traffic layout of a corpus in one table; years before 2000 are dropped, one row per key."""
+def all_traffic(cells: DataFrame, places: dict[str, str], terminals: dict[str, str], kinds: DataFrame, years: tuple[int, int] = D.YEARS, first_year: int = 2000) -> DataFrame:
+    """Every traffic layout of a corpus in one table, from ``first_year`` on; one row per key."""
     of = lambda *ls: cells.join(kinds.where(F.col("layout").isin(*ls)).select(GRID), GRID, "left_semi")
     parts = [
         flat_traffic(of("flat_traffic"), places, years), cross_tab_traffic(of("cross_tab"), places, terminals, years),
@@ -503,4 +524,4 @@ def all_traffic(cells: DataFrame, places: dict[str, str], terminals: dict[str, s
     out = parts[0].select(*TRAFFIC, F.lit(0).alias("__o"))
     for i, p in enumerate(parts[1:], 1):
         out = out.unionByName(p.select(*TRAFFIC, F.lit(i).alias("__o")))
-    return keep_one(out.where(F.year("date") >= 2000), TRAFFIC_KEY, F.desc("__o"), F.desc("traffic")).select(*TRAFFIC)
+    return keep_one(out.where(F.year("date") >= first_year), TRAFFIC_KEY, F.desc("__o"), F.desc("traffic")).select(*TRAFFIC)

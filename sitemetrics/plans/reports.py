@@ -166,8 +166,8 @@ def group_report(
 ) -> DataFrame:
     """Management report: outlet, group, subtotal and total rows per location.
 
-    A node's visitors are those of the distinct terminals in the union of its outlets' pools, so pools that
-    overlap are not counted twice. The total adds leaves only. ``targets``: location, outlet, aop_target.
+    A node's visitors are those of the distinct labels that stand for the terminals of its outlets' pools at its
+    location (fallbacks and site shares as in :func:`allocate.pool_labels`), so pools that overlap are not counted twice. The total adds leaves only. ``targets``: location, outlet, aop_target.
     """
     keys = ["location", "outlet"]
     leaves = C.any_nonzero(C.side_sums(facts, pair, keys), ["current_revenue", "compare_revenue"])
@@ -178,15 +178,11 @@ def group_report(
     sums = member.groupBy(*node).agg(
         F.min("ord").alias("ord"), *[F.sum(c).alias(c) for c in SUMS], F.sum("aop_target").cast("double").alias("aop_target")
     )
-    reach = (
-        member.select(*node, "outlet").join(outlet_pool.where("pool is not null"), [c for c in keys if c in outlet_pool.columns])
-        .select(*node, "pool").distinct().join(pool_member.select("pool", "terminal"), "pool").select(*node, "terminal").distinct()
-    )
+    pools = member.select(*node, "outlet").join(outlet_pool.where("pool is not null"), [c for c in keys if c in outlet_pool.columns]).select(*node, "pool").distinct()
     out = C.add_changes(sums).drop("revenue_trend", "pax_trend", "revenue_change", "pax_change")
     for s in SIDES:
-        t = totals[s].select("location", "terminal", exact(totals[s], "traffic").alias("__t"))
-        per = reach.join(t, ["location", "terminal"]).groupBy(*node).agg(F.sum("__t").cast("double").alias(f"{s}_traffic"))
-        out = out.join(per, node, "left")
+        chosen = pools.join(A.pool_labels(totals[s], pool_member), ["location", "pool"])
+        out = out.join(A.label_sums(chosen, node).withColumnRenamed("traffic", f"{s}_traffic"), node, "left")
     out = out.withColumns({
         **{f"{s}_penetration_pct": M.penetration_pct(f"{s}_pax", f"{s}_traffic") for s in SIDES},
         **{f"{s}_rev_per_visitor": M.rev_per_visitor(f"{s}_revenue", f"{s}_traffic") for s in SIDES},

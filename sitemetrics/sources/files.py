@@ -41,10 +41,9 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def sniff_delimiter(text: Column) -> Column:
-    """The candidate that occurs most in the first ten lines; comma on a tie or when none occurs."""
-    head = F.substring_index(text, "\n", 10)
+    """The candidate that occurs most in the text; comma on a tie or when none occurs."""
     names = list(DELIMITERS)
-    counted = F.array(*[F.struct(_count(head, p).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, (d, p) in enumerate(DELIMITERS.items())])
+    counted = F.array(*[F.struct(_count(text, p).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, (d, p) in enumerate(DELIMITERS.items())])
     best = F.array_max(counted)
     return F.when(best["n"] > 0, best["d"]).otherwise(names[0])
 
@@ -107,10 +106,28 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def json_records(df: DataFrame) -> DataFrame:
-    """Rows of JSON documents: a list under one of the wrapper keys is exploded, nesting is flattened."""
-    wrapper = next((w for w in WRAPPERS if w in df.columns and isinstance(df.schema[w].dataType, T.ArrayType)), None)
-    rows = df if wrapper is None else df.select(F.explode(wrapper).alias("r")).select("r.*")
-    return flatten(rows)
+    """Rows of JSON documents, nesting flattened. Each document's first wrapper key that holds a list is exploded; one without is a row."""
+    lists = [w for w in WRAPPERS if w in df.columns and isinstance(df.schema[w].dataType, T.ArrayType)]
+    if not lists:
+        return flatten(df)
+    own = [c for c in df.columns if c not in lists]
+    rest = F.lit(True)
+    parts = []
+    for w in lists:
+        records = df.where(rest & F.col(w).isNotNull()).select(F.explode(w).alias("r"))
+        parts.append(flatten(records.select("r.*") if isinstance(records.schema["r"].dataType, T.StructType) else records))
+        rest = rest & F.col(w).isNull()
+    if own:
+        bare = F.lit(False)
+        for c in own:
+            bare = bare | F.col(f"`{c}`").isNotNull()
+        parts.append(flatten(df.where(rest & bare).select(*[f"`{c}`" for c in own])))
+    kinds: dict[str, set] = {}
+    for p in parts:
+        for name, kind in p.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    same = [p.select(*[(F.col(f"`{c}`").cast("string") if len(kinds[c]) > 1 else F.col(f"`{c}`")).alias(c) for c in p.columns]) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), same)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,5 @@
+"""Schema inference on sheets made for these tests: a ferry operator's counters, with its own labels and figures."""
+
 from __future__ import annotations
 
 import datetime as dt
@@ -8,121 +10,98 @@ from sitemetrics.functions.vocabulary import Vocab
 from sitemetrics.plans.infer import confidence_v2, infer
 from tests.conftest import cells_of
 
-TODAY = dt.date(2026, 8, 1)
+TODAY = dt.date(2025, 3, 31)
 VOCAB = Vocab(
-    places={"north hub": "North Hub", "nth": "North Hub", "south hub": "South Hub", "sth": "South Hub", "bay": "Bay Hub"},
-    segments={"lounge": "Lounges", "lounges": "Lounges", "greeting": "Greeting", "meet & greet": "Greeting", "others": "Others", "f&b": "Others", "spa": "Others"},
-    outlet_keywords=[("kitchen", "Catering"), ("lounge", "Lounges"), ("greeting", "Greeting"), ("spa", "Others")],
+    places={"east pier": "East Pier", "ep": "East Pier", "west quay": "West Quay", "wq": "West Quay", "old harbour": "Old Harbour"},
+    segments={"tickets": "Ticketing", "ticketing": "Ticketing", "snacks": "Food", "food": "Food", "bikes": "Rental", "rental": "Rental"},
+    outlet_keywords=[("booth", "Ticketing"), ("kiosk", "Food"), ("cycle", "Rental")],
 )
+FERRY = [("2025-03-09", "East Pier", "Ticketing", "Booth 1", 31, 77.75), ("2025-03-10", "West Quay", "Food", "Kiosk B", 12, 64.0), ("2025-03-11", "Old Harbour", "Rental", "Cycle Shed", 3, 49.5)]
+
+
+def long_sheet(before: int = 0):
+    """The three rows under plain headers, with `before` lines of remarks above."""
+    remarks = [[f"remark {k}"] for k in range(before)]
+    return [*remarks, ["Location", "Date", "Outlet", "Segment", "Revenue", "Pax"], *[[p, d, o, s, r, n] for d, p, s, o, n, r in FERRY]]
+
+
+def by_place():
+    """Two days, two piers side by side, two figures each."""
+    head = ["Date", "Outlet", "Segment", "PAX West Quay", "Revenue West Quay", "PAX East Pier", "Revenue East Pier"]
+    return [head, *[[f"{d:02d}/03/2025", "Kiosk B", "Food", d, d * 3.5, d + 1, d * 2.25] for d in (14, 15)]]
+
+
+def by_day(days: int = 4, outlets: int = 3):
+    """Amounts of outlets (rows) on days (columns): 7 * outlet + day."""
+    head = ["Outlet", "Segment", *[f"{d:02d}-02-2025" for d in range(1, days + 1)]]
+    return [["West Quay takings"], head, *[[f"Booth {o}", "Tickets", *[7 * o + d for d in range(1, days + 1)]] for o in range(1, outlets + 1)]]
+
 
 GRIDS = {
-    "odd_headers": ("daily_sales.csv", "", [
-        ["Txn Dt", "Airport", "Business Line", "Unit", "Guests", "Sales (INR)"],
-        ["05/07/2026", "NTH", "Lounge", "Lounge T3 Intl", "1250", "₹ 12,50,000.50"],
-        ["05/07/2026", "STH", "Lounge", "Lounge South Dom", "890", "Rs. 8,90,450"],
-        ["05/07/2026", "Bay", "Meet & Greet", "Greeting Bay", "45", "₹ 2,25,000"],
-        ["05/07/2026", "NTH", "F&B", "Food Court T3", "300", "(15,000)"],
-        ["Grand Total", "", "", "", "2485", "₹ 23,50,450"],
-    ]),
-    "title_date": ("performance.xlsx", "Report", [
-        ["Daily Performance Report"], ["For 06-Jul-2026"], [],
-        ["Station", "Outlet Name", "Footfall", "Amount"],
-        ["North Hub", "Lounge T3", 1500, 1600000], [None, "Spa T3", 120, 240000], [None, "Plate Kitchen", 0, 95000],
-        ["South Hub", "Lounge South", 700, 720000], [None, "Greeting Services", 60, 180000], ["Total", "", 2380, 2835000],
+    "plain": ("march.csv", "", long_sheet()),
+    "deep": ("march_remarks.csv", "", long_sheet(130)),
+    "titled": ("evening.xlsx", "Sheet7", [
+        ["Evening count, 18-Feb-2025"], ["Location", "Outlet", "Visitors", "Revenue"], ["Old Harbour", "Cycle Shed", 9, "(41.25)"], ["", "Kiosk H", 22, "1,080.40"],
+        ["East Pier", "Booth 2", 40, "Rs. 96"], ["Total", "", 71, 1135.15],
     ]),
-    "wide_dates": ("north_wide.xlsx", "North Hub", [
-        ["Revenue Report — North Hub Airport"], ["Segment", "Outlet", "01-07-2026", "02-07-2026", "03-07-2026"],
-        ["Lounges", "Lounge T3", 1000000, 1100000, 1050000], ["Greeting", "Greeting T3", 200000, 210000, 190000],
-    ]),
-    "document": ("generic.pdf", "", [
-        ["Date", "City", "Business", "Outlet", "Passengers", "Revenue"],
-        ["05-07-2026", "North Hub", "Lounges", "Lounge T1", "400", "4,00,000"], ["05-07-2026", "Bay", "Others", "Spa Bay", "50", "1,10,000"],
-    ]),
-    "budget": ("AOP_Budget_FY27.xlsx", "AOP FY27", [
-        ["Annual Operating Plan — Budget FY 2026-27 (Rs. in Lakhs)"], ["Outlet", "Location", "01-04-2026", "01-05-2026", "01-06-2026"],
-        ["Lounge T3", "North Hub", 250, 260, 270],
-    ]),
-    "traffic_only": ("airport_traffic.xlsx", "Sheet", [
-        ["Date", "Location", "Traffic"], ["2026-07-05", "North Hub", 195000], ["2026-07-05", "Bay", 28000],
-    ]),
-    "lakhs": ("lakhs.xlsx", "North Hub", [
-        ["Daily Revenue (Rs. in Lakhs) — 05-07-2026"], ["Segment", "Outlet", "Guests", "Revenue"], ["Lounges", "Lounge T3", 1200, 12.5],
-    ]),
-    "wide_places": ("sites.xlsx", "Sheet1", [
-        ["Date", "Segment", "Outlet", "Revenue North Hub", "PAX North Hub", "Revenue Bay", "PAX Bay"],
-        ["05/07/2026", "Lounges", "Lounge A", 100.5, 10, 200.25, 20], ["06/07/2026", "Lounges", "Lounge A", 110.5, 11, 210.25, 21],
-    ]),
-    "prose": ("note.txt", "", [["just some text"], ["and more"]]),
+    "by_place": ("piers.xlsx", "Both", by_place()),
+    "by_day": ("february.xlsx", "West Quay", by_day()),
+    "plan": ("plan.xlsx", "Budget", [["Budget for 2025"], ["Outlet", "Location", "01-05-2025", "01-06-2025"], ["Booth 1", "East Pier", 8, 9]]),
+    "counts": ("gates.csv", "", [["Location", "Date", "Traffic"], ["East Pier", "2025-03-01", 501], ["West Quay", "2025-03-01", 377]]),
+    "scaled": ("scaled.xlsx", "East Pier", [["Takings 02-03-2025 (Rs. in Lakhs)"], ["Segment", "Outlet", "Pax", "Revenue"], ["Tickets", "Booth 1", 630, 0.75]]),
+    "letter": ("letter.txt", "", [["Dear all,"], ["see you at the quay"]]),
 }
 
 
 @pytest.fixture(scope="module")
-def result(spark):
-    r = infer(cells_of(spark, GRIDS), VOCAB, TODAY)
+def found(spark):
+    result = infer(cells_of(spark, GRIDS), VOCAB, TODAY)
     rows = {}
-    for x in r.rows.orderBy("grid_id", "row_idx", "date", "location").collect():
-        rows.setdefault(x["grid_id"], []).append(x)
-    return r, rows, {g["grid_id"]: g for g in r.grids.collect()}
-
-
-def test_unfamiliar_headers(result):
-    _, rows, grids = result
-    got = rows["odd_headers"]
-    assert len(got) == 4
-    assert got[0]["date"] == dt.date(2026, 7, 5)
-    assert {r["location"] for r in got} == {"North Hub", "South Hub", "Bay Hub"}
-    assert got[0]["revenue"] == pytest.approx(1250000.50) and got[3]["revenue"] == -15000
-    assert got[0]["pax"] == 1250 and got[2]["segment"] == "Greeting"
-    assert grids["odd_headers"]["confidence"] >= 0.55
+    for r in result.rows.orderBy("grid_id", "row_idx", "date", "location").collect():
+        rows.setdefault(r["grid_id"], []).append(r)
+    return result, rows, {g["grid_id"]: g for g in result.grids.collect()}
 
 
-def test_title_date_and_section_fill(result):
-    _, rows, _ = result
-    got = rows["title_date"]
-    assert len(got) == 5
-    assert {r["date"] for r in got} == {dt.date(2026, 7, 6)}
-    assert [r["location"] for r in got] == ["North Hub"] * 3 + ["South Hub"] * 2
-    assert [r["segment"] for r in got] == ["Lounges", "Others", "Catering", "Lounges", "Greeting"]
+@pytest.mark.parametrize("grid", ["plain", "deep"])
+def test_long_sheets_come_back_wherever_the_header_is(found, grid):
+    got = [(str(r["date"]), r["location"], r["segment"], r["outlet"], r["pax"], r["revenue"]) for r in found[1][grid]]
+    assert got == FERRY
 
 
-def test_dates_as_columns(result):
-    _, rows, grids = result
-    got = rows["wide_dates"]
-    assert len(got) == 6 and {r["location"] for r in got} == {"North Hub"}
-    assert len({r["date"] for r in got}) == 3 and sum(r["revenue"] for r in got) == 3750000
-    assert grids["wide_dates"]["layout"] == "date_wide"
+def test_missing_columns_are_recovered(found):
+    got = found[1]["titled"]
+    assert [(r["location"], r["segment"], r["pax"], r["revenue"]) for r in got] == [
+        ("Old Harbour", "Rental", 9, -41.25), ("Old Harbour", "Food", 22, 1080.4), ("East Pier", "Ticketing", 40, 96)]
+    assert {str(r["date"]) for r in got} == {"2025-02-18"}
 
 
-def test_places_as_columns_with_metrics(result):
-    _, rows, grids = result
-    got = {(r["date"].day, r["location"]): (r["pax"], r["revenue"]) for r in rows["wide_places"]}
-    assert got == {(5, "North Hub"): (10, 100.5), (5, "Bay Hub"): (20, 200.25), (6, "North Hub"): (11, 110.5), (6, "Bay Hub"): (21, 210.25)}
-    assert grids["wide_places"]["layout"] == "location_wide"
+def test_places_side_by_side(found):
+    got = {(r["date"].day, r["location"]): (r["pax"], r["revenue"]) for r in found[1]["by_place"]}
+    assert got == {(d, p): v for d in (14, 15) for p, v in (("West Quay", (d, d * 3.5)), ("East Pier", (d + 1, d * 2.25)))}
+    assert found[2]["by_place"]["layout"] == "location_wide"
 
 
-def test_document_table(result):
-    _, rows, _ = result
-    assert [r["revenue"] for r in rows["document"]] == [400000, 110000]
-    assert {r["location"] for r in rows["document"]} == {"North Hub", "Bay Hub"}
+def test_days_side_by_side(found):
+    got = {(r["outlet"], r["date"].day): r["revenue"] for r in found[1]["by_day"]}
+    assert got == {(f"Booth {o}", d): 7 * o + d for o in range(1, 4) for d in range(1, 5)}
+    assert found[2]["by_day"]["layout"] == "date_wide" and {r["location"] for r in found[1]["by_day"]} == {"West Quay"}
 
 
-def test_guards(result):
-    _, rows, grids = result
-    assert "budget" not in rows and "budget" in grids["budget"]["reason"]
-    assert "traffic_only" not in rows and "revenue" in grids["traffic_only"]["reason"]
-    assert grids["prose"]["reason"] == "no header row found"
+def test_other_sheets_are_turned_away_with_a_reason(found):
+    _, rows, grids = found
+    assert not {"plan", "counts", "letter"} & set(rows)
+    assert "budget" in grids["plan"]["reason"] and "revenue" in grids["counts"]["reason"] and grids["letter"]["reason"] == "no header row found"
 
 
-def test_unit_multiplier_spares_pax(result):
-    _, rows, _ = result
-    assert rows["lakhs"][0]["revenue"] == 1250000 and rows["lakhs"][0]["pax"] == 1200
+def test_a_stated_unit_scales_amounts_only(found):
+    (row,) = found[1]["scaled"]
+    assert (row["revenue"], row["pax"]) == (75000, 630)
 
 
-def test_mapping_report_and_second_confidence(spark, result):
-    r, _, _ = result
-    report = {(m["grid_id"], m["role"]): m for m in r.mapping.collect()}
-    assert report[("odd_headers", "pax")]["source"] == "column 'Guests'"
-    assert report[("title_date", "date")]["method"] == "recovered"
-    rate = spark.createDataFrame([("odd_headers", 1.0)], "grid_id string, pass_rate double")
-    scores = {x["grid_id"]: x for x in confidence_v2(r.mapping, r.rows, rate).collect()}
-    assert scores["odd_headers"]["level"] == "high" and scores["odd_headers"]["score"] <= 1.0
+def test_mapping_and_confidence(spark, found):
+    result, _, grids = found
+    how = {(m["grid_id"], m["role"]): (m["source"], m["method"]) for m in result.mapping.collect()}
+    assert how["titled", "pax"][0] == "column 'Visitors'" and how["titled", "date"][1] == "recovered"
+    rate = spark.createDataFrame([("plain", 1.0)], "grid_id string, pass_rate double")
+    score = {x["grid_id"]: x for x in confidence_v2(result.mapping, result.rows, rate).collect()}["plain"]
+    assert 0 < score["score"] <= 1 and score["level"] == "high" and 0 < grids["plain"]["confidence"] <= 1
