@@ -178,11 +178,12 @@ def group_report(
     sums = member.groupBy(*node).agg(
         F.min("ord").alias("ord"), *[F.sum(c).alias(c) for c in SUMS], F.sum("aop_target").cast("double").alias("aop_target")
     )
-    pools = member.select(*node, "outlet").join(outlet_pool.where("pool is not null"), [c for c in keys if c in outlet_pool.columns]).select(*node, "pool").distinct()
+    pools = member.select(*node, "outlet").join(outlet_pool.where("pool is not null"), [c for c in keys if c in outlet_pool.columns]).select("location", F.col("level").alias("__level"), F.col("label").alias("__node"), "pool").distinct()
     out = C.add_changes(sums).drop("revenue_trend", "pax_trend", "revenue_change", "pax_change")
     for s in SIDES:
         chosen = pools.join(A.pool_labels(totals[s], pool_member), ["location", "pool"])
-        out = out.join(A.label_sums(chosen, node).withColumnRenamed("traffic", f"{s}_traffic"), node, "left")
+        per = A.label_sums(chosen, ["location", "__level", "__node"]).toDF(*node, f"{s}_traffic")
+        out = out.join(per, node, "left")
     out = out.withColumns({
         **{f"{s}_penetration_pct": M.penetration_pct(f"{s}_pax", f"{s}_traffic") for s in SIDES},
         **{f"{s}_rev_per_visitor": M.rev_per_visitor(f"{s}_revenue", f"{s}_traffic") for s in SIDES},
