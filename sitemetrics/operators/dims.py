@@ -70,9 +70,10 @@ def display_name(df: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def outlet_group(df: DataFrame, groups: DataFrame) -> DataFrame:
-    """Report group by outlet, "Other" where none is defined."""
-    g = groups.select("outlet", F.col("group").alias("__g"))
-    return df.join(g, "outlet", "left").withColumn("outlet_group", F.coalesce("__g", F.lit(OTHER_GROUP))).select(*df.columns, "outlet_group")
+    """Report group by outlet, or by (outlet, location) where ``groups`` names places; "Other" where none is defined."""
+    on = [c for c in ("outlet", "location") if c in groups.columns]
+    g = groups.select(*on, F.col("group").alias("__g"))
+    return df.join(g, on, "left").withColumn("outlet_group", F.coalesce("__g", F.lit(OTHER_GROUP))).select(*df.columns, "outlet_group")
 
 
 def add_pool(df: DataFrame, outlet_pool: DataFrame, single_terminal_sites: list[str] = ()) -> DataFrame:

@@ -142,21 +142,23 @@ def type_mix(current: DataFrame, compare: DataFrame, terminal_type: DataFrame) -
 
 
 def report_nodes(leaves: DataFrame, group_member: DataFrame, subtotal_member: DataFrame) -> DataFrame:
-    """(outlet, level, label, ord) for the outlet itself, its group, its subtotals and the grand total.
+    """(outlet, location, level, label, ord) for the outlet itself, its group, its subtotals and the grand total.
 
-    ``group_member``: outlet, group, ord. ``subtotal_member``: group, subtotal, ord.
+    ``group_member``: outlet, optionally location, group, ord. ``subtotal_member``: group, subtotal, ord.
     Outlets without a group go to "Other", after everything else.
     """
     last = 1_000_000
-    grouped = leaves.select("outlet").distinct().join(group_member, "outlet", "left").select(
-        "outlet", F.coalesce("group", F.lit(dims.OTHER_GROUP)).alias("group"), F.coalesce("ord", F.lit(last)).alias("ord")
+    keys = ["outlet", "location"]
+    on = [c for c in keys if c in group_member.columns]
+    grouped = leaves.select(*keys).distinct().join(group_member.select(*on, "group", "ord"), on, "left").select(
+        *keys, F.coalesce("group", F.lit(dims.OTHER_GROUP)).alias("group"), F.coalesce("ord", F.lit(last)).alias("ord")
     )
-    own = grouped.select("outlet", F.lit("outlet").alias("level"), F.col("outlet").alias("label"), "ord")
-    group = grouped.select("outlet", F.lit("group").alias("level"), F.col("group").alias("label"), "ord")
+    own = grouped.select(*keys, F.lit("outlet").alias("level"), F.col("outlet").alias("label"), "ord")
+    group = grouped.select(*keys, F.lit("group").alias("level"), F.col("group").alias("label"), "ord")
     subtotal = grouped.drop("ord").join(subtotal_member, "group").select(
-        "outlet", F.lit("subtotal").alias("level"), F.col("subtotal").alias("label"), "ord"
+        *keys, F.lit("subtotal").alias("level"), F.col("subtotal").alias("label"), "ord"
     ).distinct()
-    total = grouped.select("outlet", F.lit("total").alias("level"), F.lit("Total").alias("label"), F.lit(last + 1).alias("ord"))
+    total = grouped.select(*keys, F.lit("total").alias("level"), F.lit("Total").alias("label"), F.lit(last + 1).alias("ord"))
     return own.unionByName(group).unionByName(subtotal).unionByName(total)
 
 
@@ -173,7 +175,7 @@ def group_report(
     leaves = C.any_nonzero(C.side_sums(facts, pair, keys), ["current_revenue", "compare_revenue"])
     per_target = targets.groupBy(*keys).agg(F.sum(exact(targets, "aop_target")).alias("aop_target"))
     nodes = report_nodes(leaves, group_member, subtotal_member)
-    member = leaves.join(per_target, keys, "left").join(nodes, "outlet")
+    member = leaves.join(per_target, keys, "left").join(nodes, keys)
     node = ["location", "level", "label"]
     sums = member.groupBy(*node).agg(
         F.min("ord").alias("ord"), *[F.sum(c).alias(c) for c in SUMS], F.sum("aop_target").cast("double").alias("aop_target")

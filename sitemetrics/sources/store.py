@@ -204,9 +204,13 @@ def derived_history(stored: DataFrame, spec: TableSpec) -> DataFrame:
     ).select("file_name", "report_date", "row_count", "primary_total", "total_pax", "uploaded_at", F.lit("Available").alias("status"), F.lit(spec.load_type).alias("load_type"))
 
 
+def newest_first(loads: DataFrame) -> DataFrame:
+    return loads.orderBy(F.desc("uploaded_at"), "file_name")
+
+
 def history(spark: SparkSession, root: str) -> DataFrame:
     """Load history, newest first."""
-    return spark.read.schema(HISTORY).parquet(f"{root}/load_history").orderBy(F.desc("uploaded_at"), "file_name")
+    return newest_first(spark.read.schema(HISTORY).parquet(f"{root}/load_history"))
 
 
 def retagged(stored: DataFrame, segment_map: DataFrame) -> DataFrame:

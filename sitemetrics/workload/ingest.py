@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sitemetrics.functions import vocabulary as V
 from sitemetrics.operators import ordered as O
-from sitemetrics.operators.reuse import materialise, shared_folder
+from sitemetrics.operators.reuse import materialise, shared_folder, stage_path
 from sitemetrics.plans import grids as G
 from sitemetrics.plans import infer as INF
 from sitemetrics.plans import quality as QL
@@ -211,6 +211,42 @@ def rows_to_retag(spark, sf):
     return fixed.where("segment <> old_segment").select("old_segment", "outlet")
 
 
+@query("s18_retag", with_ctes(["rev"], """
+SELECT date, CASE WHEN segment IN ('BUILDING', 'FURNITURE') THEN 'Core' ELSE segment END AS segment, outlet, location, CAST(revenue AS DOUBLE) AS revenue,
+  CASE WHEN segment = 'BUILDING' THEN 'Custom' WHEN segment = 'FURNITURE' THEN 'Furniture' ELSE segment END AS business_unit
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY date, CASE WHEN segment IN ('BUILDING', 'FURNITURE') THEN 'Core' ELSE segment END, outlet, location ORDER BY segment) AS n FROM rev) WHERE n = 1"""))
+def retag(spark, sf):
+    """All stored rows after a rule change; two old segments become one, and of rows that then share a key the first delivered stays."""
+    rules = spark.createDataFrame([("BUILDING", None, "Core", "Building"), ("FURNITURE", None, "Core", "Furniture")], "raw_segment string, outlet_key string, segment string, business_unit string")
+    unit = F.when(F.col("segment") == "BUILDING", "Custom").when(F.col("segment") != "FURNITURE", F.col("segment"))
+    stored = X.rev(spark, sf).select(
+        "date", "segment", unit.alias("business_unit"), "outlet", "location", F.col("revenue").cast("double").alias("revenue"), F.col("segment").alias("source_file"),
+        F.lit(dt.datetime(2024, 1, 1)).alias("uploaded_at"))
+    return ST.retagged(stored, rules).drop("source_file", "uploaded_at")
+
+
+@query("s14_load_repeated", with_ctes(["traffic"], """
+SELECT date, location, terminal, granularity, CAST(traffic AS DOUBLE) AS traffic, CASE WHEN terminal <= '3' THEN 'first' ELSE 'third' END AS source_file FROM traffic"""))
+def load_repeated(spark, sf):
+    """A load, the same again, and one of all rows with other figures for the stored keys: the first delivery stays."""
+    root = stage_path(spark, "store")
+    t = X.traffic(spark, sf).withColumn("traffic", F.col("traffic").cast("double"))
+    early = t.where("terminal <= '3'")
+    later = t.withColumn("traffic", F.when(F.col("terminal") <= "3", F.col("traffic") + 1).otherwise(F.col("traffic")))
+    for k, (name, batch) in enumerate((("first", early), ("second", early), ("third", later.unionByName(later.limit(1).withColumn("location", F.lit(None).cast("string")))))):
+        ST.load(spark, root, ST.TRAFFIC, ST.clean_traffic(batch), name, dt.datetime(2024, 1, 1 + k))
+    return ST.read_table(spark, root, ST.TRAFFIC).select("date", "location", "terminal", "granularity", "traffic", "source_file")
+
+
+@query("s16_target_loads", with_ctes(["target_monthly"], "SELECT location, 'Main' AS segment, outlet, CAST(year AS INT) AS year, CAST(month AS INT) AS month, CAST(aop AS DOUBLE) AS aop FROM target_monthly"))
+def target_loads(spark, sf):
+    root = stage_path(spark, "store")
+    batch = ST.clean_monthly(X.target_monthly(spark, sf), "Main")
+    for k in range(2):
+        ST.load(spark, root, ST.TARGET_MONTHLY, batch, f"budget {k}", dt.datetime(2024, 1, 1 + k))
+    return ST.read_table(spark, root, ST.TARGET_MONTHLY).select("location", "segment", "outlet", "year", "month", "aop")
+
+
 @query("s20_embedded_targets", with_ctes(["rev"], """
 SELECT location, outlet, 'Main' AS segment, CAST(YEAR(date) AS INT) AS year, CAST(MONTH(date) AS INT) AS month, CAST(SUM(revenue) AS DOUBLE) AS aop FROM rev WHERE segment <> 'BUILDING' GROUP BY 1, 2, 4, 5"""))
 def embedded_targets(spark, sf):
@@ -339,9 +375,9 @@ def fill_across(spark, sf):
     return G.fill_across(h, ["banner"])
 
 
-@query("w07_first_in_order", "SELECT o_custkey, (LIST(o_orderpriority ORDER BY o_orderpriority, o_orderkey))[1] AS pick FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1")
+@query("w07_first_in_order", "SELECT o_custkey, (LIST(o_orderpriority ORDER BY o_orderpriority, o_orderkey))[1] AS pick FROM orders GROUP BY 1")
 def first_in_order(spark, sf):
-    return orders(spark, sf).where("o_orderpriority <> '1-URGENT'").groupBy("o_custkey").agg(F.min_by("o_orderpriority", F.struct("o_orderpriority", "o_orderkey")).alias("pick"))
+    return orders(spark, sf).groupBy("o_custkey").agg(F.min_by("o_orderpriority", F.struct("o_orderpriority", "o_orderkey")).alias("pick"))
 
 
 @query("r01_union_by_key", with_ctes(["traffic"], """
@@ -368,9 +404,14 @@ def dimension_order(spark, sf):
     return s.join(ord_, "segment", "left").fillna(9, ["ord"]).orderBy("ord", "segment")
 
 
-@query("o07_history_order", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+@query("o07_history_order", """
+SELECT o_orderpriority AS file_name, MIN(CAST(o_orderdate AS DATE)) AS report_date, COUNT(*) AS row_count, CAST(SUM(CAST(o_totalprice AS DECIMAL(30,8))) AS DOUBLE) AS primary_total,
+  CAST(0 AS DOUBLE) AS total_pax, CAST(o_orderdate AS TIMESTAMP) AS uploaded_at, 'Available' AS status, 'Traffic' AS load_type FROM orders GROUP BY o_orderpriority, o_orderdate""")
 def history_order(spark, sf):
-    return orders(spark, sf).select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(100)
+    """History of all loads, derived from the stored rows: every priority and day is a delivered file."""
+    stored = orders(spark, sf).select(
+        F.col("o_orderpriority").alias("source_file"), F.col("o_orderdate").cast("timestamp").alias("uploaded_at"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("traffic"))
+    return ST.newest_first(ST.derived_history(stored, ST.TRAFFIC))
 
 
 # --- schema inference ------------------------------------------------------------------------------------------
