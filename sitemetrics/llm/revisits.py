@@ -69,8 +69,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     found = latest_earlier(points.groupBy("url", "fetched").agg(F.max("response").alias("response")))
     found = written(found.where("found IS NOT NULL"), "asof")
 
-    stored = responses.select(F.col("record_id").alias("found"), F.col("etag").alias("old_etag"), F.col("last_modified").alias("old_modified"), F.col("headers").alias("old_headers"))
-    joined = revisits.join(found, ["url", "fetched"], "left").join(stored, "found", "left")
+    # Revisits that found nothing have no key to meet on; a second one spreads them.
+    spread = F.when(F.col("found").isNull(), F.xxhash64("record_id", "fetched")).otherwise(F.lit(0))
+    stored = responses.select(F.col("record_id").alias("found"), F.lit(0).cast("long").alias("spread"), F.col("etag").alias("old_etag"), F.col("last_modified").alias("old_modified"), F.col("headers").alias("old_headers"))
+    joined = revisits.join(found, ["url", "fetched"], "left").withColumn("spread", spread).join(stored, ["found", "spread"], "left")
     agrees = F.when(F.col("etag").isNotNull(), _tag(F.col("etag")) == _tag(F.col("old_etag"))).otherwise(F.col("last_modified") == F.col("old_modified"))
     state = (
         F.when(F.col("url").isNull() | F.col("fetched").isNull(), "no_key").when(F.col("found").isNull(), "no_response")
