@@ -139,19 +139,36 @@ def json_pairs(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return df.select(id_col, F.explode(F.from_json(text, "map<string,string>")).alias("key", "value"))
 
 
+_NAME = r"[A-Za-z_][\w.\-]*"
+_PREFIX = rf"(?:{_NAME}:)?"
+
+
 def xml_row_tag(text: Column) -> Column:
-    """The first element name, below the root, that occurs more than once."""
-    names = F.regexp_extract_all(text, F.lit(r"<([A-Za-z_][\w.\-]*)"), F.lit(1))
-    return let(names, lambda n: F.try_element_at(F.filter(
-        F.array_distinct(n), lambda x: F.size(F.filter(n, lambda y: y == x)) > 1), F.lit(1)))
+    """The outermost element with child elements, below the root, that occurs more than once; else the first below the root; else the root.
+
+    Names are without their namespace prefix.
+    """
+    names = F.regexp_extract_all(text, F.lit(rf"<{_PREFIX}({_NAME})"), F.lit(1))
+    parent = lambda x: F.regexp_like(text, F.concat(F.lit(rf"<{_PREFIX}"), x, F.lit(rf"(?:\s[^>]*)?>\s*<{_PREFIX}{_NAME}")))
+    below = lambda n: F.filter(F.slice(F.array_distinct(n), 2, F.greatest(F.size(n), F.lit(1))), parent)
+    return let(names, lambda n: F.coalesce(
+        F.try_element_at(F.filter(below(n), lambda x: F.size(F.filter(n, lambda y: y == x)) > 1), F.lit(1)), F.try_element_at(below(n), F.lit(1)), F.try_element_at(n, F.lit(1))))
+
+
+def _without_cdata(text: Column) -> Column:
+    """CDATA sections as escaped text, comments dropped."""
+    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    found = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?s)<!\[CDATA\[(.*?)\]\]>"), F.lit(1)))
+    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.aggregate(found, bare, lambda acc, c: F.replace(acc, F.concat(F.lit("<![CDATA["), c, F.lit("]]>")), plain(c)))
 
 
 def xml_cells(files: DataFrame) -> DataFrame:
-    """Leaf elements of the repeated row element as (path, row_idx, name, value); ``files``: path, text."""
-    tagged = files.withColumn("tag", xml_row_tag(F.col("text"))).where("tag is not null")
-    row = F.concat(F.lit("(?s)<"), F.col("tag"), F.lit(r"(?:\s[^>]*)?>(.*?)</"), F.col("tag"), F.lit(">"))
+    """Leaf elements of the row element as (path, row_idx, name, value); ``files``: path, text. A file of one record has one row."""
+    tagged = files.select("path", _without_cdata(F.col("text")).alias("text")).withColumn("tag", xml_row_tag(F.col("text"))).where("tag is not null")
+    row = F.concat(F.lit(rf"(?s)<{_PREFIX}"), F.col("tag"), F.lit(rf"(?:\s[^>]*)?>(.*?)</{_PREFIX}"), F.col("tag"), F.lit(">"))
     rows = tagged.select("path", F.posexplode(F.regexp_extract_all("text", row, F.lit(1))).alias("row_idx", "body"))
-    leaf = r"<([A-Za-z_][\w.\-]*)(?:\s[^>]*)?>([^<]*)</\1>"
+    leaf = rf"<{_PREFIX}({_NAME})(?:\s[^>]*)?>([^<]*)</{_PREFIX}\1>"
     pairs = F.arrays_zip(F.regexp_extract_all("body", F.lit(leaf), F.lit(1)).alias("n"), F.regexp_extract_all("body", F.lit(leaf), F.lit(2)).alias("v"))
     return rows.select("path", "row_idx", F.explode(pairs).alias("x")).select("path", "row_idx", F.col("x.n").alias("name"), unescape(F.col("x.v")).alias("value"))
 
@@ -161,11 +178,18 @@ def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return flatten(spark.read.format("xml").option("rowTag", row_tag).load(path))
 
 
+def _numbered(text: Column) -> Column:
+    """Decimal and hexadecimal character references as characters."""
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(1)))
+    code = lambda r: F.when(r.rlike("^[xX]"), F.substring(r, 2, 10)).otherwise(F.hex(r.cast("long")))
+    return F.aggregate(refs, text, lambda acc, r: F.replace(acc, F.concat(F.lit("&#"), r, F.lit(";")), F.decode(F.unhex(F.lpad(code(r), 8, "0")), "UTF-32")))
+
+
 def unescape(text: Column) -> Column:
     out = text
-    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " ")):
         out = F.replace(out, F.lit(code), F.lit(char))
-    return out
+    return F.replace(_numbered(out), F.lit("&amp;"), F.lit("&"))
 
 
 def html_cells(pages: DataFrame, id_col: str = "path", html: str = "html") -> DataFrame:

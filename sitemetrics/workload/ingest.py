@@ -67,11 +67,11 @@ def flatten_records(spark, sf):
 
 @query("s03_xml_cells", f"""
 SELECT 'c' || CAST(f AS VARCHAR) AS path, CAST(n AS INT) AS row_idx, UNNEST(['key', 'note', 'day']) AS name, UNNEST([CAST(o_orderkey AS VARCHAR), o_orderpriority || ' & <co>', CAST({DAY} AS VARCHAR)]) AS value
-FROM (SELECT *, o_orderkey // 100 AS f, ROW_NUMBER() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) - 1 AS n, COUNT(*) OVER (PARTITION BY o_orderkey // 100) AS cnt FROM orders) WHERE cnt > 1""")
+FROM (SELECT *, o_orderkey // 100 AS f, ROW_NUMBER() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) - 1 AS n FROM orders)""")
 def xml_cells(spark, sf):
     row = F.concat(F.lit('<order id="1"><key>'), text("o_orderkey"), F.lit("</key><note>"), "o_orderpriority", F.lit(" &amp; &lt;co&gt;</note><day>"), F.col("o_orderdate").cast("date").cast("string"), F.lit("</day></order>"))
     docs = orders(spark, sf).select(F.floor(F.col("o_orderkey") / 100).alias("f"), "o_orderkey", row.alias("row")).groupBy("f").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))), lambda x: x["row"]), "\n").alias("body"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))), lambda x: x["row"]), "\n").alias("body"))
     files = docs.select(F.concat(F.lit("c"), text("f")).alias("path"), F.concat(F.lit("<?xml version='1.0'?><orders>"), "body", F.lit("</orders>")).alias("text"))
     return FS.xml_cells(files).select("path", F.col("row_idx").cast("int").alias("row_idx"), "name", "value")
 

@@ -52,3 +52,20 @@ def test_html_tables_with_open_tags(spark):
 def test_column_aliases(spark):
     df = spark.createDataFrame([(1, 2)], "`Report Date` int, `Total Revenue (INR)` int")
     assert FS.find_column(df, ["revenue"]) == "Total Revenue (INR)" and FS.find_column(df, ["report date"]) == "Report Date" and FS.find_column(df, ["x"]) is None
+
+
+def test_xml_of_other_shapes(spark):
+    files = {
+        "one": "<root><row><a>1</a><b>&#233;&#x41;&apos;</b></row></root>",
+        "prefix": "<n:root xmlns:n='u'><n:row><n:a>1</n:a></n:row><n:row><n:a>2</n:a></n:row></n:root>",
+        "leaves": "<root><meta><k>p</k><k>q</k></meta><row><a>1</a></row><row><a>2</a></row></root>",
+        "cdata": "<root><!-- <row> --><row><a><![CDATA[x < y & z]]></a></row><row><a>2</a></row></root>",
+        "flat": "<rec><a>1</a><b>2</b></rec>",
+    }
+    got = {}
+    for r in FS.xml_cells(spark.createDataFrame(list(files.items()), "path string, text string")).orderBy("path", "row_idx", "name").collect():
+        got.setdefault(r["path"], []).append((r["row_idx"], r["name"], r["value"]))
+    assert got == {
+        "one": [(0, "a", "1"), (0, "b", "éA'")], "prefix": [(0, "a", "1"), (1, "a", "2")], "leaves": [(0, "a", "1"), (1, "a", "2")],
+        "cdata": [(0, "a", "x < y & z"), (1, "a", "2")], "flat": [(0, "a", "1"), (0, "b", "2")],
+    }
