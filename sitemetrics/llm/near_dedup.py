@@ -60,7 +60,7 @@ def _features(size: int):
             if len(full):
                 for k in range(HASHES):
                     signature[full, k] = np.minimum.reduceat((values ^ _XOR[k]) * _FACTOR[k], at)
-                digest[0, full] = np.add.reduceat(mix(values ^ np.uint64(0xA5A5)), at)
+                digest[0, full] = np.add.reduceat(_digest_a(values), at)
                 digest[1, full] = np.add.reduceat(mix(values + np.uint64(0x1234567)), at)
             lists = pa.ListArray.from_arrays(np.arange(0, n * HASHES + 1, HASHES, dtype=np.int32), as_signed(signature.ravel()))
             yield pa.record_batch([batch.column("id"), pa.array(count.astype(np.int64)), as_signed(digest[0]), as_signed(digest[1]), lists], names=["id", "n_shingles", "set_a", "set_b", "signature"])
@@ -82,6 +82,29 @@ def _members(size: int, known: np.ndarray):
     return run
 
 
+def _elements(size: int, known: np.ndarray):
+    """(set_a, element) of the texts whose ids may be among the known ones."""
+
+    def run(batches):
+        for batch in slices(batches):
+            batch = batch.filter(batch.column("id").is_valid())
+            batch = batch.filter(pa.array(passes(known, batch.column("id").to_numpy(zero_copy_only=False))))
+            if not len(batch):
+                continue
+            values, offsets = _sets(batch.column("text"), size)
+            count = np.diff(offsets)
+            digest = np.zeros(len(batch), np.uint64)
+            if len(values):
+                digest[count > 0] = np.add.reduceat(_digest_a(values), offsets[:-1][count > 0])
+            yield pa.record_batch([batch.column("id").take(pa.array(np.repeat(np.arange(len(batch)), count))), as_signed(np.repeat(digest, count)), as_signed(values)], names=["id", "set_a", "element"])
+
+    return run
+
+
+def _digest_a(values: np.ndarray) -> np.ndarray:
+    return mix(values ^ np.uint64(0xA5A5))
+
+
 def _similar(percent: int):
     def run(batches):
         for batch in batches:
@@ -131,8 +154,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A-Z are lower-cased and words split at ASCII white space. A text with fewer words than a shingle has its whole sequence as one.
     Equal sets are one class with one row in all joins. Links between classes are found in three steps, each on what is not yet in
     one component: a class is verified against the one most like it among a few pivots of its buckets; then against its other pivots;
-    then, in buckets that still hold several components, pairs of classes of different components are verified. Pairs inside one
-    component change nothing and are never made. Verification is on full sets.
+    then, in buckets that still hold several components, pairs of classes of different components are verified, but for those that
+    have too few shingles in common with any other class. Pairs inside one component change nothing and are never made. Verification
+    is on full sets.
 
     component_id is the least doc_id reachable, itself included; kept is doc_id = component_id. One row for each input row. A null
     or empty text has n_shingles 0 and is linked with nothing. Rows that repeat a doc_id are one node of the links. A row without
@@ -161,8 +185,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pivots = met.groupBy("key").agg(*[F.min_by("node", F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(PIVOTS)])
     pairs = met.join(pivots, "key").select(F.col("node").alias("u"), F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("v")).where("u <> v").distinct()
-    about = classes.select("node", "n", "signature")
-    pairs = pairs.join(about.toDF("u", "nu", "su"), "u").join(about.toDF("v", "nv", "sv"), "v").withColumn("same", F.expr(_agreement("su", "sv")))
+    about = classes.select("node", "set_a", "n", "signature")
+    pairs = pairs.join(about.drop("set_a").toDF("u", "nu", "su"), "u").join(about.drop("set_a").toDF("v", "nv", "sv"), "v").withColumn("same", F.expr(_agreement("su", "sv")))
     pairs = written(pairs.where(f"same >= {LEAST_AGREEMENT} AND 100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v", "same"), "pairs")
     closest = written(pairs.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")), "closest")
     links = written(verified(closest), "links")
@@ -174,9 +198,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = met.join(group, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     placed = written(placed.join(open_keys, "key", "left_semi").join(about, "node"), "placed")
+
+    # A shingle that only one of these classes has can't be shared: a class with too many of them has no link to find.
+    ids = placed.select(F.col("node").alias("id")).distinct()
+    elements = docs.mapInArrow(_elements(words_per_shingle, bit_filter(ids, "id")), "id long, set_a long, element long").join(ids, "id", "left_semi")
+    alone = elements.groupBy("element").agg(F.count("*").alias("times"), F.min("set_a").alias("set_a")).where("times = 1").groupBy("set_a").agg(F.count("*").alias("own"))
+    placed = placed.join(alone, "set_a", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(f"100 * common >= {percent} * n")
+    placed = written(placed.drop("set_a", "own"), "open")
     x, y = placed.alias("x"), placed.alias("y")
     meet = F.expr(
-        f"x.key = y.key AND x.component < y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+        f"x.key = y.key AND x.component < y.component AND 100 * least(x.common, y.common) >= {percent} * (x.n + y.n - least(x.common, y.common))"
         f" AND {_agreement('x.signature', 'y.signature')} >= {LEAST_AGREEMENT} AND {_first_table('x.signature', 'y.signature')} = (x.key & 63)"
     )
     rest = x.join(y, meet).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
