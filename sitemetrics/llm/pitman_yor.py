@@ -1,17 +1,22 @@
 """Hierarchical Pitman-Yor language model over words, with Chinese-restaurant seating resampled in Gibbs sweeps.
 
-Every word of at least 1 / CONTEXTS of the training tokens (and the start of a text) is a context with a restaurant of its own; all of them
-share one parent restaurant, which also serves the tokens behind other words, and the parent's base is uniform over the vocabulary and an
-unknown word. There are at most CONTEXTS such words, so their numbers and their mutual counts have a bound; all other words are spread by
-hash over parts, where a word's customers in all restaurants lie together.
+Every word of the training rows (and the start of a text) is a context with a restaurant of its own; all of them share one parent
+restaurant, whose base is uniform over the vocabulary and an unknown word. A context that training rows don't have falls back to the parent.
+
+Words are spread by hash over parts. A rare word's customers in all restaurants lie together in its part. Frequent words (1 / FREQUENT of
+the training tokens or more, so their number has a bound) would overfill one: their customers lie in the part of the context's word if that
+is rare, and their own parent customers and mutual counts on the driver.
 
 Stages: (1) count words; (2) tokenize once more into a store with one row for each part (its words, and who says them in what context) and
-one for each block of documents (its frequent words); (3) sweeps over the parts: every word's customers are seated anew, given the number of
-tables of each restaurant, which alone travels between sweeps; (4) each part scores its words for the documents, averaged over the samples.
+one for each block of documents (frequent words behind frequent words); (3) sweeps over the parts: every word's customers are seated anew,
+given the number of tables of each restaurant. Totals of frequent contexts and of the parent pass through the driver. Those of rare contexts
+are added up in the part that owns the context, and each part is sent back those that it has customers of, as a file in the shared folder;
+(4) each part scores its words for the documents, averaged over the samples.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -19,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitemetrics.llm.bitpack import open_folder
 from sitemetrics.llm.ranges import partitions_of
 from sitemetrics.llm.texts import NOT_SPACE, as_signed, slices, words
-from sitemetrics.operators.reuse import written
+from sitemetrics.operators.reuse import stage_path, written
 
-CONTEXTS = 1000
+FREQUENT = 1000
 STRENGTH, PARENT_STRENGTH = 1.0, 1.0
 BURN_IN, SAMPLES = 1, 3
 SEED = 11
@@ -80,17 +86,30 @@ def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, rng: np.
 
 
 class Restaurants:
-    """Totals that all parts share: of each context its customers and tables, of the parent both, and the discounts."""
+    """Totals of each context (customers, tables) and of the parent, the discounts, and the parent's probability of each frequent word."""
 
     def __init__(self, customers: np.ndarray, vocabulary: int, discount: float, parent_discount: float):
         self.customers, self.vocabulary, self.discount, self.parent_discount = customers, vocabulary, discount, parent_discount
-        self.tables, self.parent_customers, self.parent_tables = customers * 0, 0, 0
+        self.tables, self.parent_customers, self.parent_tables, self.frequent = customers * 0, 0, 0, np.zeros(0)
 
     def after(self, tables: np.ndarray, parent_customers: int, parent_tables: int) -> Restaurants:
         out = Restaurants(self.customers, self.vocabulary, self.discount, self.parent_discount)
         out.tables, out.parent_customers, out.parent_tables = tables, parent_customers, parent_tables
         return out
 
+    def joined(self, customers: np.ndarray, tables: np.ndarray) -> Restaurants:
+        """With a part's rare contexts behind the frequent ones."""
+        out = Restaurants(np.append(self.customers, customers), self.vocabulary, self.discount, self.parent_discount)
+        out = out.after(np.append(self.tables, tables), self.parent_customers, self.parent_tables)
+        out.frequent = self.frequent
+        return out
+
+    def weight(self) -> np.ndarray:
+        """Weight of the parent in each context; context 0 is the parent itself."""
+        out = (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers)
+        out[0] = 1.0
+        return out
+
     def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """Predictive probability of words in the parent."""
         base = (PARENT_STRENGTH + self.parent_discount * self.parent_tables) / (self.vocabulary + 1)
@@ -103,9 +122,14 @@ class Restaurants:
 
 
 class Dishes:
-    """Cells (word, context, customers) of one set of words and their seating; context 0 has no restaurant, so its customers go to the parent."""
+    """Cells (word, context, customers) of one set of words and their seating; context 0 has no restaurant, so its customers go to the parent.
+
+    `lent` has for each word its place among the frequent ones, or -1. Frequent words sit in the parent elsewhere (on the driver).
+    """
 
-    def __init__(self, n: int, word: np.ndarray, context: np.ndarray, customers: np.ndarray, seed: int):
+    def __init__(self, n: int, word: np.ndarray, context: np.ndarray, customers: np.ndarray, seed: int, lent: np.ndarray | None = None):
+        self.lent = np.full(n, -1) if lent is None else lent
+        self.away = self.lent >= 0
         self.n, self.word, self.context, self.customers = n, word, context, customers
         self.direct = np.bincount(word[context == 0], customers[context == 0], n).astype(np.int64)
         self.own = np.flatnonzero(context > 0)
@@ -115,28 +139,50 @@ class Dishes:
         self._parents(None)
 
     def _parents(self, parent_tables: np.ndarray | None) -> None:
-        self.parent_customers = self.direct + np.bincount(self.word[self.own], self.tables[self.own], self.n).astype(np.int64)
+        self.sent = self.direct + np.bincount(self.word[self.own], self.tables[self.own], self.n).astype(np.int64)
+        self.parent_customers = np.where(self.away, 0, self.sent)
         self.parent_tables = np.minimum(self.parent_customers, 1) if parent_tables is None else parent_tables
 
-    def sweep(self, shared: Restaurants) -> None:
-        """Seats all customers anew in the contexts, then their tables in the parent, given everyone's totals of the last sweep."""
+    def resume(self, sweeps: int, tables: np.ndarray | None = None, parent_tables: np.ndarray | None = None, direct: np.ndarray | None = None) -> None:
+        """Takes up the state behind a sweep; None for a table's first state."""
+        self.sweeps = sweeps
+        if tables is not None:
+            self.tables[self.own] = tables
+        if direct is not None:
+            self.direct = direct
+        self._parents(parent_tables)
+
+    def parent(self, shared: Restaurants) -> np.ndarray:
+        out = shared.parent(self.parent_customers, self.parent_tables)
+        out[self.away] = shared.frequent[self.lent[self.away]]
+        return out
+
+    def sweep(self, shared: Restaurants, direct: np.ndarray | None = None) -> None:
+        """Seats all customers anew in the contexts, then their tables in the parent, given everyone's totals of the last sweep.
+
+        `direct` are new numbers of customers that come to the parent from elsewhere.
+        """
         self.sweeps += 1
         rng = np.random.default_rng([SEED, self.seed, self.sweeps])
-        parent = shared.parent(self.parent_customers, self.parent_tables)
+        parent = self.parent(shared)
         u, w = self.context[self.own], self.word[self.own]
         self.tables[self.own] = seat(self.customers[self.own], (STRENGTH + shared.discount * shared.tables[u]) * parent[w], shared.discount, rng)
+        self.direct = self.direct if direct is None else direct
         self._parents(None)
         base = (PARENT_STRENGTH + shared.parent_discount * shared.parent_tables) / (shared.vocabulary + 1)
         self._parents(seat(self.parent_customers, np.full(self.n, base), shared.parent_discount, rng))
 
+    def by_context(self, contexts: int) -> np.ndarray:
+        return np.bincount(self.context[self.own], self.tables[self.own], contexts).astype(np.int64)
+
     def totals(self, contexts: int) -> np.ndarray:
         """Tables by context, then the parent's customers and tables."""
-        by_context = np.bincount(self.context[self.own], self.tables[self.own], contexts).astype(np.int64)
+        by_context = self.by_context(contexts)
         return np.append(by_context, [self.parent_customers.sum(), self.parent_tables.sum()])
 
     def predict(self, shared: Restaurants) -> tuple[np.ndarray, np.ndarray]:
         """Predictive probability of each word in the parent, and of each cell."""
-        parent = shared.parent(self.parent_customers, self.parent_tables)
+        parent = self.parent(shared)
         return parent, shared.inner(self.context, self.customers, self.tables, parent[self.word])
 
 
@@ -144,8 +190,8 @@ def _bytes(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
 
-STORE = "kind int, number long, part int, words binary, sizes binary, docs binary, flags binary, said binary, context binary"
-FIELDS = ["kind", "number", "part", "words", "sizes", "docs", "flags", "said", "context"]
+STORE = "kind int, number long, part int, words binary, sizes binary, docs binary, flags binary, said binary, context binary, near binary"
+FIELDS = ["kind", "number", "part", "words", "sizes", "docs", "flags", "said", "context", "near"]
 PART, BLOCK = 0, 1
 
 
@@ -153,8 +199,21 @@ def _row(kind: int, number: int, part: int, *arrays: np.ndarray) -> pa.RecordBat
     return pa.record_batch([pa.array([kind], pa.int32()), pa.array([number], pa.int64()), pa.array([part], pa.int32()), *[pa.array([b], pa.binary()) for b in _bytes(*arrays)]], names=FIELDS)
 
 
+def _home(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a rare word."""
+    return ((hashes >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
+
+def _places(frequent: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Place of each word among the frequent ones, or -1."""
+    place = np.searchsorted(frequent, hashes)
+    return np.where(frequent[np.minimum(place, len(frequent) - 1)] == hashes, place, -1)
+
+
 def _pieces(frequent: np.ndarray, parts: int):
-    """One row for each block and part with rare words, and one for each block with its documents and frequent words.
+    """One row for each block and part with its words, and one for each block with its documents and frequent words behind frequent ones.
+
+    A context is 1 + its place among the frequent words or, from 1 + their number on, the place of a rare word in `near`.
 
     A block's number is a hash of its documents' places in this task, so it is made once and travels with all its rows.
     """
@@ -170,91 +229,212 @@ def _pieces(frequent: np.ndarray, parts: int):
                 flags = _is_training(ids) + 2 * ids.is_null().to_numpy(zero_copy_only=False)
                 docs = ids.fill_null(0).to_numpy(zero_copy_only=False)
                 token, text, first = _tokens(part_of.column("text"))
-                place = np.searchsorted(frequent, token)
-                hot = frequent[np.minimum(place, len(frequent) - 1)] == token
-                number = np.where(hot, place + 1, 0)
-                context = np.append(0, number[:-1])
+                number = _places(frequent, token) + 1
+                context, before = np.append(0, number[:-1]), np.append(END, token[:-1])
                 context[first] = int(np.searchsorted(frequent, END)) + 1
+                hot = (number > 0) & (context > 0)
                 block = (task << 32) + made
                 made += 1
-                yield _row(BLOCK, block, block % parts, np.bincount(text, minlength=len(docs)).astype(np.uint32), np.bincount(text[hot], minlength=len(docs)).astype(np.uint32), docs, flags.astype(np.uint8), number[hot].astype(np.uint16), context[hot].astype(np.uint16))
+                yield _row(BLOCK, block, block % parts, np.bincount(text, minlength=len(docs)).astype(np.uint32), np.bincount(text[hot], minlength=len(docs)).astype(np.uint32), docs, flags.astype(np.uint8), number[hot].astype(np.uint16), context[hot].astype(np.uint16), np.zeros(0, np.uint64))
                 rare = np.flatnonzero(~hot)
-                part = (token[rare] >> np.uint64(20)) % np.uint64(parts)
+                part = _home(np.where(number > 0, before, token)[rare], parts)
                 order = np.lexsort((text[rare], token[rare], part))
                 rare, part = rare[order], part[order]
                 cut = np.searchsorted(part, np.arange(parts + 1))
                 for k in np.flatnonzero(np.diff(cut)).tolist():
                     mine = rare[cut[k] : cut[k + 1]]
                     value, size = np.unique(token[mine], return_counts=True)
-                    yield _row(PART, block, k, value, size.astype(np.uint32), np.zeros(0, np.int64), flags.astype(np.uint8), text[mine].astype(np.uint16), context[mine].astype(np.uint16))
+                    own = context[mine].astype(np.uint32)
+                    near, own_near = np.unique(before[mine][own == 0], return_inverse=True)
+                    own[own == 0] = len(frequent) + 1 + own_near
+                    yield _row(PART, block, k, value, size.astype(np.uint32), np.zeros(0, np.int64), flags.astype(np.uint8), text[mine].astype(np.uint16), own, near)
 
     return run
 
 
-def _gathered(batches):
-    """Rows of blocks as they are; rows of one part become one, sorted by word. `docs` then has the block of each run of `said`."""
-    found: dict[int, list] = {}
-    for batch in batches:
-        for k in range(len(batch)):
-            row = {f: batch.column(f)[k].as_py() for f in FIELDS}
-            if row["kind"] == BLOCK:
-                yield batch.slice(k, 1)
-            else:
-                found.setdefault(row["part"], []).append(row)
-    for part, rows in found.items():
-        rows.sort(key=lambda r: r["number"])
-        value = np.concatenate([np.repeat(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["sizes"], np.uint32)) for r in rows])
-        block = np.concatenate([np.full(len(r["said"]) // 2, k, np.uint32) for k, r in enumerate(rows)])
-        said = np.concatenate([np.frombuffer(r["said"], np.uint16) for r in rows])
-        context = np.concatenate([np.frombuffer(r["context"], np.uint16) for r in rows])
-        flags = [np.frombuffer(r["flags"], np.uint8) for r in rows]
-        train = np.concatenate([f[np.frombuffer(r["said"], np.uint16)] & 1 for f, r in zip(flags, rows, strict=True)])
-        order = np.argsort(value, kind="stable")
-        distinct, size = np.unique(value, return_counts=True)
-        docs = np.array([r["number"] for r in rows], np.int64)
-        both = (block[order].astype(np.uint32) << np.uint32(1)) | train[order]
-        yield _row(PART, 0, part, distinct, size.astype(np.uint32), docs, both, said[order], context[order])
+def _gathered(contexts: int, parts: int):
+    """Rows of blocks as they are; rows of one part become one, sorted by word. `docs` then has the block of each run of `said`.
+
+    `near` becomes one list of the part, ordered by the parts that own its words.
+    """
+
+    def run(batches):
+        found: dict[int, list] = {}
+        for batch in batches:
+            for k in range(len(batch)):
+                row = {f: batch.column(f)[k].as_py() for f in FIELDS}
+                if row["kind"] == BLOCK:
+                    yield batch.slice(k, 1)
+                else:
+                    found.setdefault(row["part"], []).append(row)
+        for part, rows in found.items():
+            rows.sort(key=lambda r: r["number"])
+            value = np.concatenate([np.repeat(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["sizes"], np.uint32)) for r in rows])
+            block = np.concatenate([np.full(len(r["said"]) // 2, k, np.uint32) for k, r in enumerate(rows)])
+            said = np.concatenate([np.frombuffer(r["said"], np.uint16) for r in rows])
+            near = np.unique(np.concatenate([np.frombuffer(r["near"], np.uint64) for r in rows]))
+            by_home = np.argsort(_home(near, parts), kind="stable")
+            place = np.empty(len(near), np.uint32)
+            place[by_home] = contexts + np.arange(len(near))
+            numbers = (np.append(np.arange(contexts, dtype=np.uint32), place[np.searchsorted(near, np.frombuffer(r["near"], np.uint64))]) for r in rows)
+            context = np.concatenate([of[np.frombuffer(r["context"], np.uint32)] for of, r in zip(numbers, rows, strict=True)])
+            flags = [np.frombuffer(r["flags"], np.uint8) for r in rows]
+            train = np.concatenate([f[np.frombuffer(r["said"], np.uint16)] & 1 for f, r in zip(flags, rows, strict=True)])
+            order = np.argsort(value, kind="stable")
+            distinct, size = np.unique(value, return_counts=True)
+            docs = np.array([r["number"] for r in rows], np.int64)
+            both = (block[order].astype(np.uint32) << np.uint32(1)) | train[order]
+            yield _row(PART, 0, part, distinct, size.astype(np.uint32), docs, both, said[order], context[order], near[by_home])
+
+    return run
+
+
+class Folder:
+    """Arrays of uint32 in files of the shared folder. What a name holds is the same in every attempt of a task."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def save(self, name: str, values: np.ndarray) -> None:
+        system, inner = open_folder(self.path)
+        system.create_dir(inner, recursive=True)
+        data = np.ascontiguousarray(values, np.uint32)
+        own = f"{inner}/{name}-{uuid.uuid4().hex}"
+        with system.open_output_stream(own, compression=None) as out:
+            out.write(np.array([len(data)], np.int64).tobytes())
+            out.write(pa.compress(data.tobytes(), codec="lz4", asbytes=True))
+        system.move(own, f"{inner}/{name}")
+
+    def load(self, name: str) -> np.ndarray:
+        system, inner = open_folder(self.path)
+        with system.open_input_stream(f"{inner}/{name}", compression=None) as file:
+            data = file.read()
+        n = int(np.frombuffer(data[:8], np.int64)[0])
+        return np.frombuffer(pa.decompress(data[8:], decompressed_size=4 * n, codec="lz4", asbytes=True), np.uint32).astype(np.int64)
 
 
 class Part:
     """A part's words, sayings and dishes."""
 
-    def __init__(self, batch: pa.RecordBatch, k: int, contexts: int):
+    def __init__(self, batch: pa.RecordBatch, k: int, frequent: np.ndarray):
         def field(name: str, kind: type) -> np.ndarray:
             return np.frombuffer(batch.column(name)[k].as_buffer(), kind)
 
+        self.number, self.near = int(batch.column("part")[k].as_py()), field("near", np.uint64)
         self.n = len(field("words", np.uint64))
         self.word = np.repeat(np.arange(self.n), field("sizes", np.uint32))
         both = field("flags", np.uint32)
         self.block, self.blocks, self.said = both >> 1, field("docs", np.int64), field("said", np.uint16)
-        self.context = field("context", np.uint16).astype(np.int64)
+        self.context = field("context", np.uint32).astype(np.int64)
         train = (both & 1).astype(bool)
-        cell, count = np.unique(self.word[train] * contexts + self.context[train], return_counts=True)
-        self.cell, self.contexts = cell, contexts
+        self.shared = len(frequent) + 1
+        self.contexts = self.shared + len(self.near)
+        cell, count = np.unique(self.word[train] * self.contexts + self.context[train], return_counts=True)
+        self.cell = cell
         self.count = np.bincount(self.word[train], minlength=self.n)
-        self.dishes = Dishes(self.n, cell // contexts, cell % contexts, count.astype(np.int64), int(batch.column("part")[k].as_py()) + 1)
+        self.dishes = Dishes(self.n, cell // self.contexts, cell % self.contexts, count.astype(np.int64), self.number + 1, _places(frequent, field("words", np.uint64)))
 
+    def keep(self, folder: Folder, step: int) -> None:
+        folder.save(f"state-{step}-{self.number}", np.append(self.dishes.tables[self.dishes.own], self.dishes.parent_tables))
 
-def _parts(batches, contexts: int):
+    def resume(self, folder: Folder, step: int) -> None:
+        state, n = folder.load(f"state-{step}-{self.number}"), len(self.dishes.own)
+        self.dishes.resume(step, state[:n], state[n:])
+
+    def restaurants(self, shared: Restaurants, folder: Folder, step: int) -> Restaurants:
+        """All restaurants of this part's cells, with everyone's totals behind a sweep."""
+        if not len(self.near):
+            return shared
+        return shared.joined(folder.load(f"customers-{self.number}"), folder.load(f"tables-{step}-{self.number}"))
+
+
+def _parts(batches, frequent: np.ndarray):
     for batch in batches:
         for k in range(len(batch)):
-            yield Part(batch, k, contexts)
+            yield Part(batch, k, frequent)
+
 
+LETTERS = "owner int, part int, keys binary, customers binary, tables binary, place long, n long"
+ANSWERS = "part int, owner int, customers binary, tables binary"
 
-def _sweep(history: list[Restaurants], contexts: int):
-    """Replays the sweeps so far (draws are seeded, so they repeat) and gives the totals behind the last; `count` are of counts."""
+
+def _sweep(step: int, shared: Restaurants | None, frequent: np.ndarray, parts: int, folder: Folder):
+    """State behind a sweep (0: the first one). Gives the totals of frequent contexts, the parent and frequent words (`place`; below 0 counts
+    of counts) and, to each owner, a letter on its rare contexts; what doesn't change is in the first letter only."""
+    contexts = len(frequent) + 1
+    names = [f.split()[0] for f in LETTERS.split(", ")]
+
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.record_batch([pa.array(columns[f], kind) if f in columns else pa.nulls(size, kind) for f, kind in zip(names, kinds, strict=True)], names=names)
 
     def run(batches):
-        total = np.zeros(contexts + 2, np.int64)
+        total = np.zeros(contexts + 2 + len(frequent), np.int64)
         ones = np.zeros(4, np.int64)
-        for part in _parts(batches, contexts):
-            for shared in history:
-                part.dishes.sweep(shared)
-            total += part.dishes.totals(contexts)
-            c, p = part.dishes.customers[part.dishes.own], part.count
+        for part in _parts(batches, frequent):
+            dishes = part.dishes
+            if step:
+                part.resume(folder, step - 1)
+                dishes.sweep(part.restaurants(shared, folder, step - 1))
+            part.keep(folder, step)
+            tables = dishes.by_context(part.contexts)
+            sent = np.zeros(len(frequent), np.int64)
+            sent[dishes.lent[dishes.away]] = dishes.sent[dishes.away]
+            total += np.concatenate([tables[:contexts], [dishes.parent_customers.sum(), dishes.parent_tables.sum()], sent])
+            c, p = dishes.customers[dishes.own], part.count[~dishes.away]
             ones += [np.count_nonzero(c == 1), np.count_nonzero(c == 2), np.count_nonzero(p == 1), np.count_nonzero(p == 2)]
-        at = np.append(np.arange(contexts + 2), -1 - np.arange(4))
-        yield pa.record_batch([pa.array(at), pa.array(np.append(total, ones))], names=["place", "n"])
+            tables = tables[contexts:].astype(np.uint32)
+            customers = np.bincount(dishes.context, dishes.customers, part.contexts)[contexts:].astype(np.uint32)
+            cut = np.searchsorted(_home(part.near, parts), np.arange(parts + 1)).tolist()
+            for owner in np.flatnonzero(np.diff(cut)).tolist():
+                a, b = cut[owner], cut[owner + 1]
+                letter = {"owner": [owner], "part": [part.number], "tables": _bytes(tables[a:b])}
+                yield rows(1, **letter) if step else rows(1, **letter, keys=_bytes(part.near[a:b]), customers=_bytes(customers[a:b]))
+        at = np.append(np.arange(len(total)), -1 - np.arange(4))
+        yield rows(len(at), place=at, n=np.append(total, ones))
+
+    return run
+
+
+def _by(batches, key: str):
+    """Rows by a key."""
+    found: dict[int, list[dict]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            found.setdefault(row[key], []).append(row)
+    return found.items()
+
+
+def _answers(step: int, folder: Folder):
+    """Adds up the letters on each rare context and answers each with the sums."""
+
+    def run(batches):
+        for owner, letters in _by(batches, "owner"):
+            letters.sort(key=lambda r: r["part"])
+            if not step:
+                which = np.unique(np.frombuffer(b"".join(r["keys"] for r in letters), np.uint64), return_inverse=True)[1]
+                folder.save(f"contexts-{owner}", which)
+            else:
+                which = folder.load(f"contexts-{owner}")
+            cut = np.append(0, np.cumsum([len(r["tables"]) // 4 for r in letters])).tolist()
+            sums = {f: np.bincount(which, np.frombuffer(b"".join(r[f] for r in letters), np.uint32))[which].astype(np.uint32) for f in (("tables",) if step else ("tables", "customers"))}
+            for k, r in enumerate(letters):
+                said = [pa.array(_bytes(sums[f][cut[k] : cut[k + 1]]), pa.binary()) if f in sums else pa.nulls(1, pa.binary()) for f in ("customers", "tables")]
+                yield pa.record_batch([pa.array([r["part"]], pa.int32()), pa.array([owner], pa.int32()), *said], names=["part", "owner", "customers", "tables"])
+
+    return run
+
+
+def _delivered(step: int, folder: Folder):
+    """Puts each part's answers, which follow the order of its contexts, into its file."""
+
+    def run(batches):
+        for part, answers in _by(batches, "part"):
+            answers.sort(key=lambda r: r["owner"])
+            folder.save(f"tables-{step}-{part}", np.frombuffer(b"".join(r["tables"] for r in answers), np.uint32))
+            if not step:
+                folder.save(f"customers-{part}", np.frombuffer(b"".join(r["customers"] for r in answers), np.uint32))
+            yield pa.record_batch([pa.array([part], pa.int32())], names=["part"])
 
     return run
 
@@ -271,42 +451,40 @@ def _hot_cells(contexts: int):
     return run
 
 
-def _samples(dishes: Dishes, history: list[Restaurants]):
-    """Replays the sweeps; for each sample, the predictive probabilities of words and cells and the weights of the parent by context."""
-    for step in range(len(history) - 1):
-        dishes.sweep(history[step])
-        if step >= BURN_IN:
-            now = history[step + 1]
-            weight = (STRENGTH + now.discount * now.tables) / (STRENGTH + now.customers)
-            weight[0] = 1.0
-            yield *dishes.predict(now), weight
-
-
-def _scored(history: list[Restaurants], contexts: int, total: float, vocabulary: int):
+def _scored(history: list[Restaurants], frequent: np.ndarray, count: np.ndarray, folder: Folder, total: float, vocabulary: int):
     """For each block that a part has words of: its documents, the scores of these words and how many are known."""
 
     def run(batches):
-        for part in _parts(batches, contexts):
-            key = part.word * contexts + part.context
+        for part in _parts(batches, frequent):
+            key = part.word * part.contexts + part.context
             at = np.minimum(np.searchsorted(part.cell, key), max(len(part.cell) - 1, 0))
             known = part.cell[at] == key if len(part.cell) else np.zeros(len(key), bool)
             chance = np.zeros(len(key))
-            for parent, cell, weight in _samples(part.dishes, history):
+            for step in range(BURN_IN + 1, len(history)):
+                part.resume(folder, step)
+                shared = part.restaurants(history[step], folder, step)
+                (parent, cell), weight = part.dishes.predict(shared), shared.weight()
                 chance += np.where(known, cell[at] if len(cell) else 0.0, weight[part.context] * parent[part.word]) / (len(history) - 1 - BURN_IN)
-            score, c = np.log10(chance), part.count[part.word]
-            base = np.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1)))
-            place = part.block.astype(np.int64) << 16 | part.said
-            value, which = np.unique(place, return_inverse=True)
-            sums = [np.bincount(which, x, len(value)) for x in (score, base, c > 0)]
-            cut = np.searchsorted(value >> 16, np.arange(len(part.blocks) + 1))
-            for k, number in enumerate(part.blocks.tolist()):
-                a, b = cut[k], cut[k + 1]
-                fields = _bytes((value[a:b] & 0xFFFF).astype(np.uint16), sums[0][a:b].astype(np.float32), sums[1][a:b], sums[2][a:b].astype(np.uint16))
-                yield pa.record_batch([pa.array([PART], pa.int32()), pa.array([number]), *[pa.array([f], pa.binary()) for f in fields]], names=["kind", "number", "said", "score", "base", "known"])
+            dishes, times = part.dishes, part.count.copy()
+            times[dishes.away] = count[dishes.lent[dishes.away]]
+            yield from _by_block(part, np.log10(chance), times[part.word], total, vocabulary)
 
     return run
 
 
+def _by_block(part: Part, score: np.ndarray, c: np.ndarray, total: float, vocabulary: int):
+    """Sums over each document's tokens in the part; c has how often the training rows say each token."""
+    base = np.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1)))
+    place = part.block.astype(np.int64) << 16 | part.said
+    value, which = np.unique(place, return_inverse=True)
+    sums = [np.bincount(which, x, len(value)) for x in (score, base, c > 0)]
+    cut = np.searchsorted(value >> 16, np.arange(len(part.blocks) + 1))
+    for k, number in enumerate(part.blocks.tolist()):
+        a, b = cut[k], cut[k + 1]
+        fields = _bytes((value[a:b] & 0xFFFF).astype(np.uint16), sums[0][a:b].astype(np.float32), sums[1][a:b], sums[2][a:b].astype(np.uint16))
+        yield pa.record_batch([pa.array([PART], pa.int32()), pa.array([number]), *[pa.array([f], pa.binary()) for f in fields]], names=["kind", "number", "said", "score", "base", "known"])
+
+
 def _of_blocks(matrix: np.ndarray, count: np.ndarray, total: float, vocabulary: int):
     """The same for a block's frequent words, with its documents' ids and numbers of tokens."""
     base = np.log10((count + 0.1) / (total + 0.1 * (vocabulary + 1)))
@@ -379,44 +557,51 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, vocabulary = size["n"] or 0, size["v"]
     end = int(END.astype(np.int64))
-    top = {r["word"]: r["n"] for r in counts.where((F.col("n") * CONTEXTS >= total) | (F.col("word") == end)).collect()}  # CONTEXTS + 1 at most
+    top = {r["word"]: r["n"] for r in counts.where((F.col("n") * FREQUENT >= total) | (F.col("word") == end)).collect()}  # FREQUENT + 1 at most
     top.setdefault(end, 0)
     frequent = np.sort(np.array(list(top), np.int64).view(np.uint64))
     count = np.array([top[w] for w in frequent.view(np.int64).tolist()], np.int64)
     contexts = len(frequent) + 1
 
     pieces = docs.mapInArrow(_pieces(frequent, parts), STORE).repartitionById(parts, F.col("part"))
-    store = written(pieces.mapInArrow(_gathered, STORE), "sayings")
+    store = written(pieces.mapInArrow(_gathered(contexts, parts), STORE), "sayings")
     of_parts, of_blocks = store.where(F.col("kind") == PART), store.where(F.col("kind") == BLOCK)
     cells = of_blocks.mapInArrow(_hot_cells(contexts), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()  # contexts ** 2 at most
     cell, n = cells.column("cell").to_numpy(), cells.column("n").to_numpy()
 
-    def hot_dishes() -> Dishes:
-        return Dishes(len(frequent), cell // contexts - 1, cell % contexts, n.astype(np.int64), 0)
+    hot = Dishes(len(frequent), cell // contexts - 1, cell % contexts, n.astype(np.int64), 0)
+    folder = Folder(stage_path(docs.sparkSession, "seating"))
+
+    def swept(step: int, shared: Restaurants | None) -> dict[int, int]:
+        letters = written(of_parts.mapInArrow(_sweep(step, shared, frequent, parts, folder), LETTERS), "letters")
+        mail = letters.where("owner IS NOT NULL").select("owner", "part", "keys", "customers", "tables")
+        answers = mail.repartitionById(parts, F.col("owner")).mapInArrow(_answers(step, folder), ANSWERS)
+        answers.repartitionById(parts, F.col("part")).mapInArrow(_delivered(step, folder), "part int").agg(F.max("part")).collect()
+        return {r["place"]: r["n"] for r in letters.where("place IS NOT NULL").groupBy("place").agg(F.sum("n").alias("n")).collect()}
 
-    def totals(history: list[Restaurants]) -> dict[int, int]:
-        return {r["place"]: r["n"] for r in of_parts.mapInArrow(_sweep(history, contexts), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}
+    def places(found: dict[int, int], start: int, n: int) -> np.ndarray:
+        return np.array([found.get(start + k, 0) for k in range(n)], np.int64)
 
-    hot, found = hot_dishes(), totals([])
+    found = swept(0, None)
+    hot.resume(0, direct=places(found, contexts + 2, len(frequent)))
     inner = hot.customers[hot.own]
     once, twice = (found.get(-1 - k, 0) + int(np.count_nonzero(inner == k + 1)) for k in (0, 1))
     first = Restaurants(np.append(0, count), vocabulary, _discount(once, twice), _discount(found.get(-3, 0), found.get(-4, 0)))
     history: list[Restaurants] = []
+    matrix = np.zeros((len(frequent), contexts))
     for step in range(BURN_IN + SAMPLES + 1):
-        now = np.array([found.get(k, 0) for k in range(contexts + 2)], np.int64) + hot.totals(contexts)
+        if step:
+            found = swept(step, history[-1])
+            hot.sweep(history[-1], places(found, contexts + 2, len(frequent)))
+        now = places(found, 0, contexts + 2) + hot.totals(contexts)
         history.append(first.after(now[:contexts], int(now[-2]), int(now[-1])))
-        if step < BURN_IN + SAMPLES:
-            hot.sweep(history[-1])
-            found = totals(history)
-
-    matrix = np.zeros((len(frequent), contexts))
-    again = hot_dishes()
-    for parent, chance, weight in _samples(again, history):
-        now = weight[None, :] * parent[:, None]
-        now[again.word, again.context] = chance
-        matrix += now / SAMPLES
+        history[-1].frequent, chance = hot.predict(history[-1])
+        if step > BURN_IN:
+            sample = history[-1].weight()[None, :] * history[-1].frequent[:, None]
+            sample[hot.word, hot.context] = chance
+            matrix += sample / SAMPLES
     matrix = np.log10(matrix)
     own = of_blocks.mapInArrow(_of_blocks(matrix, count, total, vocabulary), OF_BLOCK)
-    said = of_parts.mapInArrow(_scored(history, contexts, total, vocabulary), SCORED)
+    said = of_parts.mapInArrow(_scored(history, frequent, count, folder, total, vocabulary), SCORED)
     rows = own.unionByName(said, allowMissingColumns=True).repartition(parts, "number").sortWithinPartitions("number", F.desc("kind"))
     return rows.mapInArrow(_together, RESULT).withColumn("train_tokens", F.lit(total).cast("long"))

@@ -312,6 +312,25 @@ def test_language_model_scores(spark):
     assert language_model_scores(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_rare_words_are_contexts(spark):
+    """Each a-word stands 24 times in 28,000 tokens, always before the b-word of its number; held-out texts have pairs in and out of order."""
+    pick = random.Random(3)
+    rows, ids = [], iter(range(1000, 100000))
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    train = [i for i in ids if not held(i)][:600]
+    pairs = [k % 60 for k in range(60 * 24)]
+    pick.shuffle(pairs)
+    for k, i in enumerate(train):
+        mine = " ".join(f"a{p} b{p}" for p in pairs[k::600])
+        rows.append((i, mine + " " + " ".join(f"f{pick.randrange(3000)}" for _ in range(42)), "a"))
+    test = [i for i in range(1000, 3000) if held(i)][:40]
+    rows += [(i, f"a{k} b{k if k % 2 else (k + 7) % 60}", "a") for k, i in enumerate(test)]
+    got = {r.doc_id: r for r in language_model_scores(documents(spark, rows)).collect()}
+    ordered_pairs, others = ([got[i].score for k, i in enumerate(test) if k % 2 == odd] for odd in (1, 0))
+    assert min(ordered_pairs) > max(others) + 1
+    assert all(got[i].n_known == 3 for i in test)
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(4)
     n, contexts = 50, 4
