@@ -481,7 +481,7 @@ def _by_block(part: Part, score: np.ndarray, c: np.ndarray, total: float, vocabu
     cut = np.searchsorted(value >> 16, np.arange(len(part.blocks) + 1))
     for k, number in enumerate(part.blocks.tolist()):
         a, b = cut[k], cut[k + 1]
-        fields = _bytes((value[a:b] & 0xFFFF).astype(np.uint16), sums[0][a:b].astype(np.float32), sums[1][a:b], sums[2][a:b].astype(np.uint16))
+        fields = _bytes((value[a:b] & 0xFFFF).astype(np.uint16), sums[0][a:b].astype(np.float32), sums[1][a:b], sums[2][a:b].astype(np.uint32))
         yield pa.record_batch([pa.array([PART], pa.int32()), pa.array([number]), *[pa.array([f], pa.binary()) for f in fields]], names=["kind", "number", "said", "score", "base", "known"])
 
 
@@ -530,7 +530,7 @@ def _together(batches):
                 at = np.frombuffer(row["said"], np.uint16)
                 now["score"][at] += np.frombuffer(row["score"], np.float32)
                 now["base"][at] += np.frombuffer(row["base"])
-                now["known"][at] += np.frombuffer(row["known"], np.uint16)
+                now["known"][at] += np.frombuffer(row["known"], np.uint32)
     if now:
         yield done()
 

@@ -8,9 +8,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -331,6 +333,19 @@ def test_rare_words_are_contexts(spark):
     assert all(got[i].n_known == 3 for i in test)
 
 
+def test_known_words_of_a_long_text():
+    """70,000 known tokens of one document in one part, and 3 of the next one."""
+    n = 70003
+    part = SimpleNamespace(block=np.zeros(n, np.uint32), said=np.repeat([0, 1], [n - 3, 3]).astype(np.uint16), blocks=np.array([5]))
+    said = next(pitman_yor._by_block(part, np.full(n, -1.0), np.ones(n, np.int64), 1e8, 1000)).to_pylist()[0]
+    zero = np.zeros(2)
+    fields = {"docs": np.array([8, 9]), "flags": np.ones(2, np.uint8), "tokens": np.array([n - 3, 3], np.uint32), "score": zero, "base": zero, "known": zero.astype(np.uint32)}
+    own = pa.RecordBatch.from_pylist([{"docs": None, "flags": None, "tokens": None} | {f: v.tobytes() for f, v in fields.items()} | {"said": None}])
+    other = pa.RecordBatch.from_pylist([{"docs": None} | said])
+    (out,) = pitman_yor._together([own, other])
+    assert out.column("n_known").to_pylist() == [70000, 3]
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(4)
     n, contexts = 50, 4
