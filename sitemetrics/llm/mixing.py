@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from sitemetrics.llm.ranges import partitions_of
 from sitemetrics.operators.reuse import written
 
-#: exp(-rate) must not vanish; a document isn't repeated this often on average.
-MOST_RATE = 500.0
+#: Up to here exp(-rate) doesn't vanish and a source's distribution is kept as an array; above, terms begin near the mean, in log space.
+NEAR_RATE = 500.0
 #: Sources whose rates may be sent to all tasks; more are joined by a shuffle.
 BROADCAST_SOURCES = 1000
 
@@ -26,11 +26,22 @@ def _terms(rate: str) -> str:
     return f"aggregate(sequence(1, {last}), struct(exp(-{rate}) AS p, exp(-{rate}) AS c, array(exp(-{rate})) AS all), (s, k) -> {step}, s -> s.all)"
 
 
+def _far_count(rate: str, u: str) -> str:
+    """How many k have a distribution function up to `u`, for rates above NEAR_RATE. Terms below `first` are less than 1e-16 together.
+
+    The first term's logarithm is by Stirling's series, whose next part is below 1e-14 here, and holds no difference of large numbers.
+    """
+    first, last = f"CAST(floor({rate} - 12 * sqrt({rate}) - 30) AS INT)", f"CAST(ceil({rate} + 12 * sqrt({rate}) + 30) AS INT)"
+    begin = f"exp({first} - {rate} - {first} * log1p(({first} - {rate}) / {rate}) - 0.5 * ln(2 * pi() * {first}) - 1 / (12D * {first}) + 1 / (360D * pow({first}, 3)))"
+    step = f"struct(s.p * {rate} / k AS p, s.c + s.p * {rate} / k AS c, s.n + IF(s.c + s.p * {rate} / k <= {u}, 1, 0) AS n)"
+    return f"aggregate(sequence({first} + 1, {last}), struct({begin} AS p, {begin} AS c, {first} + IF({begin} <= {u}, 1, 0) AS n), (s, k) -> {step}, s -> s.n)"
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | None = None, source_col: str = "source") -> DataFrame:
     """(source, n, rate): documents and mean repetitions of each source, for `rows` copies in all (default: as many as documents).
 
     `weights` are relative; a source not named has 0. None gives every source the same weight. A null source is one source, named by
-    None. Raises ValueError for a negative weight or a rate above MOST_RATE.
+    None. Raises ValueError for a negative weight.
     """
     counts = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
@@ -40,12 +51,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, rows:
     else:
         weight = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(float(w))) for s, w in weights.items()], F.lit(0.0))
     counts = written(counts.withColumn("weight", weight), "sources")
-    total = counts.agg(F.sum("weight").alias("w"), F.sum("n").alias("n"), F.max(F.col("weight") / F.col("n")).alias("most")).first()
+    total = counts.agg(F.sum("weight").alias("w"), F.sum("n").alias("n")).first()
     copies = total["n"] if rows is None else rows
     if not total["w"]:
         return counts.select("source", "n", F.lit(0.0).alias("rate"))
-    if copies / total["w"] * total["most"] > MOST_RATE:
-        raise ValueError(f"a source would be repeated more than {MOST_RATE} times")
     return counts.select("source", "n", (F.col("weight") / F.lit(float(total["w"])) * F.lit(float(copies)) / F.col("n")).alias("rate"))
 
 
@@ -57,13 +66,14 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, rows: in
     The copies are ordered by mix_key within each partition, and partitions take ascending ranges of it.
     """
     rates = source_rates(docs, weights, rows, source_col)
-    rates = rates.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), F.expr(_terms("rate")).alias("mix_terms"))
+    rates = rates.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), F.when(F.col("rate") <= NEAR_RATE, F.expr(_terms("rate"))).alias("mix_terms"))
     rates = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
     kept = docs.drop("mix_rate", "mix_copy", "mix_key", "mix_source", "mix_terms")
     name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(kept[id_col].cast("string"), F.lit("")))
     uniform = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     joined = kept.join(rates, kept[source_col].cast("string").eqNullSafe(F.col("mix_source"))).withColumn("mix_u", uniform)
-    counted = joined.withColumn("mix_n", F.size(F.filter("mix_terms", lambda c: c <= F.col("mix_u")))).where("mix_n > 0").drop("mix_terms", "mix_u", "mix_source")
+    count = F.when(F.col("mix_rate") <= NEAR_RATE, F.size(F.filter("mix_terms", lambda c: c <= F.col("mix_u")))).otherwise(F.expr(_far_count("mix_rate", "mix_u")))
+    counted = joined.withColumn("mix_n", count).where("mix_n > 0").drop("mix_terms", "mix_u", "mix_source")
     copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_n"))).drop("mix_n")
     key = F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("mix_copy").cast("string")).cast("binary")), 1, 12)
     n = partitions_of(docs)

@@ -172,6 +172,18 @@ def test_replication_inverts_the_distribution(spark):
     assert abs(sum(got.values()) - 1800) < 150 and got.get(5000) is None
 
 
+def test_replication_of_a_source_of_one_row(spark):
+    rows = [(k, "t", "a") for k in range(20000)] + [(50000, "t", None)]
+    got = Counter(r.doc_id for r in replicate(documents(spark, rows).select("doc_id", "source")).collect())
+    for i in (50000, *range(20)):
+        rate = 20001 / 2 / (1 if i == 50000 else 20000)
+        u, total, k = int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:13], 16) / 2**52, 0.0, 0
+        while (total := total + math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))) <= u:
+            k += 1
+        assert got.get(i, 0) == k, i
+    assert abs(got[50000] - 10000) < 500
+
+
 def test_replication_of_odd_rows(spark):
     docs = documents(spark)
     mixed = replicate(docs, rows=60)
