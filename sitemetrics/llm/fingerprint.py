@@ -1,8 +1,8 @@
 """Improbable-feature fingerprints of documents.
 
 Every window of WINDOW bytes has an entropy class; a class is the rarer, the fewer windows of the whole corpus have it. Within each run of
-RUN windows the rarest one (the first of equals) gets a vote; windows with LEAST_VOTES votes or more are the document's features. Features
-go into a chain of Bloom filters of FILTER_BITS bits, the next one beginning when a filter has taken FULL features. Two fingerprints are
+RUN windows the rarest one (the first of equals) gets a vote; windows with LEAST_VOTES votes or more are the document's features. Where
+no window has so many (few runs, or text of a period under LEAST_VOTES bytes), all that have a vote are. Features go into a chain of Bloom filters of FILTER_BITS bits, the next one beginning when a filter has taken FULL features. Two fingerprints are
 compared by the bits that their filters share, normalised between what chance gives and what would be full overlap.
 """
 
@@ -106,6 +106,10 @@ def _feature_places(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) ->
     chosen = np.flatnonzero(votes >= LEAST_VOTES)
     length = np.diff(offsets)
     short = [a + int(np.argmin(key[a : a + k - WINDOW + 1])) for a, k in zip(offsets[:-1].tolist(), length.tolist(), strict=True) if WINDOW <= k < WINDOW + RUN - 1]
+    none = (np.diff(np.searchsorted(chosen, offsets)) == 0) & (length >= WINDOW + RUN - 1)
+    if none.any():
+        voted = np.flatnonzero(votes)
+        chosen = np.union1d(chosen, voted[none[np.searchsorted(offsets, voted, "right") - 1]])
     return np.union1d(chosen, np.array(short, np.int64)) if short else chosen
 
 
@@ -147,7 +151,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> li
             out.append(np.zeros((0, FILTER_BITS // 8), np.uint8))
         else:
             mine = hashes[cut[k] : cut[k + 1]]
-            out.append(_chain(mine if len(mine) else _whole(data[a : min(b, a + WINDOW)]) + np.uint64(b - a)))
+            out.append(_chain(mine if len(mine) else _whole(data[a:b]) + np.uint64(b - a)))
     return out
 
 

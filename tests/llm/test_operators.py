@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sitemetrics.llm import near_dedup, pitman_yor, token_output
+from sitemetrics.llm import fingerprint, near_dedup, pitman_yor, token_output
 from sitemetrics.llm.bitpack import Reader, crc32
 from sitemetrics.llm.components import components
 from sitemetrics.llm.decontaminate import contamination
@@ -388,6 +388,24 @@ def test_predictive_probabilities_sum_to_one():
 # -- fingerprints ---------------------------------------------------------------------------------------------------------------------
 
 
+def test_fingerprints_of_texts_without_a_clear_winner():
+    """Texts of 127 to 141 bytes have at most 15 runs; a period under 16 bytes leaves each window at most 15 votes."""
+    ranks = fingerprint.rarity_ranks(np.bincount(fingerprint.entropy_classes(np.frombuffer(prose(7, 2000).encode("ascii", "replace"), np.uint8)), minlength=fingerprint.CLASSES))
+    text = lambda seed, n: prose(seed, 60).encode("ascii", "replace").decode()[:n]
+    chains = lambda *texts: fingerprint._chains(list(texts), ranks)
+    differ = 0
+    for n in range(127, 142):
+        head = text(n, 64)
+        one, other, empty, again = chains(head + text(n + 300, n - 64), head + text(n + 600, n - 64), "", head + text(n + 300, n - 64))
+        assert len(one) == 1 and (one == again).all() and not len(empty)
+        differ += one.tobytes() != other.tobytes()
+    assert differ >= 12  # those with all winners in the common head agree
+    junk, shorter, other = chains("junk " * 300, "junk " * 150, "junk " * 13 + "spam " * 287)
+    assert (junk == shorter).all() and fingerprint.likeness(junk, other) < 1
+    line, short_line = chains("=" * 500, "=" * 200)
+    assert (line == short_line).all()
+
+
 def test_fingerprints_and_edited_texts(spark):
     rows = [*ODD, (80, prose(60, 400), "a"), (81, prose(61, 400), "a"), (82, prose(60, 400), "a")]
     got = compare_with_next(documents(spark, rows)).collect()
