@@ -37,6 +37,7 @@ END = np.uint64(0x0E0D0C0B0A090807)
 BLOCK_BYTES, BLOCK_DOCS = 12 << 20, 60000
 #: Customers of one dish that are seated one by one; later ones in groups of a sixteenth of those present.
 ONE_BY_ONE = 64
+SCORED_AT_ONCE = 1 << 18
 
 
 def _is_training(ids: pa.Array) -> np.ndarray:
@@ -322,14 +323,14 @@ class Part:
 
         self.number, self.near = int(batch.column("part")[k].as_py()), field("near", np.uint64)
         self.n = len(field("words", np.uint64))
-        self.word = np.repeat(np.arange(self.n), field("sizes", np.uint32))
+        self.word = np.repeat(np.arange(self.n, dtype=np.int32), field("sizes", np.uint32))
         both = field("flags", np.uint32)
         self.block, self.blocks, self.said = both >> 1, field("docs", np.int64), field("said", np.uint16)
-        self.context = field("context", np.uint32).astype(np.int64)
+        self.context = field("context", np.uint32)
         train = (both & 1).astype(bool)
         self.shared = len(frequent) + 1
         self.contexts = self.shared + len(self.near)
-        cell, count = np.unique(self.word[train] * self.contexts + self.context[train], return_counts=True)
+        cell, count = np.unique(self.word[train].astype(np.int64) * self.contexts + self.context[train], return_counts=True)
         self.cell = cell
         self.count = np.bincount(self.word[train], minlength=self.n)
         self.dishes = Dishes(self.n, cell // self.contexts, cell % self.contexts, count.astype(np.int64), self.number + 1, _places(frequent, field("words", np.uint64)))
@@ -390,6 +391,7 @@ def _sweep(step: int, shared: Restaurants | None, frequent: np.ndarray, parts: i
                 a, b = cut[owner], cut[owner + 1]
                 letter = {"owner": [owner], "part": [part.number], "tables": _bytes(tables[a:b])}
                 yield rows(1, **letter) if step else rows(1, **letter, keys=_bytes(part.near[a:b]), customers=_bytes(customers[a:b]))
+            del part, dishes, c, p
         at = np.append(np.arange(len(total)), -1 - np.arange(4))
         yield rows(len(at), place=at, n=np.append(total, ones))
 
@@ -456,18 +458,23 @@ def _scored(history: list[Restaurants], frequent: np.ndarray, count: np.ndarray,
 
     def run(batches):
         for part in _parts(batches, frequent):
-            key = part.word * part.contexts + part.context
-            at = np.minimum(np.searchsorted(part.cell, key), max(len(part.cell) - 1, 0))
-            known = part.cell[at] == key if len(part.cell) else np.zeros(len(key), bool)
-            chance = np.zeros(len(key))
+            chance = np.zeros(len(part.word))
             for step in range(BURN_IN + 1, len(history)):
                 part.resume(folder, step)
                 shared = part.restaurants(history[step], folder, step)
                 (parent, cell), weight = part.dishes.predict(shared), shared.weight()
-                chance += np.where(known, cell[at] if len(cell) else 0.0, weight[part.context] * parent[part.word]) / (len(history) - 1 - BURN_IN)
-            dishes, times = part.dishes, part.count.copy()
-            times[dishes.away] = count[dishes.lent[dishes.away]]
-            yield from _by_block(part, np.log10(chance), times[part.word], total, vocabulary)
+                for lo in range(0, len(chance), SCORED_AT_ONCE):
+                    here = slice(lo, lo + SCORED_AT_ONCE)
+                    word, context = part.word[here], part.context[here]
+                    key = word.astype(np.int64) * part.contexts + context
+                    at = np.minimum(np.searchsorted(part.cell, key), max(len(part.cell) - 1, 0))
+                    known = part.cell[at] == key if len(part.cell) else np.zeros(len(key), bool)
+                    chance[here] += np.where(known, cell[at] if len(cell) else 0.0, weight[context] * parent[word]) / (len(history) - 1 - BURN_IN)
+            times = part.count.copy()
+            times[part.dishes.away] = count[part.dishes.lent[part.dishes.away]]
+            part.dishes = part.cell = shared = parent = cell = weight = None  # room for the sums
+            yield from _by_block(part, np.log10(chance, out=chance), times[part.word], total, vocabulary)
+            del part
 
     return run
 
