@@ -7,10 +7,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitemetrics.llm.centroids import cluster_vectors
 from sitemetrics.llm.decontaminate import contamination
 from sitemetrics.llm.fingerprint import compare_with_next
 from sitemetrics.llm.mixing import replicate
 from sitemetrics.llm.near_dedup import near_duplicates
+from sitemetrics.llm.neighbours import nearest
 from sitemetrics.llm.ordinal_quality import fit_ordinal, quality_scores
 from sitemetrics.llm.pitman_yor import language_model_scores
 from sitemetrics.llm.registry import CHECKS, QUERIES, query, table
@@ -18,6 +20,7 @@ from sitemetrics.llm.revisits import resolve_revisits
 from sitemetrics.llm.secrets import secret_spans
 from sitemetrics.llm.token_output import store_tokens
 from sitemetrics.llm.toxicity import fit_toxicity, toxicity_scores, training_rows
+from sitemetrics.llm.whitening import whiten
 
 __all__ = ["CHECKS", "QUERIES"]
 
@@ -173,3 +176,41 @@ def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = captures.withColumn("headers", F.filter(F.array(*header), lambda h: h["value"].isNotNull()))
     found = resolve_revisits(records)
     return found.withColumn("headers", F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n"))
+
+
+@query("op11_collision_neighbours")
+def op11_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), queries=F.col("id") % 20 == 0, k=20)
+
+
+def _cluster_sql(rounds: int, clusters: int, factor: int) -> str:
+    near = "list_reduce(list_transform(range(1, 65), lambda i: (r.v[i] - c.v[i]) * (r.v[i] - c.v[i])), lambda a, b: a + b)"
+    steps = [f"""kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({factor} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""", f"""c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS INTEGER) AS k, v FROM kept WHERE vec_id IS NOT NULL
+  ORDER BY k LIMIT {clusters})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS (
+  SELECT vec_id, v, min(struct_pack(d := d, k := k)) AS best
+  FROM (SELECT r.rowid, r.vec_id, r.v, c.k, {near} AS d FROM (SELECT *, row_number() OVER () AS rowid FROM kept) r, c{n} c) GROUP BY rowid, vec_id, v)""")
+        if n < rounds:
+            mean = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+            steps.append(f"""c{n + 1} AS (
+  SELECT c.k, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (
+    SELECT k, list(x ORDER BY i) AS v FROM (
+      SELECT k, i, {mean} AS x FROM (SELECT best.k AS k, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{n}) GROUP BY k, i) GROUP BY k) m USING (k))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, best.k AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.k = best.k"""
+
+
+@query("op12_subvector_clusters", _cluster_sql(rounds=3, clusters=16, factor=64))
+def op12_subvector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), dims=64, clusters=16, rounds=3, factor=64)
+
+
+@query("op13_bit_sliced_whitening")
+def op13_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), most=8)

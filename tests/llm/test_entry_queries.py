@@ -12,7 +12,7 @@ from tests.conftest import SMALL
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in "documents benchmark labels pages".split():
+    for t in "documents benchmark labels pages embeddings".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     rel = con.execute(CHECKS[name])
     columns = [d[0] for d in rel.description]
@@ -23,4 +23,4 @@ def test_matches_sql(spark, name):
 
 
 def test_each_operator_has_one_query():
-    assert sorted(n.split("_")[0] for n in QUERIES if n.startswith("op")) == sorted(f"op{k}" for k in range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(n.split("_")[0] for n in QUERIES if n.startswith("op")) == sorted(f"op{k}" for k in range(1, 14)) and "pipeline" in QUERIES
