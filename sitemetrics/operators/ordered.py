@@ -2,7 +2,9 @@
 
 A plain window sends a whole group to one task. Here rows are cut into runs of ``chunk``
 consecutive order values; the window works inside a run and a small table of per-run carries
-joins the runs together.
+joins the runs together. Without group keys the carries of all rows would meet in one window, so
+there they go up one more level, in runs of ``chunk`` runs: the topmost window holds a row for
+every chunk * chunk order values.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK = 50_000
-_RUN = "__run"
+_RUN, _OVER = "__run", "__over"
 
 
 def _same(a: list[str]):
@@ -28,17 +30,40 @@ def _with_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
     return df.alias("l").join(carry.alias("r"), cond, "left").select("l.*", *[f"r.{c}" for c in extra])
 
 
+def _last_before(last_of: DataFrame, keys: list[str], cols: list[str], chunk: int) -> DataFrame:
+    """(keys, run, last value of every column in earlier runs); ``last_of``: one row per run."""
+    earlier = lambda *k: W.partitionBy(*k).orderBy(_RUN).rowsBetween(W.unboundedPreceding, -1)
+    last = lambda c, w: F.last(f"__{c}", ignorenulls=True).over(w).alias(f"__{c}")
+    if keys:
+        return last_of.select(*keys, _RUN, *[last(c, earlier(*keys)) for c in cols])
+    runs = last_of.withColumn(_OVER, F.floor(F.col(_RUN) / chunk))
+    top = runs.groupBy(_OVER).agg(*[F.max_by(f"__{c}", F.when(F.col(f"__{c}").isNotNull(), F.col(_RUN))).alias(f"__{c}") for c in cols])
+    above = W.orderBy(_OVER).rowsBetween(W.unboundedPreceding, -1)
+    top = top.select(_OVER, *[F.last(f"__{c}", ignorenulls=True).over(above).alias(f"__up_{c}") for c in cols])
+    inside = runs.select(_OVER, _RUN, *[last(c, earlier(_OVER)) for c in cols])
+    return inside.join(top, _OVER).select(_RUN, *[F.coalesce(f"__{c}", f"__up_{c}").alias(f"__{c}") for c in cols])
+
+
+def _sum_before(totals: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """(keys, run, sum of ``__t`` over earlier runs); ``totals``: one row per run."""
+    before = lambda c, *k: F.coalesce(F.sum(c).over(W.partitionBy(*k).orderBy(_RUN).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    if keys:
+        return totals.select(*keys, _RUN, before("__t", *keys).alias("__before"))
+    runs = totals.withColumn(_OVER, F.floor(F.col(_RUN) / chunk))
+    above = F.coalesce(F.sum("__t").over(W.orderBy(_OVER).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    top = runs.groupBy(_OVER).agg(F.sum("__t").alias("__t")).select(_OVER, above.alias("__up"))
+    inside = runs.select(_OVER, _RUN, before("__t", _OVER).alias("__in"))
+    return inside.join(top, _OVER).select(_RUN, (F.col("__in") + F.col("__up")).alias("__before"))
+
+
 def fill_down(df: DataFrame, keys: list[str], order: str, cols: list[str], chunk: int = CHUNK) -> DataFrame:
     """Replace NULLs in ``cols`` by the last earlier value in the group; ``order`` is an integer column."""
     runs = df.withColumn(_RUN, F.floor(F.col(order) / chunk))
     inner = W.partitionBy(*keys, _RUN).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    earlier = W.partitionBy(*keys).orderBy(_RUN).rowsBetween(W.unboundedPreceding, -1)
     last_of = runs.groupBy(*keys, _RUN).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__{c}") for c in cols]
     )
-    carry = last_of.select(
-        *keys, _RUN, *[F.last(f"__{c}", ignorenulls=True).over(earlier).alias(f"__{c}") for c in cols]
-    )
+    carry = _last_before(last_of, keys, cols, chunk)
     local = runs.withColumns({c: F.last(c, ignorenulls=True).over(inner) for c in cols})
     out = _with_carry(local, carry, keys)
     return out.select(
@@ -52,9 +77,8 @@ def running_sum(
     """Cumulative sum of ``value`` in the group, up to and including (or only before) each row."""
     runs = df.withColumn(_RUN, F.floor(F.col(order) / chunk)).withColumn("__f", value.cast("long"))
     inner = W.partitionBy(*keys, _RUN).orderBy(order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    earlier = W.partitionBy(*keys).orderBy(_RUN).rowsBetween(W.unboundedPreceding, -1)
     totals = runs.groupBy(*keys, _RUN).agg(F.sum("__f").alias("__t"))
-    carry = totals.select(*keys, _RUN, F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__before"))
+    carry = _sum_before(totals, keys, chunk)
     local = runs.withColumn(out, F.coalesce(F.sum("__f").over(inner), F.lit(0)))
     joined = _with_carry(local, carry, keys)
     return joined.select(*df.columns, (F.col(out) + F.col("__before")).alias(out))

@@ -6,6 +6,8 @@ Header positions and column meanings are tables of one row per grid or grid colu
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from sitemetrics.functions import labels as L
 from sitemetrics.functions import numbers as NB
 from sitemetrics.functions import vocabulary as V
 from sitemetrics.operators.ordered import fill_down, keep_one, running_count
-from sitemetrics.operators.reuse import materialise
+from sitemetrics.operators.reuse import materialise, stage_path, written
 from sitemetrics.plans.grids import GRID, fill_across, filled, rows_as_columns
 
 KEY = ["date", "segment", "outlet", "location"]
@@ -32,6 +34,51 @@ STOP_LABELS = ["total", "full month", "avg. daily", "average", "avg", "growth",
 LAKH_CELL = 100000.0
 
 
+@dataclass(frozen=True)
+class Parsed:
+    """What one layout gives. ``values``: facts with the grid and row that they come from; ``rejects``: cells (or whole rows, with no
+    column) of its data area that became no fact, each with its reason: grid_id, row_idx, col_idx, value, reason.
+
+    ``sums`` are added up per key inside a file; without, the smallest sheet's last row of a key counts.
+    """
+
+    values: DataFrame
+    rejects: DataFrame
+    keys: list[str]
+    measures: list[str]
+    sums: dict[str, Column] = field(default_factory=dict)
+
+    def per_file(self, cells: DataFrame) -> DataFrame:
+        """One row per key and file, with source, delivered, grid_id and row_idx (the first ones, where several cells add up)."""
+        known = self.values.join(deliveries(cells), GRID)
+        if not self.sums:
+            one = keep_one(known, ["source", *self.keys], F.asc("grid_rows"), F.asc(GRID), F.desc("row_idx"))
+            return one.select("source", "delivered", GRID, "row_idx", *self.keys, *self.measures)
+        first = F.min(F.struct(GRID, "row_idx"))
+        summed = known.groupBy("source", *self.keys).agg(
+            F.min("delivered").alias("delivered"), first.alias("__at"), *[F.sum(c.cast("decimal(28,6)")).cast("double").alias(n) for n, c in self.sums.items()])
+        return summed.select("source", "delivered", f"__at.{GRID}", "__at.row_idx", *self.keys, *self.sums)
+
+    def rows(self, cells: DataFrame) -> DataFrame:
+        """One row per key over all files: the first delivered file's."""
+        if self.sums:
+            return summed_per_file(self.values, cells, self.keys, self.sums)
+        return last_per_key(with_grid_rows(self.values, cells), self.keys).select(*self.keys, *self.measures)
+
+
+def _split(body: DataFrame, needs: dict[str, str | Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows that have all the columns, rows that lack one with the first one's reason)."""
+    reason = F.coalesce(*[F.when(F.col(c).isNull(), r if isinstance(r, Column) else F.lit(r)) for c, r in needs.items()])
+    value = F.col("value") if "value" in body.columns else F.to_json(F.struct(*[F.col(c) for c in body.columns if c not in (GRID, "row_idx", *needs)]))
+    column = F.col("col_idx") if "col_idx" in body.columns else F.lit(None).cast("int").alias("col_idx")
+    lacking = body.withColumn("__reason", reason).where("__reason is not null")
+    return body.where(" and ".join(f"{c} is not null" for c in needs)), lacking.select(GRID, "row_idx", column, value.alias("value"), F.col("__reason").alias("reason"))
+
+
+# Reasons of rejected cells.
+NO_DATE, NO_NUMBER, NO_PLACE, OTHER_COLUMN = "unreadable date", "not a number", "no known location", "column without a meaning"
+
+
 def _header(cells: DataFrame, base: DataFrame, offsets: dict[str, int]) -> DataFrame:
     """One row per (grid, column) with the texts of the rows at ``base_row + offset``."""
     near = filled(cells).join(base.select(GRID, "base_row"), GRID)
@@ -54,6 +101,8 @@ def _place(c, places: dict[str, str]) -> Column:
 
 def deliveries(cells: DataFrame) -> DataFrame:
     """(grid_id, source, delivered, grid_rows): the file of every grid; ``delivered`` is NULL where the cells don't have it."""
+    if set(cells.columns) == {GRID, "source", "delivered", "grid_rows"}:
+        return cells
     when = F.col("delivered") if "delivered" in cells.columns else F.lit(None)
     return cells.groupBy(GRID).agg(
         F.min(F.coalesce("source", F.col(GRID))).alias("source"), F.min(when.cast("timestamp")).alias("delivered"), (F.max("row_idx") + 1).alias("grid_rows"))
@@ -108,27 +157,54 @@ def alias_table(cells: DataFrame, aliases: dict[str, list[str]], required: list[
     return data.groupBy(GRID, "row_idx").agg(*[F.max(F.when(F.col("role") == r, F.col("value"))).alias(r) for r in aliases])
 
 
-def long_revenue(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+def read_long_revenue(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> Parsed:
     """Long sheets with date, segment, outlet, location, pax, revenue under known header names."""
     t = alias_table(cells, V.COLUMN_ALIASES, ["date", "outlet"])
-    rows = t.select(
-        GRID, "row_idx", D.text_date("date", years).alias("date"), F.trim("segment").alias("segment"), F.trim("outlet").alias("outlet"),
-        F.coalesce(_place("location", places), F.trim("location")).alias("location"), *[NB.messy_number(m).alias(m) for m in V.METRICS],
-    )
-    kept = rows.where("date is not null and not (pax is null and revenue is null)")
-    return last_per_key(with_grid_rows(kept, cells), KEY).select(*KEY, *V.METRICS)
+    read = t.select(
+        GRID, "row_idx", *[F.col(c).alias(f"text_{c}") for c in t.columns if c not in (GRID, "row_idx")], D.text_date("date", years).alias("date"),
+        F.trim("segment").alias("segment"), F.trim("outlet").alias("outlet"), F.coalesce(_place("location", places), F.trim("location")).alias("location"),
+        *[NB.messy_number(m).alias(m) for m in V.METRICS],
+    ).withColumn("amount", F.coalesce("pax", "revenue"))
+    kept, lost = _split(read, {"date": NO_DATE, "amount": "neither customers nor revenue"})
+    return Parsed(kept.select(GRID, "row_idx", *KEY, *V.METRICS), lost, KEY, list(V.METRICS))
+
+
+def long_revenue(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+    return read_long_revenue(cells, places, years).rows(cells)
+
+
+def row_flags(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+    """What the labels of every grid row say about the layout: one row per (grid, row), from one pass over the cells.
+
+    All of it is counts and truth values, so that the rows are summed up in hash tables without sorting the cells.
+    """
+    # Cells of digits and signs alone are no labels, so the label rules need not run on them.
+    label = F.when(F.col("value").rlike(r"^[-+0-9.,:/ ]*$"), F.col("value")).otherwise(L.norm_label("value"))
+    t, v, first = F.col("t"), F.col("value"), F.col("col_idx") == 0
+    head = filled(cells).withColumn("t", label).withColumn("place", L.lookup(t, places).isNotNull())
+    return head.groupBy(GRID, "row_idx").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(first).alias("labelled"),
+        F.bool_or(F.when(first, D.date_in_text("value", years).isNotNull())).alias("titled"), F.bool_or(first & (t == "total")).alias("total"), F.bool_or(t == "date").alias("dated"), F.bool_or(first & (t == "date")).alias("date_first"),
+        F.count_if(t.isin(METRIC_LABELS)).alias("metrics"), F.count_if(t == DAILY_TARGET_LABEL).alias("targets"), F.bool_or(t.contains("pax")).alias("pax"),
+        F.bool_or(t.contains("traffic")).alias("traffic"), F.bool_or(t.contains("revenue") | (t == "pax")).alias("revenue"),
+        F.bool_or(t.isin("outlet", "sub business", "business", "segment", "outlet name")).alias("business"),
+        F.bool_or(t.contains("dom_arr_pax") | t.contains("dom arr pax")).alias("export"), F.bool_or(first & (v == BLOCK_MARKER)).alias("marker"),
+        F.bool_or(t == "geographical segment").alias("geo"), F.bool_or(t == "business segment").alias("biz"), F.bool_or(t == "unit id").alias("unit"),
+        F.count_if("place").alias("places"), F.count_if(t.isin(DEPARTURE_ARRIVAL)).alias("dep_arr"), F.count_if(t.isin(ARRIVAL_DEPARTURE)).alias("arr_dep"),
+        F.bool_or(_type(v).isNotNull()).alias("typed"))
+
+
+def _pivot_base(flags: DataFrame) -> DataFrame:
+    rows = flags.where((F.col("metrics") >= 4) & (F.col("metrics") + F.col("targets") >= F.col("n") * 0.6))
+    return _first_row(rows).where("base_row >= 3")
 
 
 def find_wide_pivot(cells: DataFrame, depth: int | None = None) -> DataFrame:
     """Grids with a row of PAX. / Revenue. labels under three banner rows."""
-    t = L.norm_label("value")
-    head = filled(_down_to(cells, depth)).withColumn("t", t)
-    rows = head.groupBy(GRID, "row_idx").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("t").isin(METRIC_LABELS)).alias("m"), F.count_if(F.col("t") == DAILY_TARGET_LABEL).alias("a"))
-    return _first_row(rows.where((F.col("m") >= 4) & (F.col("m") + F.col("a") >= F.col("n") * 0.6))).where("base_row >= 3")
+    return _pivot_base(row_flags(_down_to(cells, depth), {}))
 
 
-def wide_pivot(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+def read_wide_pivot(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> Parsed:
     """One row per day, PAX/Revenue[/Sum of AOP] column groups under location, segment and outlet banners; subtotals skipped."""
     base = materialise(find_wide_pivot(cells))
     h = materialise(_header(cells, base, {"loc": -3, "seg": -2, "out": -1, "metric": 0}).where("col_idx > 0"))
@@ -144,12 +220,16 @@ def wide_pivot(cells: DataFrame, places: dict[str, str], years: tuple[int, int]
     groups = materialise(f.withColumn("metric", metric).where("start > 0 and metric is not null and location is not null and segment is not null").groupBy(
         GRID, "location", "segment", "outlet", "start", "metric").agg(F.min("col_idx").alias("col_idx")))
     data = _below(cells, base)
-    days = data.where("col_idx = 0").select(GRID, "row_idx", D.text_date("value", years).alias("date")).where("date is not null")
-    values = data.join(groups, [GRID, "col_idx"]).join(days, [GRID, "row_idx"]).withColumn("x", NB.messy_number("value"))
-    rows = values.groupBy(GRID, "row_idx", "date", "segment", "outlet", "location", "start").agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("x"))).alias(m) for m in ("pax", "revenue", "aop_daily")])
-    kept = rows.where("pax is not null or revenue is not null or aop_daily is not null")
-    return last_per_key(with_grid_rows(kept, cells), KEY).select(*KEY, "pax", "revenue", "aop_daily")
+    days = data.where("col_idx = 0").select(GRID, "row_idx", D.text_date("value", years).alias("date"))
+    body = data.where("col_idx > 0").join(groups, [GRID, "col_idx"], "left").join(days, [GRID, "row_idx"], "left").withColumn("x", NB.messy_number("value"))
+    values, lost = _split(body, {"date": "first cell is not a date", "metric": OTHER_COLUMN, "x": NO_NUMBER})
+    measures = ["pax", "revenue", "aop_daily"]
+    rows = values.groupBy(GRID, "row_idx", "date", "segment", "outlet", "location", "start").agg(*[F.max(F.when(F.col("metric") == m, F.col("x"))).alias(m) for m in measures])
+    return Parsed(rows, lost, KEY, measures)
+
+
+def wide_pivot(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+    return read_wide_pivot(cells, places, years).rows(cells)
 
 
 def _paired(rows: DataFrame, pairs: list[tuple[str, int, int]], number) -> DataFrame:
@@ -159,10 +239,10 @@ def _paired(rows: DataFrame, pairs: list[tuple[str, int, int]], number) -> DataF
     return out.where("pax is not null or revenue is not null")
 
 
-def stacked_blocks(
+def read_stacked_blocks(
     cells: DataFrame, pairs: list[tuple[str, int, int]], categories: dict[str, str], segment: str, first_unit: str,
     own_segments: dict[str, str], skip: list[str], years: tuple[int, int] = D.YEARS,
-) -> DataFrame:
+) -> Parsed:
     """Daily blocks stacked down a sheet; each starts with a marker row carrying the date, category rows set the unit."""
     rows = rows_as_columns(cells, max(max(p, r) for _, p, r in pairs) + 1)
     low = F.lower(F.trim("c0"))
@@ -172,20 +252,29 @@ def stacked_blocks(
         "business_unit": F.when(F.col("c0") == BLOCK_MARKER, F.lit(first_unit)).otherwise(L.lookup(low, categories)),
     })
     block = running_count(marked, [GRID], "row_idx", F.col("date").isNotNull(), "block")
+    # Rows above the first block, remarks and the labels to skip are no data; markers and categories are the table's own structure.
     f = fill_down(block, [GRID], "row_idx", ["date", "business_unit"]).where(
-        (F.col("block") > 0) & F.col("c0").isNotNull() & ~F.col("c0").startswith("*") & (F.col("c0") != BLOCK_MARKER)
-        & ~F.col("label").isin([*skip, *categories]))
+        F.col("c0").isNotNull() & (F.col("c0") != BLOCK_MARKER) & ~F.col("label").isin(list(categories)))
+    judged = f.withColumns({"in_block": F.when(F.col("block") > 0, True), "wanted": F.when(~F.col("c0").startswith("*") & ~F.col("label").isin(skip), True)})
+    kept, lost = _split(judged, {"in_block": "above the first block", "wanted": "remark or total row"})
     own = L.lookup(F.col("label"), own_segments)
-    out = _paired(f, pairs, NB.messy_number).select(
+    out = _paired(kept, pairs, NB.messy_number).select(
         GRID, "row_idx", "date", F.coalesce(own, F.lit(segment)).alias("segment"), F.coalesce(own, "business_unit").alias("business_unit"),
         F.trim("c0").alias("outlet"), "location", "pax", "revenue")
-    return last_per_key(with_grid_rows(out, cells), KEY).select(*KEY, "business_unit", "pax", "revenue")
+    return Parsed(out, lost, KEY, ["business_unit", "pax", "revenue"])
 
 
-def sectioned_table(
+def stacked_blocks(
+    cells: DataFrame, pairs: list[tuple[str, int, int]], categories: dict[str, str], segment: str, first_unit: str,
+    own_segments: dict[str, str], skip: list[str], years: tuple[int, int] = D.YEARS,
+) -> DataFrame:
+    return read_stacked_blocks(cells, pairs, categories, segment, first_unit, own_segments, skip, years).rows(cells)
+
+
+def read_sectioned_table(
     cells: DataFrame, pairs: list[tuple[str, int, int]], segments: dict[str, str] | None = None, aliases: DataFrame | None = None,
     years: tuple[int, int] = D.YEARS,
-) -> DataFrame:
+) -> Parsed:
     """Detail table with section rows (only the label filled), unlabelled subtotals and a total; several source
     lines of one outlet add up. The report date is the first date in the sheet's single-cell title rows.
     """
@@ -197,15 +286,23 @@ def sectioned_table(
     day = rows.where(lone).select(GRID, "row_idx", titled.alias("d")).where("d is not null").groupBy(GRID).agg(F.min_by("d", "row_idx").alias("date"))
     name = F.coalesce(L.lookup(L.norm_label("c0"), segments or {}), F.trim("c0"))
     marked = rows.withColumns({"is_section": lone & titled.isNull(), "segment": F.when(lone & titled.isNull(), name)})
-    f = fill_down(marked, [GRID], "row_idx", ["segment"]).where(
-        ~F.col("is_section") & F.col("c0").isNotNull() & (F.lower(F.trim("c0")) != "total") & ~F.col("c0").isin("PAX", "Revenue"))
-    out = _paired(f, pairs, NB.report_number).join(day, GRID).select(
-        GRID, "date", F.coalesce("segment", F.lit("Unclassified")).alias("segment"), F.trim("c0").alias("outlet"), "location", "pax", "revenue")
+    f = fill_down(marked, [GRID], "row_idx", ["segment"]).where(~F.col("is_section") & F.col("c0").isNotNull()).join(day, GRID, "left")
+    judged = f.withColumn("wanted", F.when((F.lower(F.trim("c0")) != "total") & ~F.col("c0").isin("PAX", "Revenue"), True)).where(~lone)
+    kept, lost = _split(judged, {"wanted": "total or header row", "date": "sheet without a date"})
+    out = _paired(kept, pairs, NB.report_number).select(
+        GRID, "row_idx", "date", F.coalesce("segment", F.lit("Unclassified")).alias("segment"), F.trim("c0").alias("outlet"), "location", "pax", "revenue")
     if aliases is not None:
         from sitemetrics.operators.dims import alias_outlet
 
         out = alias_outlet(out, aliases)
-    return summed_per_file(out, cells, KEY, {m: F.col(m) for m in ("pax", "revenue")})
+    return Parsed(out, lost, KEY, ["pax", "revenue"], {m: F.col(m) for m in ("pax", "revenue")})
+
+
+def sectioned_table(
+    cells: DataFrame, pairs: list[tuple[str, int, int]], segments: dict[str, str] | None = None, aliases: DataFrame | None = None,
+    years: tuple[int, int] = D.YEARS,
+) -> DataFrame:
+    return read_sectioned_table(cells, pairs, segments, aliases, years).rows(cells)
 
 
 def check_against_summary(parsed: DataFrame, summary: DataFrame, unit: float = 100000.0) -> DataFrame:
@@ -231,16 +328,17 @@ def _units(cells: DataFrame, base: DataFrame) -> DataFrame:
         F.when(F.bool_or((F.col("row_idx") < F.col("base_row")) & (NB.count_number("value") == LAKH_CELL)), LAKH_CELL).otherwise(1.0).alias("unit"))
 
 
+def _monthly_base(flags: DataFrame) -> DataFrame:
+    return _first_row(flags.where("geo and biz and unit"))
+
+
 def find_monthly_targets(cells: DataFrame, depth: int | None = None) -> DataFrame:
-    t = L.norm_label("value")
-    rows = filled(_down_to(cells, depth)).groupBy(GRID, "row_idx").agg(
-        F.bool_or(t == "geographical segment").alias("g"), F.bool_or(t == "business segment").alias("b"), F.bool_or(t == "unit id").alias("u"))
-    return _first_row(rows.where("g and b and u"))
+    return _monthly_base(row_flags(_down_to(cells, depth), {}))
 
 
-def monthly_targets(
+def read_monthly_targets(
     cells: DataFrame, places: dict[str, str], unit_segments: dict[str, str], unit_map: DataFrame, segment: str, years: tuple[int, int] = D.YEARS
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[Parsed, DataFrame]:
     """Budget sheet with month columns: leaf lines mapped to outlets, and the skipped lines with their reason.
 
     ``unit_map``: location, unit_id, outlet. Several lines of one outlet add up, one line may feed several outlets.
@@ -266,28 +364,44 @@ def monthly_targets(
     )
     judged = materialise(mapped.withColumn("reason", reason))
     rejects = judged.where("reason is not null").select(GRID, (F.col("row_idx") + 1).alias("row_number"), F.col("geo").alias("location"), "biz", "unit_id", "reason")
-    values = data.join(months, [GRID, "col_idx"]).select(GRID, "row_idx", "month", NB.count_number("value").alias("x")).where("x is not null")
-    ok = judged.where("reason is null").join(values, [GRID, "row_idx"]).join(_units(cells, base), GRID)
-    parts = ok.select(GRID, "location", F.lit(segment).alias("segment"), "business_unit", "outlet", F.year("month").alias("year"), F.month("month").alias("month"), "x", "unit")
+    named = roles.select(GRID, F.explode(F.array("g", "b", "u")).alias("col_idx")).withColumn("named", F.lit(True))
+    figures = data.join(named, [GRID, "col_idx"], "left").where("named is null").drop("named").withColumn("x", NB.count_number("value"))
+    body = figures.join(months, [GRID, "col_idx"], "left").join(judged.withColumn("leaf", F.lit(True)), [GRID, "row_idx"], "left").join(_units(cells, base), GRID)
+    body = body.withColumn("usable", F.when(F.col("reason").isNull(), True))
+    ok, lost = _split(body, {"leaf": "line without segment labels", "usable": F.col("reason"), "month": "not in the first run of month columns", "x": NO_NUMBER})
+    parts = ok.select(GRID, "row_idx", "location", F.lit(segment).alias("segment"), "business_unit", "outlet", F.year("month").alias("year"), F.month("month").alias("month"), "x", "unit")
     keys = ["location", "segment", "business_unit", "outlet", "year", "month"]
-    return summed_per_file(parts, cells, keys, {"aop": F.col("x") * F.col("unit")}), rejects
+    return Parsed(parts, lost.distinct(), keys, ["aop"], {"aop": F.col("x") * F.col("unit")}), rejects
+
+
+def monthly_targets(
+    cells: DataFrame, places: dict[str, str], unit_segments: dict[str, str], unit_map: DataFrame, segment: str, years: tuple[int, int] = D.YEARS
+) -> tuple[DataFrame, DataFrame]:
+    parsed, skipped = read_monthly_targets(cells, places, unit_segments, unit_map, segment, years)
+    return parsed.rows(cells), skipped
+
+
+def _daily_base(flags: DataFrame) -> DataFrame:
+    return _first_row(flags.where("date_first and places >= 1"))
 
 
 def find_daily_targets(cells: DataFrame, places: dict[str, str], depth: int | None = None) -> DataFrame:
-    t = L.norm_label("value")
-    rows = filled(_down_to(cells, depth)).groupBy(GRID, "row_idx").agg(
-        F.bool_or((F.col("col_idx") == 0) & (t == "date")).alias("d"), F.count_if(L.lookup(t, places).isNotNull()).alias("p"))
-    return _first_row(rows.where("d and p >= 1"))
+    return _daily_base(row_flags(_down_to(cells, depth), places))
 
 
-def daily_targets(cells: DataFrame, places: dict[str, str]) -> DataFrame:
+def read_daily_targets(cells: DataFrame, places: dict[str, str]) -> Parsed:
     """Date rows x location columns; the grand total column and row are left out, blank means no target."""
     base = materialise(find_daily_targets(cells, places))
-    h = _header(cells, base, {"label": 0}).select(GRID, "col_idx", L.lookup(L.norm_label("label"), places).alias("location")).where("location is not null and col_idx > 0")
+    h = _header(cells, base, {"label": 0}).select(GRID, "col_idx", L.lookup(L.norm_label("label"), places).alias("location"))
     data = _below(cells, base)
-    days = data.where("col_idx = 0").select(GRID, "row_idx", D.target_date("value").alias("date")).where("date is not null")
-    v = data.join(h, [GRID, "col_idx"]).join(days, [GRID, "row_idx"]).select("location", "date", NB.count_number("value").alias("x"), GRID).join(_units(cells, base), GRID)
-    return summed_per_file(v.where("x is not null"), cells, ["location", "date"], {"aop": F.col("x") * F.col("unit")})
+    days = data.where("col_idx = 0").select(GRID, "row_idx", D.target_date("value").alias("date"))
+    body = data.where("col_idx > 0").join(h, [GRID, "col_idx"], "left").join(days, [GRID, "row_idx"], "left").join(_units(cells, base), GRID)
+    values, lost = _split(body.withColumn("x", NB.count_number("value")), {"date": "first cell is not a date", "location": OTHER_COLUMN, "x": NO_NUMBER})
+    return Parsed(values.select(GRID, "row_idx", "location", "date", "x", "unit"), lost, ["location", "date"], ["aop"], {"aop": F.col("x") * F.col("unit")})
+
+
+def daily_targets(cells: DataFrame, places: dict[str, str]) -> DataFrame:
+    return read_daily_targets(cells, places).rows(cells)
 
 
 def skipped_rows(cells: DataFrame, places: dict[str, str]) -> DataFrame:
@@ -296,15 +410,17 @@ def skipped_rows(cells: DataFrame, places: dict[str, str]) -> DataFrame:
     return data.where(D.target_date("value").isNull()).select(GRID, (F.col("row_idx") + 1).alias("row_number"), "value", F.lit("first cell is not a date").alias("reason"))
 
 
+def _outlet_day_base(flags: DataFrame) -> DataFrame:
+    banner = flags.where("places >= 1").select(GRID, (F.col("row_idx") + 2).alias("row_idx"))
+    return _first_row(flags.where("date_first").select(GRID, "row_idx").join(banner, [GRID, "row_idx"]))
+
+
 def find_outlet_day_targets(cells: DataFrame, places: dict[str, str], depth: int | None = None) -> DataFrame:
     """Header rows with 'Date' first, two banner rows above, the upper one naming locations."""
-    head = filled(_down_to(cells, depth))
-    dated = head.where((F.col("col_idx") == 0) & (L.norm_label("value") == "date")).select(GRID, "row_idx")
-    banner = head.where(L.lookup(L.norm_label("value"), places).isNotNull()).select(GRID, (F.col("row_idx") + 2).alias("row_idx")).distinct()
-    return _first_row(dated.join(banner, [GRID, "row_idx"]))
+    return _outlet_day_base(row_flags(_down_to(cells, depth), places))
 
 
-def outlet_day_targets(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+def read_outlet_day_targets(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> Parsed:
     """Daily outlet targets under location and segment banners, summed to months."""
     base = materialise(find_outlet_day_targets(cells, places))
     h = _header(cells, base, {"loc": -2, "seg": -1, "outlet": 0}).where("col_idx > 0")
@@ -314,24 +430,34 @@ def outlet_day_targets(cells: DataFrame, places: dict[str, str], years: tuple[in
                       F.when(L.is_total_label("seg"), "").otherwise(F.col("seg")).alias("segment"))
     groups = fill_across(marked, ["location", "segment"]).where("outlet is not null and location <> '' and segment <> ''").where(~L.is_total_label("outlet"))
     data = _below(cells, base)
-    days = data.where("col_idx = 0").select(GRID, "row_idx", D.text_date("value", years).alias("date")).where("date is not null")
-    v = data.join(groups, [GRID, "col_idx"]).join(days, [GRID, "row_idx"]).withColumn("x", NB.count_number("value")).where("x is not null").join(_units(cells, base), GRID)
-    parts = v.select(GRID, "location", "segment", "outlet", F.year("date").alias("year"), F.month("date").alias("month"), "x", "unit")
-    return summed_per_file(parts, cells, ["location", "segment", "outlet", "year", "month"], {"aop": F.col("x") * F.col("unit")})
+    days = data.where("col_idx = 0").select(GRID, "row_idx", D.text_date("value", years).alias("date"))
+    body = data.where("col_idx > 0").join(groups, [GRID, "col_idx"], "left").join(days, [GRID, "row_idx"], "left").join(_units(cells, base), GRID)
+    v, lost = _split(body.withColumn("x", NB.count_number("value")), {"date": "first cell is not a date", "outlet": OTHER_COLUMN, "x": NO_NUMBER})
+    parts = v.select(GRID, "row_idx", "location", "segment", "outlet", F.year("date").alias("year"), F.month("date").alias("month"), "x", "unit")
+    return Parsed(parts, lost, ["location", "segment", "outlet", "year", "month"], ["aop"], {"aop": F.col("x") * F.col("unit")})
+
+
+def outlet_day_targets(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+    return read_outlet_day_targets(cells, places, years).rows(cells)
 
 
 # --- traffic layouts -------------------------------------------------------------------------------------------
 
 
-def flat_traffic(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+def read_flat_traffic(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> Parsed:
     """Date, location, traffic and optionally terminal columns."""
     aliases = {k: V.COLUMN_ALIASES[k] for k in ("date", "location", "traffic")} | {"terminal": ["terminal"]}
     t = alias_table(cells, aliases, ["date", "location", "traffic"])
-    rows = t.select(
-        GRID, "row_idx", D.text_date("date", years).alias("date"), F.lit(None).cast("date").alias("period_end"), F.lit("daily").alias("granularity"),
-        F.coalesce(_place("location", places), F.trim("location")).alias("location"), F.coalesce(F.trim("terminal"), F.lit("")).alias("terminal"),
-        NB.count_number("traffic").alias("traffic")).where("date is not null and traffic is not null")
-    return last_per_key(with_grid_rows(rows, cells), TRAFFIC_KEY).select(*TRAFFIC)
+    read = t.select(
+        GRID, "row_idx", *[F.col(c).alias(f"text_{c}") for c in aliases], D.text_date("date", years).alias("date"), F.lit(None).cast("date").alias("period_end"),
+        F.lit("daily").alias("granularity"), F.coalesce(_place("location", places), F.trim("location")).alias("location"),
+        F.coalesce(F.trim("terminal"), F.lit("")).alias("terminal"), NB.count_number("traffic").alias("traffic"))
+    rows, lost = _split(read, {"date": NO_DATE, "traffic": NO_NUMBER})
+    return Parsed(rows.select(GRID, "row_idx", *TRAFFIC), lost, TRAFFIC_KEY, ["period_end", "traffic"])
+
+
+def flat_traffic(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+    return read_flat_traffic(cells, places, years).rows(cells).select(*TRAFFIC)
 
 
 def _sites(cells: DataFrame, places: dict[str, str]) -> DataFrame:
@@ -342,13 +468,15 @@ def _sites(cells: DataFrame, places: dict[str, str]) -> DataFrame:
     return named.join(texts, GRID, "left").select(GRID, "sheet", F.coalesce(_place("sheet", places), "in_text", _place("source", places)).alias("location"))
 
 
+def _cross_base(flags: DataFrame) -> DataFrame:
+    return _first_row(flags.where("dep_arr >= 2 and row_idx >= 1"))
+
+
 def find_cross_tab(cells: DataFrame, depth: int | None = None) -> DataFrame:
-    t = L.norm_label("value")
-    rows = filled(_down_to(cells, depth)).groupBy(GRID, "row_idx").agg(F.count_if(t.isin(DEPARTURE_ARRIVAL)).alias("n"))
-    return _first_row(rows.where("n >= 2 and row_idx >= 1"))
+    return _cross_base(row_flags(_down_to(cells, depth), {}))
 
 
-def cross_tab_traffic(cells: DataFrame, places: dict[str, str], terminals: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+def read_cross_tab(cells: DataFrame, places: dict[str, str], terminals: dict[str, str], years: tuple[int, int] = D.YEARS) -> Parsed:
     """Column groups x departure / arrival, one row per month, date or day of the sheet's month.
 
     Groups map to a terminal by "group sub-label" or "group"; groups of one terminal add up, others keep their label.
@@ -356,7 +484,7 @@ def cross_tab_traffic(cells: DataFrame, places: dict[str, str], terminals: dict[
     base = materialise(find_cross_tab(cells))
     h = materialise(_header(cells, base, {"seg": -1, "sub": 0}))
     date_label = L.norm_label("sub").isin("day", "date", "month") | L.norm_label("seg").isin("day", "date", "month")
-    date_col = materialise(base.join(h.where((F.col("col_idx") < 4) & date_label).groupBy(GRID).agg(F.min("col_idx").alias("dc")), GRID, "left").select(
+    date_col = materialise(base.join(h.where(date_label).groupBy(GRID).agg(F.min("col_idx").alias("dc")), GRID, "left").select(
         GRID, "base_row", F.coalesce("dc", F.lit(0)).alias("dc")))
     rollup = F.lower("seg").rlike(ROLLUP_PREFIX)
     banner = h.join(date_col.select(GRID, "dc"), GRID).where("col_idx > dc").select(
@@ -374,14 +502,20 @@ def cross_tab_traffic(cells: DataFrame, places: dict[str, str], terminals: dict[
     numbered = running_count(labels, [GRID], "row_idx", F.col("label").isNull(), "blank_no")
     day_no = F.when(D.is_day_number("label"), F.col("label").try_cast("double").cast("int")).when(F.col("label").isNull(), F.col("blank_no").cast("int"))
     anchored = F.when(day_no <= F.dayofmonth(F.last_day("anchor")), F.date_add(F.trunc("anchor", "MM"), day_no - 1))
-    dated = numbered.join(info, GRID).join(stop, GRID, "left").where("stop is null or row_idx < stop").withColumns({
-        "month": D.month_label("label"), "day": F.coalesce(D.text_date("label", years), anchored)})
+    dated = numbered.join(info, GRID).join(stop, GRID, "left").withColumns({
+        "month": D.month_label("label"), "day": F.coalesce(D.text_date("label", years), anchored), "in_table": F.when(F.col("stop").isNull() | (F.col("row_idx") < F.col("stop")), True)})
     rows = dated.select(
-        GRID, "row_idx", "location", F.coalesce("month", "day").alias("date"), F.last_day("month").alias("period_end"),
-        F.when(F.col("month").isNotNull(), "monthly").otherwise("daily").alias("granularity")).where("date is not null and location is not null")
-    v = data.join(groups, [GRID, "col_idx"]).join(rows, [GRID, "row_idx"]).withColumn("x", NB.count_number("value")).where("x is not null")
+        GRID, "row_idx", "location", "in_table", F.coalesce("month", "day").alias("date"), F.last_day("month").alias("period_end"),
+        F.when(F.col("month").isNotNull(), "monthly").otherwise("daily").alias("granularity"))
+    body = data.join(date_col.select(GRID, "dc"), GRID).where("col_idx > dc").join(groups, [GRID, "col_idx"], "left").join(rows, [GRID, "row_idx"], "left")
+    v, lost = _split(body.withColumn("x", NB.count_number("value")), {
+        "in_table": "below the first total row", "date": NO_DATE, "location": NO_PLACE, "terminal": OTHER_COLUMN, "x": NO_NUMBER})
     keys = ["date", "period_end", "granularity", "location", "terminal"]
-    return summed_per_file(v.select(GRID, *keys, "x"), cells, keys, {"traffic": F.col("x")})
+    return Parsed(v.select(GRID, "row_idx", *keys, "x"), lost, keys, ["traffic"], {"traffic": F.col("x")})
+
+
+def cross_tab_traffic(cells: DataFrame, places: dict[str, str], terminals: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+    return read_cross_tab(cells, places, terminals, years).rows(cells)
 
 
 def _type(c) -> Column:
@@ -389,16 +523,15 @@ def _type(c) -> Column:
     return F.when(t.contains("domestic"), "Domestic").when(t.contains("international"), "International")
 
 
+def _typed_base(flags: DataFrame) -> DataFrame:
+    above = flags.where("typed").select(GRID, (F.col("row_idx") + 1).alias("row_idx"))
+    below = flags.where("arr_dep >= 2").select(GRID, (F.col("row_idx") - 1).alias("row_idx"))
+    return _first_row(flags.where("dated and pax").select(GRID, "row_idx").join(above, [GRID, "row_idx"]).join(below, [GRID, "row_idx"]))
+
+
 def find_typed_traffic(cells: DataFrame, depth: int | None = None) -> DataFrame:
     """Rows labelled Date / PAX with type banners above and arrival / departure labels below; ``base_row`` is the label row."""
-    t = L.norm_label("value")
-    rows = filled(_down_to(cells, depth)).groupBy(GRID, "row_idx").agg(
-        F.bool_or(t == "date").alias("d"), F.bool_or(t.contains("pax")).alias("p"), F.bool_or(_type(F.col("value")).isNotNull()).alias("ty"),
-        F.count_if(t.isin(ARRIVAL_DEPARTURE)).alias("ad"))
-    label = rows.where("d and p").select(GRID, "row_idx")
-    above = rows.where("ty").select(GRID, (F.col("row_idx") + 1).alias("row_idx"))
-    below = rows.where("ad >= 2").select(GRID, (F.col("row_idx") - 1).alias("row_idx"))
-    return _first_row(label.join(above, [GRID, "row_idx"]).join(below, [GRID, "row_idx"]))
+    return _typed_base(row_flags(_down_to(cells, depth), {}))
 
 
 def _typed_columns(cells: DataFrame, base: DataFrame) -> DataFrame:
@@ -411,14 +544,15 @@ def _typed_columns(cells: DataFrame, base: DataFrame) -> DataFrame:
     return fill_across(sections, ["type", "metric"])
 
 
-def typed_traffic(cells: DataFrame, places: dict[str, str], keep: str = "latest", years: tuple[int, int] = D.YEARS) -> DataFrame:
+def read_typed_traffic(cells: DataFrame, places: dict[str, str], keep: str = "latest", years: tuple[int, int] = D.YEARS) -> Parsed:
     """Domestic / International x PAX / flights x arrival / departure, a row per day; only PAX is kept.
 
-    Tables side by side are sections: ``keep="latest"`` takes the one with the later month, ``"all"`` takes each.
+    Tables side by side are sections: ``keep="latest"`` takes the one with the later month, ``"same month"`` every section of the latest
+    month (two tables of one month are two types; one of an older month is a comparison), ``"all"`` takes each.
     Days are dates (day and month swapped back where the reference month says so) or day numbers.
     """
     base = materialise(find_typed_traffic(cells))
-    cols = materialise(_typed_columns(cells, base))
+    cols = materialise(_typed_columns(cells, base).withColumn("is_date", F.coalesce("is_date", F.lit(False))))
     date_cols = cols.where("is_date").select(GRID, "section", F.col("col_idx").alias("dc"))
     pax_cols = cols.where("is_ad and metric = 'pax' and type is not null and section > 0").select(GRID, "section", "col_idx", "type")
     where = cols.select(GRID, "col_idx", "section")
@@ -428,9 +562,15 @@ def typed_traffic(cells: DataFrame, places: dict[str, str], keep: str = "latest"
     info = _sites(cells, places).join(any_month, GRID, "left")
     sections = date_cols.join(own, [GRID, "section"], "left").join(info, GRID).select(
         GRID, "section", "dc", "location", F.coalesce("own_month", "grid_month", D.month_in_name("sheet")).alias("ref"))
+    month = F.coalesce("ref", F.lit("1900-01-01").cast("date"))
     if keep == "latest":
-        best = sections.groupBy(GRID).agg(F.max_by("section", F.struct(F.coalesce("ref", F.lit("1900-01-01").cast("date")), "section")).alias("section"))
-        sections = sections.join(best, [GRID, "section"])
+        best = sections.groupBy(GRID).agg(F.max_by("section", F.struct(month, "section")).alias("section"))
+        sections = sections.join(best.withColumn("chosen", F.lit(True)), [GRID, "section"], "left")
+    elif keep == "same month":
+        best = sections.groupBy(GRID).agg(F.max(month).alias("last"))
+        sections = sections.join(best, GRID).withColumn("chosen", F.when(month == F.col("last"), True)).drop("last")
+    else:
+        sections = sections.withColumn("chosen", F.lit(True))
     sections = materialise(sections)
     data = _below(cells, base, 1)
     labels = data.join(sections, GRID).where("col_idx = dc")
@@ -438,90 +578,158 @@ def typed_traffic(cells: DataFrame, places: dict[str, str], keep: str = "latest"
     numbered = F.when(D.is_day_number("value") & (day_no <= F.dayofmonth(F.last_day("ref"))), F.date_add(F.trunc("ref", "MM"), day_no - 1))
     read = D.text_date("value", years)
     dated = labels.withColumns({"read": read, "numbered": numbered}).select(
-        GRID, "row_idx", "section", "location", F.coalesce("numbered", D.fix_swapped_day("read", "ref")).alias("date")).where("date is not null and location is not null")
-    v = data.join(pax_cols, [GRID, "col_idx"]).join(dated, [GRID, "row_idx", "section"]).withColumn("x", NB.count_number("value")).where("x is not null")
+        GRID, "row_idx", "section", "location", F.coalesce("numbered", D.fix_swapped_day("read", "ref")).alias("date"))
+    body = data.join(cols.select(GRID, "col_idx", "section", "is_date"), [GRID, "col_idx"], "left").where("is_date is null or not is_date")
+    body = body.join(pax_cols.drop("section"), [GRID, "col_idx"], "left")
+    body = body.join(sections.select(GRID, "section", "chosen"), [GRID, "section"], "left").join(dated, [GRID, "row_idx", "section"], "left")
+    v, lost = _split(body.withColumn("x", NB.count_number("value")), {
+        "section": OTHER_COLUMN, "chosen": "table of another month", "date": NO_DATE, "location": NO_PLACE, "type": "no column of customers", "x": NO_NUMBER})
     sums = v.groupBy(GRID, "row_idx", "section", "date", "location", F.col("type").alias("terminal")).agg(F.sum(F.col("x").cast("decimal(28,6)")).cast("double").alias("traffic"))
     rows = sums.withColumns({"period_end": F.lit(None).cast("date"), "granularity": F.lit("daily")})
-    return last_per_key(with_grid_rows(rows, cells), TRAFFIC_KEY).select(*TRAFFIC)
+    return Parsed(rows, lost, TRAFFIC_KEY, ["period_end", "traffic"])
 
 
-def transposed_traffic(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+def typed_traffic(cells: DataFrame, places: dict[str, str], keep: str = "latest", years: tuple[int, int] = D.YEARS) -> DataFrame:
+    return read_typed_traffic(cells, places, keep, years).rows(cells).select(*TRAFFIC)
+
+
+def find_transposed(cells: DataFrame, base: DataFrame, years: tuple[int, int] = D.YEARS) -> DataFrame:
+    """The first row below a typed header that holds three dates or more: days run across."""
+    data = _below(cells, base, 1)
+    heads = data.where(D.text_date("value", years).isNotNull() & NB.messy_number("value").isNull())
+    return _first_row(heads.groupBy(GRID, "row_idx").agg(F.count(F.lit(1)).alias("n")).where("n >= 3"))
+
+
+def read_transposed_traffic(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> Parsed:
     """Dates run across; blocks of numeric rows separated by blank rows belong to the types in banner order, rows of a block add up."""
     base = materialise(find_typed_traffic(cells))
     types = _typed_columns(cells, base).where("type is not null").groupBy(GRID, "type").agg(F.min("col_idx").alias("c"))
     from pyspark.sql import Window
 
     ranked = types.select(GRID, "type", F.row_number().over(Window.partitionBy(GRID).orderBy("c")).alias("block"))
-    data = _below(cells, base, 1)
-    heads = data.where(D.text_date("value", years).isNotNull() & NB.messy_number("value").isNull())
-    first = heads.groupBy(GRID, "row_idx").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").groupBy(GRID).agg(F.min("row_idx").alias("base_row"))
-    first = materialise(first)
-    days = materialise(heads.join(first, GRID).where("row_idx = base_row").select(GRID, "col_idx", D.text_date("value", years).alias("date")))
-    body = _below(cells, first).join(days, [GRID, "col_idx"]).withColumn("x", NB.count_number("value")).where("x is not null")
-    rows = body.select(GRID, "row_idx").distinct()
+    first = materialise(find_transposed(cells, base, years))
+    heads = filled(cells).join(first, GRID).where("row_idx = base_row")
+    days = materialise(heads.select(GRID, "col_idx", D.text_date("value", years).alias("date")).where("date is not null"))
+    body = _below(cells, first).join(days, [GRID, "col_idx"], "left").withColumn("x", NB.count_number("value"))
+    rows = body.where("date is not null and x is not null").select(GRID, "row_idx").distinct()
     # A numeric row starts a block when the row above it is not numeric.
     previous = rows.select(GRID, (F.col("row_idx") + 1).alias("row_idx"), F.lit(True).alias("follows"))
     numbered = running_count(rows.join(previous, [GRID, "row_idx"], "left"), [GRID], "row_idx", F.col("follows").isNull(), "block").select(GRID, "row_idx", "block")
-    out = body.join(numbered, [GRID, "row_idx"]).join(ranked, [GRID, "block"], "left").join(_sites(cells, places), GRID)
-    named = out.withColumn("terminal", F.coalesce("type", F.concat(F.lit("Group"), (F.col("block") - 1).cast("string"))))
-    return summed_per_file(named.select(GRID, "date", "location", "terminal", "x"), cells, ["date", "location", "terminal"], {"traffic": F.col("x")}).select(
-        "date", F.lit(None).cast("date").alias("period_end"), F.lit("daily").alias("granularity"), "location", "terminal", "traffic")
+    placed = body.join(numbered, [GRID, "row_idx"], "left").join(ranked, [GRID, "block"], "left").join(_sites(cells, places).select(GRID, "location"), GRID)
+    out, lost = _split(placed, {"date": "column without a date", "x": NO_NUMBER, "location": NO_PLACE})
+    named = out.select(GRID, "row_idx", "date", F.lit(None).cast("date").alias("period_end"), F.lit("daily").alias("granularity"), "location",
+                       F.coalesce("type", F.concat(F.lit("Group"), (F.col("block") - 1).cast("string"))).alias("terminal"), "x")
+    return Parsed(named, lost, ["date", "period_end", "granularity", "location", "terminal"], ["traffic"], {"traffic": F.col("x")})
 
 
-def flat_export(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+def transposed_traffic(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+    return read_transposed_traffic(cells, places, years).rows(cells).select(*TRAFFIC)
+
+
+def read_flat_export(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> Parsed:
     """DATE, DOM_ARR_PAX, DOM_DEP_PAX, INT_ARR_PAX, INT_DEP_PAX columns, arrivals and departures added per type."""
     names = {"date": ["date"], "da": ["dom_arr_pax"], "dd": ["dom_dep_pax"], "ia": ["int_arr_pax"], "id": ["int_dep_pax"]}
     t = alias_table(cells, names, ["date", "da", "ia"])
     n = lambda c: F.coalesce(NB.count_number(c), F.lit(0.0))
     kinds = F.array(F.struct(F.lit("Domestic").alias("terminal"), (n("da") + n("dd")).alias("traffic")), F.struct(F.lit("International").alias("terminal"), (n("ia") + n("id")).alias("traffic")))
-    rows = t.join(_sites(cells, places), GRID).select(GRID, "row_idx", D.text_date("date", years).alias("date"), "location", F.explode(kinds).alias("k")).select(
-        GRID, "row_idx", "date", F.lit(None).cast("date").alias("period_end"), F.lit("daily").alias("granularity"), "location", "k.*").where("date is not null and traffic > 0")
-    return last_per_key(with_grid_rows(rows, cells), TRAFFIC_KEY).select(*TRAFFIC)
+    texts = t.join(_sites(cells, places).select(GRID, "location"), GRID).withColumns({
+        "day": D.text_date("date", years), "kinds": F.filter(kinds, lambda k: k["traffic"] > 0), "period_end": F.lit(None).cast("date"), "granularity": F.lit("daily")})
+    full = texts.withColumn("counted", F.when(F.size("kinds") > 0, True))
+    kept, lost = _split(full, {"day": NO_DATE, "location": NO_PLACE, "counted": "no customers in any column"})
+    rows = kept.select(GRID, "row_idx", F.col("day").alias("date"), "period_end", "granularity", "location", F.explode("kinds").alias("k")).select(
+        GRID, "row_idx", "date", "period_end", "granularity", "location", "k.*")
+    return Parsed(rows, lost, TRAFFIC_KEY, ["period_end", "traffic"])
+
+
+def flat_export(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
+    return read_flat_export(cells, places, years).rows(cells).select(*TRAFFIC)
 
 
 # --- dispatch --------------------------------------------------------------------------------------------------
 
 
-def grid_kinds(cells: DataFrame, places: dict[str, str]) -> DataFrame:
+# Route of every layout; the order is the one in which a grid is tried.
+ROUTES = {
+    "flat_export": "traffic", "transposed_traffic": "traffic", "typed_traffic": "traffic", "cross_tab": "traffic", "flat_traffic": "traffic",
+    "long_revenue": "revenue", "stacked_blocks": "revenue", "wide_pivot": "revenue",
+    "monthly_targets": "target", "outlet_day_targets": "target", "daily_targets": "target", "sectioned_table": "revenue",
+}
+
+
+def grid_kinds(cells: DataFrame, places: dict[str, str], years: tuple[int, int] = D.YEARS) -> DataFrame:
     """Layout and route of every grid; the most specific layout wins. Traffic hints come first, then known revenue, targets."""
-    t = L.norm_label("value")
-    head = filled(cells)
-    names = head.groupBy(GRID, "row_idx").agg(
-        F.bool_or(t == "date").alias("d"), F.bool_or(t.contains("traffic")).alias("tr"),
-        F.bool_or(t.contains("revenue") | (t == "pax")).alias("rev"), F.bool_or(t.isin("outlet", "sub business", "business", "segment", "outlet name")).alias("biz"),
-        F.bool_or(t.contains("dom_arr_pax") | t.contains("dom arr pax")).alias("fx"), F.bool_or((F.col("col_idx") == 0) & (F.col("value") == BLOCK_MARKER)).alias("st"))
-    flags = names.groupBy(GRID).agg(
-        F.bool_or(F.col("d") & F.col("tr") & ~F.col("rev")).alias("flat"), F.bool_or("fx").alias("export"), F.bool_or("st").alias("stacked"),
-        F.bool_or(F.col("d") & F.col("biz") & F.col("rev")).alias("long"))
-    found = flags
+    flags = written(row_flags(cells, places, years), "rows")
+    lone = (F.col("n") == 1) & F.col("labelled")
+    titled = F.coalesce("titled", F.lit(False))
+    found = flags.groupBy(GRID).agg(
+        F.bool_or(F.col("dated") & F.col("traffic") & ~F.col("revenue")).alias("flat_traffic"), F.bool_or("export").alias("flat_export"), F.bool_or("marker").alias("stacked_blocks"),
+        F.bool_or(F.col("dated") & F.col("business") & F.col("revenue")).alias("long_revenue"),
+        (F.bool_or(lone & titled) & F.bool_or(lone & ~titled) & F.bool_or(~lone & F.col("total"))).alias("sectioned_table"))
+    typed = written(_typed_base(flags), "typed")
     for name, base in (
-        ("typed", find_typed_traffic(cells)), ("cross", find_cross_tab(cells)), ("pivot", find_wide_pivot(cells)), ("monthly", find_monthly_targets(cells)),
-        ("outlet_day", find_outlet_day_targets(cells, places)), ("daily", find_daily_targets(cells, places)),
+        ("typed_traffic", typed), ("transposed_traffic", find_transposed(cells, typed, years)), ("cross_tab", _cross_base(flags)), ("wide_pivot", _pivot_base(flags)),
+        ("monthly_targets", _monthly_base(flags)), ("outlet_day_targets", _outlet_day_base(flags)), ("daily_targets", _daily_base(flags)),
     ):
         found = found.join(base.select(GRID, F.lit(True).alias(name)), GRID, "left")
-    layout = (
-        F.when(F.col("export"), "flat_export").when(F.col("typed"), "typed_traffic").when(F.col("cross"), "cross_tab").when(F.col("flat"), "flat_traffic")
-        .when(F.col("long"), "long_revenue").when(F.col("stacked"), "stacked_blocks").when(F.col("pivot"), "wide_pivot")
-        .when(F.col("monthly"), "monthly_targets").when(F.col("outlet_day"), "outlet_day_targets").when(F.col("daily"), "daily_targets").otherwise("unknown")
-    )
-    routes = {"traffic": ["flat_export", "typed_traffic", "cross_tab", "flat_traffic"], "revenue": ["long_revenue", "stacked_blocks", "wide_pivot"],
-              "target": ["monthly_targets", "outlet_day_targets", "daily_targets"]}
-    route = F.lit("infer")
-    for r, ls in routes.items():
-        route = F.when(F.col("layout").isin(ls), r).otherwise(route)
-    found = materialise(found)
+    layout, route = F.lit("unknown"), F.lit("infer")
+    for name, to in reversed(ROUTES.items()):
+        layout = F.when(F.col(name), name).otherwise(layout)
+        route = F.when(F.col("layout") == name, to).otherwise(route)
     return cells.select(GRID, "source").distinct().join(found, GRID, "left").withColumn("layout", F.coalesce(layout, F.lit("unknown"))).withColumn("route", route).select(
         GRID, "source", "layout", "route")
 
 
-def all_traffic(cells: DataFrame, places: dict[str, str], terminals: dict[str, str], kinds: DataFrame, years: tuple[int, int] = D.YEARS, first_year: int = 2000) -> DataFrame:
-    """Every traffic layout of a corpus in one table, from ``first_year`` on; one row per key."""
-    of = lambda *ls: cells.join(kinds.where(F.col("layout").isin(*ls)).select(GRID), GRID, "left_semi")
-    parts = [
-        flat_traffic(of("flat_traffic"), places, years), cross_tab_traffic(of("cross_tab"), places, terminals, years),
-        typed_traffic(of("typed_traffic"), places, "latest", years), flat_export(of("flat_export"), places, years),
-    ]
-    out = parts[0].select(*TRAFFIC, F.lit(0).alias("__o"))
-    for i, p in enumerate(parts[1:], 1):
-        out = out.unionByName(p.select(*TRAFFIC, F.lit(i).alias("__o")))
-    return keep_one(out.where(F.year("date") >= first_year), TRAFFIC_KEY, F.desc("__o"), F.desc("traffic")).select(*TRAFFIC)
+def by_layout(cells: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The cells with their grid's ``layout``, written once by layout: a parser opens the files of its own grids alone."""
+    path = stage_path(cells.sparkSession, "layouts")
+    named = cells.join(kinds.select(GRID, "layout"), GRID)
+    named.hint("rebalance", "layout").write.partitionBy("layout").parquet(path)
+    return cells.sparkSession.read.schema(named.schema).parquet(path)
+
+
+def of_layout(cells: DataFrame, name: str) -> DataFrame:
+    """Cells of one layout; ``cells`` as of :func:`by_layout`."""
+    return cells.where(F.col("layout") == name).drop("layout")
+
+
+def traffic_parts(cells: DataFrame, places: dict[str, str], terminals: dict[str, str], years: tuple[int, int] = D.YEARS) -> dict[str, Parsed]:
+    """Every traffic layout of a corpus, each over its own grids. Of tables side by side those of the latest month are read."""
+    of = lambda name: of_layout(cells, name)
+    return {
+        "flat_traffic": read_flat_traffic(of("flat_traffic"), places, years), "cross_tab": read_cross_tab(of("cross_tab"), places, terminals, years),
+        "typed_traffic": read_typed_traffic(of("typed_traffic"), places, "same month", years),
+        "transposed_traffic": read_transposed_traffic(of("transposed_traffic"), places, years), "flat_export": read_flat_export(of("flat_export"), places, years),
+    }
+
+
+def with_origin(parts: dict[str, Parsed], cells: DataFrame) -> DataFrame:
+    """The rows of every file and layout: source, delivered, grid_id, row_idx, layout and the facts; later layouts have a higher ``preference``."""
+    out = None
+    for i, (name, p) in enumerate(parts.items()):
+        one = p.per_file(cells).withColumns({"layout": F.lit(name), "preference": F.lit(i)})
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def lost_cells(parts: dict[str, Parsed]) -> DataFrame:
+    """The rejects of several layouts."""
+    out = None
+    for name, p in parts.items():
+        one = p.rejects.withColumn("layout", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def all_traffic(cells: DataFrame, places: dict[str, str], terminals: dict[str, str], kinds: DataFrame, years: tuple[int, int] = D.YEARS, first_year: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of every traffic layout of a corpus. Rows have one per key, with the file, grid, row and layout they come from: the
+    layout listed last wins, then the file delivered first. Rows before ``first_year`` are among the rejects.
+    """
+    parts = traffic_parts(by_layout(cells, kinds), places, terminals, years)
+    rows, lost = with_origin(parts, written(deliveries(cells), "deliveries")), lost_cells(parts)
+    if first_year is not None:
+        early = F.year("date") < first_year
+        text = F.to_json(F.struct(*TRAFFIC))
+        lost = lost.unionByName(rows.where(early).select(GRID, "row_idx", F.lit(None).cast("int").alias("col_idx"), text.alias("value"), F.lit(f"before {first_year}").alias("reason"), "layout"))
+        rows = rows.where(~early)
+    order = [F.desc("preference"), F.col("delivered").asc_nulls_last(), F.asc("source"), F.asc(GRID), F.asc("row_idx")]
+    return keep_one(rows, TRAFFIC_KEY, *order).select(*TRAFFIC, "source", GRID, "row_idx", "layout"), lost

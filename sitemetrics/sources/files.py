@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitemetrics.functions.core import let
+from sitemetrics.operators.ordered import running_sum
 
 # Formats by extension and by leading bytes (hex), candidate delimiters, JSON wrapper keys.
 EXTENSIONS = {
@@ -17,6 +18,8 @@ EXTENSIONS = {
 }
 LEADING_BYTES = {"25504446": "pdf", "504B0304": "zip", "D0CF11E0": "ole", "89504E47": "image", "FFD8FF": "image", "3C3F786D6C": "xml"}
 DELIMITERS = {",": ",", ";": ";", "\t": r"\t", "|": r"\|"}
+#: Bytes of a file whose ranges are summed in one window; longer files go up another level.
+RANGE_RUN = 2**36
 WRAPPERS = ["data", "records", "rows", "results", "items", "report"]
 
 
@@ -69,17 +72,82 @@ def manifest(files: DataFrame) -> DataFrame:
 
 def delimited_cells(files: DataFrame) -> DataFrame:
     """Cells of delimited texts; ``files``: path, text. Quoted fields may hold delimiters, quotes and line breaks; blank lines keep their number."""
-    pattern = F.create_map(*[F.lit(x) for kv in DELIMITERS.items() for x in kv])
     body = F.regexp_replace("text", r"(\r\n|\n|\r)$", "")
     records = F.regexp_extract_all(body, F.lit(r'((?:"[^"]*+"|[^"\r\n]++|")*+)(?:\r\n|\n|\r|$)'), F.lit(1))
     lines = files.select("path", sniff_delimiter(F.col("text")).alias("d"), records.alias("r")).select(
-        "path", "d", F.element_at(pattern, F.col("d")).alias("p"), F.posexplode(F.slice("r", 1, F.greatest(F.size("r") - 1, F.lit(0)))).alias("row_idx", "line"))
+        "path", "d", F.posexplode(F.slice("r", 1, F.greatest(F.size("r") - 1, F.lit(0)))).alias("row_idx", "line"))
+    return _record_cells(lines)
+
+
+def _record_cells(records: DataFrame) -> DataFrame:
+    """Cells of records; ``records``: path, d (the file's delimiter), row_idx, line."""
+    pattern = F.create_map(*[F.lit(x) for kv in DELIMITERS.items() for x in kv])
+    lines = records.withColumn("p", F.element_at(pattern, F.col("d")))
     field = F.concat(F.col("p"), F.lit('((?:"[^"]*+"|[^'), F.col("p"), F.lit('"]++|")*+)'))
     fields = lines.select("path", "row_idx", F.posexplode(F.regexp_extract_all(F.concat("d", "line"), field, F.lit(1))).alias("col_idx", "raw"))
     bare = F.when(F.col("raw").rlike(r'(?s)^".*"$'), F.replace(F.expr("substring(raw, 2, length(raw) - 2)"), F.lit('""'), F.lit('"'))).otherwise(F.col("raw"))
     return fields.select(F.col("path").alias("grid_id"), F.col("path").alias("source"), F.lit("").alias("sheet"), "row_idx", "col_idx", bare.alias("value"))
 
 
+def text_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Lines of delimited files as (path, block, at, line). Spark reads a file in byte ranges, many tasks for a large one; ``block`` is the
+    range's start and ``at`` rises with the lines of a range. A line ends at a line feed; a carriage return stays at its end.
+    """
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
+def line_records(lines: DataFrame) -> DataFrame:
+    """Records of delimited files from their lines: (path, d, row_idx, line); ``lines`` as of :func:`text_lines`.
+
+    A line starts a record when the quotes before it in the file are even. Each byte range counts its own quotes first; a prefix scan over
+    the ranges (one row each) then says whether a range begins inside a quoted field and how many records lie before it. Lines that are a
+    record by themselves go straight on; only records with line breaks in a field are put together. Where the quotes of a file are odd its
+    last one is plain text. Delimiter and encoding (UTF-8, else Latin-1) are those of the whole file.
+    """
+    here = Window.partitionBy("path", "block").orderBy("at")
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"')))
+    # After the last line with a quote of its range a line is in the tail; ``turn`` is that last line itself.
+    last = F.max(F.when(F.col("q") > 0, F.col("at"))).over(Window.partitionBy("path", "block"))
+    counted = lines.withColumn("q", quotes).withColumns({
+        "before": F.coalesce(F.sum("q").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2,
+        "tail": F.coalesce(F.col("at") > last, F.lit(True)), "turn": F.coalesce(F.col("at") == last, F.lit(False))})
+    ranges = counted.groupBy("path", "block").agg(
+        F.sum("q").alias("quotes"), *[F.count_if((F.col("before") == p) & ~F.col("tail")).alias(f"n{p}") for p in (0, 1)], F.count_if("tail").alias("tails"),
+        F.bool_and(F.is_valid_utf8("line")).alias("utf8"), *[F.sum(_count(F.col("line"), x)).alias(f"d{i}") for i, x in enumerate(DELIMITERS.values())])
+    files = ranges.groupBy("path").agg(
+        (F.sum("quotes") % 2 == 1).alias("odd"), F.max(F.when(F.col("quotes") > 0, F.col("block"))).alias("last"), F.bool_and("utf8").alias("all_utf8"),
+        F.array_max(F.array(*[F.struct(F.sum(f"d{i}").alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)])).alias("best"))
+    files = files.select("path", "odd", "last", "all_utf8", F.when(F.col("best.n") > 0, F.col("best.d")).otherwise(F.lit(next(iter(DELIMITERS)))).alias("d"))
+    after = F.col("odd") & (F.col("block") > F.col("last"))
+    entered = running_sum(ranges.join(files, "path"), ["path"], "block", F.col("quotes"), "__quotes", RANGE_RUN, inclusive=False).withColumn(
+        "inside", F.when(after, 0).otherwise(F.coalesce("__quotes", F.lit(0)) % 2))
+    tail_parity = F.when(F.col("odd") & (F.col("block") >= F.col("last")), 0).otherwise((F.col("inside") + F.col("quotes")) % 2)
+    entered = entered.withColumn("starts", F.when(F.col("inside") == 0, F.col("n0")).otherwise(F.col("n1")) + F.when(tail_parity == 0, F.col("tails")).otherwise(0))
+    placed = running_sum(entered, ["path"], "block", F.col("starts"), "first", RANGE_RUN, inclusive=False).select(
+        "path", "block", "inside", F.coalesce("first", F.lit(0)).alias("first"), "odd", "last", "all_utf8", "d", tail_parity.alias("tail_parity"))
+    known = counted.join(placed, ["path", "block"])
+    parity = F.when(F.col("tail"), F.col("tail_parity")).otherwise((F.col("inside") + F.col("before")) % 2)
+    loose = F.when(F.col("odd") & F.col("turn") & (F.col("block") == F.col("last")), 1).otherwise(0)
+    judged = known.withColumns({"start": parity == 0, "open": (parity + F.col("q") - loose) % 2 == 1})
+    numbered = judged.withColumn("row_idx", F.col("first") + F.sum(F.col("start").cast("bigint")).over(here.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    raw = F.when(F.col("all_utf8"), F.col("line")).otherwise(F.decode(F.col("line").cast("binary"), "ISO-8859-1"))
+    clean = numbered.select("path", "d", "row_idx", "block", "at", "start", "open", raw.alias("line"))
+    alone = clean.where("start and not open").select("path", "d", "row_idx", "line")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "line"))), lambda x: x["line"])
+    joined = clean.where("not start or open").groupBy("path", "d", "row_idx").agg(F.array_join(ordered, "\n").alias("line"))
+    bare = F.regexp_replace(F.regexp_replace("line", "\r$", ""), "^\ufeff", "")
+    return alone.unionByName(joined).select("path", "d", F.col("row_idx").cast("bigint").alias("row_idx"), F.when(F.col("row_idx") == 0, bare).otherwise(F.regexp_replace("line", "\r$", "")).alias("line"))
+
+
+def read_delimited(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Cells of delimited files of any size, as :func:`delimited_cells`, but no row ever holds a whole file.
+
+    One record must fit a row, and the line breaks are line feeds, with or without carriage returns before them.
+    """
+    return _record_cells(line_records(text_lines(spark, path, glob)))
+
+
 def table_cells(df: DataFrame, grid: str, order: str) -> DataFrame:
     """Cells of a native table (header as row 0); ``order`` numbers its rows from 0."""
     names = [c for c in df.columns if c not in (grid, order)]

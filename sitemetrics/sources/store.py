@@ -9,7 +9,7 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sitemetrics.functions import numbers as NB
@@ -17,7 +17,7 @@ from sitemetrics.functions.dates import any_date
 from sitemetrics.operators import dims
 from sitemetrics.operators.aggregate import exact
 from sitemetrics.operators.ordered import keep_one
-from sitemetrics.operators.reuse import materialise
+from sitemetrics.operators.reuse import stage_path, written
 from sitemetrics.operators.select import on_days, within
 
 
@@ -85,17 +85,17 @@ def stamped(df: DataFrame, source_file: str, at: dt.datetime) -> DataFrame:
     return df.withColumns({"source_file": F.lit(source_file), "uploaded_at": F.lit(at)})
 
 
-def clean_revenue(df: DataFrame, segment_map: DataFrame | None = None) -> DataFrame:
+def clean_revenue(df: DataFrame, segment_map: DataFrame | None = None, keep: list[str] = ()) -> DataFrame:
     """Trimmed keys, canonical segment and unit, coerced numbers. Canonicalised before duplicates are looked for."""
     have = set(df.columns)
     number = lambda c: NB.float_or_null(c) if c in have else F.lit(None).cast("double")
     keys = df.withColumns({c: F.trim(F.col(c).cast("string")) for c in ("segment", "outlet", "location")}).withColumn("date", any_date("date"))
     tagged = dims.canonical_segment(keys, segment_map) if segment_map is not None else keys
     unit = F.col("business_unit") if "business_unit" in tagged.columns else F.col("segment")
-    return tagged.select("date", "segment", unit.alias("business_unit"), "outlet", "location", *[number(c).alias(c) for c in ("pax", "revenue", "aop", "traffic")])
+    return tagged.select("date", "segment", unit.alias("business_unit"), "outlet", "location", *[number(c).alias(c) for c in ("pax", "revenue", "aop", "traffic")], *keep)
 
 
-def clean_traffic(df: DataFrame) -> DataFrame:
+def clean_traffic(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Rows with a usable value; no terminal is the empty text, the granularity defaults to daily."""
     have = set(df.columns)
     text = lambda c: F.trim(F.col(c).cast("string")) if c in have else F.lit(None).cast("string")
@@ -103,20 +103,20 @@ def clean_traffic(df: DataFrame) -> DataFrame:
     return df.select(
         any_date("date").alias("date"), (any_date("period_end") if "period_end" in have else F.lit(None).cast("date")).alias("period_end"),
         F.when(F.coalesce(gran, F.lit("")) == "", "daily").otherwise(gran).alias("granularity"), F.trim("location").alias("location"),
-        F.when(F.lower(F.coalesce(term, F.lit("nan"))) == "nan", "").otherwise(term).alias("terminal"), NB.float_or_null("traffic").alias("traffic"),
+        F.when(F.lower(F.coalesce(term, F.lit("nan"))) == "nan", "").otherwise(term).alias("terminal"), NB.float_or_null("traffic").alias("traffic"), *keep,
     ).where("traffic is not null")
 
 
-def clean_monthly(df: DataFrame, segment: str) -> DataFrame:
+def clean_monthly(df: DataFrame, segment: str, keep: list[str] = ()) -> DataFrame:
     have = set(df.columns)
     text = lambda c, d: F.trim(F.col(c).cast("string")) if c in have else F.lit(d).cast("string")
     return df.select(
         F.trim("location").alias("location"), text("segment", segment).alias("segment"), text("business_unit", None).alias("business_unit"), F.trim("outlet").alias("outlet"),
-        F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"), NB.float_or_null("aop").alias("aop")).where("aop is not null")
+        F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"), NB.float_or_null("aop").alias("aop"), *keep).where("aop is not null")
 
 
-def clean_daily_target(df: DataFrame) -> DataFrame:
-    return df.select(F.trim("location").alias("location"), any_date("date").alias("date"), NB.float_or_null("aop").alias("aop")).where("aop is not null")
+def clean_daily_target(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    return df.select(F.trim("location").alias("location"), any_date("date").alias("date"), NB.float_or_null("aop").alias("aop"), *keep).where("aop is not null")
 
 
 def embedded_targets(rows: DataFrame, segment: str) -> DataFrame:
@@ -169,29 +169,56 @@ def with_partition(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.withColumn("year_month", F.year("date") * 100 + F.month("date")) if spec.partition == "year_month" else df
 
 
+def _totals(df: DataFrame, spec: TableSpec) -> list[Column]:
+    """What the audit says of the rows really added."""
+    day = F.min("date") if "date" in df.columns else F.min(F.make_date("year", "month", F.lit(1)))
+    pax = F.sum(exact(df, "pax")) if "pax" in df.columns else F.lit(0).cast("double")
+    return [
+        day.alias("report_date"), F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(exact(df, spec.measure)), F.lit(0)).cast("double").alias("primary_total"),
+        (F.coalesce(pax, F.lit(0)).cast("double") if "pax" in df.columns else F.max(pax)).alias("total_pax"),
+    ]
+
+
 def load(spark: SparkSession, root: str, spec: TableSpec, cleaned: DataFrame, source_file: str, at: dt.datetime, *order: Column) -> DataFrame:
     """Append the new rows of a cleaned batch, write the audit row, return the counts. Repeating a load adds nothing.
 
-    Rows with a NULL in their key go to ``rejects`` instead. Only the partitions that the batch touches are read, and each is written by
-    as few tasks as its size needs. If the audit row is lost, :func:`derived_history` gives it from the stored rows.
+    Rows with a NULL in their key go to ``rejects`` instead. The batch is staged once; the partitions it touches, its size and its keyless
+    rows are observed on that write, the audit's totals on the append itself, so no job only counts. Both are last stages of their jobs,
+    where a task that is repeated after a lost executor counts once. Stored rows are read from the touched partitions alone. If the audit
+    row is lost, :func:`derived_history` gives it from the stored rows.
     """
-    incoming = materialise(stamped(cleaned, source_file, at))
-    touched = with_partition(incoming, spec).select(spec.partition).where(F.col(spec.partition).isNotNull()).distinct()
-    stored = read_table(spark, root, spec).join(touched, spec.partition, "left_semi")
-    columns = [c for c in spark.createDataFrame([], spec.schema).columns if c in incoming.columns]
-    # Materialised before the write, so the append does not read what it writes.
-    added = materialise(new_rows(stored, incoming, list(spec.key), *(order or delivery_order(incoming, spec.key))).select(*columns))
-    with_partition(added, spec).hint("rebalance", spec.partition).write.mode("append").partitionBy(spec.partition).parquet(f"{root}/{spec.name}")
-    lost = incoming.where(~has_key(spec.key)).select(
-        F.lit(spec.name).alias("table_name"), "source_file", "uploaded_at", F.lit("key part missing").alias("reason"), F.to_json(F.struct(*spec.key)).alias("key"))
-    lost.write.mode("append").parquet(f"{root}/rejects")
-    audit_row(added, spec, source_file, at).write.mode("append").parquet(f"{root}/load_history")
-    return load_counts(incoming, added)
+    stage, seen, put = stage_path(spark, spec.name), Observation(), Observation()
+    batch = with_partition(stamped(cleaned, source_file, at), spec)
+    batch.observe(
+        seen, F.count(F.lit(1)).alias("total"), F.count_if(~has_key(spec.key)).alias("lost"), F.collect_set(spec.partition).alias("touched")
+    ).write.parquet(stage)
+    incoming = spark.read.schema(batch.schema).parquet(stage)
+    size = seen.get
+    stored = read_table(spark, root, spec).where(F.col(spec.partition).isin(list(size["touched"])) if size["touched"] else F.lit(False))
+    columns = [c for c in spark.createDataFrame([], stored_schema(spec)).columns if c in incoming.columns]
+    # The files of the table are listed when it is read, so the append does not read what it writes.
+    added = new_rows(stored, incoming, list(spec.key), *(order or delivery_order(incoming.drop(spec.partition) if spec.partition == "year_month" else incoming, spec.key))).select(*columns)
+    added.hint("rebalance", spec.partition).observe(put, *_totals(added, spec)).write.mode("append").partitionBy(spec.partition).parquet(f"{root}/{spec.name}")
+    if size["lost"]:
+        lost = incoming.where(~has_key(spec.key)).select(
+            F.lit(spec.name).alias("table_name"), "source_file", "uploaded_at", F.lit("key part missing").alias("reason"), F.to_json(F.struct(*spec.key)).alias("key"))
+        lost.write.mode("append").parquet(f"{root}/rejects")
+    got = put.get
+    row = (source_file, got["report_date"], got["row_count"], got["primary_total"], got["total_pax"] or 0.0, at, "Available", spec.load_type)
+    spark.createDataFrame([row], HISTORY).write.mode("append").parquet(f"{root}/load_history")
+    inserted, total = got["row_count"], size["total"]
+    return spark.createDataFrame([(inserted, total - inserted, total)], "inserted bigint, skipped bigint, total_rows bigint")
 
 
 def rejects(spark: SparkSession, root: str) -> DataFrame:
-    """Rows that loads have turned away, with the reason."""
-    return spark.read.schema("table_name string, source_file string, uploaded_at timestamp, reason string, key string").parquet(f"{root}/rejects")
+    """Rows that loads have turned away, with the reason; an empty frame while there are none."""
+    schema = "table_name string, source_file string, uploaded_at timestamp, reason string, key string"
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/rejects")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def derived_history(stored: DataFrame, spec: TableSpec) -> DataFrame:
@@ -226,10 +253,11 @@ def retagged(stored: DataFrame, segment_map: DataFrame) -> DataFrame:
 def retag_segments(spark: SparkSession, root: str, segment_map: DataFrame) -> DataFrame:
     """Rewrite the months that hold rows with outdated segments or missing units; returns those months. Other rows keep their values."""
     stored = read_table(spark, root, REVENUE)
-    months = materialise(dims.needs_segment_fix(stored, segment_map).select("year_month").distinct())
-    fixed = materialise(retagged(stored.join(months, "year_month", "left_semi"), segment_map))
+    months = [r[0] for r in dims.needs_segment_fix(stored, segment_map).select("year_month").distinct().orderBy("year_month").collect()]
+    # Staged, since the months are read and overwritten.
+    fixed = written(retagged(stored.where(F.col("year_month").isin(months) if months else F.lit(False)), segment_map), REVENUE.name)
     fixed.hint("rebalance", "year_month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year_month").parquet(f"{root}/{REVENUE.name}")
-    return months
+    return spark.createDataFrame([(m,) for m in months], "year_month int")
 
 
 def best_candidate(grids: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["comparison", "allocation", "reporting", "text", "sheets", "ingest"]
+MODULES = ["comparison", "allocation", "reporting", "text", "sheets", "ingest", "corpora"]
 
 
 def load_all() -> None:

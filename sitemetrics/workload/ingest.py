@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sitemetrics.functions import vocabulary as V
 from sitemetrics.operators import ordered as O
-from sitemetrics.operators.reuse import materialise, shared_folder, stage_path
+from sitemetrics.operators.reuse import materialise, shared_folder, stage_path, written
 from sitemetrics.plans import grids as G
 from sitemetrics.plans import infer as INF
 from sitemetrics.plans import quality as QL
@@ -51,6 +51,29 @@ def delimited_cells(spark, sf):
     return cells.select("grid_id", F.col("row_idx").cast("int").alias("row_idx"), F.col("col_idx").cast("int").alias("col_idx"), "value")
 
 
+@query("s01_large_delimited", f"""
+SELECT 'f' || CAST(f AS VARCHAR) AS grid_id, r AS row_idx, CAST(k AS INT) AS col_idx, v AS value FROM (
+  SELECT f, r, UNNEST([0, 1, 2]) AS k, UNNEST([CAST(o_orderkey AS VARCHAR), CASE o_orderkey % 5 WHEN 0 THEN 'two' || chr(10) || chr(10) || 'gaps; "' || o_orderpriority || '"' ELSE o_orderpriority END, CAST({DAY} AS VARCHAR)]) AS v
+  FROM (SELECT *, o_orderkey % 3 AS f, ROW_NUMBER() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) - 1 AS r FROM orders))""")
+def large_delimited(spark, sf):
+    """Orders as three text files, read in byte ranges of 64 kB: fields with line breaks lie across their borders."""
+    f = F.col("o_orderkey") % 3
+    field = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('"two\n\ngaps; ""'), "o_orderpriority", F.lit('"""'))).otherwise(F.col("o_orderpriority"))
+    line = F.concat_ws(";", text("o_orderkey"), field, F.col("o_orderdate").cast("date").cast("string"))
+    path = stage_path(spark, "delimited")
+    rows = orders(spark, sf).select(f.alias("f"), "o_orderkey", line.alias("line")).repartition(3, "f").sortWithinPartitions("f", "o_orderkey")
+    rows.select("f", F.col("line").alias("value")).write.partitionBy("f").text(path)
+    sizes = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in sizes:
+            spark.conf.set(k, "64k")
+        cells = written(FS.read_delimited(spark, path, "part-*"), "cells")
+    finally:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+    return cells.select(F.concat(F.lit("f"), F.regexp_extract("source", "/f=([0-9]+)/", 1)).alias("grid_id"), F.col("row_idx").cast("bigint").alias("row_idx"), F.col("col_idx").cast("int").alias("col_idx"), "value")
+
+
 @query("s02_json_pairs", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_pairs(spark, sf):
     return FS.json_pairs(X.table(spark, sf, "events"), "event_id", "props").where("key = 'k' and value is not null")

@@ -230,9 +230,9 @@ def daily_targets(spark, sf):
     return LY.daily_targets(materialise(day_target_sheets(spark, sf)), PLACES)
 
 
-def outlet_target_sheets(spark, sf) -> DataFrame:
-    """Revenue written as daily outlet targets: location and segment banners over outlet columns."""
-    rev = X.rev(spark, sf).withColumn("grid_id", month_id("outlettargets "))
+def outlet_target_sheets(spark, sf, segment: str | None = None) -> DataFrame:
+    """Revenue (of one segment, if given) written as daily outlet targets: location and segment banners over outlet columns."""
+    rev = X.rev(spark, sf).where(F.lit(True) if segment is None else F.col("segment") == segment).withColumn("grid_id", month_id("outlettargets "))
     cols = rev.select("grid_id", "location", "segment", "outlet").distinct().withColumn("col_idx", F.row_number().over(W.partitionBy("grid_id").orderBy("location", "segment", "outlet")))
     first = lambda *k: F.row_number().over(W.partitionBy("grid_id", *k).orderBy("col_idx")) == 1
     c = cols.withColumns({"fl": first("location"), "fs": first("location", "segment")})
@@ -407,12 +407,45 @@ _COUNTS = {
 @query("s21_g08_route_grids", with_ctes(["rev", "traffic_base", "target_monthly", "target_daily"], " UNION ALL ".join(
     f"SELECT '{k}' AS kind, '{la}' AS layout, '{r}' AS route, ({_COUNTS[k]}) AS grids" for k, (la, r) in _LAYOUTS.items())))
 def route_grids(spark, sf):
-    kinds = LY.grid_kinds(materialise(corpus(spark, sf)), PLACES)
+    kinds = LY.grid_kinds(materialise(corpus(spark, sf)), PLACES, YEARS)
     return kinds.groupBy(F.split("grid_id", " ")[0].alias("kind"), "layout", "route").agg(F.count(F.lit(1)).alias("grids"))
 
 
-@query("g15_all_traffic", with_ctes(["traffic_base"], f"""
-SELECT * FROM ({KINDS_SQL.replace('GROUP BY', 'WHERE YEAR(date) >= 2000 GROUP BY')}) UNION ALL SELECT * FROM ({TRAFFIC_SQL.format(d='date', t='terminal', v='traffic', g='WHERE YEAR(date) >= 2000')})"""))
+# Layouts in the order of preference, the last one first.
+_PREFERRED = f"""
+SELECT *, ROW_NUMBER() OVER (PARTITION BY date, location, terminal, granularity ORDER BY o DESC) AS n FROM (
+  SELECT 0 AS o, 'flat_traffic' AS layout, k.* FROM ({TRAFFIC_SQL.format(d="date", t="terminal", v="traffic", g="")}) k
+  UNION ALL SELECT 1, 'cross_tab', k.* FROM ({TRAFFIC_SQL.format(d="date", t=TERM_SQL, v="traffic", g="")}) k
+  UNION ALL SELECT 1, 'cross_tab', CAST(DATE_TRUNC('month', date) AS DATE), LAST_DAY(date), 'monthly', location, {TERM_SQL}, CAST(SUM(traffic) AS DOUBLE) FROM traffic_base GROUP BY 3, 4, 6, 7
+  UNION ALL SELECT 2, 'typed_traffic', k.* FROM ({KINDS_SQL}) k
+  UNION ALL SELECT 3, 'transposed_traffic', k.* FROM ({KINDS_SQL}) k JOIN across a ON a.location = k.location AND a.m = DATE_TRUNC('month', k.date)
+  UNION ALL SELECT 4, 'flat_export', k.* FROM ({KINDS_SQL}) k WHERE YEAR(date) % 2 = 0)"""
+
+
+def two_kind_sheets(spark, sf) -> DataFrame:
+    """Two tables of the same month side by side, domestic on the left, international on the right."""
+    t = by_kind(spark, sf).withColumns({"grid_id": F.concat(F.lit("kinds "), "location", F.date_format("date", " yyyy-MM")), "sheet": F.col("location"), "row_idx": F.dayofmonth("date") + 3})
+    g = t.select("grid_id", "sheet", F.trunc("date", "MM").alias("m")).distinct()
+    row = lambda r, ls: lay(g.withColumn("row_idx", F.lit(r)), [(i, x if not isinstance(x, str) else F.lit(x)) for i, x in ls], "kinds.xlsx", F.col("sheet"))
+    top = row(0, [(0, F.date_format("m", "yyyy-MM-dd")), (4, F.date_format("m", "yyyy-MM-dd"))])
+    heads = [row(1, [(1, "Domestic"), (5, "International")]), row(2, [(0, "Date"), (1, "PAX"), (4, "Date"), (5, "PAX")]), row(3, [(1, "Arrival"), (2, "Dep."), (5, "Arrival"), (6, "Dep.")])]
+    day = F.dayofmonth("date").cast("string")
+    return stack(top, *heads, lay(t, [(0, day), (1, F.col("da")), (2, F.col("dd")), (4, day), (5, F.col("ia")), (6, F.col("id"))], "kinds.xlsx", F.col("sheet")))
+
+
+@query("g13_two_kinds", with_ctes(["traffic_base"], KINDS_SQL))
+def two_kinds(spark, sf):
+    return LY.typed_traffic(materialise(two_kind_sheets(spark, sf)), PLACES, "same month", YEARS)
+
+
+@query("g15_all_traffic", with_ctes(["traffic_base"], """
+SELECT date, period_end, granularity, location, terminal, traffic, layout FROM p WHERE n = 1""", {
+    "across": f"SELECT location, DATE_TRUNC('month', date) AS m FROM traffic_base GROUP BY 1, 2 HAVING COUNT(DISTINCT date) >= 3 AND COUNT(DISTINCT {KIND_SQL}) = 2", "p": _PREFERRED}))
 def all_traffic(spark, sf):
-    cells = materialise(stack(flat_traffic_sheets(spark, sf), side_by_side_sheets(spark, sf)))
-    return LY.all_traffic(cells, PLACES, TERMINALS, LY.grid_kinds(cells, PLACES), YEARS)
+    """All traffic layouts, transposed sheets and tables side by side included, all years; the export holds the even years alone."""
+    exports = export_sheets(spark, sf)
+    even = exports.where("col_idx = 0 and row_idx > 0 and cast(substring(value, 1, 4) as int) % 2 = 1").select("grid_id", "row_idx")
+    exports = exports.join(even, ["grid_id", "row_idx"], "left_anti")
+    parts = [f(spark, sf) for f in (flat_traffic_sheets, cross_month_sheets, cross_day_sheets, side_by_side_sheets, two_kind_sheets, transposed_sheets)]
+    cells = materialise(stack(*parts, exports))
+    return LY.all_traffic(cells, PLACES, TERMINALS, LY.grid_kinds(cells, PLACES, YEARS), YEARS)[0].select(*LY.TRAFFIC, "layout")
