@@ -6,7 +6,8 @@ Header positions and column meanings are tables of one row per grid or grid colu
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -692,13 +693,12 @@ def of_layout(cells: DataFrame, name: str) -> DataFrame:
     return cells.where(F.col("layout") == name).drop("layout")
 
 
-def traffic_parts(cells: DataFrame, places: dict[str, str], terminals: dict[str, str], years: tuple[int, int] = D.YEARS) -> dict[str, Parsed]:
-    """Every traffic layout of a corpus, each over its own grids. Of tables side by side those of the latest month are read."""
-    of = lambda name: of_layout(cells, name)
+def traffic_readers(places: dict[str, str], terminals: dict[str, str], years: tuple[int, int] = D.YEARS) -> dict[str, Callable[[DataFrame], Parsed]]:
+    """A parser for every traffic layout, the preferred one last. Of tables side by side those of the latest month are read."""
     return {
-        "flat_traffic": read_flat_traffic(of("flat_traffic"), places, years), "cross_tab": read_cross_tab(of("cross_tab"), places, terminals, years),
-        "typed_traffic": read_typed_traffic(of("typed_traffic"), places, "same month", years),
-        "transposed_traffic": read_transposed_traffic(of("transposed_traffic"), places, years), "flat_export": read_flat_export(of("flat_export"), places, years),
+        "flat_traffic": lambda c: read_flat_traffic(c, places, years), "cross_tab": lambda c: read_cross_tab(c, places, terminals, years),
+        "typed_traffic": lambda c: read_typed_traffic(c, places, "same month", years),
+        "transposed_traffic": lambda c: read_transposed_traffic(c, places, years), "flat_export": lambda c: read_flat_export(c, places, years),
     }
 
 
@@ -724,7 +724,8 @@ def all_traffic(cells: DataFrame, places: dict[str, str], terminals: dict[str, s
     """(rows, rejects) of every traffic layout of a corpus. Rows have one per key, with the file, grid, row and layout they come from: the
     layout listed last wins, then the file delivered first. Rows before ``first_year`` are among the rejects.
     """
-    parts = traffic_parts(by_layout(cells, kinds), places, terminals, years)
+    own = by_layout(cells, kinds)
+    parts = {name: read(of_layout(own, name)) for name, read in traffic_readers(places, terminals, years).items()}
     rows, lost = with_origin(parts, written(deliveries(cells), "deliveries")), lost_cells(parts)
     if first_year is not None:
         early = F.year("date") < first_year

@@ -57,34 +57,46 @@ class Rules:
 
 def parse_corpus(cells: DataFrame, kinds: DataFrame, rules: Rules) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
     """(rows of each table with their origin, rejects of all layouts, grids that inference turned down with the reason)."""
+    present = {row["layout"] for row in kinds.select("layout").distinct().collect()}
     cells, files = LY.by_layout(cells, kinds), written(LY.deliveries(cells), "deliveries")
     of = lambda name: LY.of_layout(cells, name)
     r = rules
-    revenue = {"long_revenue": LY.read_long_revenue(of("long_revenue"), r.places, r.years), "wide_pivot": LY.read_wide_pivot(of("wide_pivot"), r.places, r.years)}
-    if r.site_columns:
-        revenue["stacked_blocks"] = LY.read_stacked_blocks(of("stacked_blocks"), r.site_columns, r.block_units, r.segment, r.first_unit or r.segment, r.own_segments, list(r.skipped_labels), r.years)
-        revenue["sectioned_table"] = LY.read_sectioned_table(of("sectioned_table"), r.site_columns, r.sections, None, r.years)
-    monthly = {"outlet_day_targets": LY.read_outlet_day_targets(of("outlet_day_targets"), r.places, r.years)}
-    if r.unit_map is not None:
-        monthly["monthly_targets"] = LY.read_monthly_targets(of("monthly_targets"), r.places, r.unit_segments, r.unit_map, r.segment, r.years)[0]
-    daily = {"daily_targets": LY.read_daily_targets(of("daily_targets"), r.places)}
-    traffic = LY.traffic_parts(cells, r.places, r.terminals, r.years)
-    tables = {name: LY.with_origin(parts, files) for name, parts in (("revenue", revenue), ("target_monthly", monthly), ("target_daily", daily), ("traffic", traffic))}
-    lost = reduce(DataFrame.unionByName, [LY.lost_cells(p) for p in (revenue, monthly, daily, traffic)])
+    readers = {
+        "revenue": {
+            "long_revenue": lambda c: LY.read_long_revenue(c, r.places, r.years), "wide_pivot": lambda c: LY.read_wide_pivot(c, r.places, r.years),
+            "stacked_blocks": lambda c: LY.read_stacked_blocks(c, r.site_columns, r.block_units, r.segment, r.first_unit or r.segment, r.own_segments, list(r.skipped_labels), r.years),
+            "sectioned_table": lambda c: LY.read_sectioned_table(c, r.site_columns, r.sections, None, r.years)},
+        "target_monthly": {
+            "outlet_day_targets": lambda c: LY.read_outlet_day_targets(c, r.places, r.years),
+            "monthly_targets": lambda c: LY.read_monthly_targets(c, r.places, r.unit_segments, r.unit_map, r.segment, r.years)[0]},
+        "target_daily": {"daily_targets": lambda c: LY.read_daily_targets(c, r.places)},
+        "traffic": LY.traffic_readers(r.places, r.terminals, r.years),
+    }
+    if not r.site_columns:  # which columns are whose is not known
+        present -= {"stacked_blocks", "sectioned_table"}
+    if r.unit_map is None:
+        present -= {"monthly_targets"}
+    tables, losses = {}, []
+    for table, own in readers.items():
+        parts = {name: read(of(name)) for name, read in own.items() if name in present}
+        if parts:
+            tables[table] = LY.with_origin(parts, files)
+            losses.append(LY.lost_cells(parts))
+    none = f"{GRID} string, row_idx int, col_idx int, value string, reason string, layout string"
+    lost = reduce(DataFrame.unionByName, losses, cells.sparkSession.createDataFrame([], none))
     turned_down = None
-    if r.vocab is not None:
+    if r.vocab is not None and "unknown" in present:
         found = infer(of("unknown"), r.vocab, r.today or dt.date.today())
-        origin = files.drop("grid_rows")
-        tables["revenue"] = tables["revenue"].unionByName(
-            found.rows.join(origin, GRID).withColumns({"layout": F.lit("inferred"), "preference": F.lit(len(revenue))}), allowMissingColumns=True)
+        rows = found.rows.join(files.drop("grid_rows"), GRID).withColumns({"layout": F.lit("inferred"), "preference": F.lit(len(readers["revenue"]))})
+        tables["revenue"] = tables["revenue"].unionByName(rows, allowMissingColumns=True) if "revenue" in tables else rows
         line = F.to_json(F.struct("date", "segment", "outlet", "location", "pax", "revenue"))
         lost = lost.unionByName(found.rejected_rows.select(GRID, "row_idx", F.lit(None).cast("int").alias("col_idx"), line.alias("value"), "reason", F.lit("inferred").alias("layout")))
         turned_down = found.grids.where("not accepted").select(GRID, "reason")
-    if "aop_daily" in tables["revenue"].columns:  # S20: targets carried by a revenue sheet
+    if "revenue" in tables and "aop_daily" in tables["revenue"].columns:  # S20: targets carried by a revenue sheet
         carried = tables["revenue"].where("aop_daily is not null")
         keys = ["location", "outlet", F.lit(r.segment).alias("segment"), F.year("date").alias("year"), F.month("date").alias("month")]
         summed = carried.groupBy("source", "delivered", GRID, "layout", "preference", *keys).agg(F.min("row_idx").alias("row_idx"), F.sum(exact(carried, "aop_daily")).cast("double").alias("aop"))
-        tables["target_monthly"] = tables["target_monthly"].unionByName(summed, allowMissingColumns=True)
+        tables["target_monthly"] = tables["target_monthly"].unionByName(summed, allowMissingColumns=True) if "target_monthly" in tables else summed
     if turned_down is None:
         turned_down = kinds.where("layout = 'unknown'").select(GRID, F.lit("no known layout").alias("reason"))
     return tables, lost.join(kinds.select(GRID, "source"), GRID), turned_down
@@ -177,9 +189,12 @@ def ingest_corpus(spark: SparkSession, root: str, cells: DataFrame, rules: Rules
     cells = written(cells, "cells")
     kinds = written(LY.grid_kinds(cells, rules.places, rules.years), "kinds")
     tables, lost, turned_down = parse_corpus(cells, kinds, rules)
-    staged, whole = {}, []
-    for name, rows in tables.items():
-        spec = TABLES[name]
+    staged, whole = {}, [spark.createDataFrame([], f"{GRID} string, n_rows bigint")]
+    for name, spec in TABLES.items():
+        if name not in tables:
+            spark.createDataFrame([], stored_columns(spec)).drop("batch_id").write.mode("overwrite").parquet(_folder(root, name, batch))
+            continue
+        rows = tables[name]
         staged[name] = written(ST.with_partition(_cleaned(name, rows, rules), spec), name)
         whole.append(staged[name].where(ST.has_key(spec.key)).groupBy(GRID).agg(F.count(F.lit(1)).alias("n_rows")))
     per_grid = reduce(DataFrame.unionByName, whole).groupBy(GRID).agg(F.sum("n_rows").alias("n_rows"))
@@ -187,12 +202,13 @@ def ingest_corpus(spark: SparkSession, root: str, cells: DataFrame, rules: Rules
     good = files.where("reason is null").select("source")
     earlier = committed_ids(spark, root)
     stamp = {"source_file": F.col("source"), "uploaded_at": F.lit(at)}
-    keyless, counts = [], []
+    keyless = []
+    counts = [spark.createDataFrame([], "source string, load_type string, inserted bigint, report_date date, revenue decimal(38,6), traffic decimal(38,6), target decimal(38,6), pax decimal(38,6)")]
     for name, rows in staged.items():
         spec = TABLES[name]
         stored = _read(spark, root, spec, earlier).where(_touched(rows, spec.partition)) if earlier else None
         mine = rows.join(good, "source", "left_semi")
-        order = [F.col("delivered").asc_nulls_last(), F.asc("source"), F.asc("preference"), F.asc(GRID), F.asc("row_idx"), *[F.asc(c) for c in rows.columns if c not in (*spec.key, *ORIGIN, "preference")]]
+        order = [F.col("delivered").asc_nulls_last(), F.asc("source"), F.desc("preference") if name == "traffic" else F.asc("preference"), F.asc(GRID), F.asc("row_idx"), *[F.asc(c) for c in rows.columns if c not in (*spec.key, *ORIGIN, "preference")]]
         fresh = ST.keep_one(mine.where(ST.has_key(spec.key)), list(spec.key), *order)
         if stored is not None:
             fresh = fresh.join(stored.select(*spec.key), list(spec.key), "left_anti")
@@ -213,7 +229,7 @@ def ingest_corpus(spark: SparkSession, root: str, cells: DataFrame, rules: Rules
     rejects = reduce(DataFrame.unionByName, [lost.select(*names), *[k.select(*names) for k in keyless]])
     rejects.write.mode("overwrite").parquet(_folder(root, "rejects", batch))
     rejected = read_rejects(spark, root, batch).groupBy("source").agg(F.count(F.lit(1)).alias("rejected"))
-    seen = reduce(DataFrame.unionByName, [t.where(ST.has_key(TABLES[n].key)).select("source") for n, t in staged.items()]).groupBy("source").agg(F.count(F.lit(1)).alias("read_rows"))
+    seen = reduce(DataFrame.unionByName, [files.select("source").limit(0)] + [t.where(ST.has_key(TABLES[n].key)).select("source") for n, t in staged.items()]).groupBy("source").agg(F.count(F.lit(1)).alias("read_rows"))
     loaded = reduce(DataFrame.unionByName, counts).groupBy("source").agg(
         F.array_join(F.array_sort(F.collect_set("load_type")), "+").alias("load_type"), F.sum("inserted").alias("inserted"), F.min("report_date").alias("report_date"),
         *[F.sum(c).cast("double").alias(c) for c in ("revenue", "traffic", "target", "pax")])
