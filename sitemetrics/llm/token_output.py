@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sitemetrics.llm.bitpack import Reader, Writer, bits_for, crc32
 from sitemetrics.llm.ranges import partitions_of, range_bounds, range_of
-from sitemetrics.llm.texts import AS_IS, LOWER, NOT_SPACE, slices, words
+from sitemetrics.llm.texts import AS_IS, NOT_SPACE, slices, words
 from sitemetrics.operators.reuse import stage_path, written
 
 CACHE_WORDS = 1 << 21
@@ -22,31 +22,51 @@ class WordEncoder:
     """Encodes texts piece by piece, each distinct piece once.
 
     Pieces are split at ASCII white space. This equals encoding the whole text for tokenizers whose pre-tokenizer drops white space
-    and whose tokens never cross it. The cache is emptied when it holds CACHE_WORDS pieces.
+    and whose tokens never cross it. Pieces reach the tokenizer as they stand: added tokens are told by their case. The cache is found
+    by a hash, and every piece of a text is then compared with the cached one byte by byte; it is emptied when it holds CACHE_WORDS pieces.
     """
 
-    def __init__(self, path: str, lower: bool):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.case = Tokenizer.from_file(path), LOWER if lower else AS_IS
+        self.tokenizer = Tokenizer.from_file(path)
         self._clear()
 
     def _clear(self) -> None:
         self.known, self.start, self.length, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.bytes, self.byte_start, self.byte_length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, w, value: np.ndarray, at: np.ndarray) -> None:
+    def _encoded(self, w, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one after the other, and their numbers."""
         found = [x.ids for x in self.tokenizer.encode_batch_fast([w.word(i) for i in at.tolist()], add_special_tokens=False)]
         length = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(length.sum()))
+        return np.fromiter((i for x in found for i in x), np.uint32, int(length.sum())), length
+
+    def _learn(self, w, value: np.ndarray, at: np.ndarray) -> None:
+        ids, length = self._encoded(w, at)
+        size = w.end[at] - w.start[at]
+        spelled = w.low[_ranges(w.start[at], size)]
+        spelled_at = len(self.bytes) + np.cumsum(size) - size
         order = np.argsort(np.concatenate([self.known, value]))
         start = len(self.ids) + np.cumsum(length) - length
         self.known, self.start, self.length = (np.concatenate(x)[order] for x in ((self.known, value), (self.start, start), (self.length, length)))
-        self.ids = np.concatenate([self.ids, ids])
+        self.byte_start, self.byte_length = (np.concatenate(x)[order] for x in ((self.byte_start, spelled_at), (self.byte_length, size)))
+        self.ids, self.bytes = np.concatenate([self.ids, ids]), np.concatenate([self.bytes, spelled])
+
+    def _others(self, w, entry: np.ndarray) -> np.ndarray:
+        """Pieces that only share the hash of their cache entry."""
+        size = w.end - w.start
+        same = size == self.byte_length[entry]
+        at = np.flatnonzero(same)
+        wrong = w.low[_ranges(w.start[at], size[at])] != self.bytes[_ranges(self.byte_start[entry[at]], size[at])]
+        if wrong.any():
+            same[at[np.searchsorted(np.cumsum(size[at]), np.flatnonzero(wrong), "right")]] = False
+        return np.flatnonzero(~same)
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind it, and n + 1 offsets."""
-        w = words(column, NOT_SPACE, self.case)
+        w = words(column, NOT_SPACE, AS_IS)
         value, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
         place = np.searchsorted(self.known, value)
         new = np.ones(len(value), bool)
@@ -61,6 +81,13 @@ class WordEncoder:
         start = np.append(self.start[place], len(self.ids))
         length = np.append(self.length[place], 1)
         ids = np.append(self.ids, np.uint32(end))
+        others = self._others(w, place[which])
+        if len(others):
+            which = which.copy()
+            which[others] = len(start) + np.arange(len(others))
+            own, count = self._encoded(w, others)
+            start, length = np.append(start, len(ids) + np.cumsum(count) - count), np.append(length, count)
+            ids = np.append(ids, own)
         order = np.insert(which, w.first[1:], len(value))
         n = length[order]
         before = np.cumsum(n) - n
@@ -68,18 +95,23 @@ class WordEncoder:
         return out, np.append(0, (before + n)[w.first[1:] + np.arange(len(column))])
 
 
-_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
-def _encoder(path: str, lower: bool) -> WordEncoder:
-    if (path, lower) not in _ENCODERS:
-        _ENCODERS[path, lower] = WordEncoder(path, lower)
-    return _ENCODERS[path, lower]
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., start[0] + size[0] - 1, start[1], ..."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def _tokens(path: str, lower: bool, end: int, bounds: np.ndarray):
+def _tokens(path: str, end: int, bounds: np.ndarray):
     def run(batches):
-        encoder = _encoder(path, lower)
+        encoder = _encoder(path)
         for batch in slices(batches):
             ids, offsets = encoder.encode(batch.column("text"), end)
             blob = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
@@ -113,10 +145,10 @@ def _write(folder: str, bits: int):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, lower: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token files in `folder`; returns the manifest (shard, path, n_tokens, n_docs, start), stored as a table beside them.
 
-    `tokenizer` is a file of the tokenizers library whose tokens never cross white space; `lower` tells that it lower-cases A-Z.
+    `tokenizer` is a file of the tokenizers library whose tokens never cross white space.
     Files follow each other in ascending doc_id (bigint); rows of equal doc_id are ordered by their ids' bytes; a null doc_id comes
     first. A null or empty text is the end id alone. An empty table gives an empty manifest. Other columns are ignored.
 
@@ -128,7 +160,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, lowe
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = partitions_of(docs)
     bounds = range_bounds(docs, "id", n)
-    tokens = docs.mapInArrow(_tokens(tokenizer, lower, end_id, bounds), "shard int, id long, ids binary")
+    tokens = docs.mapInArrow(_tokens(tokenizer, end_id, bounds), "shard int, id long, ids binary")
     ordered = tokens.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "id", "ids")
     files = written(ordered.mapInArrow(_write(folder, bits), "shard int, path string, n_tokens long, n_docs long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
@@ -154,6 +186,6 @@ def token_index(manifest: DataFrame) -> DataFrame:
     return files.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def store_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, lower: bool = True, folder: str | None = None) -> DataFrame:
+def store_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
     """Writes `docs` to token files (in a new folder of the shared one, if none is given) and returns the index read back."""
-    return token_index(write_tokens(docs, folder or stage_path(spark, "tokens"), tokenizer, end_id, lower))
+    return token_index(write_tokens(docs, folder or stage_path(spark, "tokens"), tokenizer, end_id))
