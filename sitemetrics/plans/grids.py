@@ -103,6 +103,32 @@ def find_headers(cells: DataFrame, vocab: V.Vocab, depth: int | None = None, flo
     return best.join(above, [GRID, "header_row"], "left")
 
 
+def find_transposed(cells: DataFrame, vocab: V.Vocab) -> DataFrame:
+    """Sheets whose days run across: (grid_id, date_row). Two labels of the first column or more name a metric, below a row of three dates or more."""
+    strong = [p for m in V.METRICS for p, w in V.HEADER_SYNONYMS[m] if w >= 0.9]
+    first = filled(cells).where("col_idx = 0").select(GRID, "row_idx", "value")
+    texts = first.select("value").distinct().withColumn("__t", L.norm_label("value"))
+    words = F.concat(F.lit(" "), F.regexp_replace("__t", r"\W", " "), F.lit(" "))
+    named = texts.where(F.exists(F.array(*[F.lit(_words(p)) for p in strong]), lambda q: words.contains(q))).select("value")
+    metrics = first.join(named, "value").select(GRID, F.col("row_idx").alias("metric_row"))
+    likely = metrics.groupBy(GRID).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(GRID)
+    heads = filled(cells).join(likely, GRID, "left_semi").where("col_idx > 0").where(D.text_date("value", vocab.years).isNotNull() & NB.messy_number("value").isNull())
+    dated = heads.groupBy(GRID, "row_idx").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").groupBy(GRID).agg(F.min("row_idx").alias("date_row"))
+    below = metrics.join(dated, GRID).where("metric_row > date_row").groupBy(GRID, "date_row").agg(F.count(F.lit(1)).alias("n"))
+    return below.where("n >= 2").select(GRID, "date_row")
+
+
+def turn(cells: DataFrame, transposed: DataFrame) -> DataFrame:
+    """Cells with rows and columns of the transposed sheets swapped from the row of dates on, which becomes the first column; the title rows
+    above stay. Afterwards such a sheet is a plain one: a header of metric names over one row per day.
+    """
+    placed = cells.join(transposed, GRID, "left")
+    swap = F.col("date_row").isNotNull() & (F.col("row_idx") >= F.col("date_row"))
+    row = F.when(swap, F.col("date_row") + F.col("col_idx")).otherwise(F.col("row_idx"))
+    column = F.when(swap, F.col("row_idx") - F.col("date_row")).otherwise(F.col("col_idx"))
+    return placed.withColumns({"row_idx": row, "col_idx": column}).select(*cells.columns)
+
+
 def header_labels(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """One label per column: header text, prefixed by the upper row's text carried to the right."""
     columns = cells.select(GRID, "col_idx").distinct()

@@ -15,6 +15,7 @@ from sitemetrics.functions import vocabulary as V
 from sitemetrics.operators.ordered import fill_down, top_per_group
 from sitemetrics.operators.reuse import materialise
 from sitemetrics.plans import grids as G
+from sitemetrics.plans.headers import header_matches
 
 GRID = G.GRID
 KEY_ORD, METRIC_ORD = 1_000_000, 1_000_001
@@ -98,15 +99,19 @@ def _content_score(role: str) -> Column:
     return F.when(numeric, 0.35 + bonus).otherwise(0.0)
 
 
-def role_scores(columns: DataFrame, profile: DataFrame) -> DataFrame:
+def role_scores(columns: DataFrame, profile: DataFrame, fuzzy: bool = False) -> DataFrame:
     """Score of every (grid, column, role) from header and content, with the magnitude tie-break.
 
-    ``columns``: grid_id, ord, label.
+    ``columns``: grid_id, ord, label. With ``fuzzy`` a header that names a role badly or not at all may be a misspelt synonym.
     """
     named = columns.groupBy(GRID, "ord").agg(F.min("label").alias("label"))
     # Header labels repeat over files: score each distinct text once.
     texts = named.select("label").distinct().withColumn("t", L.norm_label("label"))
     heads = texts.select("label", *[F.when(F.col("t") == "", 0.0).otherwise(G.synonym_scores(F.col("t"), r)).alias(f"h_{r}") for r in V.ROLES])
+    if fuzzy:
+        like = header_matches(texts, "label").where("method = 'similar'").groupBy("label").agg(*[F.max(F.when(F.col("role") == r, F.col("score"))).alias(f"f_{r}") for r in V.ROLES])
+        better = lambda r: F.when(F.col(f"h_{r}") < 0, F.col(f"h_{r}")).otherwise(F.greatest(f"h_{r}", F.coalesce(f"f_{r}", F.lit(0.0))))
+        heads = heads.join(like, "label", "left").select("label", *[better(r).alias(f"h_{r}") for r in V.ROLES])
     both = profile.join(named, [GRID, "ord"]).join(heads, "label")
     numeric = profile.where("num >= 0.7 and date < 0.5")
     extremes = numeric.groupBy(GRID).agg(
@@ -156,8 +161,13 @@ def _by_role(assigned: DataFrame) -> DataFrame:
 FIRST_PLAUSIBLE = dt.date(2015, 1, 1)
 
 
-def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.ACCEPT, first: dt.date = FIRST_PLAUSIBLE) -> Inference:
-    """Canonical revenue rows from grids of unknown layout; what cannot be understood is rejected with a reason."""
+def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.ACCEPT, first: dt.date = FIRST_PLAUSIBLE, fuzzy: bool = False) -> Inference:
+    """Canonical revenue rows from grids of unknown layout; what cannot be understood is rejected with a reason.
+
+    Sheets with days across and metrics down are turned first. ``fuzzy`` lets misspelt headers and changed word order name a role.
+    """
+    turned = materialise(G.find_transposed(cells, vocab))
+    cells = cells if turned.isEmpty() else G.turn(cells, turned)
     meta = cells.groupBy(GRID).agg(F.min("source").alias("source"), F.min("sheet").alias("sheet"))
     # Each stage result is small next to the cells (one row per grid, column or grid row) and is written once.
     headers = materialise(G.find_headers(cells, vocab))
@@ -176,10 +186,12 @@ def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.AC
         F.lit(None).cast("double").alias("int_like"), F.lit(None).cast("double").alias("mean_abs"), one.alias("uniq"),
     )
     key_names = key_cols.select(GRID, F.lit(KEY_ORD).alias("ord"), F.when(is_date, "date").otherwise("location").alias("label"))
-    scores = role_scores(columns.select(GRID, "ord", "label").unionByName(key_names), prof.unionByName(key_profile))
+    scores = role_scores(columns.select(GRID, "ord", "label").unionByName(key_names), prof.unionByName(key_profile), fuzzy)
     assigned = assign_roles(scores)
     by_role = _by_role(assigned)
-    shape = columns.groupBy(GRID).agg(F.max("layout").alias("layout"))
+    across = turned.select(GRID, F.lit("transposed").alias("__turned"))
+    shape = columns.groupBy(GRID).agg(F.max("layout").alias("layout")).join(across, GRID, "left")
+    shape = shape.select(GRID, F.coalesce("__turned", "layout").alias("layout"))
 
     # A sparse left-hand column of place names serves as section labels where no location column was found.
     size = prof.groupBy(GRID).agg(F.max("n").alias("n_rows"))

@@ -18,6 +18,7 @@ from sitemetrics.functions import numbers as NB
 from sitemetrics.functions import vocabulary as V
 from sitemetrics.operators.ordered import fill_down, keep_one, running_count
 from sitemetrics.operators.reuse import materialise, stage_path, written
+from sitemetrics.operators.terms import found_terms, terms_table
 from sitemetrics.plans.grids import GRID, fill_across, filled, rows_as_columns
 
 KEY = ["date", "segment", "outlet", "location"]
@@ -462,11 +463,18 @@ def flat_traffic(cells: DataFrame, places: dict[str, str], years: tuple[int, int
 
 
 def _sites(cells: DataFrame, places: dict[str, str]) -> DataFrame:
-    """Location of a grid: its sheet name, then the first of its texts that names one, then its file name."""
+    """Location of a grid: its sheet name, then the first of its texts that names one, then its file name. A place or its code is named
+    where it stands as words of its own: a "goal sheet" is not the site "goa". Distinct texts with letters are searched, each once.
+    """
+    terms = terms_table(cells.sparkSession, places)
     named = cells.groupBy(GRID).agg(F.min("sheet").alias("sheet"), F.min("source").alias("source"))
-    texts = filled(cells).withColumn("p", _place("value", places)).where("p is not null").groupBy(GRID).agg(
-        F.min_by("p", F.struct("row_idx", "col_idx")).alias("in_text"))
-    return named.join(texts, GRID, "left").select(GRID, "sheet", F.coalesce(_place("sheet", places), "in_text", _place("source", places)).alias("location"))
+    texts = filled(cells).where(F.col("value").rlike(r"\p{L}")).select(GRID, "row_idx", "col_idx", "value")
+    words = named.select(F.col("sheet").alias("value")).unionByName(named.select(F.col("source").alias("value"))).unionByName(texts.select("value"))
+    found = materialise(found_terms(words, "value", terms).select("value", "name"))
+    first = texts.join(found, "value").groupBy(GRID).agg(F.min_by("name", F.struct("row_idx", "col_idx")).alias("in_text"))
+    by = lambda c, out: found.select(F.col("value").alias(c), F.col("name").alias(out))
+    sites = named.join(first, GRID, "left").join(by("sheet", "__sheet"), "sheet", "left").join(by("source", "__source"), "source", "left")
+    return sites.select(GRID, "sheet", F.coalesce("__sheet", "in_text", "__source").alias("location"))
 
 
 def _cross_base(flags: DataFrame) -> DataFrame:

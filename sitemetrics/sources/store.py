@@ -179,9 +179,12 @@ def _totals(df: DataFrame, spec: TableSpec) -> list[Column]:
     ]
 
 
-def load(spark: SparkSession, root: str, spec: TableSpec, cleaned: DataFrame, source_file: str, at: dt.datetime, *order: Column) -> DataFrame:
+def load(spark: SparkSession, root: str, spec: TableSpec, cleaned: DataFrame, source_file: str, at: dt.datetime, *order: Column, replay: bool = False) -> DataFrame:
     """Append the new rows of a cleaned batch, write the audit row, return the counts. Repeating a load adds nothing.
 
+    ``replay`` says that an attempt at this very file and time may have stored rows and stopped before its audit row: the audit then tells
+    of all rows that bear this file and time.
+
     Rows with a NULL in their key go to ``rejects`` instead. The batch is staged once; the partitions it touches, its size and its keyless
     rows are observed on that write, the audit's totals on the append itself, so no job only counts. Both are last stages of their jobs,
     where a task that is repeated after a lost executor counts once. Stored rows are read from the touched partitions alone. If the audit
@@ -203,10 +206,14 @@ def load(spark: SparkSession, root: str, spec: TableSpec, cleaned: DataFrame, so
         lost = incoming.where(~has_key(spec.key)).select(
             F.lit(spec.name).alias("table_name"), "source_file", "uploaded_at", F.lit("key part missing").alias("reason"), F.to_json(F.struct(*spec.key)).alias("key"))
         lost.write.mode("append").parquet(f"{root}/rejects")
-    got = put.get
+    got = put.get.copy()
+    if replay:
+        mine = read_table(spark, root, spec).where(F.col(spec.partition).isin(list(size["touched"])) if size["touched"] else F.lit(False))
+        mine = mine.where((F.col("source_file") == source_file) & (F.col("uploaded_at") == F.lit(at)))
+        got = mine.agg(*_totals(mine, spec)).first().asDict()
     row = (source_file, got["report_date"], got["row_count"], got["primary_total"], got["total_pax"] or 0.0, at, "Available", spec.load_type)
     spark.createDataFrame([row], HISTORY).write.mode("append").parquet(f"{root}/load_history")
-    inserted, total = got["row_count"], size["total"]
+    inserted, total = put.get["row_count"], size["total"]
     return spark.createDataFrame([(inserted, total - inserted, total)], "inserted bigint, skipped bigint, total_rows bigint")
 
 
@@ -235,6 +242,17 @@ def newest_first(loads: DataFrame) -> DataFrame:
     return loads.orderBy(F.desc("uploaded_at"), "file_name")
 
 
+def is_loaded(spark: SparkSession, root: str, source_file: str, at: dt.datetime) -> bool:
+    """Whether the audit has this file and time: its rows were stored before."""
+    try:
+        log = spark.read.schema(HISTORY).parquet(f"{root}/load_history")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return not log.where((F.col("file_name") == source_file) & (F.col("uploaded_at") == F.lit(at))).isEmpty()
+
+
 def history(spark: SparkSession, root: str) -> DataFrame:
     """Load history, newest first."""
     return newest_first(spark.read.schema(HISTORY).parquet(f"{root}/load_history"))

@@ -14,6 +14,7 @@ from sitemetrics.operators.reuse import materialise, shared_folder, stage_path,
 from sitemetrics.plans import grids as G
 from sitemetrics.plans import infer as INF
 from sitemetrics.plans import quality as QL
+from sitemetrics.plans.headers import header_matches
 from sitemetrics.sources import files as FS
 from sitemetrics.sources import store as ST
 from sitemetrics.workload import facts as X
@@ -449,7 +450,7 @@ def unknown_sheets(spark, sf) -> DataFrame:
     rows = odd.withColumn("row_idx", F.row_number().over(W.partitionBy("grid_id").orderBy("date", "segment", "outlet", "location")) + 2)
     g = rows.select("grid_id").distinct()
     title = label_row(g, 0, ["Daily figures"], "odd.csv")
-    head = label_row(g, 2, ["Txn Dt", "Airport", "Business Line", "Unit", "Guests", "Sales (INR)"], "odd.csv")
+    head = label_row(g, 2, ["Bill Date", "City", "Division", "Shop", "Visitors", "Net Sales"], "odd.csv")
     body = lay(rows, [(0, F.date_format("date", "dd/MM/yyyy")), (1, F.col("location")), (2, F.col("segment")), (3, F.col("outlet")), (4, text("pax")), (5, F.concat(F.lit("Rs. "), text("revenue")))], "odd.csv")
     total = lay(g.withColumn("row_idx", F.lit(10_000_000)), [(0, F.lit("Grand Total")), (4, F.lit("1")), (5, F.lit("1"))], "odd.csv")
     even = rev.where(F.month("date") % 2 == 0).withColumns({"grid_id": F.concat(F.lit("even "), F.col("location"), F.date_format("date", " yyyy-MM")), "sheet": F.col("location")})
@@ -529,6 +530,59 @@ def header_scores(spark, sf):
     return o.select("label", G.synonym_scores(t, "revenue").alias("score"))
 
 
+#: Header texts with letters left out or doubled and words changed in order, in SQL that Spark and DuckDB both read.
+HEADERS = """
+SELECT o_orderkey, CASE CAST(floor(o_orderkey / 12) AS BIGINT) % 5 WHEN 0 THEN h WHEN 1 THEN swapped
+  WHEN 2 THEN concat(substring(h, 1, p), substring(h, p + 2, 100)) WHEN 3 THEN concat(substring(h, 1, p), substring(h, p, 100))
+  ELSE concat(substring(swapped, 1, p), substring(swapped, p + 2, 100)) END AS label
+FROM (SELECT *, concat(split_part(h, ' ', 2), ' ', split_part(h, ' ', 1)) AS swapped, CAST(1 + floor(o_orderkey / 60) % (length(h) - 2) AS INT) AS p FROM (
+  SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN 'Invoice Date' WHEN 1 THEN 'Service Point' WHEN 2 THEN 'Net Sales' WHEN 3 THEN 'Guest Count'
+    WHEN 4 THEN 'Business Vertical' WHEN 5 THEN 'Geographical Segment' WHEN 6 THEN 'Total Revenue' WHEN 7 THEN 'Budgeted Revenue' WHEN 8 THEN 'Passenger Traffic'
+    WHEN 9 THEN 'Outlet Name' WHEN 10 THEN 'Growth Percent' ELSE 'S. No.' END AS h FROM orders) a) b"""
+_BANK = ", ".join(f"('{r}', '{p.replace('-', ' ')}', {w}::DOUBLE)" for r, ps in V.HEADER_SYNONYMS.items() for p, w in ps)
+_PLAIN = "' ' || regexp_replace({}, '[^a-z0-9]+', ' ', 'g') || ' '"
+_SORTED = "array_to_string(list_sort(list_filter(string_split({}, ' '), lambda x: x <> '')), ' ')"
+
+
+@query("m04_fuzzy_headers", f"""
+WITH bank(role, p, w) AS (VALUES {_BANK}), labels AS (SELECT DISTINCT label, regexp_replace(regexp_replace(lower(label), ' +', ' ', 'g'), '\\.+$', '') AS t FROM ({HEADERS})),
+x AS (SELECT label, role, w, t, p, {_SORTED.format('t')} AS s, {_SORTED.format('p')} AS q FROM labels, bank WHERE NOT regexp_matches(t, '^s\\.? ?no\\.?$|growth|percent')),
+y AS (SELECT label, role, w, CASE WHEN t = p THEN w WHEN contains({_PLAIN.format('t')}, {_PLAIN.format('p')}) AND length(p) >= 3 THEN w * 0.82::DOUBLE
+  WHEN contains(t, p) AND length(p) >= 4 THEN w * 0.65::DOUBLE END AS direct, 1 - levenshtein(s, q) / greatest(length(s), length(q)) AS ratio FROM x),
+z AS (SELECT label, role, MAX(direct) AS direct, MAX(w * ratio * 0.9::DOUBLE) FILTER (ratio >= 0.82::DOUBLE) AS fuzzy FROM y GROUP BY 1, 2)
+SELECT label, role, CASE WHEN COALESCE(direct, 0) < 0.6 AND COALESCE(fuzzy, 0) > COALESCE(direct, 0) THEN fuzzy ELSE direct END AS score,
+  CASE WHEN COALESCE(direct, 0) < 0.6 AND COALESCE(fuzzy, 0) > COALESCE(direct, 0) THEN 'similar' ELSE 'synonym' END AS method FROM z WHERE direct IS NOT NULL OR fuzzy IS NOT NULL""")
+def fuzzy_headers(spark, sf):
+    labels = spark.sql(HEADERS.replace("FROM orders", "FROM {orders}"), orders=orders(spark, sf))
+    return header_matches(labels, "label")
+
+
+def across_sheets(spark, sf) -> DataFrame:
+    """A sheet per place, segment and year: a title, a row of dates, customers and revenue below."""
+    rev = X.rev(spark, sf).groupBy("date", "location", "segment").agg(F.sum("pax").alias("pax"), F.sum("revenue").alias("revenue"))
+    rev = rev.withColumns({"grid_id": F.concat_ws(" ", F.lit("across"), "location", "segment", F.year("date").cast("string")), "sheet": F.col("location"), "column": F.dayofyear("date")})
+    g = rev.select("grid_id", "sheet", "segment").distinct()
+    row = lambda r, value: lay(g.withColumn("row_idx", F.lit(r)), [(0, value)], "across.xlsx", F.col("sheet"))
+    body = [lay(rev.withColumn("row_idx", F.lit(r)), [(F.col("column"), v)], "across.xlsx", F.col("sheet")) for r, v in (
+        (2, F.date_format("date", "dd/MM/yyyy")), (3, text("pax")), (4, text("revenue")))]
+    return materialise(stack(row(0, F.concat(F.lit("Figures of "), "segment")), row(2, F.lit("Date")), row(3, F.lit("Visitors")), row(4, F.lit("Net sales")), *body))
+
+
+_ACROSS = "SELECT location, segment, YEAR(date) AS y FROM rev GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT date) >= 3"
+
+
+@query("r05_transposed_metrics", with_ctes(["rev"], """
+SELECT date, segment, location || ' - ' || segment AS outlet, location, CAST(SUM(pax) AS DOUBLE) AS pax, CAST(SUM(revenue) AS DOUBLE) AS revenue
+FROM rev JOIN a USING (location, segment) WHERE a.y = YEAR(date) GROUP BY 1, 2, 3, 4""", {"a": _ACROSS}))
+def transposed_metrics(spark, sf):
+    return INF.infer(across_sheets(spark, sf), VOCAB, TODAY, first=FIRST).rows.select("date", "segment", "outlet", "location", "pax", "revenue")
+
+
+@query("m08_orientation", with_ctes(["rev"], "SELECT 'transposed' AS layout, TRUE AS accepted, COUNT(*) AS grids FROM a", {"a": _ACROSS}))
+def orientation(spark, sf):
+    return INF.infer(across_sheets(spark, sf), VOCAB, TODAY, first=FIRST).grids.groupBy("layout", "accepted").agg(F.count(F.lit(1)).alias("grids"))
+
+
 # --- streaming -------------------------------------------------------------------------------------------------
 
 
@@ -551,6 +605,29 @@ def stream_ingest(spark, sf):
     return ST.read_table(spark, root, ST.TRAFFIC).select("date", "location", "terminal", "traffic")
 
 
+@query("i01_repeated_events", """
+SELECT 'events-0' AS file_name, COUNT(*) AS row_count, CAST(SUM(CAST(value AS DECIMAL(30,8))) AS DOUBLE) AS primary_total, MIN(CAST(ts AS DATE)) AS report_date,
+  (SELECT COUNT(*) FROM events WHERE value IS NOT NULL) AS stored FROM events WHERE value IS NOT NULL""")
+def repeated_events(spark, sf):
+    """All events delivered twice in a stream, and the whole stream run again from the start: the audit has one load, the table each event once."""
+    from sitemetrics.streaming.ingest import file_source, ingest_stream
+
+    root = stage_path(spark, "stream")
+    events = X.table(spark, sf, "events")
+    for _ in range(2):
+        events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").coalesce(1).write.mode("append").parquet(f"{root}/inbox")
+    schema = "event_id bigint, ts timestamp, event_type string, value double"
+
+    def clean(batch: DataFrame) -> DataFrame:
+        return ST.clean_traffic(batch.select(F.col("ts").cast("date").alias("date"), F.col("event_type").alias("location"), text("event_id").alias("terminal"), F.col("value").alias("traffic")))
+
+    for run in ("first", "second"):
+        source = file_source(spark, f"{root}/inbox", schema, per_batch=1)
+        ingest_stream(source, root, ST.TRAFFIC, clean, f"{root}/checkpoint-{run}", "events", key=["event_id"], event_time="ts").awaitTermination()
+    stored = ST.read_table(spark, root, ST.TRAFFIC).groupBy(F.col("source_file").alias("file_name")).agg(F.count(F.lit(1)).alias("stored"))
+    return ST.history(spark, root).select("file_name", "row_count", "primary_total", "report_date").join(stored, "file_name", "left")
+
+
 @query("m09_data_rows", with_ctes(["rev"], """
 SELECT 'odd' AS kind, COUNT(*) AS rows FROM rev WHERE MONTH(date) % 2 = 1 UNION ALL
 SELECT 'even', COUNT(*) FROM (SELECT DISTINCT location, DATE_TRUNC('month', date), segment, outlet FROM rev WHERE MONTH(date) % 2 = 0) UNION ALL
@@ -563,7 +640,7 @@ def data_rows(spark, sf):
 
 
 @query("m03_header_labels", with_ctes(["rev"], """
-SELECT label, COUNT(*) AS grids FROM (SELECT UNNEST(['Txn Dt', 'Airport', 'Business Line', 'Unit', 'Guests', 'Sales (INR)']) AS label, m FROM (
+SELECT label, COUNT(*) AS grids FROM (SELECT UNNEST(['Bill Date', 'City', 'Division', 'Shop', 'Visitors', 'Net Sales']) AS label, m FROM (
   SELECT DISTINCT DATE_TRUNC('month', date) AS m FROM rev WHERE MONTH(date) % 2 = 1)) GROUP BY label"""))
 def header_label_counts(spark, sf):
     cells = unknown_sheets(spark, sf)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sitemetrics.functions import dates as D
 from sitemetrics.functions import labels as L
 from sitemetrics.functions import numbers as NB
+from sitemetrics.operators.terms import found_terms
 from sitemetrics.workload import facts as X
 from sitemetrics.workload.facts import with_ctes
 from sitemetrics.workload.registry import query
@@ -237,6 +238,32 @@ def location_match(spark, sf):
     return n.select("n_nationkey", "r_name", L.vocabulary_match("r_name", PLACES).alias("exact_or_part"), L.vocabulary_match(sheet, PLACES).alias("in_sentence"))
 
 
+#: Texts that name customers, nations and segments, some of them with letters grown on: those are no names. For Spark and DuckDB.
+NAMED = """
+SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN concat('Report of ', c_name, ', ', n_name) WHEN 1 THEN concat('Totals ', n_name, 'x ', c_mktsegment)
+  WHEN 2 THEN concat(lower(c_name), 's goal sheet') ELSE concat(c_mktsegment, '-ish ', n_name, '/', c_name, ' (final)') END AS label
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+TERMS = """
+SELECT lower(c_name) AS term, concat('customer ', CAST(c_custkey AS STRING)) AS name, CAST(c_custkey AS INT) AS priority FROM customer
+UNION ALL SELECT n_name, concat('nation ', CAST(n_nationkey AS STRING)), CAST(1000000 + n_nationkey AS INT) FROM nation
+UNION ALL SELECT DISTINCT c_mktsegment, concat('segment ', lower(c_mktsegment)), 2000000 FROM customer"""
+
+
+@query("l05_site_codes", f"""
+WITH named AS ({NAMED}), term AS (SELECT array_to_string(w, ' ') AS term, len(w) AS n, name, priority FROM (
+  SELECT *, list_filter(regexp_split_to_array(lower(term), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM ({TERMS}))),
+words AS (SELECT label, list_filter(regexp_split_to_array(lower(label), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM named),
+runs AS (SELECT label, pos, k, array_to_string(list_slice(w, pos, pos + k - 1), ' ') AS run FROM (SELECT label, w, k, UNNEST(range(1, len(w) - k + 2)) AS pos FROM words, (SELECT DISTINCT n AS k FROM term) WHERE len(w) >= k))
+SELECT label, name, term FROM runs JOIN term ON run = term QUALIFY ROW_NUMBER() OVER (PARTITION BY label ORDER BY n DESC, length(term) DESC, pos, priority, name) = 1""")
+def site_codes(spark, sf):
+    """A dictionary of all customers, nations and segments looked up in texts between word borders."""
+    t = lambda n: X.table(spark, sf, n)
+    named = NAMED.replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}").replace("JOIN nation", "JOIN {nation}")
+    labels = spark.sql(named, orders=t("orders"), customer=t("customer"), nation=t("nation"))
+    terms = spark.sql(TERMS.replace("FROM customer", "FROM {customer}").replace("FROM nation", "FROM {nation}"), customer=t("customer"), nation=t("nation"))
+    return found_terms(labels, "label", terms).select("label", "name", "term")
+
+
 @query("l06_segment_match", """
 SELECT DISTINCT c_mktsegment AS segment, CASE c_mktsegment WHEN 'BUILDING' THEN 'Homes' WHEN 'FURNITURE' THEN 'Homes' WHEN 'HOUSEHOLD' THEN 'Homes' WHEN 'MACHINERY' THEN 'Plant' END AS canonical
 FROM customer""")
