@@ -1,7 +1,8 @@
 """Not-modified WARC revisits: each takes the latest earlier full response of its canonical URL, if the validators agree.
 
 The as-of join runs on distinct (URL, time) points in two levels: inside time buckets of a URL, then from bucket to bucket, so that a URL
-with a third of all captures is spread over many tasks; the second level has one row for each bucket of a URL.
+with a third of all captures is spread over many tasks; the second level has one row for each bucket of a URL. Points carry the fields of
+their response, so revisits never meet by response: neither those of one popular response nor those without any share a task.
 """
 
 from __future__ import annotations
@@ -9,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitemetrics.operators.reuse import written
-
 BUCKET_SECONDS = 3600
 # Headers that a 304 answer may replace in the stored response, and query parameters that don't name a page.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "set-cookie", "vary"]
 TRACKING = "utm_[A-Za-z]+|ref|gclid|fbclid"
 HEADERS = "array<struct<name:string,value:string>>"
+RESPONSE = f"struct<record_id:bigint,etag:string,last_modified:string,headers:{HEADERS}>"
 
 
 def canonical_url(url: Column) -> Column:
@@ -65,14 +65,16 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     responses = responses.agg(F.max(F.struct("fetched", "url", "etag", "last_modified", "headers")).alias("r")).select("record_id", "r.*")
     revisits = rows.where("kind = 'revisit'").drop("kind")
     keyed = revisits.where("url IS NOT NULL AND fetched IS NOT NULL")
-    points = responses.select("url", "fetched", F.col("record_id").alias("response")).unionByName(keyed.select("url", "fetched", F.lit(None).cast("long").alias("response")))
-    found = latest_earlier(points.groupBy("url", "fetched").agg(F.max("response").alias("response")))
-    found = written(found.where("found IS NOT NULL"), "asof")
-
-    # Revisits that found nothing have no key to meet on; a second one spreads them.
-    spread = F.when(F.col("found").isNull(), F.xxhash64("record_id", "fetched")).otherwise(F.lit(0))
-    stored = responses.select(F.col("record_id").alias("found"), F.lit(0).cast("long").alias("spread"), F.col("etag").alias("old_etag"), F.col("last_modified").alias("old_modified"), F.col("headers").alias("old_headers"))
-    joined = revisits.join(found, ["url", "fetched"], "left").withColumn("spread", spread).join(stored, ["found", "spread"], "left")
+    response = F.struct("record_id", "etag", "last_modified", "headers")
+    points = responses.select("url", "fetched", response.alias("response")).unionByName(keyed.select("url", "fetched", F.lit(None).cast(RESPONSE).alias("response")))
+    found = latest_earlier(points.groupBy("url", "fetched").agg(F.max("response").alias("response"))).where("found IS NOT NULL")
+
+    # Revisits without a key stay out of the join, where all nulls would be dealt to one task.
+    unkeyed = revisits.where("url IS NULL OR fetched IS NULL").withColumn("found", F.lit(None).cast(RESPONSE))
+    joined = keyed.join(found, ["url", "fetched"], "left").unionByName(unkeyed).select(
+        *fields, F.col("found.record_id").alias("found"), F.col("found.etag").alias("old_etag"),
+        F.col("found.last_modified").alias("old_modified"), F.col("found.headers").alias("old_headers"),
+    )
     agrees = F.when(F.col("etag").isNotNull(), _tag(F.col("etag")) == _tag(F.col("old_etag"))).otherwise(F.col("last_modified") == F.col("old_modified"))
     state = (
         F.when(F.col("url").isNull() | F.col("fetched").isNull(), "no_key").when(F.col("found").isNull(), "no_response")
