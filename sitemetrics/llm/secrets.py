@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitemetrics.functions.core import let
+
 # The base patterns, in their listed order, with the least length of what must be long enough.
 PATTERNS = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -27,6 +29,8 @@ RUN = "[A-Za-z0-9+/_=-]"
 LEAST_TRAINING, LEAST_RUN = 6, 16
 MARGIN = 5.0
 SMOOTHING = 0.5
+#: Parts of a text whose places are counted together; even, as every second part is a match.
+BLOCK = 256
 _OPEN, _CLOSE, _OTHER = "\ue000", "\ue001", "\ue002"
 _SPANS = "array<struct<start:int,stop:int,value:string>>"
 
@@ -39,14 +43,30 @@ def _spans(text: str, pattern: str, hint: str, keep: str) -> Column:
     """(start, stop, value) of the leftmost non-overlapping matches `p` that satisfy `keep`, in code points.
 
     Matches are put between two marks and the text is split there, so lengths of the parts give the places. The marks' own characters
-    are replaced by a third one before, which keeps lengths and is in no pattern.
+    are replaced by a third one before, which keeps lengths and is in no pattern. Places are counted in blocks of BLOCK parts, whose
+    own offsets are counted then, so that no list that grows with the text is copied for each match.
     """
     plain = f"translate({text}, '{_OPEN}{_CLOSE}', '{_OTHER}{_OTHER}')"
     parts = f"split(regexp_replace({plain}, {_quoted(pattern)}, '{_OPEN}$0{_CLOSE}'), '[{_OPEN}{_CLOSE}]')"
     grown = f"CASE WHEN a.i % 2 = 1 AND ({keep}) THEN array_append(a.found, struct(a.pos AS start, a.pos + length(p) AS stop, p AS value)) ELSE a.found END"
     step = f"struct(a.pos + length(p) AS pos, a.i + 1 AS i, {grown} AS found)"
-    folded = f"aggregate({parts}, struct(0 AS pos, 0 AS i, CAST(array() AS {_SPANS}) AS found), (a, p) -> {step}, a -> a.found)"
-    return F.expr(f"CASE WHEN {text} RLIKE {_quoted(hint)} THEN {folded} ELSE CAST(array() AS {_SPANS}) END")
+    blocks = f"transform(sequence(0, (size(l) - 1) DIV {BLOCK}), b -> aggregate(slice(l, CAST(b * {BLOCK} + 1 AS INT), {BLOCK}), struct(0 AS pos, 0 AS i, CAST(array() AS {_SPANS}) AS found), (a, p) -> {step}))"
+    moved = "transform(k.found, s -> struct(a.pos + s.start AS start, a.pos + s.stop AS stop, s.value AS value))"
+    folded = f"flatten(aggregate({blocks}, struct(0 AS pos, CAST(array() AS array<{_SPANS}>) AS all), (a, k) -> struct(a.pos + k.pos AS pos, array_append(a.all, {moved}) AS all), a -> a.all))"
+    once = f"transform(array({parts}), l -> {folded})[0]"
+    return F.expr(f"CASE WHEN {text} RLIKE {_quoted(hint)} THEN {once} ELSE CAST(array() AS {_SPANS}) END")
+
+
+def _touches(kind: str, span: Column) -> Column:
+    """Whether a span of `kind` overlaps `span`.
+
+    Spans of one kind are in order and apart, so of those that start before the end of `span` the last one reaches furthest. Their
+    number is found by halving steps.
+    """
+    spans = F.col(kind)
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    before = F.aggregate(steps, F.lit(0), lambda j, w: F.when((w <= F.size(spans) - j) & (F.get(spans, j + w - 1)["start"] < span["stop"]), j + w).otherwise(j))
+    return (F.size(spans) > 0) & let(before, lambda j: (j > 0) & (F.get(spans, j - 1)["stop"] > span["start"]))
 
 
 def _base(kind: str) -> Column:
@@ -112,7 +132,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
 
     runs = _spans("text", RUN + "{" + str(LEAST_RUN) + ",}", RUN + "{" + str(LEAST_RUN) + "}", "p RLIKE '[A-Za-z]'")
-    apart = F.filter(runs, lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (b["stop"] > s["start"])))
+    apart = F.filter(runs, lambda s: ~(_touches("assign", s) | _touches("access", s) | _touches("hex", s)))
     random = F.filter(apart, lambda s: score(s) > F.lit(least))
     added = F.transform(random, lambda s: F.struct(s["start"].alias("start"), F.lit(len(PATTERNS)).alias("kind"), s["stop"].alias("stop")))
     scanned = scanned.withColumn("added", added)
