@@ -97,7 +97,7 @@ FROM copy c JOIN documents d USING (doc_id)
 
 @query("op8_source_mixing", MIX_SQL)
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replicate(table(spark, sf_dir, "documents"))
+    return replicate(table(spark, sf_dir, "documents")).withColumn("mix_copy", F.col("mix_copy").cast("int"))
 
 
 @query("op9_ordinal_quality")
