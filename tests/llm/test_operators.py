@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -17,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sitemetrics.llm import fingerprint, near_dedup, pitman_yor, token_output
+from sitemetrics.llm import fingerprint, mixing, near_dedup, pitman_yor, token_output
 from sitemetrics.llm.bitpack import Reader, crc32
 from sitemetrics.llm.components import components
 from sitemetrics.llm.decontaminate import contamination
@@ -218,6 +219,28 @@ def test_replication_of_odd_rows(spark):
         replicate(docs, {"a": -1.0})
 
 
+def test_replication_keeps_columns_called_like_its_own(spark):
+    names = ["mix_u", "MIX_N", "mix_source", "mix_terms", "mix_block", "mix_block_"]
+    docs = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(40)], "doc_id long, source string")
+    named = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    got = replicate(named)
+    assert got.columns == [*named.columns, "mix_rate", "mix_copy", "mix_key"]
+    rows = got.collect()
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert sorted((r.doc_id, r.mix_copy) for r in rows) == sorted((r.doc_id, r.mix_copy) for r in replicate(docs).collect())
+
+
+def test_replication_of_very_high_rates(spark):
+    """One row of a weighty source: its copies are made in blocks over all tasks, and counts beyond 32 bits are counted."""
+    docs = spark.createDataFrame([(1, "a"), *[(k, "b") for k in range(2, 12)]], "doc_id long, source string")
+    spread = replicate(docs, {"a": 1.0, "b": 1e-4}, rows=300000)
+    copies = [r.mix_copy for r in spread.where("doc_id = 1").select("mix_copy").collect()]
+    assert sorted(copies) == list(range(1, len(copies) + 1)) and abs(len(copies) - 299970) < 3000
+    rate, u = 3e9, 0.5
+    count = spark.range(1).select(F.expr(mixing._far_count(f"{rate}D", f"{u}D"))).first()[0]
+    assert abs(count - rate) < 3  # the median is within one of the mean
+
+
 # -- quality --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -323,6 +346,24 @@ def test_secret_spans(spark):
     assert secret_spans(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_secret_spans_of_a_long_text(spark):
+    """20,000 assignments, a hex string in every tenth and runs between them: places across many blocks, in time that grows with the text."""
+    pick = random.Random(4)
+    secret = lambda n: "".join(pick.choice("0123456789abcdef") for _ in range(n))
+    text = "".join(f"é password={'x' if k % 3 else secret(9)} {secret(30) if k % 10 == 0 else 'averyordinaryidentifier' if k % 4 else 'AKIA' + 'Q7' * 9} " for k in range(20000))
+    rows = [(1, text, "a"), (2, text[: len(text) // 2], "a"), (3, prose(3, 200) + " token=" + secret(20), "b")]
+    start = time.monotonic()
+    got = {r.doc_id: r for r in secret_spans(documents(spark, rows)).collect()}
+    assert time.monotonic() - start < 60
+    for i, text, _ in rows:
+        found = [(m.start(), k, m.end(), name) for k, (name, p, g, least) in enumerate(BASE) for m in p.finditer(text) if len(m[g]) >= least]
+        base = ",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted(found))
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        listed = [s.split(":") for s in got[i].spans.split(",")]
+        taken = {at for a, _, b, _ in found for at in range(a, b)}
+        assert not any(at in taken for n, a, b in listed if n == "markov" for at in range(int(a), int(b)))
+
+
 # -- language model -------------------------------------------------------------------------------------------------------------------
 
 
@@ -488,6 +529,17 @@ def test_revisits_of_one_hot_page(spark):
     assert got == want
 
 
+def test_revisits_meet_by_page_and_time_alone(spark):
+    """Revisits of one response, without one and without a key: no join deals them by what they found."""
+    rows = [(1, "h.org/x", 10, "response", "e", None, None)] + [(k, "h.org/x", 10 + k, "revisit", "e", None, None) for k in range(2, 400)]
+    rows += [(1000 + k, f"h.org/{k}", 5, "revisit", "e", None, None) for k in range(300)] + [(2000 + k, None, k, "revisit", "e", None, None) for k in range(300)]
+    out = resolve_revisits(spark.createDataFrame(rows, RECORDS))
+    assert Counter(r.state for r in out.collect()) == {"resolved": 398, "no_response": 300, "no_key": 300}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any("record_id" in line or "found" in line for line in joins)
+
+
 def test_canonical_urls(spark):
     urls = ["HTTP://WWW.A.com:80/P/?z=1&a=2&gclid=9#f", "a.com/P?a=2&z=1", "https://a.com", "a.com/", " a.com?ref=1 ", None]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(canonical_url(F.col("u"))).collect()]
