@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from sitemetrics.functions.core import let
 from sitemetrics.operators.ordered import running_sum
+from sitemetrics.operators.reuse import written
 
 # Formats by extension and by leading bytes (hex), candidate delimiters, JSON wrapper keys.
 EXTENSIONS = {
@@ -246,6 +248,64 @@ def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return flatten(spark.read.format("xml").option("rowTag", row_tag).load(path))
 
 
+def xml_row_tags(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, tag) of XML files of any size: the row element as of :func:`xml_row_tag`, without its namespace prefix.
+
+    Files are read in byte ranges and cut at end tags, so that a start tag and the one right below it are in one piece. Markup in a comment or
+    CDATA section is left out, but for pieces that lie wholly inside one (markup with end tags, quoted there).
+    """
+    pieces = spark.read.option("lineSep", "</").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    pieces = pieces.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
+    closed = F.regexp_replace("piece", r"(?s)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)", "")
+    pieces = pieces.withColumn("piece", F.regexp_replace(closed, r"(?s)^.*(?:-->|\]\]>)", ""))
+    tag = rf"<{_PREFIX}({_NAME})"
+    parents = F.regexp_extract_all("piece", F.lit(rf"{tag}(?:\s[^>]*)?(?<!/)>\s*(?=<{_NAME})"), F.lit(1))
+    named = pieces.select("path", "block", "at", parents.alias("parents"), F.posexplode(F.regexp_extract_all("piece", F.lit(tag + r"(?=[\s/>])"), F.lit(1))).alias("i", "tag"))
+    tags = named.groupBy("path", "tag").agg(F.count("*").alias("n"), F.bool_or(F.array_contains("parents", F.col("tag"))).alias("parent"), F.min(F.struct("block", "at", "i")).alias("first"))
+    tags = written(tags, "tags")
+    roots = tags.groupBy("path").agg(F.min("first").alias("root"))
+    rank = F.when(F.col("first") == F.col("root"), 2).when(F.col("parent") & (F.col("n") > 1), 0).when(F.col("parent"), 1).otherwise(3)
+    return tags.join(roots, "path").groupBy("path").agg(F.min_by("tag", F.struct(rank.alias("rank"), "first")).alias("tag"))
+
+
+def _leaf_cells(value: Column, kind: T.DataType, name: str) -> Column:
+    """(name, value) of all leaves of a nested column, one for each element of a list; text beside attributes has its element's name."""
+    if isinstance(kind, T.StructType):
+        below = lambda f: name if f.name == "_VALUE" else f"{name}.{f.name}" if name else f.name
+        return F.concat(*[_leaf_cells(value[f.name], f.dataType, below(f)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        each = F.flatten(F.transform(value, lambda x: _leaf_cells(x, kind.elementType, name)))
+        return F.coalesce(each, F.array().cast("array<struct<name:string,value:string>>"))
+    return F.array(F.struct(F.lit(name).alias("name"), value.cast("string").alias("value")))
+
+
+def read_xml_groups(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Cells of XML files as (path, tag, row_idx, name, value): one read of Spark's XML source for all files of one row element.
+
+    Names are paths below the row, joined by points; attributes have a leading underscore, and elements that repeat in a row give a cell each.
+    Values stay text; an empty element is an empty text. The source streams a file through one task, so a row, but no file, must fit memory. The
+    list of files and their row elements comes to the driver, as the source's own listing of files does. No files give no rows. File names with
+    glob characters are an error, since the source's own inference reads them as patterns.
+    """
+    files: dict[str, list[str]] = {}
+    for r in xml_row_tags(spark, path, glob).collect():
+        files.setdefault(r["tag"], []).append(unquote(r["path"]))
+    parts = []
+    for tag, paths in sorted(files.items()):
+        options = {"rowTag": tag, "inferSchema": "false", "multiLine": "true", "ignoreNamespace": "true"}
+        read = spark.read.format("xml").options(**options).load(sorted(paths))
+        row = F.struct(*[F.col(f"`{c}`") for c in read.columns])
+        cells = _leaf_cells(row, T.StructType(read.schema.fields), "")
+        placed = read.select(F.col("_metadata.file_path").alias("path"), F.lit(tag).alias("tag"), F.monotonically_increasing_id().alias("at"), cells.alias("cells"))
+        parts.append(placed.select("path", "tag", "at", F.inline("cells")).where("value IS NOT NULL"))
+    if not parts:
+        return spark.createDataFrame([], "path string, tag string, row_idx long, name string, value string")
+    # A file's rows are numbered one after the other by the task that reads it.
+    cells = written(reduce(DataFrame.unionByName, parts), "xml")
+    begin = cells.groupBy("path").agg(F.min("at").alias("begin"))
+    return cells.join(begin, "path").select("path", "tag", (F.col("at") - F.col("begin")).alias("row_idx"), "name", "value")
+
+
 def _numbered(text: Column) -> Column:
     """Decimal and hexadecimal character references as characters."""
     refs = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(1)))

@@ -116,6 +116,30 @@ def html_cells(spark, sf):
     return FS.html_cells(pages, "page_id").select("page_id", i("table_idx"), i("row_idx"), i("col_idx"), "value")
 
 
+@query("s03_xml_groups", f"""
+SELECT 'f' || CAST(f AS VARCHAR) AS file, CASE WHEN f % 2 = 0 THEN 'order' ELSE 'entry' END AS tag, CAST(n AS BIGINT) AS row_idx,
+  UNNEST(['_id', 'note', 'part._kind', 'part.part']) AS name, UNNEST([CAST(o_orderkey AS VARCHAR), o_orderpriority || ' & <co>', o_orderstatus, CAST({DAY} AS VARCHAR)]) AS value
+FROM (SELECT *, o_orderkey % 8 AS f, ROW_NUMBER() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) - 1 AS n FROM orders)""")
+def xml_groups(spark, sf):
+    """Orders as XML files of two row elements, with attributes, an element below one of its own name, and a head that isn't a row."""
+    f = F.col("o_orderkey") % 8
+    plain = f % 2 == 0
+    body = F.concat(F.lit('<note>'), "o_orderpriority", F.lit(' &amp; &lt;co&gt;</note><part kind="'), "o_orderstatus", F.lit('"><part>'), F.col("o_orderdate").cast("date").cast("string"), F.lit("</part></part>"))
+    pre = F.when(plain, "order").otherwise("n:entry")
+    line = F.concat(F.lit("<"), pre, F.lit(' id="'), text("o_orderkey"), F.lit('">'), body, F.lit("</"), pre, F.lit(">"))
+    rows = orders(spark, sf).select(f.alias("f"), plain.alias("plain"), F.lit(1).alias("part"), F.col("o_orderkey").alias("k"), line.alias("value"))
+    ends = rows.select("f", "plain").distinct()
+    root = F.when(F.col("plain"), "orders").otherwise("n:sheet")
+    head = F.concat(F.lit("<?xml version='1.0'?><"), root, F.lit(" xmlns:n='u'><!-- <order> --><head><title>t</title></head>"))
+    head = ends.select("f", "plain", F.lit(0).alias("part"), F.lit(0).cast("long").alias("k"), head.alias("value"))
+    tail = ends.select("f", "plain", F.lit(2).alias("part"), F.lit(0).cast("long").alias("k"), F.concat(F.lit("</"), root, F.lit(">")).alias("value"))
+    path = stage_path(spark, "xml")
+    lines = rows.unionByName(head).unionByName(tail).repartition(8, "f").sortWithinPartitions("f", "part", "k")
+    lines.select("f", "value").write.partitionBy("f").text(path)
+    cells = FS.read_xml_groups(spark, path, "part-*")
+    return cells.select(F.concat(F.lit("f"), F.regexp_extract("path", "/f=([0-9]+)/", 1)).alias("file"), "tag", "row_idx", "name", "value")
+
+
 @query("s05_corpus_manifest", """
 SELECT source || '/' || CAST(doc_id AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.CSV' WHEN 2 THEN '.pdf' ELSE '' END AS path,
   CAST(OCTET_LENGTH(ENCODE(text)) + CASE doc_id % 4 WHEN 2 THEN 4 WHEN 3 THEN 5 ELSE 0 END AS BIGINT) AS size, CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'csv' WHEN 2 THEN 'pdf' ELSE '' END AS extension,

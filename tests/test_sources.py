@@ -69,3 +69,32 @@ def test_xml_of_other_shapes(spark):
         "one": [(0, "a", "1"), (0, "b", "éA'")], "prefix": [(0, "a", "1"), (1, "a", "2")], "leaves": [(0, "a", "1"), (1, "a", "2")],
         "cdata": [(0, "a", "x < y & z"), (1, "a", "2")], "flat": [(0, "a", "1"), (0, "b", "2")],
     }
+
+
+def test_xml_groups_of_many_shapes(spark, tmp_path):
+    files = {
+        "one.xml": "<root><row><a>1</a><b>&#233;&#x41;&apos;</b></row></root>",
+        "a prefix.xml": "<n:root xmlns:n='u'><n:row><n:a>1</n:a></n:row><n:row><n:a>2</n:a></n:row></n:root>",
+        "leaves.xml": "<root><meta><k>p</k><k>q</k></meta><row i='7'><a>1</a></row>\n<row><a>2</a><a>3</a><c/><d u='x'>4</d><d><d>5</d></d></row></root>",
+        "cdata.xml": "<root><!-- <rec><x></x></rec> --><row><a><![CDATA[x < y </z> & z]]></a></row><row><a>2</a></row></root>",
+        "flat.xml": "<rec><a>1</a><b>2</b></rec>", "long.xml": "<list>" + "".join(f"<e n='{k}'><v>{'w' * (k % 50)}x</v></e>\n" for k in range(400)) + "</list>",
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_text(body)
+    sizes = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in sizes:
+            spark.conf.set(k, "256")
+        got = {}
+        for r in FS.read_xml_groups(spark, str(tmp_path)).collect():
+            got.setdefault(r["path"].rsplit("/", 1)[1], []).append((r["row_idx"], r["name"], r["value"]))
+        assert FS.read_xml_groups(spark, str(tmp_path), "no*").count() == 0
+    finally:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+    long = [(k, n, v) for k in range(400) for n, v in (("_n", str(k)), ("v", "w" * (k % 50) + "x"))]
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "one.xml": [(0, "a", "1"), (0, "b", "éA'")], "a%20prefix.xml": [(0, "a", "1"), (1, "a", "2")],
+        "leaves.xml": [(0, "_i", "7"), (0, "a", "1"), (1, "a", "2"), (1, "a", "3"), (1, "c", ""), (1, "d", "4"), (1, "d._u", "x"), (1, "d.d", "5")], "cdata.xml": [(0, "a", "x < y </z> & z"), (1, "a", "2")],
+        "flat.xml": [(0, "a", "1"), (0, "b", "2")], "long.xml": sorted(long),
+    }
