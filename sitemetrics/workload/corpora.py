@@ -36,7 +36,7 @@ def rules(spark, sf) -> CO.Rules:
 
 def failing_sheets(spark, sf) -> DataFrame:
     """One sheet per month and kind, so that the failing files grow with the data as well."""
-    rev = X.rev(spark, sf)
+    rev = X.once(spark, sf).rev
     months = rev.select(F.trunc("date", "MM").alias("m")).distinct()
     note = lay(months.select(F.concat(F.lit("note "), text("m")).alias("grid_id"), F.lit(0).alias("row_idx")), [(0, F.lit("Please find the reports attached"))], "note.txt")
     w = W.partitionBy("grid_id").orderBy("date", "segment", "outlet", "location")
@@ -55,6 +55,7 @@ def failing_sheets(spark, sf) -> DataFrame:
 def delivered_corpus(spark, sf) -> DataFrame:
     """All layouts. Long sheets come first and hold the even months; the other revenue and traffic layouts share the years among them, but for
     monthly cross-tabs and the export, which hold all. Outlet targets are those of one segment."""
+    sf = X.once(spark, sf)
     even = SH.long_sheets(spark, sf).where(F.substring("grid_id", -2, 2).cast("int") % 2 == 0)
     year = F.regexp_extract("grid_id", "([0-9]{4})", 1).cast("int")
     of_years = lambda f, k: f(spark, sf).where(year % 3 == k)
@@ -115,6 +116,7 @@ SELECT f AS file_name, 'Available' AS status, CAST(NULL AS VARCHAR) AS reason, C
 UNION ALL SELECT f, 'Failed', reason, NULL, read_rows, 0, 0, NULL, 0, 0, 0, 0 FROM failed""", CORPUS | {"pf": _PER_FILE, "failed": _FAILED}))
 def ingest_corpus(spark, sf):
     """One audit row per file; a file that fails stores nothing."""
+    sf = X.once(spark, sf)
     return CO.ingest_corpus(spark, stage_path(spark, "corpus-store"), delivered_corpus(spark, sf), rules(spark, sf), "first", AT).select(*AUDIT_COLUMNS)
 
 
@@ -125,7 +127,7 @@ UNION ALL SELECT 'target_monthly', f, MAKE_DATE(year, month, 1), location, outle
 UNION ALL SELECT 'target_daily', 'daytargets.xlsx', date, location, NULL, NULL, CAST(aop AS DOUBLE) FROM target_daily""", CORPUS))
 def stored_rows(spark, sf):
     """What the tables hold after the batch: the file of every row included."""
-    root = stage_path(spark, "corpus-store")
+    root, sf = stage_path(spark, "corpus-store"), X.once(spark, sf)
     CO.ingest_corpus(spark, root, delivered_corpus(spark, sf), rules(spark, sf), "first", AT)
     none = F.lit(None).cast("string")
     read = lambda spec, date, third, fourth: CO.read_committed(spark, root, spec).select(
@@ -146,6 +148,7 @@ UNION ALL SELECT 'outlettargets.xlsx', 'column without a meaning', COUNT(*) FROM
 UNION ALL SELECT 'outlettargets.xlsx', 'first cell is not a date', COUNT(*) FROM (SELECT DATE_TRUNC('month', date) FROM rev GROUP BY 1 HAVING COUNT_IF(DAY(date) = 2) = 0)"""))
 def rejected_cells(spark, sf):
     """Every value cell of these layouts that became no fact, by reason."""
+    sf = X.once(spark, sf)
     cells = written(stack(SH.cross_month_sheets(spark, sf), SH.side_by_side_sheets(spark, sf), SH.day_target_sheets(spark, sf), SH.outlet_target_sheets(spark, sf)), "cells")
     of = lambda name: cells.where(F.col("source") == name)
     parts = {

@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitemetrics.operators.reuse import written
+
+
+class Facts:
+    """The folder of the tables with their facts written at first use. Queries that need a fact in several places derive it once from the order lines."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def __str__(self) -> str:
+        return self.folder
+
+    @cached_property
+    def rev(self) -> DataFrame:
+        return written(rev(self.spark, self.folder), "rev")
+
+    @cached_property
+    def traffic_base(self) -> DataFrame:
+        return written(traffic_base(self.spark, self.folder), "traffic")
+
+
+def once(spark: SparkSession, sf_dir: str | Facts) -> Facts:
+    """`sf_dir` for a query that uses facts more than once; every function here takes it in place of the folder."""
+    return sf_dir if isinstance(sf_dir, Facts) else Facts(spark, sf_dir)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,6 +70,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue fact, one row per (date, segment, outlet, location)."""
+    if isinstance(sf_dir, Facts):
+        return sf_dir.rev
     return (
         lines(spark, sf_dir)
         .groupBy("date", "location", "segment", "outlet")
@@ -51,6 +80,8 @@ def rev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traffic_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if isinstance(sf_dir, Facts):
+        return sf_dir.traffic_base
     return (
         _orders_with_site(spark, sf_dir)
         .groupBy("date", "location", F.col("o_orderpriority").alias("terminal"))
@@ -76,20 +107,25 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.unionByName(monthly)
 
 
+def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose exact revenue adds up to the targets: the written revenue fact, else the order lines."""
+    return sf_dir.rev if isinstance(sf_dir, Facts) else lines(spark, sf_dir)
+
+
 def target_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        lines(spark, sf_dir)
+        _amounts(spark, sf_dir)
         .groupBy("location", "outlet", (F.year("date") + 1).alias("year"), F.month("date").alias("month"))
-        .agg((F.sum("revenue") * F.lit("1.1").cast("decimal(3,1)")).cast("decimal(24,5)").alias("aop"))
+        .agg((F.sum("revenue").cast("decimal(28,4)") * F.lit("1.1").cast("decimal(3,1)")).cast("decimal(24,5)").alias("aop"))
     )
 
 
 def target_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        lines(spark, sf_dir)
+        _amounts(spark, sf_dir)
         .where(F.col("location").isin("ASIA", "EUROPE") & (F.dayofmonth("date") <= 20))
         .groupBy("location", "date")
-        .agg((F.sum("revenue") * F.lit("1.05").cast("decimal(3,2)")).cast("decimal(24,6)").alias("aop"))
+        .agg((F.sum("revenue").cast("decimal(28,4)") * F.lit("1.05").cast("decimal(3,2)")).cast("decimal(24,6)").alias("aop"))
     )
 
 

@@ -469,7 +469,8 @@ VOCAB = V.Vocab(places=PLACES, segments={s.lower(): s for s in ("AUTOMOBILE", "B
 
 def unknown_sheets(spark, sf) -> DataFrame:
     """Odd months: long sheets with unfamiliar headers, a units title and a total row; even months: days as columns."""
-    rev = X.rev(spark, sf)
+    sf = X.once(spark, sf)
+    rev = sf.rev
     odd = rev.where(F.month("date") % 2 == 1).withColumn("grid_id", month_id("odd "))
     rows = odd.withColumn("row_idx", F.row_number().over(W.partitionBy("grid_id").orderBy("date", "segment", "outlet", "location")) + 2)
     g = rows.select("grid_id").distinct()
@@ -584,6 +585,7 @@ def fuzzy_headers(spark, sf):
 def across_sheets(spark, sf) -> DataFrame:
     """A sheet per place, segment and year: a title, a row of dates, customers and revenue below."""
     rev = X.rev(spark, sf).groupBy("date", "location", "segment").agg(F.sum("pax").alias("pax"), F.sum("revenue").alias("revenue"))
+    rev = written(rev, "sums")
     rev = rev.withColumns({"grid_id": F.concat_ws(" ", F.lit("across"), "location", "segment", F.year("date").cast("string")), "sheet": F.col("location"), "column": F.dayofyear("date")})
     g = rev.select("grid_id", "sheet", "segment").distinct()
     row = lambda r, value: lay(g.withColumn("row_idx", F.lit(r)), [(0, value)], "across.xlsx", F.col("sheet"))

@@ -46,7 +46,7 @@ def month_id(prefix: str):
 
 def long_sheets(spark, sf) -> DataFrame:
     """One long sheet per month."""
-    rev = X.rev(spark, sf).withColumn("grid_id", month_id("long "))
+    rev = X.once(spark, sf).rev.withColumn("grid_id", month_id("long "))
     w = W.partitionBy("grid_id").orderBy("date", "segment", "outlet", "location")
     rows = rev.withColumn("row_idx", F.row_number().over(w))
     head = label_row(rows.select("grid_id").distinct(), 0, ["Date", "Location", "Business", "Sub-Business", "PAX", "Revenue"], "long.csv")
@@ -63,7 +63,7 @@ def long_revenue(spark, sf):
 
 def pivot_sheets(spark, sf, metrics=("PAX.", "Revenue.")) -> DataFrame:
     """One pivot per month with subtotal columns per location and a total row."""
-    rev = X.rev(spark, sf).withColumn("grid_id", month_id("pivot "))
+    rev = X.once(spark, sf).rev.withColumn("grid_id", month_id("pivot "))
     keys = rev.select("grid_id", "location", "segment", "outlet").distinct()
     rollups = keys.select("grid_id", "location", F.lit("~").alias("segment"), F.lit("~").alias("outlet")).distinct()
     cols = keys.unionByName(rollups).withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
@@ -104,7 +104,7 @@ def _pair_cells():
 
 def stacked_sheets(spark, sf) -> DataFrame:
     """One sheet per year of stacked daily blocks; the category row gives the unit."""
-    rev = X.rev(spark, sf).withColumn("grid_id", F.date_format("date", "'stacked 'yyyy"))
+    rev = X.once(spark, sf).rev.withColumn("grid_id", F.date_format("date", "'stacked 'yyyy"))
     lines = _site_columns(rev.withColumn("label", F.concat_ws(" ", "segment", "outlet")), ["grid_id", "date", "segment", "label"]).withColumn("k", F.lit(2))
     blank = [F.lit(None).cast("string").alias(f"{m}{i}") for i in range(len(REGIONS)) for m in "pr"]
     marks = rev.select("grid_id", "date").distinct().select("grid_id", "date", F.lit("").alias("segment"), F.lit(LY.BLOCK_MARKER).alias("label"), *blank, F.lit(0).alias("k")).withColumn("p0", F.date_format("date", "dd-MMM-yyyy"))
@@ -123,7 +123,7 @@ def stacked(spark, sf):
 
 def sectioned_sheets(spark, sf) -> DataFrame:
     """One detail table per day: title, sections, outlets, subtotal and total rows."""
-    rev = X.rev(spark, sf).withColumn("grid_id", F.date_format("date", "'detail 'yyyy-MM-dd"))
+    rev = X.once(spark, sf).rev.withColumn("grid_id", F.date_format("date", "'detail 'yyyy-MM-dd"))
     lines = _site_columns(rev, ["grid_id", "date", "segment", "outlet"]).withColumns({"label": F.col("outlet"), "k": F.lit(2)})
     days = rev.select("grid_id", "date").distinct()
     secs = rev.select("grid_id", "date", "segment").distinct()
@@ -161,7 +161,7 @@ SELECT segment, location, sp AS summary_pax, sr * 100000.0::DOUBLE AS summary_re
     CAST(SUM(pax) AS DOUBLE) + CASE WHEN location = 'ASIA' THEN 5 ELSE 0 END AS sp, CAST(SUM(revenue) AS DOUBLE) * CASE WHEN segment = 'BUILDING' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / 100000.0::DOUBLE AS sr
   FROM rev GROUP BY 1, 2) WHERE ABS(pp - sp) > 1 OR ABS(pr - sr * 100000.0::DOUBLE) > GREATEST(50000.0::DOUBLE, sr * 100000.0::DOUBLE * 0.01::DOUBLE)"""))
 def summary_check(spark, sf):
-    rev = X.rev(spark, sf)
+    rev = X.once(spark, sf).rev
     parsed = rev.select(*LY.KEY, F.col("pax").cast("double").alias("pax"), F.col("revenue").cast("double").alias("revenue"))
     off = rev.groupBy("segment", "location").agg(F.sum("pax").cast("double").alias("p"), F.sum("revenue").cast("double").alias("r")).select(
         "segment", "location", (F.col("p") + F.when(F.col("location") == "ASIA", 5).otherwise(0)).alias("pax"),
@@ -171,7 +171,7 @@ def summary_check(spark, sf):
 
 def budget_sheets(spark, sf) -> DataFrame:
     """One budget workbook per year with twelve month columns, roll-up lines and units."""
-    t = X.target_monthly(spark, sf).withColumn("grid_id", F.concat(F.lit("budget "), text("year")))
+    t = X.target_monthly(spark, X.once(spark, sf)).withColumn("grid_id", F.concat(F.lit("budget "), text("year")))
     lines = t.groupBy("grid_id", "year", "location", "outlet").agg(*[F.max(F.when(F.col("month") == m, F.col("aop"))).cast("string").alias(f"m{m}") for m in range(1, 13)])
     rows = lines.withColumn("row_idx", F.row_number().over(W.partitionBy("grid_id").orderBy("location", "outlet")) + 3)
     heads = t.select("grid_id", "year").distinct().withColumn("row_idx", F.lit(3))
@@ -186,7 +186,7 @@ def budget_sheets(spark, sf) -> DataFrame:
 
 def unit_map(spark, sf) -> DataFrame:
     """Brands 1x map one to one, brand 20 feeds two outlets, brands 21 and 22 are combined, the rest have no mapping."""
-    base = X.target_monthly(spark, sf).select("location", "outlet").distinct()
+    base = X.target_monthly(spark, X.once(spark, sf)).select("location", "outlet").distinct()
     targets = F.when(F.col("outlet") == "Brand#20", F.array(F.lit("Left"), F.lit("Right"))).when(
         F.col("outlet").isin("Brand#21", "Brand#22"), F.array(F.lit("Joint"))).when(F.col("outlet").like("Brand#1%"), F.array("outlet"))
     return base.select("location", F.concat(F.lit("U "), "outlet").alias("unit_id"), F.explode(targets).alias("outlet"))
@@ -197,6 +197,7 @@ UNION ALL SELECT 'Brand#22', 'Joint' UNION ALL SELECT DISTINCT outlet, outlet FR
 
 
 def _budgets(spark, sf):
+    sf = X.once(spark, sf)
     return LY.monthly_targets(materialise(budget_sheets(spark, sf)), PLACES, {"lounge": "Lounges"}, unit_map(spark, sf), "Main", YEARS)
 
 
@@ -216,7 +217,7 @@ def skipped_lines(spark, sf):
 
 
 def day_target_sheets(spark, sf) -> DataFrame:
-    t = X.target_daily(spark, sf).withColumn("grid_id", F.date_format("date", "'daytargets 'yyyy"))
+    t = X.target_daily(spark, X.once(spark, sf)).withColumn("grid_id", F.date_format("date", "'daytargets 'yyyy"))
     rows = t.groupBy("grid_id", "date").agg(*[F.max(F.when(F.col("location") == r, F.col("aop"))).cast("string").alias(r) for r in ("ASIA", "EUROPE")])
     rows = rows.withColumn("row_idx", F.datediff("date", F.trunc("date", "YEAR")) + 2)
     g = rows.select("grid_id").distinct()
@@ -232,7 +233,7 @@ def daily_targets(spark, sf):
 
 def outlet_target_sheets(spark, sf, segment: str | None = None) -> DataFrame:
     """Revenue (of one segment, if given) written as daily outlet targets: location and segment banners over outlet columns."""
-    rev = X.rev(spark, sf).where(F.lit(True) if segment is None else F.col("segment") == segment).withColumn("grid_id", month_id("outlettargets "))
+    rev = X.once(spark, sf).rev.where(F.lit(True) if segment is None else F.col("segment") == segment).withColumn("grid_id", month_id("outlettargets "))
     cols = rev.select("grid_id", "location", "segment", "outlet").distinct().withColumn("col_idx", F.row_number().over(W.partitionBy("grid_id").orderBy("location", "segment", "outlet")))
     first = lambda *k: F.row_number().over(W.partitionBy("grid_id", *k).orderBy("col_idx")) == 1
     c = cols.withColumns({"fl": first("location"), "fs": first("location", "segment")})
@@ -257,7 +258,7 @@ TRAFFIC_SQL = "SELECT {d} AS date, CAST(NULL AS DATE) AS period_end, 'daily' AS
 
 
 def flat_traffic_sheets(spark, sf) -> DataFrame:
-    t = X.traffic_base(spark, sf).withColumn("grid_id", month_id("flat "))
+    t = X.once(spark, sf).traffic_base.withColumn("grid_id", month_id("flat "))
     rows = t.withColumn("row_idx", F.row_number().over(W.partitionBy("grid_id").orderBy("date", "location", "terminal")))
     head = label_row(rows.select("grid_id").distinct(), 0, ["Date", "Location", "Terminal", "Traffic"], "flat.csv")
     return stack(head, lay(rows, [(0, F.date_format("date", "dd-MM-yyyy")), (1, F.col("location")), (2, F.col("terminal")), (3, text("traffic"))], "flat.csv"))
@@ -292,13 +293,13 @@ def _cross(t: DataFrame, keys: list[str], label, source: str) -> DataFrame:
 
 
 def cross_month_sheets(spark, sf) -> DataFrame:
-    t = X.traffic_base(spark, sf).groupBy(F.trunc("date", "MM").alias("month"), "location", "terminal").agg(F.sum("traffic").alias("traffic"))
+    t = X.once(spark, sf).traffic_base.groupBy(F.trunc("date", "MM").alias("month"), "location", "terminal").agg(F.sum("traffic").alias("traffic"))
     t = t.withColumns({"grid_id": F.concat(F.lit("crossmonth "), "location"), "sheet": F.concat(F.lit("Traffic "), "location")})
     return _cross(t, ["month"], F.date_format("month", "MMM-yyyy"), "crossmonth.xlsx")
 
 
 def cross_day_sheets(spark, sf) -> DataFrame:
-    t = X.traffic_base(spark, sf).withColumns({"grid_id": F.concat(F.lit("crossday "), "location", F.date_format("date", " yyyy-MM")),
+    t = X.once(spark, sf).traffic_base.withColumns({"grid_id": F.concat(F.lit("crossday "), "location", F.date_format("date", " yyyy-MM")),
                                               "sheet": F.concat("location", F.date_format("date", "' Traffic 'MMM yyyy"))})
     return _cross(t, ["date"], F.dayofmonth("date").cast("string"), "crossday.xlsx")
 
@@ -320,7 +321,7 @@ KIND_SQL = "CASE WHEN terminal IN ('1-URGENT', '2-HIGH') THEN 'International' EL
 
 def by_kind(spark, sf) -> DataFrame:
     """Day rows with domestic / international arrivals and departures as texts."""
-    t = X.traffic_base(spark, sf)
+    t = X.once(spark, sf).traffic_base
     kind = F.when(F.col("terminal").isin("1-URGENT", "2-HIGH"), "International").otherwise("Domestic")
     per = t.groupBy("date", "location", kind.alias("kind")).agg(F.sum("traffic").alias("x"))
     at = lambda k, f: F.max(F.when(F.col("kind") == k, F.col("x") * F.lit(f).cast("decimal(3,2)"))).cast("string")
@@ -388,6 +389,7 @@ def flat_export(spark, sf):
 
 
 def corpus(spark, sf) -> DataFrame:
+    sf = X.once(spark, sf)
     return stack(*[f(spark, sf) for f in (long_sheets, pivot_sheets, stacked_sheets, budget_sheets, day_target_sheets, outlet_target_sheets,
                                           flat_traffic_sheets, cross_month_sheets, cross_day_sheets, side_by_side_sheets, export_sheets)])
 
@@ -443,6 +445,7 @@ SELECT date, period_end, granularity, location, terminal, traffic, layout FROM p
     "across": f"SELECT location, DATE_TRUNC('month', date) AS m FROM traffic_base GROUP BY 1, 2 HAVING COUNT(DISTINCT date) >= 3 AND COUNT(DISTINCT {KIND_SQL}) = 2", "p": _PREFERRED}))
 def all_traffic(spark, sf):
     """All traffic layouts, transposed sheets and tables side by side included, all years; the export holds the even years alone."""
+    sf = X.once(spark, sf)
     exports = export_sheets(spark, sf)
     even = exports.where("col_idx = 0 and row_idx > 0 and cast(substring(value, 1, 4) as int) % 2 = 1").select("grid_id", "row_idx")
     exports = exports.join(even, ["grid_id", "row_idx"], "left_anti")
