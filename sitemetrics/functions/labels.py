@@ -51,14 +51,16 @@ def lookup(x, table: dict[str, str]) -> Column:
 
 def vocabulary_match(x, vocab: dict[str, str], min_len: int = 3) -> Column:
     """Canonical name by exact vocabulary hit, else by the first entry (of ``min_len``+) contained."""
-    def match(t: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for word, name in reversed(list(vocab.items())):
-            if len(word) >= min_len:
-                out = F.when(t.contains(word), F.lit(name)).otherwise(out)
-        return F.when(t != "", F.coalesce(lookup(t, vocab), out))
+    return let(norm_label(x), lambda t: label_match(t, vocab, min_len))
 
-    return let(norm_label(x), match)
+
+def label_match(label: Column, vocab: dict[str, str], min_len: int = 3) -> Column:
+    """:func:`vocabulary_match` of a text that is normalised already."""
+    out = F.lit(None).cast("string")
+    for word, name in reversed(list(vocab.items())):
+        if len(word) >= min_len:
+            out = F.when(label.contains(word), F.lit(name)).otherwise(out)
+    return F.when(label != "", F.coalesce(lookup(label, vocab), out))
 
 
 def keyword_class(x, keywords: list[tuple[str, str]], default: str | None = None) -> Column:

@@ -30,8 +30,26 @@ def cell_kind_columns(value: str, places: dict[str, str], years: tuple[int, int]
     ]
 
 
+# What every cell's text says, parsed once: the normalised label, the number and the date.
+NORM, NUMBER, DAY = "__norm", "__number", "__day"
+
+
+def with_readings(texts: DataFrame, years: tuple[int, int] = D.YEARS) -> DataFrame:
+    """``texts`` (value, ...) with the three readings of each value; those that are there stay."""
+    if NORM in texts.columns:
+        return texts
+    return texts.withColumns({NORM: L.norm_label("value"), NUMBER: NB.messy_number("value"), DAY: D.text_date("value", years)})
+
+
+def read_cells(cells: DataFrame, years: tuple[int, int] = D.YEARS) -> DataFrame:
+    """Cells with cleaned texts (NULL where blank) and their readings. Rows are dealt by grid row first, so that large sheets are parsed by many tasks."""
+    return with_readings(cells.withColumn("value", L.clean_cell("value")).repartition(GRID, "row_idx"), years)
+
+
 def filled(cells: DataFrame) -> DataFrame:
     """Non-blank cells with cleaned text."""
+    if NORM in cells.columns:  # cleaned when read
+        return cells.where("value is not null")
     return cells.withColumn("value", L.clean_cell("value")).where("value is not null")
 
 
@@ -67,16 +85,14 @@ def vocabulary_hit(label: Column) -> Column:
 
 def header_row_scores(cells: DataFrame, vocab: V.Vocab, depth: int | None = None) -> DataFrame:
     """Header likeness of every row (of the first ones, with a depth): text share, vocabulary hits, date headers."""
-    head = filled(cells if depth is None else cells.where(F.col("row_idx") < depth))
-    number, date = NB.messy_number("value").isNotNull(), D.text_date("value", vocab.years).isNotNull()
-    kind = F.when(number, "number").when(date, "date").otherwise("text")
-    # Labels repeat over files, so the vocabulary is matched once per distinct text.
-    words = head.select("value").distinct().withColumns({"kind": kind, "label": L.norm_label("value")}).withColumn(
-        "hit", F.when(F.col("kind") == "text", vocabulary_hit(F.col("label"))).otherwise(0.0)
-    )
-    per_row = head.join(words, "value").groupBy(GRID, "row_idx").agg(
+    head = with_readings(filled(cells if depth is None else cells.where(F.col("row_idx") < depth)), vocab.years)
+    kind = F.when(F.col(NUMBER).isNotNull(), "number").when(F.col(DAY).isNotNull(), "date").otherwise("text")
+    kinds = head.select(GRID, "row_idx", kind.alias("kind"), _metric_word(F.col(NORM)).alias("metric_word"), F.when(kind == "text", F.col(NORM)).alias("label"))
+    # Labels repeat over files, so the vocabulary is matched once per distinct text; numbers and dates name nothing.
+    words = kinds.select("label").where("label is not null").distinct().withColumn("hit", vocabulary_hit(F.col("label")))
+    per_row = kinds.join(words, "label", "left").groupBy(GRID, "row_idx").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "text").alias("texts"), F.count_if(F.col("kind") == "date").alias("dates"),
-        F.sum(F.col("hit").cast("decimal(18,6)")).cast("double").alias("hits"), F.bool_or(_metric_word(F.col("label"))).alias("metric_word"),
+        F.sum(F.coalesce("hit", F.lit(0.0)).cast("decimal(18,6)")).cast("double").alias("hits"), F.bool_or("metric_word").alias("metric_word"),
     )
     n = F.col("n")
     score = (F.col("texts") + F.col("dates")) / n * 0.4 + F.least(F.col("hits") / 3.0, F.lit(1.0)) * 0.6 + F.when(F.col("dates") >= 3, 0.1).otherwise(0.0)
@@ -106,13 +122,14 @@ def find_headers(cells: DataFrame, vocab: V.Vocab, depth: int | None = None, flo
 def find_transposed(cells: DataFrame, vocab: V.Vocab) -> DataFrame:
     """Sheets whose days run across: (grid_id, date_row). Two labels of the first column or more name a metric, below a row of three dates or more."""
     strong = [p for m in V.METRICS for p, w in V.HEADER_SYNONYMS[m] if w >= 0.9]
-    first = filled(cells).where("col_idx = 0").select(GRID, "row_idx", "value")
-    texts = first.select("value").distinct().withColumn("__t", L.norm_label("value"))
+    read = with_readings(filled(cells), vocab.years)
+    first = read.where("col_idx = 0").select(GRID, "row_idx", F.col(NORM).alias("__t"))
+    texts = first.select("__t").distinct()
     words = F.concat(F.lit(" "), F.regexp_replace("__t", r"\W", " "), F.lit(" "))
-    named = texts.where(F.exists(F.array(*[F.lit(_words(p)) for p in strong]), lambda q: words.contains(q))).select("value")
-    metrics = first.join(named, "value").select(GRID, F.col("row_idx").alias("metric_row"))
+    named = texts.where(F.exists(F.array(*[F.lit(_words(p)) for p in strong]), lambda q: words.contains(q)))
+    metrics = first.join(named, "__t").select(GRID, F.col("row_idx").alias("metric_row"))
     likely = metrics.groupBy(GRID).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(GRID)
-    heads = filled(cells).join(likely, GRID, "left_semi").where("col_idx > 0").where(D.text_date("value", vocab.years).isNotNull() & NB.messy_number("value").isNull())
+    heads = read.where("col_idx > 0").where(F.col(DAY).isNotNull() & F.col(NUMBER).isNull()).select(GRID, "row_idx").join(likely, GRID, "left_semi")
     dated = heads.groupBy(GRID, "row_idx").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").groupBy(GRID).agg(F.min("row_idx").alias("date_row"))
     below = metrics.join(dated, GRID).where("metric_row > date_row").groupBy(GRID, "date_row").agg(F.count(F.lit(1)).alias("n"))
     return below.where("n >= 2").select(GRID, "date_row")
@@ -176,9 +193,10 @@ def drop_junk_rows(cells: DataFrame, headers: DataFrame, labels: DataFrame) -> D
     ``labels``: grid_id, col_idx, label. A row repeats the header when at least half of its labels (two or more) recur.
     """
     data = filled(cells).join(headers.select(GRID, "header_row"), GRID).where("row_idx > header_row").drop("header_row")
+    text = F.col(NORM) if NORM in cells.columns else L.norm_label("value")
     names = labels.where("label <> ''").select(GRID, "col_idx", L.norm_label("label").alias("__h"))
     width = names.groupBy(GRID).agg(F.greatest(F.lit(2.0), F.count(F.lit(1)) / 2).alias("__w"))
-    judged = data.withColumn("__t", L.norm_label("value")).join(names, [GRID, "col_idx"], "left").groupBy(GRID, "row_idx").agg(
+    judged = data.select(GRID, "row_idx", "col_idx", text.alias("__t")).join(names, [GRID, "col_idx"], "left").groupBy(GRID, "row_idx").agg(
         F.bool_or((F.col("col_idx") < 4) & L.is_total_label("__t")).alias("__total"), F.count_if(F.col("__t") == F.col("__h")).alias("__n"),
     )
     junk = judged.join(width, GRID).where(F.col("__total") | (F.col("__n") >= F.col("__w"))).select(GRID, "row_idx")

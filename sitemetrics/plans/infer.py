@@ -68,11 +68,11 @@ def logical_columns(labels: DataFrame, vocab: V.Vocab) -> DataFrame:
 
 def profiles(data: DataFrame, vocab: V.Vocab) -> DataFrame:
     """What the values of each logical column look like; ``data``: grid_id, ord, value."""
-    num, date = NB.messy_number("value"), D.text_date("value", vocab.years)
     share = lambda c: F.avg(c.cast("int"))
-    v = data.select(
-        GRID, "ord", L.norm_label("value").alias("t"), num.alias("x"), date.isNotNull().alias("d"),
-        L.vocabulary_match("value", vocab.places).isNotNull().alias("p"), L.vocabulary_match("value", vocab.segments, 5).isNotNull().alias("s"),
+    t = F.col(G.NORM)
+    v = G.with_readings(data, vocab.years).select(
+        GRID, "ord", t.alias("t"), F.col(G.NUMBER).alias("x"), F.col(G.DAY).isNotNull().alias("d"),
+        L.label_match(t, vocab.places).isNotNull().alias("p"), L.label_match(t, vocab.segments, 5).isNotNull().alias("s"),
     )
     return v.groupBy(GRID, "ord").agg(
         F.count(F.lit(1)).alias("n"), share(F.coalesce("d", F.lit(False))).alias("date"), share(F.col("x").isNotNull()).alias("num"),
@@ -166,6 +166,8 @@ def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.AC
 
     Sheets with days across and metrics down are turned first. ``fuzzy`` lets misspelt headers and changed word order name a role.
     """
+    # Texts are parsed once; all that follows works on what was read.
+    cells = materialise(G.read_cells(cells, vocab.years))
     turned = materialise(G.find_transposed(cells, vocab))
     cells = cells if turned.isEmpty() else G.turn(cells, turned)
     meta = cells.groupBy(GRID).agg(F.min("source").alias("source"), F.min("sheet").alias("sheet"))
@@ -174,8 +176,8 @@ def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.AC
     labels = materialise(G.header_labels(cells, headers))
     columns = materialise(logical_columns(labels, vocab))
     titles = G.title_texts(cells, headers)
-    data = G.drop_junk_rows(cells, headers, labels).select(GRID, "row_idx", "col_idx", "value").join(
-        columns.withColumnRenamed("label", "__label"), [GRID, "col_idx"])
+    data = materialise(G.drop_junk_rows(cells, headers, labels).select(GRID, "row_idx", "col_idx", "value", G.NORM, G.NUMBER, G.DAY).join(
+        columns.withColumnRenamed("label", "__label"), [GRID, "col_idx"]))
     prof = materialise(profiles(data, vocab))
     key_cols = columns.where("key is not null").select(GRID, "layout").distinct()
     is_date = F.col("layout") == "date_wide"
@@ -187,8 +189,7 @@ def infer(cells: DataFrame, vocab: V.Vocab, today: dt.date, accept: float = V.AC
     )
     key_names = key_cols.select(GRID, F.lit(KEY_ORD).alias("ord"), F.when(is_date, "date").otherwise("location").alias("label"))
     scores = role_scores(columns.select(GRID, "ord", "label").unionByName(key_names), prof.unionByName(key_profile), fuzzy)
-    assigned = assign_roles(scores)
-    by_role = _by_role(assigned)
+    by_role = materialise(_by_role(assign_roles(scores)))
     across = turned.select(GRID, F.lit("transposed").alias("__turned"))
     shape = columns.groupBy(GRID).agg(F.max("layout").alias("layout")).join(across, GRID, "left")
     shape = shape.select(GRID, F.coalesce("__turned", "layout").alias("layout"))
