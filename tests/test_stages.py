@@ -43,3 +43,12 @@ def test_headers_of_read_cells_equal_those_of_raw_ones(spark):
     assert [r["header_row"] for r in G.find_headers(read, VOCAB).collect()] == [1]
     plan = G.find_transposed(read, VOCAB)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace(value" not in plan
+
+
+def test_sentences_read_the_order_lines_once(spark):
+    """The breakdown of the classes is a stage table when its sentences are written."""
+    from sitemetrics.workload.reporting import class_insight
+
+    text = class_insight(spark, SF)
+    assert not any("lineitem" in f for f in text.inputFiles())
+    assert text.count() == 3
