@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitemetrics.llm.bitfilter import bit_filter, passes
@@ -24,6 +24,10 @@ LEAST_AGREEMENT = 12
 #: Classes of a bucket that all its others are compared with first.
 PIVOTS = 4
 KEY_FILTER_BITS = 25
+#: Bytes of text whose words are in memory at once.
+TEXT_BYTES = 1 << 20
+#: Words of 64 bits in a parity sketch.
+SKETCH = 8
 _RANDOM = np.random.default_rng(71).integers(1, 2**63, (2, HASHES), dtype=np.uint64)
 _XOR, _FACTOR = _RANDOM[0], _RANDOM[1] * np.uint64(2) + np.uint64(1)
 
@@ -51,7 +55,7 @@ def _sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _features(size: int):
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             values, offsets = _sets(batch.column("text"), size)
             count = np.diff(offsets)
             full = np.flatnonzero(count)
@@ -70,7 +74,7 @@ def _features(size: int):
 
 def _members(size: int, known: np.ndarray):
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             batch = batch.filter(batch.column("id").is_valid())
             batch = batch.filter(pa.array(passes(known, batch.column("id").to_numpy(zero_copy_only=False))))
             if not len(batch):
@@ -86,7 +90,7 @@ def _elements(size: int, known: np.ndarray):
     """(set_a, element) of the texts whose ids may be among the known ones."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             batch = batch.filter(batch.column("id").is_valid())
             batch = batch.filter(pa.array(passes(known, batch.column("id").to_numpy(zero_copy_only=False))))
             if not len(batch):
@@ -101,6 +105,34 @@ def _elements(size: int, known: np.ndarray):
     return run
 
 
+def _sketches(size: int, known: np.ndarray):
+    """(id, set_a, sketch) of the texts whose ids may be among the known ones: how often, modulo 2, a set's shingles hash to each bit.
+
+    Two sketches differ in no more bits than their sets differ in shingles.
+    """
+
+    def run(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
+            batch = batch.filter(batch.column("id").is_valid())
+            batch = batch.filter(pa.array(passes(known, batch.column("id").to_numpy(zero_copy_only=False))))
+            if not len(batch):
+                continue
+            values, offsets = _sets(batch.column("text"), size)
+            full = np.flatnonzero(np.diff(offsets))
+            at, n = offsets[:-1][full], len(batch)
+            sketch, digest = np.zeros((n, SKETCH), np.uint64), np.zeros(n, np.uint64)
+            if len(full):
+                digest[full] = np.add.reduceat(_digest_a(values), at)
+                place = mix(values ^ np.uint64(0x3C3C))
+                bit = np.uint64(1) << (place & np.uint64(63))
+                for k in range(SKETCH):
+                    sketch[full, k] = np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) & np.uint64(SKETCH - 1) == k, bit, np.uint64(0)), at)
+            lists = pa.ListArray.from_arrays(np.arange(0, n * SKETCH + 1, SKETCH, dtype=np.int32), as_signed(sketch.ravel()))
+            yield pa.record_batch([batch.column("id"), as_signed(digest), lists], names=["id", "set_a", "sketch"])
+
+    return run
+
+
 def _digest_a(values: np.ndarray) -> np.ndarray:
     return mix(values ^ np.uint64(0xA5A5))
 
@@ -141,11 +173,30 @@ def _agreement(a: str, b: str) -> str:
     return f"size(filter(zip_with({a}, {b}, (x, y) -> x = y), x -> x))"
 
 
-def _first_table(a: str, b: str) -> str:
-    """Number of the first table where two signatures meet, so that a pair comes from one table alone."""
-    pair = f"array_position(transform(sequence(0, {PAIRS - 1}), i -> {a}[2 * i] = {b}[2 * i] AND {a}[2 * i + 1] = {b}[2 * i + 1]), true)"
-    single = f"array_position(transform(sequence({2 * PAIRS}, {HASHES - 1}), i -> {a}[i] = {b}[i]), true)"
-    return f"(({pair}) - 1) * {SINGLES} + ({single}) - 1"
+def _sharing(placed: DataFrame, elements: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs of classes of different components that share a shingle early enough for a link.
+
+    Shingles are put in one order: those that one component alone holds, then the others, the rarest first. `left` is how many of a class's
+    shingles come from one on, itself included. Two classes share at most as many as the lesser `left` of the first shingle that they share, so
+    a link's is large on both sides. Nor do they differ in fewer shingles than their sketches do in bits.
+    For each shingle, all its classes meet only those outside the component that most of them are in.
+    """
+    elements = elements.join(placed, "set_a")
+    times = elements.groupBy("element").agg(F.count("*").alias("times"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").drop("a", "b")
+    rarest_last = Window.partitionBy("node").orderBy(F.desc("times"), F.desc("element"))
+    ranked = elements.join(times, "element").withColumn("left", F.dense_rank().over(rarest_last))
+    early = ranked.where(f"100 * left >= {percent} * n").select("set_a", "node", "component", "element", "n", "left")
+    early = written(early.join(sketches, ["node", "set_a"]).drop("set_a"), "early")
+    held = early.groupBy("element", "component").agg(F.count("*").alias("held"))
+    held = held.groupBy("element").agg(F.max_by("component", F.struct("held", "component")).alias("most"), F.count("*").alias("components")).where("components > 1")
+    early = early.join(held.drop("components"), "element")
+    x, y = early.alias("x"), early.where("component <> most").alias("y")
+    meet = F.expr(
+        f"x.element = y.element AND (x.component = x.most OR x.component < y.component) AND x.component <> y.component"
+        f" AND {100 + percent} * least(x.left, y.left) >= {percent} * (x.n + y.n)"
+        f" AND {100 + percent} * (x.n + y.n - aggregate(zip_with(x.sketch, y.sketch, (a, b) -> bit_count(a ^ b)), 0, (s, b) -> s + b)) >= {2 * percent} * (x.n + y.n)"
+    )
+    return x.join(y, meet).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -154,9 +205,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A-Z are lower-cased and words split at ASCII white space. A text with fewer words than a shingle has its whole sequence as one.
     Equal sets are one class with one row in all joins. Links between classes are found in three steps, each on what is not yet in
     one component: a class is verified against the one most like it among a few pivots of its buckets; then against its other pivots;
-    then, in buckets that still hold several components, pairs of classes of different components are verified, but for those that
-    have too few shingles in common with any other class. Pairs inside one component change nothing and are never made. Verification
-    is on full sets.
+    then, of the classes in buckets that still hold several components, pairs of different components that share one of their rarest
+    shingles are verified: a class of n shingles lacks at most n - percent * n / 100 of a linked one's, so two linked classes share one
+    of the first that many and one. Pairs inside one component change nothing and are never made. Verification is on full sets.
 
     component_id is the least doc_id reachable, itself included; kept is doc_id = component_id. One row for each input row. A null
     or empty text has n_shingles 0 and is linked with nothing. Rows that repeat a doc_id are one node of the links. A row without
@@ -171,12 +222,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = written(keys.join(shared, "key", "left_semi"), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sides = []
-        for side, name in (("u", "a"), ("v", "b")):
-            ids = pairs.select(F.col(side).alias("id")).distinct()
-            sets = docs.mapInArrow(_members(words_per_shingle, bit_filter(ids, "id")), "id long, members binary")
-            sides.append(sets.join(ids, "id", "left_semi").distinct().select(F.col("id").alias(side), F.col("members").alias(name)))
-        return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "a", "b").mapInArrow(_similar(percent), "u long, v long")
+        ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+        sets = docs.mapInArrow(_members(words_per_shingle, bit_filter(ids, "id")), "id long, members binary")
+        sets = sets.join(ids, "id", "left_semi").distinct()
+        return pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_similar(percent), "u long, v long")
 
     def apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components."""
@@ -197,21 +246,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = met.join(group, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    placed = written(placed.join(open_keys, "key", "left_semi").join(about, "node"), "placed")
+    placed = placed.join(open_keys, "key", "left_semi").select("node", "component").distinct().join(classes.select("node", "set_a", "n"), "node")
+    placed = written(placed, "placed")
 
     # A shingle that only one of these classes has can't be shared: a class with too many of them has no link to find.
     ids = placed.select(F.col("node").alias("id")).distinct()
-    elements = docs.mapInArrow(_elements(words_per_shingle, bit_filter(ids, "id")), "id long, set_a long, element long").join(ids, "id", "left_semi")
+    elements = docs.mapInArrow(_elements(words_per_shingle, bit_filter(ids, "id")), "id long, set_a long, element long")
+    elements = written(elements.join(ids, "id", "left_semi").select("set_a", "element"), "elements")
     alone = elements.groupBy("element").agg(F.count("*").alias("times"), F.min("set_a").alias("set_a")).where("times = 1").groupBy("set_a").agg(F.count("*").alias("own"))
-    placed = placed.join(alone, "set_a", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(f"100 * common >= {percent} * n")
-    placed = written(placed.drop("set_a", "own"), "open")
-    x, y = placed.alias("x"), placed.alias("y")
-    meet = F.expr(
-        f"x.key = y.key AND x.component < y.component AND 100 * least(x.common, y.common) >= {percent} * (x.n + y.n - least(x.common, y.common))"
-        f" AND {_agreement('x.signature', 'y.signature')} >= {LEAST_AGREEMENT} AND {_first_table('x.signature', 'y.signature')} = (x.key & 63)"
-    )
-    rest = x.join(y, meet).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-    rest = written(rest.join(pairs.select("u", "v"), ["u", "v"], "left_anti").join(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti").distinct(), "rest")
+    placed = placed.join(alone, "set_a", "left").where(f"100 * (n - coalesce(own, 0)) >= {percent} * n").drop("own")
+    placed = written(placed, "open")
+    ids = placed.select(F.col("node").alias("id")).distinct()
+    sketches = docs.mapInArrow(_sketches(words_per_shingle, bit_filter(ids, "id")), "id long, set_a long, sketch array<long>")
+    rest = _sharing(placed, elements, sketches.withColumnRenamed("id", "node").dropDuplicates(["node", "set_a"]), percent)
+    known = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    rest = written(rest.join(known, ["u", "v"], "left_anti"), "rest")
     links = links.unionByName(verified(rest))
     group = components(links)
 

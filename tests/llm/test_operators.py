@@ -80,6 +80,24 @@ def test_near_duplicates(spark, size):
     assert ordered(map(tuple, got)) == ordered(brute_components(rows, size, 80))
 
 
+def test_near_duplicates_verify_few_pairs_below_the_threshold(spark, monkeypatch):
+    """In a large group whose members are mostly a little too far from each other, work follows its size and not its square."""
+    rng = random.Random(5)
+    often, base = [f"w{k}" for k in range(12)], [f"b{k}" for k in range(140)]
+    rows = [(i, " ".join(rng.choice(often) if rng.random() < 0.09 else w for w in base), "g") for i in range(400)]
+    made, write = {}, near_dedup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    got = near_duplicates(documents(spark, rows), words_per_shingle=2).collect()
+    assert ordered(map(tuple, got)) == ordered(brute_components(rows, 2, 80))
+    assert len({r.component_id for r in got}) > 50 and made["open"] > 0 and made["rest"] < 4 * len(rows)
+
+
 def test_near_duplicates_of_one_large_group(spark):
     base = prose(7, 120).split()
     rows = [(k, " ".join(base[: k % 7] + ["swap"] + base[k % 7 + 1 :]), "h") for k in range(300)] + [(1000 + k, prose(500 + k, 50), "h") for k in range(20)]
