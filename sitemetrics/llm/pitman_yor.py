@@ -38,6 +38,8 @@ BLOCK_BYTES, BLOCK_DOCS = 12 << 20, 60000
 #: Customers of one dish that are seated one by one; later ones in groups of a sixteenth of those present.
 ONE_BY_ONE = 64
 SCORED_AT_ONCE = 1 << 18
+#: Rare contexts that a letter between parts holds on average, where there are as many.
+LETTER = 4096
 
 
 def _is_training(ids: pa.Array) -> np.ndarray:
@@ -194,10 +196,28 @@ def _bytes(*arrays: np.ndarray) -> list[bytes]:
 STORE = "kind int, number long, part int, words binary, sizes binary, docs binary, flags binary, said binary, context binary, near binary"
 FIELDS = ["kind", "number", "part", "words", "sizes", "docs", "flags", "said", "context", "near"]
 PART, BLOCK = 0, 1
+PIECE = {"words": np.uint64, "sizes": np.uint32, "flags": np.uint8, "said": np.uint16, "context": np.uint32, "near": np.uint64}
 
 
-def _row(kind: int, number: int, part: int, *arrays: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([kind], pa.int32()), pa.array([number], pa.int64()), pa.array([part], pa.int32()), *[pa.array([b], pa.binary()) for b in _bytes(*arrays)]], names=FIELDS)
+def _packed(*arrays: np.ndarray) -> list[bytes]:
+    """Each array's size and its byte planes, compressed; ascending 64-bit values as differences."""
+    out = []
+    for a in arrays:
+        a = np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.uint64 else a
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+        out.append(np.int64(len(planes)).tobytes() + pa.compress(planes, codec="zstd", asbytes=True))
+    return out
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size, n = int(np.frombuffer(data[:8], np.int64)[0]), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    out = np.ascontiguousarray(planes.reshape(n, -1).T).view(kind).ravel()
+    return np.cumsum(out, dtype=np.uint64) if kind is np.uint64 else out
+
+
+def _row(kind: int, number: int, part: int, *arrays: np.ndarray, form=_bytes) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([kind], pa.int32()), pa.array([number], pa.int64()), pa.array([part], pa.int32()), *[pa.array([b], pa.binary()) for b in form(*arrays)]], names=FIELDS)
 
 
 def _home(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -248,7 +268,7 @@ def _pieces(frequent: np.ndarray, parts: int):
                     own = context[mine].astype(np.uint32)
                     near, own_near = np.unique(before[mine][own == 0], return_inverse=True)
                     own[own == 0] = len(frequent) + 1 + own_near
-                    yield _row(PART, block, k, value, size.astype(np.uint32), np.zeros(0, np.int64), flags.astype(np.uint8), text[mine].astype(np.uint16), own, near)
+                    yield _row(PART, block, k, value, size.astype(np.uint32), np.zeros(0, np.int64), flags.astype(np.uint8), text[mine].astype(np.uint16), own, near, form=_packed)
 
     return run
 
@@ -263,24 +283,25 @@ def _gathered(contexts: int, parts: int):
         found: dict[int, list] = {}
         for batch in batches:
             for k in range(len(batch)):
-                row = {f: batch.column(f)[k].as_py() for f in FIELDS}
-                if row["kind"] == BLOCK:
+                if batch.column("kind")[k].as_py() == BLOCK:
                     yield batch.slice(k, 1)
                 else:
+                    row = {f: batch.column(f)[k].as_py() for f in FIELDS}
                     found.setdefault(row["part"], []).append(row)
         for part, rows in found.items():
             rows.sort(key=lambda r: r["number"])
-            value = np.concatenate([np.repeat(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["sizes"], np.uint32)) for r in rows])
-            block = np.concatenate([np.full(len(r["said"]) // 2, k, np.uint32) for k, r in enumerate(rows)])
-            said = np.concatenate([np.frombuffer(r["said"], np.uint16) for r in rows])
-            near = np.unique(np.concatenate([np.frombuffer(r["near"], np.uint64) for r in rows]))
+            for r in rows:
+                r |= {f: _unpacked(r[f], kind) for f, kind in PIECE.items()}
+            value = np.concatenate([np.repeat(r["words"], r["sizes"]) for r in rows])
+            block = np.concatenate([np.full(len(r["said"]), k, np.uint32) for k, r in enumerate(rows)])
+            said = np.concatenate([r["said"] for r in rows])
+            near = np.unique(np.concatenate([r["near"] for r in rows]))
             by_home = np.argsort(_home(near, parts), kind="stable")
             place = np.empty(len(near), np.uint32)
             place[by_home] = contexts + np.arange(len(near))
-            numbers = (np.append(np.arange(contexts, dtype=np.uint32), place[np.searchsorted(near, np.frombuffer(r["near"], np.uint64))]) for r in rows)
-            context = np.concatenate([of[np.frombuffer(r["context"], np.uint32)] for of, r in zip(numbers, rows, strict=True)])
-            flags = [np.frombuffer(r["flags"], np.uint8) for r in rows]
-            train = np.concatenate([f[np.frombuffer(r["said"], np.uint16)] & 1 for f, r in zip(flags, rows, strict=True)])
+            numbers = (np.append(np.arange(contexts, dtype=np.uint32), place[np.searchsorted(near, r["near"])]) for r in rows)
+            context = np.concatenate([of[r["context"]] for of, r in zip(numbers, rows, strict=True)])
+            train = np.concatenate([r["flags"][r["said"]] & 1 for r in rows])
             order = np.argsort(value, kind="stable")
             distinct, size = np.unique(value, return_counts=True)
             docs = np.array([r["number"] for r in rows], np.int64)
@@ -359,7 +380,15 @@ LETTERS = "owner int, part int, keys binary, customers binary, tables binary, pl
 ANSWERS = "part int, owner int, customers binary, tables binary"
 
 
-def _sweep(step: int, shared: Restaurants | None, frequent: np.ndarray, parts: int, folder: Folder):
+def _offices(near: int, parts: int) -> int:
+    """How many owners share the rare contexts: so many that the letters, one from each part to each owner, grow in number with `near` only.
+
+    `near` is how many rare contexts the parts have customers of, a context counted once for each part.
+    """
+    return max(1, min(parts, near // (parts * LETTER)))
+
+
+def _sweep(step: int, shared: Restaurants | None, frequent: np.ndarray, parts: int, offices: int, folder: Folder):
     """State behind a sweep (0: the first one). Gives the totals of frequent contexts, the parent and frequent words (`place`; below 0 counts
     of counts) and, to each owner, a letter on its rare contexts; what doesn't change is in the first letter only."""
     contexts = len(frequent) + 1
@@ -386,7 +415,7 @@ def _sweep(step: int, shared: Restaurants | None, frequent: np.ndarray, parts: i
             ones += [np.count_nonzero(c == 1), np.count_nonzero(c == 2), np.count_nonzero(p == 1), np.count_nonzero(p == 2)]
             tables = tables[contexts:].astype(np.uint32)
             customers = np.bincount(dishes.context, dishes.customers, part.contexts)[contexts:].astype(np.uint32)
-            cut = np.searchsorted(_home(part.near, parts), np.arange(parts + 1)).tolist()
+            cut = np.searchsorted(_home(part.near, parts) * offices // parts, np.arange(offices + 1)).tolist()
             for owner in np.flatnonzero(np.diff(cut)).tolist():
                 a, b = cut[owner], cut[owner + 1]
                 letter = {"owner": [owner], "part": [part.number], "tables": _bytes(tables[a:b])}
@@ -578,11 +607,12 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     hot = Dishes(len(frequent), cell // contexts - 1, cell % contexts, n.astype(np.int64), 0)
     folder = Folder(stage_path(docs.sparkSession, "seating"))
+    offices = _offices((of_parts.agg(F.sum(F.octet_length("near"))).first()[0] or 0) // 8, parts)
 
     def swept(step: int, shared: Restaurants | None) -> dict[int, int]:
-        letters = written(of_parts.mapInArrow(_sweep(step, shared, frequent, parts, folder), LETTERS), "letters")
+        letters = written(of_parts.mapInArrow(_sweep(step, shared, frequent, parts, offices, folder), LETTERS), "letters")
         mail = letters.where("owner IS NOT NULL").select("owner", "part", "keys", "customers", "tables")
-        answers = mail.repartitionById(parts, F.col("owner")).mapInArrow(_answers(step, folder), ANSWERS)
+        answers = mail.repartitionById(offices, F.col("owner")).mapInArrow(_answers(step, folder), ANSWERS)
         answers.repartitionById(parts, F.col("part")).mapInArrow(_delivered(step, folder), "part int").agg(F.max("part")).collect()
         return {r["place"]: r["n"] for r in letters.where("place IS NOT NULL").groupBy("place").agg(F.sum("n").alias("n")).collect()}
 

@@ -438,6 +438,40 @@ def test_known_words_of_a_long_text():
     assert out.column("n_known").to_pylist() == [70000, 3]
 
 
+def test_letters_between_parts_are_few_where_contexts_are(spark, monkeypatch):
+    """Their number follows the contexts and not the square of the number of parts; scores stay those of one part."""
+    rows = [(k, prose(300 + k, 60), "s") for k in range(200)]
+    letters, write = [], pitman_yor.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "letters":
+            letters.append(out.where("owner IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(pitman_yor, "written", counted)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        got = {r.doc_id: r for r in language_model_scores(documents(spark, rows)).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        alone = {r.doc_id: r for r in language_model_scores(documents(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert letters and max(letters) <= 24
+    assert all(math.isclose(got[k].base_score, alone[k].base_score, rel_tol=1e-9) and math.isclose(got[k].score, alone[k].score, rel_tol=0.1) for k in alone)
+    assert pitman_yor._offices(24 * pitman_yor.LETTER * 5, 24) == 5 and pitman_yor._offices(10**12, 24) == 24
+
+
+def test_packed_arrays_come_back_and_are_smaller():
+    rng = np.random.default_rng(3)
+    words, places, flags = np.unique(rng.integers(0, 2**64, 20000, np.uint64)), rng.integers(0, 3000, 20000).astype(np.uint32), (rng.random(5000) < 0.9).astype(np.uint8)
+    for a in (words, places, flags, words[:1], words[:0], places[:0].astype(np.uint16)):
+        (data,) = pitman_yor._packed(a)
+        assert np.array_equal(pitman_yor._unpacked(data, a.dtype.type), a)
+        assert len(a) < 100 or len(data) < 0.9 * a.nbytes
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(4)
     n, contexts = 50, 4
