@@ -255,13 +255,16 @@ def xml_row_tags(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     CDATA section is left out, but for pieces that lie wholly inside one (markup with end tags, quoted there).
     """
     pieces = spark.read.option("lineSep", "</").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
-    pieces = pieces.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
+    pieces = pieces.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().bitwiseAND(2**33 - 1).alias("at"), F.col("value").alias("piece"))
     closed = F.regexp_replace("piece", r"(?s)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)", "")
     pieces = pieces.withColumn("piece", F.regexp_replace(closed, r"(?s)^.*(?:-->|\]\]>)", ""))
     tag = rf"<{_PREFIX}({_NAME})"
     parents = F.regexp_extract_all("piece", F.lit(rf"{tag}(?:\s[^>]*)?(?<!/)>\s*(?=<{_NAME})"), F.lit(1))
     named = pieces.select("path", "block", "at", parents.alias("parents"), F.posexplode(F.regexp_extract_all("piece", F.lit(tag + r"(?=[\s/>])"), F.lit(1))).alias("i", "tag"))
-    tags = named.groupBy("path", "tag").agg(F.count("*").alias("n"), F.bool_or(F.array_contains("parents", F.col("tag"))).alias("parent"), F.min(F.struct("block", "at", "i")).alias("first"))
+    # A place in a block is one number, so that a task aggregates its tags by hash, a row for each name, and sorts none.
+    place = F.shiftleft("at", 30) + F.col("i")
+    tags = named.groupBy("path", "block", "tag").agg(F.count("*").alias("n"), F.bool_or(F.array_contains("parents", F.col("tag"))).alias("parent"), F.min(place).alias("place"))
+    tags = tags.groupBy("path", "tag").agg(F.sum("n").alias("n"), F.bool_or("parent").alias("parent"), F.min(F.struct("block", "place")).alias("first"))
     tags = written(tags, "tags")
     roots = tags.groupBy("path").agg(F.min("first").alias("root"))
     rank = F.when(F.col("first") == F.col("root"), 2).when(F.col("parent") & (F.col("n") > 1), 0).when(F.col("parent"), 1).otherwise(3)

@@ -134,7 +134,7 @@ def xml_groups(spark, sf):
     head = ends.select("f", "plain", F.lit(0).alias("part"), F.lit(0).cast("long").alias("k"), head.alias("value"))
     tail = ends.select("f", "plain", F.lit(2).alias("part"), F.lit(0).cast("long").alias("k"), F.concat(F.lit("</"), root, F.lit(">")).alias("value"))
     path = stage_path(spark, "xml")
-    lines = rows.unionByName(head).unionByName(tail).repartition(8, "f").sortWithinPartitions("f", "part", "k")
+    lines = rows.unionByName(head).unionByName(tail).repartitionById(8, F.col("f").cast("int")).sortWithinPartitions("f", "part", "k")  # a file for each task
     lines.select("f", "value").write.partitionBy("f").text(path)
     cells = FS.read_xml_groups(spark, path, "part-*")
     return cells.select(F.concat(F.lit("f"), F.regexp_extract("path", "/f=([0-9]+)/", 1)).alias("file"), "tag", "row_idx", "name", "value")

@@ -98,3 +98,18 @@ def test_xml_groups_of_many_shapes(spark, tmp_path):
         "leaves.xml": [(0, "_i", "7"), (0, "a", "1"), (1, "a", "2"), (1, "a", "3"), (1, "c", ""), (1, "d", "4"), (1, "d._u", "x"), (1, "d.d", "5")], "cdata.xml": [(0, "a", "x < y </z> & z"), (1, "a", "2")],
         "flat.xml": [(0, "a", "1"), (0, "b", "2")], "long.xml": sorted(long),
     }
+
+
+def test_xml_tags_are_counted_without_a_sort(spark, tmp_path, monkeypatch):
+    """What a task holds follows the element names, not the elements: the aggregate over the pieces is by hash."""
+    (tmp_path / "a.xml").write_text("<r><head><t>x</t></head>" + "".join(f"<row><k>{k}</k></row>" for k in range(3000)) + "</r>")
+    plans, write = [], FS.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(FS, "written", seen)
+    assert [r["tag"] for r in FS.xml_row_tags(spark, str(tmp_path)).collect()] == ["row"]
+    lowest = [line for line in plans[0].splitlines() if "Aggregate" in line][-1]
+    assert "HashAggregate" in lowest
