@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 5
 AS_IS = np.arange(256, dtype=np.uint8)
 LOWER = AS_IS + np.uint8(32) * ((AS_IS >= 65) & (AS_IS <= 90))
@@ -52,6 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
 
 @dataclass

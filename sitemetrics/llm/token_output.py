@@ -16,6 +16,8 @@ from sitemetrics.llm.texts import AS_IS, NOT_SPACE, slices, words
 from sitemetrics.operators.reuse import stage_path, written
 
 CACHE_WORDS = 1 << 21
+#: Pieces that the tokenizer encodes at once, and bytes of text whose pieces are in memory at once.
+ENCODED_AT_ONCE, TEXT_BYTES = 1 << 13, 1 << 20
 
 
 class WordEncoder:
@@ -39,9 +41,13 @@ class WordEncoder:
 
     def _encoded(self, w, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, one after the other, and their numbers."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([w.word(i) for i in at.tolist()], add_special_tokens=False)]
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.uint32, int(length.sum())), length
+        ids, length = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(at), ENCODED_AT_ONCE):
+            pieces = [w.word(i) for i in at[lo : lo + ENCODED_AT_ONCE].tolist()]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            length.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter((i for x in found for i in x), np.uint32, int(length[-1].sum())))
+        return np.concatenate(ids), np.concatenate(length)
 
     def _learn(self, w, value: np.ndarray, at: np.ndarray) -> None:
         ids, length = self._encoded(w, at)
@@ -112,7 +118,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _tokens(path: str, end: int, bounds: np.ndarray):
     def run(batches):
         encoder = _encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             ids, offsets = encoder.encode(batch.column("text"), end)
             blob = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
             yield pa.record_batch([pa.array(range_of(bounds, batch.column("id"))), batch.column("id"), blob], names=["shard", "id", "ids"])

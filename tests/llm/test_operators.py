@@ -438,6 +438,24 @@ def test_known_words_of_a_long_text():
     assert out.column("n_known").to_pylist() == [70000, 3]
 
 
+def test_pieces_are_encoded_a_few_at_once():
+    """A worker's memory follows neither the batch nor the number of its new pieces."""
+    encoder = token_output.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    real, most = encoder.tokenizer, []
+
+    class Seen:
+        def encode_batch_fast(self, pieces, **options):
+            most.append(len(pieces))
+            return real.encode_batch_fast(pieces, **options)
+
+    encoder.tokenizer = Seen()
+    text = " ".join(f"word{k}" for k in range(20000))
+    ids, offsets = encoder.encode(pa.array([text, None, "a"]), 2)
+    assert max(most) <= token_output.ENCODED_AT_ONCE and sum(most) == 20001
+    assert ids.tolist() == [*real.encode(text, add_special_tokens=False).ids, 2, 2, *real.encode("a", add_special_tokens=False).ids, 2]
+    assert offsets.tolist() == [0, len(ids) - 3, len(ids) - 2, len(ids)]
+
+
 def test_letters_between_parts_are_few_where_contexts_are(spark, monkeypatch):
     """Their number follows the contexts and not the square of the number of parts; scores stay those of one part."""
     rows = [(k, prose(300 + k, 60), "s") for k in range(200)]
