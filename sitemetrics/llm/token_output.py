@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ from sitemetrics.operators.reuse import stage_path, written
 CACHE_WORDS = 1 << 21
 #: Pieces that the tokenizer encodes at once, and bytes of text whose pieces are in memory at once.
 ENCODED_AT_ONCE, TEXT_BYTES = 1 << 13, 1 << 20
+#: Between pieces that are encoded as one text: a control character, which is one id.
+_MARK = " \x01 "
+_MARK_BYTES = np.frombuffer(_MARK.encode(), np.uint8)
 
 
 class WordEncoder:
@@ -26,6 +30,8 @@ class WordEncoder:
     Pieces are split at ASCII white space. This equals encoding the whole text for tokenizers whose pre-tokenizer drops white space
     and whose tokens never cross it. Pieces reach the tokenizer as they stand: added tokens are told by their case. The cache is found
     by a hash, and every piece of a text is then compared with the cached one byte by byte; it is emptied when it holds CACHE_WORDS pieces.
+    New pieces without digits go to the tokenizer as one text with a mark between them, by which its ids are parted again; where marks in
+    the pieces themselves make this ambiguous, and with digits, each piece is encoded alone.
     """
 
     def __init__(self, path: str):
@@ -33,31 +39,55 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
         self.known, self.start, self.length, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.bytes, self.byte_start, self.byte_length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _encoded(self, w, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces, one after the other, and their numbers."""
-        ids, length = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(at), ENCODED_AT_ONCE):
-            pieces = [w.word(i) for i in at[lo : lo + ENCODED_AT_ONCE].tolist()]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            length.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter((i for x in found for i in x), np.uint32, int(length[-1].sum())))
-        return np.concatenate(ids), np.concatenate(length)
+    def _apart(self, w, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([w.word(i) for i in at.tolist()], add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _together(self, w, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = w.end[at] - w.start[at]
+        begin = np.cumsum(size + len(_MARK)) - size - len(_MARK)
+        text = np.empty(int(size.sum()) + len(at) * len(_MARK), np.uint8)
+        text[_ranges(begin, size)] = w.low[_ranges(w.start[at], size)]
+        text[_ranges(begin + size, np.full(len(at), len(_MARK)))] = np.tile(_MARK_BYTES, len(at))
+        (found,) = self.tokenizer.encode_batch_fast([text[: -len(_MARK)].tobytes().decode()], add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        if len(marks) != len(at) - 1:  # every mark put in gives one, so a piece holds another
+            return self._apart(w, at)
+        return np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+
+    def _encoded(self, w, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces, and where each piece's begin and how many they are."""
+        digits = np.concatenate([[0], np.cumsum((w.low >= 48) & (w.low < 58))])
+        alone = digits[w.end[at]] > digits[w.start[at]] if self.mark is not None else np.ones(len(at), bool)
+        ids, length, order = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
+        for those, encode in ((np.flatnonzero(~alone), self._together), (np.flatnonzero(alone), self._apart)):
+            order.append(those)
+            for lo in range(0, len(those), ENCODED_AT_ONCE):
+                some_ids, some_length = encode(w, at[those[lo : lo + ENCODED_AT_ONCE]])
+                ids.append(some_ids)
+                length.append(some_length)
+        back = np.argsort(np.concatenate(order))
+        count = np.concatenate(length)
+        return np.concatenate(ids), (np.cumsum(count) - count)[back], count[back]
 
     def _learn(self, w, value: np.ndarray, at: np.ndarray) -> None:
-        ids, length = self._encoded(w, at)
+        ids, begin, length = self._encoded(w, at)
         size = w.end[at] - w.start[at]
         spelled = w.low[_ranges(w.start[at], size)]
         spelled_at = len(self.bytes) + np.cumsum(size) - size
-        order = np.argsort(np.concatenate([self.known, value]))
-        start = len(self.ids) + np.cumsum(length) - length
-        self.known, self.start, self.length = (np.concatenate(x)[order] for x in ((self.known, value), (self.start, start), (self.length, length)))
-        self.byte_start, self.byte_length = (np.concatenate(x)[order] for x in ((self.byte_start, spelled_at), (self.byte_length, size)))
+        to = np.searchsorted(self.known, value)  # both ascend: merged, not sorted anew
+        start = len(self.ids) + begin
+        self.known, self.start, self.length = (np.insert(x, to, y) for x, y in ((self.known, value), (self.start, start), (self.length, length)))
+        self.byte_start, self.byte_length = (np.insert(x, to, y) for x, y in ((self.byte_start, spelled_at), (self.byte_length, size)))
         self.ids, self.bytes = np.concatenate([self.ids, ids]), np.concatenate([self.bytes, spelled])
 
     def _others(self, w, entry: np.ndarray) -> np.ndarray:
@@ -91,8 +121,8 @@ class WordEncoder:
         if len(others):
             which = which.copy()
             which[others] = len(start) + np.arange(len(others))
-            own, count = self._encoded(w, others)
-            start, length = np.append(start, len(ids) + np.cumsum(count) - count), np.append(length, count)
+            own, begin, count = self._encoded(w, others)
+            start, length = np.append(start, len(ids) + begin), np.append(length, count)
             ids = np.append(ids, own)
         order = np.insert(which, w.first[1:], len(value))
         n = length[order]

@@ -456,6 +456,26 @@ def test_pieces_are_encoded_a_few_at_once():
     assert offsets.tolist() == [0, len(ids) - 3, len(ids) - 2, len(ids)]
 
 
+def test_pieces_without_digits_are_encoded_together():
+    """The tokenizer gets a few long texts instead of one for each new piece; marks in the pieces themselves change no id."""
+    path, pick = public_tokenizers.path("word_bpe_49k.json"), random.Random(4)
+    encoder = token_output.WordEncoder(path)
+    real, given = encoder.tokenizer, []
+
+    class Seen:
+        def encode_batch_fast(self, pieces, **options):
+            given.append(len(pieces))
+            return real.encode_batch_fast(pieces, **options)
+
+    encoder.tokenizer = Seen()
+    text = " ".join("".join(pick.choice("abcdeé&,'B") for _ in range(pick.randrange(1, 12))) for _ in range(20000))
+    ids, offsets = encoder.encode(pa.array([text]), 2)
+    assert ids.tolist() == [*real.encode(text, add_special_tokens=False).ids, 2] and offsets.tolist() == [0, len(ids)]
+    assert sum(given) < 10
+    for text in ("new\x01 \x01 \x01\x01 words \x01old\x01 \u00a0 \u00a0\u00a0 <|endoftext|> é", "\x01", "\u2028 only"):
+        assert encoder.encode(pa.array([text]), 2)[0].tolist() == [*real.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def test_letters_between_parts_are_few_where_contexts_are(spark, monkeypatch):
     """Their number follows the contexts and not the square of the number of parts; scores stay those of one part."""
     rows = [(k, prose(300 + k, 60), "s") for k in range(200)]
