@@ -23,6 +23,8 @@ HASHES = 2 * PAIRS + SINGLES
 LEAST_AGREEMENT = 12
 #: Classes of a bucket that all its others are compared with first.
 PIVOTS = 4
+#: Up to so many classes of a bucket all meet each other; that is no more pairs than pivots would make.
+SMALL = 2 * PIVOTS + 1
 KEY_FILTER_BITS = 25
 #: Bytes of text whose words are in memory at once.
 TEXT_BYTES = 1 << 20
@@ -204,8 +206,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A-Z are lower-cased and words split at ASCII white space. A text with fewer words than a shingle has its whole sequence as one.
     Equal sets are one class with one row in all joins. Links between classes are found in three steps, each on what is not yet in
-    one component: a class is verified against the one most like it among a few pivots of its buckets; then against its other pivots;
-    then, of the classes in buckets that still hold several components, pairs of different components that share one of their rarest
+    one component: a class is verified against the one most like it among a few pivots of its buckets (in a bucket of up to SMALL classes,
+    all of them); then against its other pivots; then, of the classes in larger buckets that still hold several components, pairs of
+    different components that share one of their rarest
     shingles are verified: a class of n shingles lacks at most n - percent * n / 100 of a linked one's, so two linked classes share one
     of the first that many and one. Pairs inside one component change nothing and are never made. Verification is on full sets.
 
@@ -217,9 +220,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(docs.mapInArrow(_features(words_per_shingle), "id long, n_shingles long, set_a long, set_b long, signature array<long>"), "features")
     classes = rows.where("n_shingles > 0 AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = written(classes, "classes")
-    shared = written(classes.select("node", "signature").mapInArrow(_keys(), "node long, key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    shared = written(classes.select("node", "signature").mapInArrow(_keys(), "node long, key long").groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "shared")
     keys = classes.select("node", "signature").mapInArrow(_keys(bit_filter(shared, "key", KEY_FILTER_BITS)), "node long, key long")
-    met = written(keys.join(shared, "key", "left_semi"), "buckets")
+    met = written(keys.join(shared, "key"), "buckets")
+    small, large = met.where(F.col("held") <= SMALL), met.where(F.col("held") > SMALL)
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
@@ -232,8 +236,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ends = pairs.join(group.toDF("u", "cu"), "u", "left").join(group.toDF("v", "cv"), "v", "left")
         return ends.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).drop("cu", "cv")
 
-    pivots = met.groupBy("key").agg(*[F.min_by("node", F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(PIVOTS)])
-    pairs = met.join(pivots, "key").select(F.col("node").alias("u"), F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("v")).where("u <> v").distinct()
+    pivots = large.groupBy("key").agg(*[F.min_by("node", F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(PIVOTS)])
+    pairs = large.join(pivots, "key").select(F.col("node").alias("u"), F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("v")).where("u <> v")
+    every = F.expr("flatten(transform(nodes, (u, i) -> transform(slice(nodes, 1, i), v -> struct(u, v))))")
+    pairs = pairs.unionByName(small.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select(F.inline(every).alias("u", "v"))).distinct()
     about = classes.select("node", "set_a", "n", "signature")
     pairs = pairs.join(about.drop("set_a").toDF("u", "nu", "su"), "u").join(about.drop("set_a").toDF("v", "nv", "sv"), "v").withColumn("same", F.expr(_agreement("su", "sv")))
     pairs = written(pairs.where(f"same >= {LEAST_AGREEMENT} AND 100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v", "same"), "pairs")
@@ -244,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(written(verified(others), "links"))
     group = components(links)
 
-    placed = met.join(group, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
+    placed = large.join(group, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     placed = placed.join(open_keys, "key", "left_semi").select("node", "component").distinct().join(classes.select("node", "set_a", "n"), "node")
     placed = written(placed, "placed")

@@ -98,6 +98,25 @@ def test_near_duplicates_verify_few_pairs_below_the_threshold(spark, monkeypatch
     assert len({r.component_id for r in got}) > 50 and made["open"] > 0 and made["rest"] < 4 * len(rows)
 
 
+def test_near_duplicates_of_small_buckets_are_settled_by_pairs(spark, monkeypatch):
+    """Few texts that are too far from each other meet in many buckets; all their pairs are known then, so no shingles are read again."""
+    rng, rows = random.Random(9), []
+    for group in range(60):
+        base = [f"g{group}b{k}" for k in range(60)]
+        rows += [(10 * group + k, " ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.08 else w for w in base), "g") for k in range(3 + group % 4)]
+    made, write = {}, near_dedup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    got = near_duplicates(documents(spark, rows), words_per_shingle=2).collect()
+    assert ordered(map(tuple, got)) == ordered(brute_components(rows, 2, 80))
+    assert made["buckets"] > 500 and made["pairs"] > 50 and made["elements"] == 0
+
+
 def test_near_duplicates_of_one_large_group(spark):
     base = prose(7, 120).split()
     rows = [(k, " ".join(base[: k % 7] + ["swap"] + base[k % 7 + 1 :]), "h") for k in range(300)] + [(1000 + k, prose(500 + k, 50), "h") for k in range(20)]
