@@ -247,28 +247,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(verified(closest), "links")
     group = components(links)
     others = written(apart(pairs.select("u", "v"), group), "others")
-    links = links.unionByName(written(verified(others), "links"))
-    group = components(links)
+    if not others.isEmpty():
+        links = links.unionByName(written(verified(others), "links"))
+        group = components(links)
 
     placed = large.join(group, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     placed = placed.join(open_keys, "key", "left_semi").select("node", "component").distinct().join(classes.select("node", "set_a", "n"), "node")
     placed = written(placed, "placed")
-
-    # A shingle that only one of these classes has can't be shared: a class with too many of them has no link to find.
-    ids = placed.select(F.col("node").alias("id")).distinct()
-    elements = docs.mapInArrow(_elements(words_per_shingle, bit_filter(ids, "id")), "id long, set_a long, element long")
-    elements = written(elements.join(ids, "id", "left_semi").select("set_a", "element"), "elements")
-    alone = elements.groupBy("element").agg(F.count("*").alias("times"), F.min("set_a").alias("set_a")).where("times = 1").groupBy("set_a").agg(F.count("*").alias("own"))
-    placed = placed.join(alone, "set_a", "left").where(f"100 * (n - coalesce(own, 0)) >= {percent} * n").drop("own")
-    placed = written(placed, "open")
-    ids = placed.select(F.col("node").alias("id")).distinct()
-    sketches = docs.mapInArrow(_sketches(words_per_shingle, bit_filter(ids, "id")), "id long, set_a long, sketch array<long>")
-    rest = _sharing(placed, elements, sketches.withColumnRenamed("id", "node").dropDuplicates(["node", "set_a"]), percent)
-    known = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    rest = written(rest.join(known, ["u", "v"], "left_anti"), "rest")
-    links = links.unionByName(verified(rest))
-    group = components(links)
+    if not placed.isEmpty():  # else no larger bucket holds several components, and every pair is known
+        # A shingle that only one of these classes has can't be shared: a class with too many of them has no link to find.
+        ids = placed.select(F.col("node").alias("id")).distinct()
+        elements = docs.mapInArrow(_elements(words_per_shingle, bit_filter(ids, "id")), "id long, set_a long, element long")
+        elements = written(elements.join(ids, "id", "left_semi").select("set_a", "element"), "elements")
+        alone = elements.groupBy("element").agg(F.count("*").alias("times"), F.min("set_a").alias("set_a")).where("times = 1").groupBy("set_a").agg(F.count("*").alias("own"))
+        placed = placed.join(alone, "set_a", "left").where(f"100 * (n - coalesce(own, 0)) >= {percent} * n").drop("own")
+        placed = written(placed, "open")
+        ids = placed.select(F.col("node").alias("id")).distinct()
+        sketches = docs.mapInArrow(_sketches(words_per_shingle, bit_filter(ids, "id")), "id long, set_a long, sketch array<long>")
+        rest = _sharing(placed, elements, sketches.withColumnRenamed("id", "node").dropDuplicates(["node", "set_a"]), percent)
+        known = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        rest = written(rest.join(known, ["u", "v"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            group = components(links.unionByName(verified(rest)))
 
     of_class = classes.select("set_a", "set_b", "node").join(group, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     linked = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "id")).otherwise(F.col("id"))

@@ -156,6 +156,16 @@ def _tokens(path: str, end: int, bounds: np.ndarray):
     return run
 
 
+def _vocabulary(path: str):
+    """Number of ids, told by a task: a tokenizer that the driver loads takes its memory for good."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([_encoder(path).tokenizer.get_vocab_size(with_added_tokens=True)] * len(batch), pa.int64())], names=["size"])
+
+    return run
+
+
 def _write(folder: str, bits: int):
     """One file for each shard of the partition. Its name is new in every attempt; only files that a row names belong to the output."""
 
@@ -190,9 +200,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
     Texts are tokenized where they are read; one shuffle by id range moves the ids. `start` counts the ids of all files before.
     """
-    from tokenizers import Tokenizer
-
-    bits = bits_for(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True))
+    bits = bits_for(docs.sparkSession.range(0, 1, 1, 1).mapInArrow(_vocabulary(tokenizer), "size long").first()["size"])
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = partitions_of(docs)
     bounds = range_bounds(docs, "id", n)

@@ -114,7 +114,7 @@ def test_near_duplicates_of_small_buckets_are_settled_by_pairs(spark, monkeypatc
     monkeypatch.setattr(near_dedup, "written", counted)
     got = near_duplicates(documents(spark, rows), words_per_shingle=2).collect()
     assert ordered(map(tuple, got)) == ordered(brute_components(rows, 2, 80))
-    assert made["buckets"] > 500 and made["pairs"] > 50 and made["elements"] == 0
+    assert made["buckets"] > 500 and made["pairs"] > 50 and "elements" not in made
 
 
 def test_near_duplicates_of_one_large_group(spark):
@@ -192,6 +192,20 @@ def test_token_files(spark):
     assert reader.bits == 16 and reader.ids(3, 3).size == 0
 
 
+def test_driver_loads_no_tokenizer(spark, tmp_path, monkeypatch):
+    """What it takes stays in the driver's memory, again for every run of a session."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    class Refused:
+        @staticmethod
+        def from_file(_):
+            raise AssertionError("loaded by the driver")
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Refused)
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert token_output.write_tokens(docs, str(tmp_path), path, 2).agg(F.sum("n_docs")).first()[0] == 2
+
+
 def test_pieces_equal_whole_texts():
     """Random code points and case, words cached by earlier batches, and words that share one hash."""
     path = public_tokenizers.path("word_bpe_49k.json")
