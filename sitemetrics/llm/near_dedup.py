@@ -155,7 +155,7 @@ def _similar(percent: int):
 
 
 def _keys(known: np.ndarray | None = None):
-    """(node, key) for every table; the table's number is in the key's last six bits. `known`: only keys that this filter lets pass."""
+    """The key of every table; the table's number is in the key's last six bits. `known`: (node, n, key) of those that this filter lets pass."""
 
     def run(batches):
         for batch in batches:
@@ -164,9 +164,12 @@ def _keys(known: np.ndarray | None = None):
             key = mix(pairs[:, :, None] ^ (h[:, None, 2 * PAIRS :] * np.uint64(0x9E3779B97F4A7C15)))
             table = np.arange(PAIRS * SINGLES, dtype=np.uint64).reshape(1, PAIRS, SINGLES)
             key = ((key & ~np.uint64(63)) | table).reshape(-1).view(np.int64)
-            node = np.repeat(batch.column("node").to_numpy(), PAIRS * SINGLES)
-            keep = slice(None) if known is None else passes(known, key)
-            yield pa.record_batch([pa.array(node[keep]), pa.array(key[keep])], names=["node", "key"])
+            if known is None:
+                yield pa.record_batch([pa.array(key)], names=["key"])
+                continue
+            keep = passes(known, key)
+            node, n = (np.repeat(batch.column(c).to_numpy(), PAIRS * SINGLES)[keep] for c in ("node", "n"))
+            yield pa.record_batch([pa.array(node), pa.array(n), pa.array(key[keep])], names=["node", "n", "key"])
 
     return run
 
@@ -175,8 +178,20 @@ def _agreement(a: str, b: str) -> str:
     return f"size(filter(zip_with({a}, {b}, (x, y) -> x = y), x -> x))"
 
 
+def _meeting(met: DataFrame, percent: int) -> DataFrame:
+    """(u, v): classes of one bucket whose numbers of shingles allow a link; in a bucket of up to SMALL classes all pairs, in a larger one those with a pivot."""
+    near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    met = met.select("key", "held", F.struct("node", "n").alias("x"))
+    small, large = met.where(F.col("held") <= SMALL), met.where(F.col("held") > SMALL)
+    first = [F.struct(*[F.min_by(c, F.xxhash64(F.lit(k), "x.node")).alias(c[2:]) for c in ("x.node", "x.n")]) for k in range(PIVOTS)]
+    pivots = large.groupBy("key").agg(F.array(*first).alias("pivots"))
+    pairs = large.join(pivots, "key").select(F.expr(f"inline(transform(filter(pivots, y -> x.node <> y.node AND {near}), y -> struct(x.node, y.node)))").alias("u", "v"))
+    every = F.expr(f"inline(flatten(transform(xs, (x, i) -> transform(filter(slice(xs, 1, i), y -> {near}), y -> struct(x.node, y.node)))))")
+    return pairs.unionByName(small.groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("xs")).select(every.alias("u", "v"))).distinct()
+
+
 def _sharing(placed: DataFrame, elements: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(u, v): pairs of classes of different components that share a shingle early enough for a link.
+    """(u, v, bits): pairs of classes of different components that share a shingle early enough for a link, and in how many bits their sketches differ.
 
     Shingles are put in one order: those that one component alone holds, then the others, the rarest first. `left` is how many of a class's
     shingles come from one on, itself included. Two classes share at most as many as the lesser `left` of the first shingle that they share, so
@@ -193,12 +208,13 @@ def _sharing(placed: DataFrame, elements: DataFrame, sketches: DataFrame, percen
     held = held.groupBy("element").agg(F.max_by("component", F.struct("held", "component")).alias("most"), F.count("*").alias("components")).where("components > 1")
     early = early.join(held.drop("components"), "element")
     x, y = early.alias("x"), early.where("component <> most").alias("y")
+    bits = "aggregate(zip_with(x.sketch, y.sketch, (a, b) -> bit_count(a ^ b)), 0, (s, b) -> s + b)"
     meet = F.expr(
         f"x.element = y.element AND (x.component = x.most OR x.component < y.component) AND x.component <> y.component"
         f" AND {100 + percent} * least(x.left, y.left) >= {percent} * (x.n + y.n)"
-        f" AND {100 + percent} * (x.n + y.n - aggregate(zip_with(x.sketch, y.sketch, (a, b) -> bit_count(a ^ b)), 0, (s, b) -> s + b)) >= {2 * percent} * (x.n + y.n)"
+        f" AND {100 + percent} * (x.n + y.n - {bits}) >= {2 * percent} * (x.n + y.n)"
     )
-    return x.join(y, meet).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
+    return x.join(y, meet).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"), F.expr(bits).alias("bits")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -209,8 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one component: a class is verified against the one most like it among a few pivots of its buckets (in a bucket of up to SMALL classes,
     all of them); then against its other pivots; then, of the classes in larger buckets that still hold several components, pairs of
     different components that share one of their rarest
-    shingles are verified: a class of n shingles lacks at most n - percent * n / 100 of a linked one's, so two linked classes share one
-    of the first that many and one. Pairs inside one component change nothing and are never made. Verification is on full sets.
+    shingles are verified, each class's nearest first and then those still apart: a class of n shingles lacks at most n - percent * n / 100
+    of a linked one's, so two linked classes share one of the first that many and one. Pairs inside one component change nothing and are
+    never verified. Classes whose numbers of shingles rule out a link are no pair. Verification is on full sets.
 
     component_id is the least doc_id reachable, itself included; kept is doc_id = component_id. One row for each input row. A null
     or empty text has n_shingles 0 and is linked with nothing. Rows that repeat a doc_id are one node of the links. A row without
@@ -220,10 +237,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(docs.mapInArrow(_features(words_per_shingle), "id long, n_shingles long, set_a long, set_b long, signature array<long>"), "features")
     classes = rows.where("n_shingles > 0 AND id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = written(classes, "classes")
-    shared = written(classes.select("node", "signature").mapInArrow(_keys(), "node long, key long").groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "shared")
-    keys = classes.select("node", "signature").mapInArrow(_keys(bit_filter(shared, "key", KEY_FILTER_BITS)), "node long, key long")
+    sized = classes.select("node", "n", "signature")
+    shared = written(sized.mapInArrow(_keys(), "key long").groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "shared")
+    keys = sized.mapInArrow(_keys(bit_filter(shared, "key", KEY_FILTER_BITS)), "node long, n long, key long")
     met = written(keys.join(shared, "key"), "buckets")
-    small, large = met.where(F.col("held") <= SMALL), met.where(F.col("held") > SMALL)
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
@@ -236,13 +253,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ends = pairs.join(group.toDF("u", "cu"), "u", "left").join(group.toDF("v", "cv"), "v", "left")
         return ends.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).drop("cu", "cv")
 
-    pivots = large.groupBy("key").agg(*[F.min_by("node", F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(PIVOTS)])
-    pairs = large.join(pivots, "key").select(F.col("node").alias("u"), F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("v")).where("u <> v")
-    every = F.expr("flatten(transform(nodes, (u, i) -> transform(slice(nodes, 1, i), v -> struct(u, v))))")
-    pairs = pairs.unionByName(small.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select(F.inline(every).alias("u", "v"))).distinct()
-    about = classes.select("node", "set_a", "n", "signature")
-    pairs = pairs.join(about.drop("set_a").toDF("u", "nu", "su"), "u").join(about.drop("set_a").toDF("v", "nv", "sv"), "v").withColumn("same", F.expr(_agreement("su", "sv")))
-    pairs = written(pairs.where(f"same >= {LEAST_AGREEMENT} AND 100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v", "same"), "pairs")
+    about = classes.select("node", "signature")
+    pairs = _meeting(met, percent).join(about.toDF("u", "su"), "u").join(about.toDF("v", "sv"), "v").withColumn("same", F.expr(_agreement("su", "sv")))
+    pairs = written(pairs.where(f"same >= {LEAST_AGREEMENT}").select("u", "v", "same"), "pairs")
     closest = written(pairs.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")), "closest")
     links = written(verified(closest), "links")
     group = components(links)
@@ -251,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(written(verified(others), "links"))
         group = components(links)
 
-    placed = large.join(group, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
+    placed = met.where(F.col("held") > SMALL).join(group, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     placed = placed.join(open_keys, "key", "left_semi").select("node", "component").distinct().join(classes.select("node", "set_a", "n"), "node")
     placed = written(placed, "placed")
@@ -268,8 +281,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = _sharing(placed, elements, sketches.withColumnRenamed("id", "node").dropDuplicates(["node", "set_a"]), percent)
         known = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         rest = written(rest.join(known, ["u", "v"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            group = components(links.unionByName(verified(rest)))
+        if not rest.isEmpty():  # most of a large group's pairs are inside one component as soon as each class is linked with its nearest
+            ways = rest.unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v"), "bits"))
+            nearest = ways.groupBy("u").agg(F.min_by("v", F.struct("bits", "v")).alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            nearest = written(nearest, "nearest")
+            links = links.unionByName(written(verified(nearest), "links"))
+            group = components(links)
+            last = written(apart(rest.select("u", "v").join(nearest, ["u", "v"], "left_anti"), group), "last")
+            if not last.isEmpty():
+                group = components(links.unionByName(verified(last)))
 
     of_class = classes.select("set_a", "set_b", "node").join(group, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     linked = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "id")).otherwise(F.col("id"))

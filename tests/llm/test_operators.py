@@ -117,6 +117,60 @@ def test_near_duplicates_of_small_buckets_are_settled_by_pairs(spark, monkeypatc
     assert made["buckets"] > 500 and made["pairs"] > 50 and "elements" not in made
 
 
+def last_execution(spark):
+    spark.range(1).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId()
+
+
+def join_rows(spark, executions, keys):
+    """Rows that the inner joins on `keys` have made in these executions."""
+    store, rows = spark._jsparkSession.sharedState().statusStore(), 0
+    for execution in executions:
+        metrics, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            if re.search(rf"Join \[{keys}#\d+L?\], \[{keys}#\d+L?\], Inner", node.desc()):
+                each = node.metrics().iterator()
+                while each.hasNext():
+                    metric = each.next()
+                    if metric.name() == "number of output rows" and not metrics.get(metric.accumulatorId()).isEmpty():
+                        rows += int(metrics.apply(metric.accumulatorId()).replace(",", ""))
+    return rows
+
+
+def test_near_duplicates_join_no_pairs_of_sizes_that_rule_out_a_link(spark):
+    """Texts of a bucket that are too long or too short for each other are told apart by their sizes alone, before signatures are joined."""
+    base, rows = prose(11, 400).split(), []
+    for k in range(200):
+        words = base[: (60, 80, 107, 143, 190)[k % 5]]
+        words[k % 50] = f"own{k}"
+        rows.append((k, " ".join(words), "n"))
+    before = last_execution(spark)
+    got = near_duplicates(documents(spark, rows), words_per_shingle=2).collect()
+    made = join_rows(spark, range(before + 1, last_execution(spark)), "u")
+    assert ordered(map(tuple, got)) == ordered(brute_components(rows, 2, 80))
+    assert 0 < made < 30 * len(rows)
+
+
+def test_near_duplicates_of_a_group_around_the_threshold_verify_no_pairs_inside_a_component(spark, monkeypatch):
+    """Most pairs that only a shared shingle finds are inside one component as soon as each class is linked with its nearest."""
+    rng, base = random.Random(6), [f"b{k}" for k in range(140)]
+    rows = [(k, " ".join(rng.choice("often seen words".split()) if rng.random() < 0.036 else w for w in base), "g") for k in range(300)]
+    made, write = {}, near_dedup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    monkeypatch.setattr(near_dedup, "written", counted)
+    got = near_duplicates(documents(spark, rows), words_per_shingle=2).collect()
+    assert ordered(map(tuple, got)) == ordered(brute_components(rows, 2, 80))
+    assert made["rest"] > 2 * len(rows) and 2 * (made["nearest"] + made["last"]) < made["rest"]
+
+
 def test_near_duplicates_of_one_large_group(spark):
     base = prose(7, 120).split()
     rows = [(k, " ".join(base[: k % 7] + ["swap"] + base[k % 7 + 1 :]), "h") for k in range(300)] + [(1000 + k, prose(500 + k, 50), "h") for k in range(20)]
